@@ -22,8 +22,37 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op3_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from querncore.llm.records import read_records, write_records
+
+    manifest = write_records(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end=1)
+    return read_records(manifest).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def op6_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from querncore.llm.unigram import encode_texts
+
+    out = encode_texts(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+    return out.select("doc_id", "n_tokens", F.crc32("ids").alias("ids_crc32"), F.sha2("decoded", 256).alias("decoded_sha256"), "round_trip")
+
+
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from querncore.llm.nearest import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0", 20)
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from querncore.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_token_counts": op5_token_counts}
+    own = (op3_records, op5_token_counts, op6_unigram, op7_nearest, op10_mixing)
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
