@@ -22,6 +22,12 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from querncore.llm.jaccard_join import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"), percent=90, width=3)
+
+
 def op3_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     from querncore.llm.records import read_records, write_records
 
@@ -51,7 +57,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op3_records, op5_token_counts, op6_unigram, op7_nearest, op10_mixing)
+    own = (op2_jaccard_join, op3_records, op5_token_counts, op6_unigram, op7_nearest, op10_mixing)
     return {f.__name__: f for f in own}
 
 
