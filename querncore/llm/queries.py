@@ -22,6 +22,12 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from querncore.llm.fingerprints import fingerprints
+
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from querncore.llm.jaccard_join import jaccard_components
 
@@ -57,7 +63,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op2_jaccard_join, op3_records, op5_token_counts, op6_unigram, op7_nearest, op10_mixing)
+    own = (op1_fingerprints, op2_jaccard_join, op3_records, op5_token_counts, op6_unigram, op7_nearest, op10_mixing)
     return {f.__name__: f for f in own}
 
 
