@@ -15,6 +15,7 @@ shard is read by one seek.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -31,7 +32,7 @@ from querncore.llm.common import new_path, partitions, split_points
 MASK_DELTA = 0xA282EAD8
 HEAD = struct.Struct("<QI")
 #: Entries of the memo of encoded words; it starts anew beyond that.
-MEMO = 300_000
+MEMO = 900_000
 
 
 def masked(crc: int) -> int:
@@ -95,9 +96,15 @@ class WordEncoder:
     """Encodes by the tokenizers library, each distinct run of non-white-space once.
 
     Sound for tokenizers whose normaliser and pre-tokeniser never join or look across ASCII white space and drop it; that is
-    examined when a tokenizer is loaded, on its own description. Others encode whole texts.
+    examined when a tokenizer is loaded, on its own description. Others encode whole texts. For words of ASCII and of the Latin letters
+    U+00C0 to U+017E the library's model is called on the pre-tokens themselves: there, NFC changes nothing and letters and
+    digits are known without tables. All other words go through the library's whole course.
     """
 
+    #: Words whose pre-tokens are found here, and these. U+00D7, U+00F7 are signs; U+0130 lowers to two characters.
+    PLAIN = re.compile("(?!.*<[|])[!-~À-ÖØ-öø-įı-ž]+")
+    PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ž]+|[0-9]|[^a-zß-öø-ž0-9]+")
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import json
@@ -110,6 +117,27 @@ class WordEncoder:
             kept = json.load(f)
         self.by_word = self._falls_apart(kept)
         self.memo: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        self.special = any(not self.PLAIN.fullmatch(t["content"]) is None for t in kept["added_tokens"])  # never, for strings with <|
+        # byte-level alphabet: printable Latin-1 bytes stand for themselves, the others for characters from U+0100 on, in order
+        printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+        rest = [b for b in range(256) if b not in printable]
+        self.alphabet = {b: chr(b) if b in printable else chr(256 + rest.index(b)) for b in range(256)}
+
+    def encode_word(self, word: str) -> bytes | None:
+        """The ids of a plain word; None where the library's whole course is needed."""
+        if self.special or not self.PLAIN.fullmatch(word):
+            return None
+        out = []
+        for part in self.PARTS.findall(word.lower()):
+            got = self.parts.get(part)
+            if got is None:
+                if len(self.parts) > MEMO // 2:
+                    self.parts = {}
+                mapped = part if part.isascii() else part.encode().decode("latin-1").translate(self.alphabet)
+                got = self.parts[part] = np.array([t.id for t in self.tok.model.tokenize(mapped)], self.dtype).tobytes()
+            out.append(got)
+        return b"".join(out)
 
     @staticmethod
     def _falls_apart(kept: dict) -> bool:
@@ -136,11 +164,18 @@ class WordEncoder:
             if len(self.memo) > MEMO:
                 self.memo = {}
             memo, words = self.memo, [(t or "").encode().split() for t in texts[i : i + 256]]  # bytes split at ASCII white space alone
-            rest = list(set(chain.from_iterable(words)).difference(memo))
+            missing = set(chain.from_iterable(words)).difference(memo)
+            rest = []
+            for w in missing:
+                got = self.encode_word(w.decode())
+                if got is None:
+                    rest.append(w)
+                else:
+                    memo[w] = got
             for j in range(0, len(rest), 4096):
                 memo.update(zip(rest[j : j + 4096], whole([w.decode() for w in rest[j : j + 4096]])))
             out += [np.frombuffer(b"".join(map(memo.__getitem__, w)) + tail, self.dtype) for w in words]
-            for w in rest:
+            for w in missing:
                 if len(w) > 256:
                     del memo[w]
         return out
