@@ -16,6 +16,12 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from querncore.llm.quality import quality
+
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from querncore.llm.token_counts import token_counts
 
@@ -63,7 +69,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_fingerprints, op2_jaccard_join, op3_records, op5_token_counts, op6_unigram, op7_nearest, op10_mixing)
+    own = (op1_fingerprints, op2_jaccard_join, op3_records, op4_quality, op5_token_counts, op6_unigram, op7_nearest, op10_mixing)
     return {f.__name__: f for f in own}
 
 
