@@ -62,6 +62,12 @@ def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0", 20)
 
 
+def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from querncore.llm.lm import lm_scores
+
+    return lm_scores(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from querncore.llm.mixing import mix
 
@@ -69,7 +75,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_fingerprints, op2_jaccard_join, op3_records, op4_quality, op5_token_counts, op6_unigram, op7_nearest, op10_mixing)
+    own = (op1_fingerprints, op2_jaccard_join, op3_records, op4_quality, op5_token_counts, op6_unigram, op7_nearest, op8_lm_scores, op10_mixing)
     return {f.__name__: f for f in own}
 
 
