@@ -68,6 +68,22 @@ def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from querncore.llm.licenses import license_scan
+
+    found = license_scan(table(spark, sf_dir, "documents"))
+    families = F.array_sort(F.array_distinct(F.transform("found", lambda x: x["family"])))
+    return found.select("doc_id", F.size("found").cast("long").alias("n_found"), F.array_join(families, ",").alias("families"), F.array_max(F.transform("found", lambda x: x["probability"])).alias("top_probability"), F.to_json("found").alias("found"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpus_pipeline import run
+
+    return run(spark, sf_dir)
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from querncore.llm.mixing import mix
 
@@ -75,9 +91,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_fingerprints, op2_jaccard_join, op3_records, op4_quality, op5_token_counts, op6_unigram, op7_nearest, op8_lm_scores, op10_mixing)
+    own = (op1_fingerprints, op2_jaccard_join, op3_records, op4_quality, op5_token_counts, op6_unigram, op7_nearest, op8_lm_scores, op9_licenses, op10_mixing, pipeline)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
+    """None of these can be expressed in SQL over the tables; tests/llm holds their brute-force versions."""
     return {}
