@@ -162,10 +162,9 @@ def _lists(batches):
         same = np.r_[False, token[1:] == token[:-1]]  # as the entry before
         more = np.r_[same[1:], False]
         out = (same | more) & ~given
-        before = np.r_[sid[:1], sid[:-1]]
-        before_n = np.r_[n[:1], n[:-1]]
         none = ~same[out]
-        yield pa.RecordBatch.from_arrays([pa.array(token[out]), pa.array(sid[out]), pa.array(n[out]), pa.array(pos[out]), pa.array(before[out], mask=none), pa.array(before_n[out], mask=none)], names=["token", "sid", "n", "pos", "before", "before_n"])
+        before = [pa.array(np.r_[x[:1], x[:-1]][out], mask=none) for x in (sid, n, pos)]
+        yield pa.RecordBatch.from_arrays([*(pa.array(x[out]) for x in (token, sid, n, pos)), *before], names=["token", "sid", "n", "pos", "before", "before_n", "before_pos"])
         carry = ([x[-1:] for x in (token, sid, n, pos)], bool(out[-1] or given[-1]))
 
 
@@ -224,6 +223,14 @@ def _filter(sids: DataFrame) -> bytes:
     return b"".join(got.get(k, bytes(FILTER_BITS // 8 // 64)) for k in range(64))
 
 
+def _alike(batches):
+    """Pairs whose bitmaps differ in no more bits than linked sets can differ in hashes."""
+    for b in batches:
+        x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint64).reshape(b.num_rows, -1) for k in (3, 4))
+        ok = np.bitwise_count(x ^ y).sum(axis=1) <= b.column(2).to_numpy()
+        yield b.select(["a", "b"]).filter(pa.array(ok))
+
+
 def _verify(percent: int):
     def run(batches):
         for b in batches:
@@ -376,11 +383,15 @@ def jaccard_components(docs: DataFrame, percent: int = 90, width: int = 3, text:
     told = spark.sparkContext.broadcast(np.sort(frequent.view(np.uint64)))
     postings = texts.mapInArrow(_scan_postings(width, percent, told), "token long, sid long, n int, pos int")
     dealt = postings.repartition(parts, "token").sortWithinPartitions("token", "n", "sid")
-    lists = written(dealt.mapInArrow(_lists, "token long, sid long, n int, pos int, before long, before_n int"), "lists")
+    lists = written(dealt.mapInArrow(_lists, "token long, sid long, n int, pos int, before long, before_n int, before_pos int"), "lists")
 
     pair = lambda x, y: [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
-    near = lists.filter(F.col("before").isNotNull() & (F.col("before") != F.col("sid")) & (100 * F.col("before_n") >= percent * F.col("n"))).select(*pair("before", "sid")).distinct()
-    near = written(near, "near")
+    need = F.ceil(F.lit(percent) * (F.col("n") + F.col("before_n")) / F.lit(100 + percent))
+    reach = F.least(F.col("n") - F.col("pos"), F.col("before_n") - F.col("before_pos")) >= need  # what can still be common from here on
+    near = lists.filter(F.col("before").isNotNull() & (F.col("before") != F.col("sid")) & reach).select(*pair("before", "sid"), (F.col("n") + F.col("before_n") - 2 * need).cast("long").alias("most")).distinct()
+    bits = lambda c: distinct.select(F.col("sid").alias(c), F.col("bits").alias(c + "_bits"))
+    near = near.join(bits("a"), "a").join(bits("b"), "b").select("a", "b", "most", "a_bits", "b_bits")
+    near = written(near.mapInArrow(_alike, "a long, b long"), "near")
     first = written(verified(near, texts, width, percent), "first")
     links = first.filter("linked").select("a", "b")
     label = components(links)
