@@ -54,11 +54,11 @@ def top_k_with_floor(spark, sf):
 
 @query("""
 WITH q AS (SELECT user_id, event_id, CASE event_type WHEN 'click' THEN 'icon' WHEN 'view' THEN 'wide' WHEN 'purchase' THEN 'favicon' END AS queue, value FROM events),
-a AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS at, row_number() OVER (PARTITION BY user_id, queue ORDER BY value DESC, event_id) AS inq FROM q WHERE queue IS NOT NULL),
+a AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS ord, row_number() OVER (PARTITION BY user_id, queue ORDER BY value DESC, event_id) AS inq FROM q WHERE queue IS NOT NULL),
 b AS (SELECT *, inq <= CASE queue WHEN 'icon' THEN 6 WHEN 'wide' THEN 8 ELSE 4 END AS fits FROM a),
-c AS (SELECT *, sum(CAST(fits AS INTEGER)) OVER (PARTITION BY user_id ORDER BY at ROWS UNBOUNDED PRECEDING) AS running FROM b),
+c AS (SELECT *, sum(CAST(fits AS INTEGER)) OVER (PARTITION BY user_id ORDER BY ord ROWS UNBOUNDED PRECEDING) AS running FROM b),
 d AS (SELECT *, CASE WHEN fits AND running <= 16 THEN 1 ELSE 2 END AS phase FROM c),
-e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY phase, at) AS place FROM d)
+e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY phase, ord) AS place FROM d)
 SELECT user_id, event_id, queue, CAST(phase AS INTEGER) AS phase, CAST(place AS INTEGER) AS place FROM e WHERE place <= 16""")
 def capped_role_queue(spark, sf):
     e = t(spark, sf, "events").withColumn("queue", F.when(F.col("event_type") == "click", "icon").when(F.col("event_type") == "view", "wide").when(F.col("event_type") == "purchase", "favicon"))
@@ -146,9 +146,9 @@ def split_leakage(spark, sf):
 
 @query("""
 WITH a AS (SELECT c_custkey, CAST(c_custkey AS VARCHAR) AS id FROM customer),
-b AS (SELECT *, row_number() OVER (ORDER BY sha256('seed-1' || chr(0) || id), id) - 1 AS at, row_number() OVER (ORDER BY sha256('seed-1' || chr(0) || 'overlap' || chr(0) || id), id) - 1 AS o, count(*) OVER () AS n FROM a)
-SELECT c_custkey, at, CASE WHEN at < floor(n * 0.6 + 0.5) THEN 'development' WHEN at < floor(n * 0.6 + 0.5) + floor(n * 0.2 + 0.5) THEN 'validation' ELSE 'evaluation' END AS benchmark_split,
-CAST(least(9, floor(at / ceil(n / 10.0))) AS INTEGER) AS capture_shard, o < floor(n * 0.2 + 0.5) AS qa_overlap FROM b""")
+b AS (SELECT *, row_number() OVER (ORDER BY sha256('seed-1' || chr(0) || id), id) - 1 AS ord, row_number() OVER (ORDER BY sha256('seed-1' || chr(0) || 'overlap' || chr(0) || id), id) - 1 AS o, count(*) OVER () AS n FROM a)
+SELECT c_custkey, ord AS "at", CASE WHEN ord < floor(n * 0.6 + 0.5) THEN 'development' WHEN ord < floor(n * 0.6 + 0.5) + floor(n * 0.2 + 0.5) THEN 'validation' ELSE 'evaluation' END AS benchmark_split,
+CAST(least(9, floor(ord / ceil(n / 10.0))) AS INTEGER) AS capture_shard, o < floor(n * 0.2 + 0.5) AS qa_overlap FROM b""")
 def seeded_split_assignment(spark, sf):
     return sampling.assign_splits(t(spark, sf, "customer").select("c_custkey"), "c_custkey", "seed-1")
 
@@ -347,10 +347,10 @@ def page_link_priority(spark, sf):
 @query("""
 WITH a AS (SELECT page_id, url, regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1)), '[.][a-z0-9]+$', '') AS p FROM pages),
 b AS (SELECT *, list_filter(string_split(p, '/'), lambda s: s <> '') AS seg FROM a),
-c AS (SELECT *, len(seg) AS n, list_has_any(seg, ['brand', 'branding', 'logo', 'logos']) AS focused, list_has_any(seg, ['newsroom', 'press', 'media']) AS news, list_has_any(seg, ['company', 'about', 'corporate']) AS firm, coalesce(list_position(list_transform(seg, lambda s: s IN ('newsroom', 'press', 'media')), true), 0) AS at,
+c AS (SELECT *, len(seg) AS n, list_has_any(seg, ['brand', 'branding', 'logo', 'logos']) AS focused, list_has_any(seg, ['newsroom', 'press', 'media']) AS news, list_has_any(seg, ['company', 'about', 'corporate']) AS firm, coalesce(list_position(list_transform(seg, lambda s: s IN ('newsroom', 'press', 'media')), true), 0) AS ord,
 list_has_any(seg, ['article', 'author', 'blog', 'career', 'careers', 'job', 'jobs', 'event', 'events', 'legal', 'privacy', 'product', 'products', 'support', 'store', 'shop', 'doc', 'docs', 'developer', 'developers', 'api']) AS neg, regexp_matches(p, '/(19|20)[0-9][0-9]/(0?[1-9]|1[0-2])(/|$)') AS dated FROM b),
 d AS (SELECT *, focused OR regexp_matches(p, '/(brand[-_]?(assets|guidelines|kit|portal|resources|center|centre|hub)|press[-_]?kit|media[-_]?kit|logos?|branding|brand)(/|$)') AS strong FROM c)
-SELECT page_id, CAST(CASE WHEN strong THEN 100 - CASE WHEN n > 3 AND NOT focused THEN 30 ELSE 0 END WHEN news THEN 55 + CASE WHEN at > 2 OR n - at > 0 THEN -40 ELSE 25 END WHEN firm THEN 25 ELSE 0 END - CASE WHEN neg AND NOT strong THEN 45 ELSE 0 END - CASE WHEN dated AND NOT strong THEN 30 ELSE 0 END - CASE WHEN regexp_extract(url, '^[^?#]*[?]([^#]*)', 1) <> '' THEN 5 ELSE 0 END AS INTEGER) AS score FROM d""")
+SELECT page_id, CAST(CASE WHEN strong THEN 100 - CASE WHEN n > 3 AND NOT focused THEN 30 ELSE 0 END WHEN news THEN 55 + CASE WHEN ord > 2 OR n - ord > 0 THEN -40 ELSE 25 END WHEN firm THEN 25 ELSE 0 END - CASE WHEN neg AND NOT strong THEN 45 ELSE 0 END - CASE WHEN dated AND NOT strong THEN 30 ELSE 0 END - CASE WHEN regexp_extract(url, '^[^?#]*[?]([^#]*)', 1) <> '' THEN 5 ELSE 0 END AS INTEGER) AS score FROM d""")
 def page_url_score(spark, sf):
     return t(spark, sf, "pages").select("page_id", pages.page_url_score(F.col("url")).alias("score"))
 
@@ -394,8 +394,8 @@ _ROBOTS = ["User-agent: *\\nSitemap: https://a.example.com/s.xml\\nsitemap : htt
 @query(f"""
 WITH r AS (SELECT n_nationkey AS k, replace([{', '.join(repr(v).replace(chr(92) * 2, chr(92)) for v in _ROBOTS)}][n_nationkey % 3 + 1], '\\n', chr(10)) AS raw FROM nation),
 a AS (SELECT k, list_filter(list_transform(string_split(raw, chr(10)), lambda s: regexp_extract(s, '^[ ]*[Ss][Ii][Tt][Ee][Mm][Aa][Pp][ ]*:[ ]*([^ #]+)', 1)), lambda s: s <> '') AS found FROM r),
-b AS (SELECT k, unnest(found) AS url, unnest(range(1, len(found) + 1)) AS at FROM a), c AS (SELECT k, url, min(at) AS at FROM b GROUP BY k, url)
-SELECT k, CAST(row_number() OVER (PARTITION BY k ORDER BY at) - 1 AS INTEGER) AS place, url FROM c QUALIFY row_number() OVER (PARTITION BY k ORDER BY at) <= 8""")
+b AS (SELECT k, unnest(found) AS url, unnest(range(1, len(found) + 1)) AS ord FROM a), c AS (SELECT k, url, min(ord) AS ord FROM b GROUP BY k, url)
+SELECT k, CAST(row_number() OVER (PARTITION BY k ORDER BY ord) - 1 AS INTEGER) AS place, url FROM c QUALIFY row_number() OVER (PARTITION BY k ORDER BY ord) <= 8""")
 def robots_sitemaps(spark, sf):
     raw = F.array(*[F.lit(v.replace("\\n", "\n")) for v in _ROBOTS])[(F.col("n_nationkey") % 3).cast("int")]
     return t(spark, sf, "nation").select(F.col("n_nationkey").alias("k"), F.posexplode(pages.robots_sitemaps(raw)).alias("place", "url"))
@@ -430,11 +430,11 @@ def fingerprint_hamming(spark, sf):
     return joins.catalog_match(f, "fp", f.filter("vec_id < 64"), "fp", "vec_id", 8).select("vec_id", "match", "distance")
 
 
-@query("""SELECT d.doc_id, c.item_id FROM (SELECT doc_id, sha256(left(coalesce(text, ''), 40)) AS h FROM documents) d JOIN (SELECT sha256(left(text, 40)) AS h, min(item_id) AS item_id FROM benchmark GROUP BY 1) c ON d.h = c.h""")
+@query("""SELECT d.doc_id, c.item_id FROM (SELECT doc_id, sha256(coalesce(text, '')) AS h FROM documents WHERE doc_id % 4 <> 0) d JOIN (SELECT sha256(coalesce(text, '')) AS h, min(doc_id) AS item_id FROM documents WHERE doc_id % 4 = 0 GROUP BY 1) c ON d.h = c.h""")
 def known_hash_catalog(spark, sf):
-    h = lambda c: F.sha2(F.left(F.coalesce(c, F.lit("")), F.lit(40)), 256).alias("h")
-    catalog = t(spark, sf, "benchmark").groupBy(h(F.col("text"))).agg(F.min("item_id").alias("item_id"))
-    return t(spark, sf, "documents").select("doc_id", h(F.col("text"))).join(catalog, "h").select("doc_id", "item_id")
+    d = t(spark, sf, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("h"))
+    catalog = d.filter("doc_id % 4 = 0").groupBy("h").agg(F.min("doc_id").alias("item_id"))
+    return d.filter("doc_id % 4 <> 0").join(catalog, "h").select("doc_id", "item_id")
 
 
 # --- budgets, windows, ages

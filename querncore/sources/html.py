@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 from urllib.parse import urljoin, urlsplit
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -208,13 +208,15 @@ def page_rows(html: str | None, url: str) -> list[dict]:
 
 def parse_pages(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """A row for each candidate, link, manifest, script and title of each page. Null pages give none."""
-    names = [f.split()[0] for f in SCHEMA.split(", ")]
+    kinds = {"string": pa.string(), "boolean": pa.bool_(), "int": pa.int32()}
+    fields = [(f.split()[0], kinds[f.split()[1]]) for f in SCHEMA.split(", ")]
 
     def run(batches):
         for b in batches:
-            out = [{"id": i, **r} for i, u, h in zip(b["id"], b["u"], b["h"]) for r in page_rows(h, u or "")]
-            yield pd.DataFrame(out, columns=["id", *names])
+            rows = [(i, r) for i, u, h in zip(*(b.column(k).to_pylist() for k in range(3))) for r in page_rows(h, u or "")]
+            cols = [pa.array([i for i, _ in rows], b.column(0).type), *(pa.array([r.get(n) for _, r in rows], k) for n, k in fields)]
+            yield pa.RecordBatch.from_arrays(cols, names=["id", *(n for n, _ in fields)])
 
     kind = pages.schema[id_col].dataType.simpleString()
-    rows = pages.select(F.col(id_col).alias("id"), F.col(url).alias("u"), F.col(html).alias("h")).mapInPandas(run, f"id {kind}, {SCHEMA}")
+    rows = pages.select(F.col(id_col).alias("id"), F.col(url).alias("u"), F.col(html).alias("h")).mapInArrow(run, f"id {kind}, {SCHEMA}")
     return rows.withColumnRenamed("id", id_col)

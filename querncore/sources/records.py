@@ -21,7 +21,7 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str, recur
 def read_json_lines_numbered(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """row, file, line (from 1) and problem of every non-empty line; a line that does not parse has a null row. Whole files are read one to a
     row, since a line's number is known only from the start of its file."""
-    files = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("at", "text"))
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("at", "text"))
     lines = files.filter(F.trim("text") != "").select("file", (F.col("at") + 1).alias("line"), F.from_json("text", schema, {"mode": "PERMISSIVE"}).alias("row"), F.try_parse_json("text").isNull().alias("bad"))
     return lines.select("row", "file", "line", F.when(F.col("bad"), "not JSON").alias("problem"))
 
@@ -69,7 +69,7 @@ def sitemap_entries(df: DataFrame, text: str, keep: list[str], most: int = 50_00
     return rows.filter((F.col("place") < most) & (F.coalesce(F.trim("e.loc"), F.lit("")) != "")).select(*keep, "kind", "place", F.trim("e.loc").alias("loc"), F.trim("e.lastmod").alias("lastmod"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def sitemap_text(content: pd.Series) -> pd.Series:
     """The text of sitemap bytes, unpacked if they are gzip (at most 50 MB); null for HTML and for what cannot be read."""
 
@@ -164,7 +164,7 @@ def image_header(raw: bytes | None) -> tuple[str | None, int | None, int | None]
             return "webp", w & 0x3FFF, h & 0x3FFF
     if raw[:2] == b"\xff\xd8":
         at = 2
-        while at + 9 < len(raw) and raw[at] == 0xFF:
+        while at + 9 <= len(raw) and raw[at] == 0xFF:
             kind, size = raw[at + 1], struct.unpack_from(">H", raw, at + 2)[0]
             if 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC):
                 h, w = struct.unpack_from(">HH", raw, at + 5)
@@ -179,7 +179,7 @@ def image_header(raw: bytes | None) -> tuple[str | None, int | None, int | None]
     return None, None, None
 
 
-@F.pandas_udf("struct<format: string, width: int, height: int>")
+@F.pandas_udf(T.StructType([T.StructField("format", T.StringType()), T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType())]))
 def sniffed(content: pd.Series) -> pd.DataFrame:
     """Format and size of images from their bytes."""
     return pd.DataFrame([image_header(bytes(c) if c is not None else None) for c in content], columns=["format", "width", "height"]).astype({"width": "Int32", "height": "Int32"})
