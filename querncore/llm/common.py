@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import gc
 import tempfile
 import uuid
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,16 +32,42 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes the rows as a table in the shared folder and reads them back: cuts the lineage in a way that outlives executors."""
-    path = new_path(df.sparkSession, name)
+    """Writes the rows as a table in the shared folder and reads them back: cuts the lineage in a way that outlives executors. The shuffle
+    files that led there are no longer needed; Spark removes them once the driver's collectors have seen that."""
+    path, schema, spark = new_path(df.sparkSession, name), df.schema, df.sparkSession
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
+
+
+def removed(df: DataFrame) -> None:
+    """Removes the folder of a table that ``written`` made, once nothing reads it any more."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if "/querncore-" in folder:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000):
+    """Arrow batches of so many rows at most while jobs run inside: rows with whole sets or packed blocks are large, and a batch of the usual
+    10,000 of them is held by the JVM and by Python at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def id_crc(id_col: str | Column = "doc_id") -> Column:
     """crc32 of the id as text (a null id: of the empty text)."""
     c = F.col(id_col) if isinstance(id_col, str) else id_col
@@ -68,3 +97,15 @@ def bucket_of(points: np.ndarray):
         return pd.Series(np.where(v.isna(), 0, at).astype(np.int32))
 
     return find
+
+
+def most_frequent(counts: DataFrame, count: str, limit: int) -> tuple[pa.Table, int]:
+    """The rows whose count reaches the least threshold that ``limit`` rows at most reach, and that threshold. No sort: the threshold comes from
+    how many rows have each count (a few thousand numbers)."""
+    sizes = counts.groupBy(count).agg(F.count("*").alias("n")).filter(F.col(count) > 0)
+    threshold, rows = 1 << 62, 0
+    for c, n in sorted(((r[0], r[1]) for r in sizes.collect()), reverse=True):
+        if rows + n > limit:
+            break
+        threshold, rows = c, rows + n
+    return counts.filter(F.col(count) >= threshold).toArrow(), threshold
