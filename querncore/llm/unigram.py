@@ -87,7 +87,12 @@ class Unigram:
         self.pieces, self.bytes_at, self.unknown_id = pieces, bytes_at, unknown_id
         self.trie = DoubleArray([p for p, _ in pieces])
         self.score, self.ids = [s for _, s in pieces], ids
-        self.text_of = {i: p for (p, _), i in zip(pieces, ids)}
+        #: UTF-8 of every id's piece; ids without one (control pieces, the unknown one) stand for nothing
+        self.raw_of = [b""] * (1 + max([unknown_id, *ids, *([bytes_at + 255] if bytes_at is not None else [])]))
+        for (p, _), i in zip(pieces, ids):
+            self.raw_of[i] = p.encode()
+        for b in range(256 if bytes_at is not None else 0):
+            self.raw_of[bytes_at + b] = bytes([b])
         self.worst = min(self.score) - UNKNOWN
         apart = not any(MARK in p.lstrip(MARK) for p, _ in pieces)
         self.pattern = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+" if apart else "(?s).+")
@@ -169,14 +174,7 @@ class Unigram:
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids: byte pieces in a row are UTF-8 (what is not becomes U+FFFD), markers are spaces, the first is dropped."""
-        text_of, first = self.text_of, self.bytes_at
-        raw = bytearray()
-        for i in ids.tolist():
-            p = text_of.get(i)
-            if p is not None:
-                raw += p.encode()
-            elif first is not None and first <= i < first + 256:
-                raw.append(i - first)
+        raw = b"".join(map(self.raw_of.__getitem__, ids.tolist()))
         return raw.decode("utf-8", "replace").replace(MARK, " ").removeprefix(" ")
 
 
