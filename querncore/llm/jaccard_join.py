@@ -22,12 +22,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from querncore.llm.common import partitions, written
+from querncore.llm.common import most_frequent, partitions, removed, small_batches, written
 from querncore.llm.hashing import shingles, slices
 
 #: Sets that share a shingle from which on it goes to the end of the order, and how many such shingles are told to all tasks
 #: (8 bytes each; the most frequent come first). Both steer the cost, never the result.
-FREQUENT, TOLD = 24, 1 << 20
+FREQUENT, TOLD = 24, 1 << 19
 #: Entries of a block of an index list; bits of a set's parity bitmap.
 BLOCK, BITS = 2048, 512
 
@@ -151,6 +151,8 @@ def _lists(batches):
     """From postings in order of token, size, set: the entries of lists of two sets and more, each with its neighbour before it."""
     carry = None  # the last entry so far, and whether it has been handed on
     for b in batches:
+        if not b.num_rows:
+            continue
         token, sid, n, pos = (b.column(k).to_numpy() for k in range(4))
         if carry is not None:
             token, sid, n, pos = (np.r_[c, x] for c, x in zip(carry[0], (token, sid, n, pos)))
@@ -162,10 +164,13 @@ def _lists(batches):
         same = np.r_[False, token[1:] == token[:-1]]  # as the entry before
         more = np.r_[same[1:], False]
         out = (same | more) & ~given
+        # places in the list, from 0
+        spot = np.arange(len(token))
+        place = spot - np.maximum.accumulate(np.where(same, 0, spot)) + (np.where(token == token[0], carry[2], 0) if carry is not None and len(token) else 0)
         none = ~same[out]
         before = [pa.array(np.r_[x[:1], x[:-1]][out], mask=none) for x in (sid, n, pos)]
-        yield pa.RecordBatch.from_arrays([*(pa.array(x[out]) for x in (token, sid, n, pos)), *before], names=["token", "sid", "n", "pos", "before", "before_n", "before_pos"])
-        carry = ([x[-1:] for x in (token, sid, n, pos)], bool(out[-1] or given[-1]))
+        yield pa.RecordBatch.from_arrays([*(pa.array(x[out]) for x in (token, sid, n, pos)), *before, pa.array(place[out].astype(np.int64))], names=["token", "sid", "n", "pos", "before", "before_n", "before_pos", "place"])
+        carry = ([x[-1:] for x in (token, sid, n, pos)], bool(out[-1] or given[-1]), int(place[-1]))
 
 
 def _scan_tokens(width: int, bloom):
@@ -248,7 +253,7 @@ def _verify(percent: int):
 
 
 def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """pairs: a, b (set ids, each pair once). Adds linked, by the whole sets, read again from texts where a pair asks for them."""
+    """pairs: a, b (set ids, each pair once). linked, by the whole sets, read again from texts where a pair asks for them. Written."""
     spark = pairs.sparkSession
     asked = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
     bloom = spark.sparkContext.broadcast(_filter(asked))
@@ -256,7 +261,9 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
     found = written(found.groupBy("sid").agg(F.first("tokens").alias("tokens")), "tokens")
     left = pairs.join(found.select(F.col("sid").alias("a"), F.col("tokens").alias("ta")), "a")
     both = left.join(found.select(F.col("sid").alias("b"), F.col("tokens").alias("tb")), "b").select("a", "b", "ta", "tb")
-    return both.mapInArrow(_verify(percent), "a long, b long, linked boolean")
+    out = written(both.mapInArrow(_verify(percent), "a long, b long, linked boolean"), "verified")
+    removed(found)
+    return out
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -331,7 +338,9 @@ def _pack(batches):
     yield _batch(names, out, kinds)
 
 
-def _open_pairs(percent: int):
+def _open_pairs(percent: int, best: bool):
+    """Pairs of sets from different components that may be linked. best: of each set's partners in a block, the one whose bitmap is nearest alone."""
+
     def unpack(row, p):
         n = np.frombuffer(row[p + "n"], np.int32).astype(np.int64)
         return np.frombuffer(row[p + "sid"], np.int64), n, np.frombuffer(row[p + "pos"], np.int32).astype(np.int64), np.frombuffer(row[p + "comp"], np.int64), np.frombuffer(row[p + "bits"], np.uint64).reshape(len(n), -1)
@@ -354,7 +363,10 @@ def _open_pairs(percent: int):
                     if not len(j):
                         continue
                     differ = np.bitwise_count(bx[i][None, :] ^ by[part][j]).sum(axis=1)
-                    j = j[differ <= nx[i] + ny[part][j] - 2 * need[j]] + lo
+                    fits = differ <= nx[i] + ny[part][j] - 2 * need[j]
+                    j = j[fits] + lo
+                    if best and len(j):
+                        j = j[[int(np.argmin(differ[fits]))]]
                     if len(j):
                         a, c = np.minimum(sx[i], sy[j]), np.maximum(sx[i], sy[j])
                         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c)], names=["a", "b"])
@@ -362,6 +374,24 @@ def _open_pairs(percent: int):
     return run
 
 
+def _still_open(entries: DataFrame, known: DataFrame, percent: int, best: bool, parts: int) -> DataFrame:
+    """Pairs (a, b) of sets from different components that share an index list and may be linked."""
+    labelled = entries.join(known.select("sid", "comp"), "sid")
+    mixed = labelled.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x != y").select("token")
+    some = labelled.join(mixed, "token", "left_semi").join(known.select("sid", "bits"), "sid").select("token", "sid", "n", "pos", "comp", "bits")
+    some = some.repartition(parts, "token").sortWithinPartitions("token", "n", "sid")
+    blocks = written(some.mapInArrow(_pack, "token long, place int, low int, high int, c_low long, c_high long, sid binary, n binary, pos binary, comp binary, bits binary"), "blocks")
+    cols = ("sid", "n", "pos", "comp", "bits")
+    x = blocks.select("token", *(F.col(c).alias("x_" + c) for c in (*cols, "place", "high", "c_low", "c_high")))
+    y = blocks.select("token", *(F.col(c).alias("y_" + c) for c in (*cols, "place", "low", "c_low", "c_high")))
+    several = (F.col("x_c_low") != F.col("y_c_high")) | (F.col("y_c_low") != F.col("x_c_high"))
+    # blocks of one list part by size: those whose largest set is too small for the other's smallest are skipped
+    ok = (F.col("x_place") < F.col("y_place")) & (100 * F.col("x_high") >= percent * F.col("y_low")) & several
+    across = x.join(y.filter("y_place > 0"), "token").filter(ok).select(*(F.col(p + c) for p in ("x_", "y_") for c in cols), F.lit(False).alias("same"))
+    own = blocks.filter("c_low != c_high").select(*(F.col(c).alias(p + c) for p in ("x_", "y_") for c in cols), F.lit(True).alias("same"))
+    return own.unionByName(across.repartition(parts)).mapInArrow(_open_pairs(percent, best), "a long, b long").distinct()
+
+
 def jaccard_components(docs: DataFrame, percent: int = 90, width: int = 3, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """A row for each row of docs: doc_id, n_shingles long (distinct shingles), component_id long (the smallest id reachable by
     links, itself included).
@@ -371,6 +401,14 @@ def jaccard_components(docs: DataFrame, percent: int = 90, width: int = 3, text:
     passed over for component_id, unless a component has no other: then it is null. An empty table gives none; other
     columns are not read. Shingles are compared by 64-bit hashes.
     """
+    with small_batches(docs.sparkSession):
+        sets, classes = _classes(docs, percent, width, text, doc_id)
+    out = sets.select("doc_id", F.col("n").alias("n_shingles"), "sid").join(classes, "sid", "left")
+    return out.select("doc_id", "n_shingles", F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def _classes(docs: DataFrame, percent: int, width: int, text: str, doc_id: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n, sid) of every row and (sid, component_id) of every set. All that runs Python has run when this returns."""
     spark = docs.sparkSession
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("t"))
     texts = own.select("t")
@@ -379,11 +417,11 @@ def jaccard_components(docs: DataFrame, percent: int = 90, width: int = 3, text:
     distinct = written(sets.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("least"), F.first("bits").alias("bits")), "distinct")
 
     counts = texts.mapInArrow(_scan_counts(width, percent), "token long, sets long").groupBy("token").agg(F.sum("sets").alias("sets"))
-    frequent = counts.filter(F.col("sets") >= FREQUENT).orderBy(F.desc("sets"), "token").limit(TOLD).select("token").toPandas()["token"].to_numpy(np.int64)
+    frequent = most_frequent(counts.filter(F.col("sets") >= FREQUENT), "sets", TOLD)[0].column("token").to_numpy()
     told = spark.sparkContext.broadcast(np.sort(frequent.view(np.uint64)))
     postings = texts.mapInArrow(_scan_postings(width, percent, told), "token long, sid long, n int, pos int")
     dealt = postings.repartition(parts, "token").sortWithinPartitions("token", "n", "sid")
-    lists = written(dealt.mapInArrow(_lists, "token long, sid long, n int, pos int, before long, before_n int, before_pos int"), "lists")
+    lists = written(dealt.mapInArrow(_lists, "token long, sid long, n int, pos int, before long, before_n int, before_pos int, place long"), "lists")
 
     pair = lambda x, y: [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
     need = F.ceil(F.lit(percent) * (F.col("n") + F.col("before_n")) / F.lit(100 + percent))
@@ -392,35 +430,34 @@ def jaccard_components(docs: DataFrame, percent: int = 90, width: int = 3, text:
     bits = lambda c: distinct.select(F.col("sid").alias(c), F.col("bits").alias(c + "_bits"))
     near = near.join(bits("a"), "a").join(bits("b"), "b").select("a", "b", "most", "a_bits", "b_bits")
     near = written(near.mapInArrow(_alike, "a long, b long"), "near")
-    first = written(verified(near, texts, width, percent), "first")
+    first = verified(near, texts, width, percent)
     links = first.filter("linked").select("a", "b")
     label = components(links)
 
-    known = distinct.join(label.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "bits", F.coalesce("root", "sid").alias("comp"))
-    entries = lists.select("token", "sid", "n", "pos").join(known, "sid").select("token", "sid", "n", "pos", "comp", "bits")
-    mixed = entries.repartition(parts, "token").sortWithinPartitions("token", "n", "sid")
-    blocks = written(mixed.mapInArrow(_pack, "token long, place int, low int, high int, c_low long, c_high long, sid binary, n binary, pos binary, comp binary, bits binary"), "blocks")
-    cols = ("sid", "n", "pos", "comp", "bits")
-    x = blocks.select("token", *(F.col(c).alias("x_" + c) for c in (*cols, "place", "high", "c_low", "c_high")))
-    y = blocks.select("token", *(F.col(c).alias("y_" + c) for c in (*cols, "place", "low", "c_low", "c_high")))
-    several = (F.col("x_c_low") != F.col("y_c_high")) | (F.col("y_c_low") != F.col("x_c_high"))
-    met = x.join(y, "token").filter((F.col("x_place") <= F.col("y_place")) & (100 * F.col("x_high") >= percent * F.col("y_low")) & several)
-    met = met.select(*(F.col(p + c) for p in ("x_", "y_") for c in cols), (F.col("x_place") == F.col("y_place")).alias("same"))
-    still = met.repartition(parts).mapInArrow(_open_pairs(percent), "a long, b long").distinct().join(first.select("a", "b"), ["a", "b"], "left_anti")
-    still = written(still, "open")
-    if still.isEmpty():
-        every = label
-    else:
-        late = written(verified(still, texts, width, percent), "late").filter("linked").select("a", "b")
-        stars = label.filter("node != root").select(F.col("node").alias("a"), F.col("root").alias("b"))
-        every = components(stars.unionByName(late)) if not late.isEmpty() else label
+    # a list of two sets has had its only pair compared
+    long = lists.join(lists.filter("place = 2").select("token"), "token", "left_semi").select("token", "sid", "n", "pos")
+    long = written(long, "long")
+    removed(lists)
+    done, every = first.select("a", "b"), label
+    for best in (True, False):
+        known = distinct.join(every.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "bits", F.coalesce("root", "sid").alias("comp"))
+        still = _still_open(long, known, percent, best, parts).join(done, ["a", "b"], "left_anti")
+        still = written(still, "open")
+        if still.isEmpty():
+            break
+        late = verified(still, texts, width, percent)
+        done = done.unionByName(late.select("a", "b"))
+        late = late.filter("linked").select("a", "b")
+        if not late.isEmpty():
+            stars = every.filter("node != root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+            every = components(stars.unionByName(late))
+    removed(long)
 
     of = distinct.select("sid", "least").join(every.withColumnRenamed("node", "sid"), "sid")
     least = of.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = of.select("sid", "root").join(least, "root").select("sid", "component_id")
     classes = distinct.select("sid", "least").join(classes, "sid", "left").select("sid", F.coalesce("component_id", "least").alias("component_id"))
-    out = sets.select("doc_id", F.col("n").alias("n_shingles"), "sid").join(classes, "sid", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return sets, classes
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
