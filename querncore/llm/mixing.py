@@ -23,6 +23,8 @@ BLOCK = 4000
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE, CAP = 1.5, 2.0
 EPS = 1e-9
+#: Sources whose rows (some 50 bytes each) are broadcast; with more of them the joins shuffle.
+FEW = 100_000
 
 
 def targets(sizes: list[tuple[str | None, int]], weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> list[float]:
@@ -115,7 +117,7 @@ def settle(units: DataFrame, seed: int = 0, block: int = BLOCK) -> DataFrame:
             break
         land = max(counts.values()) <= block
         blocks = spark.createDataFrame([(s, -(-n // block)) for s, n in counts.items()], "src int, blocks long")
-        flown = left.join(F.broadcast(blocks), "src").withColumn("block", F.pmod(F.xxhash64("h", F.lit(level)), F.col("blocks")))
+        flown = left.join(F.broadcast(blocks) if len(counts) <= FEW else blocks, "src").withColumn("block", F.pmod(F.xxhash64("h", F.lit(level)), F.col("blocks")))
         flown = written(flown.select("rid", "id", "h", "src", "size", "prob", "block").groupBy("src", "block").applyInArrow(_fly(land, level, seed), schema), f"flight{level}")
         settled = (F.col("prob") == 0) | (F.col("prob") == 1)
         parts.append(flown.filter(settled).select("rid", "prob"))
@@ -148,7 +150,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP
     rows = written(rows.withColumn("rid", F.monotonically_increasing_id()), "sizes")
     totals = sorted(((r.source, r.n) for r in rows.groupBy("source").agg(F.sum("size").alias("n")).collect()), key=lambda r: (r[0] is None, (r[0] or "").encode()))
     plan = spark.createDataFrame([(k, s, n, t) for k, ((s, n), t) in enumerate(zip(totals, targets(totals, weights, share, cap)))], "src int, source string, source_size long, target double")
-    rows = rows.join(F.broadcast(plan), rows["source"].eqNullSafe(plan["source"])).drop(plan["source"])
+    rows = rows.join(F.broadcast(plan) if len(totals) <= FEW else plan, rows["source"].eqNullSafe(plan["source"])).drop(plan["source"])
     expected = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(cap))).otherwise(F.lit(0.0))
     rows = rows.withColumn("whole", F.floor(expected + EPS)).withColumn("prob", F.greatest(expected - F.col("whole"), F.lit(0.0)))
     units = rows.filter(F.col("prob") > EPS).select("rid", "id", F.xxhash64("id", "size").alias("h"), "src", "size", "prob")
