@@ -240,6 +240,26 @@ def test_pipeline_stages(spark):
     assert out.count() == n[3] and out.filter("not round_trip").count() == 0
 
 
+def test_pipeline_links_copies_between_80_and_90_percent(spark):
+    import corpus_pipeline
+
+    base = [f"a{k}" for k in range(400)]
+    edited = [f"e{k}" if k % 50 == 25 else w for k, w in enumerate(base)]
+    texts = [base, base[:340], edited, base[:300]]  # similarity to the first, five words: 0.85, 0.82, 0.75
+
+    def similarity(a, b, width):
+        a, b = ({tuple(w[k : k + width]) for k in range(len(w) - width + 1)} for w in (a, b))
+        return len(a & b) / len(a | b)
+
+    assert all(similarity(base, t, 5) >= 0.8 and similarity(base, t, 3) < 0.9 for t in texts[1:3]) and similarity(base, texts[3], 5) < 0.8
+    alone = [f"b{k}" for k in range(90)]
+    rows = rows_of(*((k, " ".join(t), "a") for k, t in enumerate([base, base[:340], edited, alone, [*alone[:60], *base[:20]]])))
+    kept = corpus_pipeline.jaccard_join(spark, spark.createDataFrame(rows, SCHEMA), "").collect()
+    assert sorted(r.doc_id for r in kept) == [0, 3, 4]
+    rows = rows_of((0, " ".join(base), "a"), (1, " ".join(texts[3]), "a"))
+    assert corpus_pipeline.jaccard_join(spark, spark.createDataFrame(rows, SCHEMA), "").count() == 2
+
+
 def test_registered_queries_run(spark):
     from querncore.llm import queries
 
