@@ -444,7 +444,7 @@ def _classes(docs: DataFrame, percent: int, width: int, text: str, doc_id: str)
         still = _still_open(long, known, percent, best, parts).join(done, ["a", "b"], "left_anti")
         still = written(still, "open")
         if still.isEmpty():
-            break
+            continue  # nearest partners may all have been compared before, others not
         late = verified(still, texts, width, percent)
         done = done.unionByName(late.select("a", "b"))
         late = late.filter("linked").select("a", "b")

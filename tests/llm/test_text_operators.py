@@ -158,6 +158,33 @@ def test_components_of_nothing(empty, spark):
     assert jaccard_join.jaccard_components(empty).count() == 0
 
 
+def hidden_link():
+    """Texts a, b, c of 200 words that share their index lists in this order: a and b are neighbours and differ by 22 words, but by 20 bits;
+    a and c, no neighbours, differ by 20 words and are linked."""
+
+    def hashes(words):
+        return next(jaccard_join.sets_of(pa.array([" ".join(words)]), 1))[1]
+
+    def apart(x, y):
+        return sum((p ^ q).bit_count() for p, q in zip(jaccard_join.bitmap(hashes(x)), jaccard_join.bitmap(hashes(y))))
+
+    words = sorted((f"h{k}" for k in range(1000)), key=lambda w: int(hashes([w])[0]))
+    a, others = words[:200], words[200:]
+    rng = random.Random(4)
+    while True:
+        fresh = rng.sample(others, 21)
+        b, c = a[:189] + fresh[:11], a[:179] + a[189:] + fresh[11:]
+        ids = [jaccard_join.set_id(hashes(x)) for x in (a, b, c)]
+        if ids == sorted(ids) and apart(a, b) == 20 and apart(a, c) == 20 and apart(b, c) > 20:
+            return [(k, " ".join(x)) for k, x in enumerate((a, b, c))]
+
+
+def test_link_behind_a_nearer_neighbour_is_found(spark):
+    rows = hidden_link()
+    want = brute_components(rows, 90, 1)
+    assert [r[2] for r in want] == [0, 1, 0] and joined(spark, rows, percent=90, width=1) == want
+
+
 def test_keep_one_keeps_one_of_each_group(spark):
     rows = [(i, t, s) for i, t, s in EDGE] + [(5, EDGE[0][1], "a"), (30, LONG, "b")]
     kept = sorted((r.doc_id for r in jaccard_join.keep_one(spark.createDataFrame(rows_of(*rows), SCHEMA)).collect()), key=str)
