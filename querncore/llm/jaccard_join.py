@@ -21,6 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from querncore.llm.common import most_frequent, partitions, removed, small_batches, written
 from querncore.llm.hashing import shingles, slices
@@ -403,12 +404,12 @@ def jaccard_components(docs: DataFrame, percent: int = 90, width: int = 3, text:
     """
     with small_batches(docs.sparkSession):
         sets, classes = _classes(docs, percent, width, text, doc_id)
-    out = sets.select("doc_id", F.col("n").alias("n_shingles"), "sid").join(classes, "sid", "left")
+    out = sets.select("doc_id", F.col("n").alias("n_shingles"), "sid").join(classes.drop("root"), "sid", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def _classes(docs: DataFrame, percent: int, width: int, text: str, doc_id: str) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, sid) of every row and (sid, component_id) of every set. All that runs Python has run when this returns."""
+    """(doc_id, n, sid) of every row and (sid, root, component_id) of every set, root a set of its component. All that runs Python has run when this returns."""
     spark = docs.sparkSession
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("t"))
     texts = own.select("t")
@@ -455,16 +456,48 @@ def _classes(docs: DataFrame, percent: int, width: int, text: str, doc_id: str)
 
     of = distinct.select("sid", "least").join(every.withColumnRenamed("node", "sid"), "sid")
     least = of.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = of.select("sid", "root").join(least, "root").select("sid", "component_id")
-    classes = distinct.select("sid", "least").join(classes, "sid", "left").select("sid", F.coalesce("component_id", "least").alias("component_id"))
+    classes = of.select("sid", "root").join(least, "root").select("sid", "root", "component_id")
+    classes = distinct.select("sid", "least").join(classes, "sid", "left").select("sid", F.coalesce("root", "sid").alias("root"), F.coalesce("component_id", "least").alias("component_id"))
     return sets, classes
 
 
-def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """The rows of docs that stay when of every group of linked documents the one with the smallest id stays. All columns are kept.
-    Of rows that repeat an id one stays."""
-    ids = jaccard_components(docs, **how)
-    stay = ids.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("n"))
-    stay = written(stay, "stay")
-    kept = docs.join(stay.select(F.col("doc_id").alias("_stay")), F.col("doc_id").eqNullSafe(F.col("_stay")), "left_semi")
-    return kept.dropDuplicates(["doc_id"]) if not stay.filter("n > 1").isEmpty() else kept
+def _scan_ids(width: int):
+    """The rows as they are, with the set id of column _text in place of it; null where the set is empty."""
+
+    def run(batches):
+        for b in batches:
+            at = b.schema.get_field_index("_text")
+            sid = [None] * b.num_rows
+            for r, h in sets_of(b.column(at), width):
+                sid[r] = set_id(h)
+            yield b.drop_columns(["_text"]).append_column("_sid", pa.array(sid, pa.int64()))
+
+    return run
+
+
+def keep_one(docs: DataFrame, percent: int = 90, width: int = 3, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """The rows of docs that stay when of every group of linked documents the one with the smallest id stays (a null id after all others; of rows
+    with the same id the one with the smallest set id, then with the smallest hash of its text). Rows with no words are linked with nothing: one of
+    each id stays, where no row with words and that id does. All columns are kept."""
+    spark = docs.sparkSession
+    with small_batches(spark):
+        sets, classes = _classes(docs, percent, width, text, doc_id)
+        rows = sets.filter("sid is not null").groupBy("doc_id", "sid").agg(F.count("*").alias("n"))
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sid", "n"))
+        stay = written(rows.join(classes.select("sid", "root"), "sid").groupBy("root").agg(first.alias("r")).select("r.doc_id", "r.sid", "r.n"), "stay")
+        own = F.col(doc_id).cast("long")
+        repeated = sets.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
+        if repeated.isEmpty():
+            # an id tells the row
+            some = stay.select("doc_id").unionByName(sets.filter("sid is null").select("doc_id"))
+            return docs.join(some.select(F.col("doc_id").alias("_stay")), own.eqNullSafe(F.col("_stay")), "left_semi")
+        told = docs.withColumn("_text", F.col(text)).mapInArrow(_scan_ids(width), T.StructType([*docs.schema.fields, T.StructField("_sid", T.LongType())]))
+        told = written(told, "rows")
+    empty = told.filter("_sid is null").withColumn("_own", own)
+    empty = empty.join(stay.select(F.col("doc_id").alias("_stay")), F.col("_own").eqNullSafe(F.col("_stay")), "left_anti").dropDuplicates(["_own"]).drop("_own", "_sid")
+    kept = told.join(stay.select(F.col("doc_id").alias("_stay"), F.col("sid").alias("_set")), own.eqNullSafe(F.col("_stay")) & (F.col("_sid") == F.col("_set")), "left_semi")
+    if not stay.filter("n > 1").isEmpty():
+        best = kept.groupBy(own.alias("_stay"), F.col("_sid").alias("_set")).agg(F.min(F.xxhash64(text)).alias("_hash"))
+        kept = kept.join(best, own.eqNullSafe(F.col("_stay")) & (F.col("_sid") == F.col("_set")) & (F.xxhash64(text) == F.col("_hash")), "left_semi")
+        kept = kept.withColumn("_own", own).dropDuplicates(["_own", "_sid"]).drop("_own")
+    return kept.drop("_sid").unionByName(empty)

@@ -191,6 +191,13 @@ def test_keep_one_keeps_one_of_each_group(spark):
     assert kept == sorted([5, -3, 9, 11, 13, 15, 17, 19, 21, None], key=str)
 
 
+def test_keep_one_with_repeated_and_null_ids(spark):
+    text = lambda c: " ".join(f"{c}{k}" for k in range(50))
+    rows = [(None, text("a"), "1"), (None, text("b"), "2"), (4, text("c"), "3"), (4, text("d"), "4"), (3, text("e"), "5"), (5, text("e"), "6"), (5, text("f"), "7"), (8, "", "8"), (8, None, "9"), (None, text("e"), "10"), (3, text("e"), "11")]
+    kept = [r.source for r in jaccard_join.keep_one(spark.createDataFrame(rows_of(*rows), SCHEMA).repartition(3)).collect()]
+    assert len(kept) == 7 and set(kept) - {"5", "11", "8", "9"} == {"1", "2", "3", "4", "7"}
+
+
 # --- records
 
 
