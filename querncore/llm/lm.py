@@ -3,16 +3,17 @@
 A word is its subword ids and a word end. Its first id is predicted by causal self-attention over the first ids of the words before it (the
 outer model), its other ids and its end by causal self-attention over the word's own ids (the inner model, mixed with counts of neighbouring ids): the attention mask
 is closed between a word's inside and what stands around it. So the inner part of a word's probability is the same wherever it
-stands and is kept for words met before. Both models give the class of an id: the frequent ids are classes of their own, the others share
+stands and is made once for each word. Both models give the class of an id: the frequent ids are classes of their own, the others share
 classes by rank, and within a shared class an id has its add-0.1 share of the class's count over all training documents. Classes are predicted in
 two steps (group, then class in the group), so a distribution over GROUPS * GROUPS classes costs two small softmaxes. With the weight MIXED a word
-comes from the unigram shares of the most frequent words instead, which sum to 1 at most; the rest of the weight is attention's.
+comes from the unigram shares of all known words instead, which sum to 1 at most; the rest of the weight is attention's.
 Sequences are cut into windows that overlap: the first CONTEXT places of a window only give context, every id is scored in one window.
 
 All training documents count: words' and ids' counts are sums over all of them, and each gives one of EVERY of its windows (the first, where it
 has fewer) and one of INSIDE of their words to the networks, which are trained where the windows lie: rounds of local steps from common weights, whose results are
 averaged by the windows seen. So all that is gathered grows with the corpus; only weights, counts of ids and the most
-frequent words, all of fixed size, reach the driver.
+frequent words and runs of ids, all of fixed size, reach the driver. What tasks are told steers the cost, never the result: rarer words and runs
+are joined by their keys.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from querncore.llm.common import id_crc, most_frequent, written
+from querncore.llm.common import id_crc, most_frequent, removed, written
 
 GROUPS, DIM, HIDDEN = 32, 16, 24
 #: (places, places of context) of the outer model's windows and of the inner model's, for short words and for others.
@@ -37,12 +38,13 @@ CLASSES = GROUPS * GROUPS
 #: Classes that several ids share; of fixed number.
 SHARED = 96
 EVERY, INSIDE, ROUNDS = 100, 4, 3
-#: Most frequent words whose counts all tasks are told (16 bytes each); rarer words are looked up by a join.
+#: Most frequent words that all tasks are told of (24 bytes each); rarer words are looked up by a join.
 TOLD = 1 << 17
-#: Weight of the told words' unigram shares beside the attention models.
+#: Weight of the known words' unigram shares beside the attention models.
 MIXED = 0.03
-#: Within words: weight of the shares of ids behind one another, and how many pairs and triples of ids all tasks are told (16 bytes each).
-PAIRED, RUNS_TOLD = 0.9, 1 << 18
+#: Within words: weight of the shares of ids behind one another, how many triples of ids all tasks are told (16 bytes each; the others are looked
+#: up by a join), and into how many groups the counts are dealt.
+PAIRED, RUNS_TOLD, DEALT = 0.9, 1 << 18, 512
 MEMO = 700_000
 PAD = -1
 
@@ -277,8 +279,8 @@ def unflat(v: np.ndarray, like: dict) -> dict:
 BETWEEN = 0xFFFF
 
 
-def _gather(path: str):
-    """Rows of kind 0: a word and its count; kind 1: one of EVERY outer windows, as the ids of its words (a first byte tells whether it is a
+def _gather(path: str, folds: int):
+    """Rows of kind 0: a word and its count in training documents (0 for a word of the others); of training documents alone, kind 1: one of EVERY outer windows, as the ids of its words (a first byte tells whether it is a
     document's first window; the end id alone stands for the document's end); kind 2: the number of documents."""
     places, context = OUTER
     step = places - context
@@ -302,13 +304,16 @@ def _gather(path: str):
                 flags, spans = [], []
                 for t, h in zip(b.column(0).slice(i, 512).to_pylist(), crc):
                     own = lowered(t)
+                    if h % folds == 0:
+                        words.update(dict.fromkeys(own, 0))
+                        continue
                     words.update(own)
+                    docs += 1
                     many = max(1, -(-(len(own) + 1 - context) // step))
                     for k in range(h % EVERY if many > EVERY else h % many, many, EVERY):
                         lo = k * step
                         spans.append([*own[max(0, lo - 1) : lo + places], *([None] if lo + places > len(own) else [])])
                         flags.append(lo > 0)
-                docs += len(crc)
                 some = list({w for s in spans for w in s if w is not None})
                 ids = {w: np.array([*x, BETWEEN], "<u2").tobytes() for w, x in zip(some, sub.ids(some))} | {None: np.array([sub.end, BETWEEN], "<u2").tobytes()}
                 if spans:
@@ -370,7 +375,7 @@ def _words(path: str):
 
 
 class Runs:
-    """Probabilities of an id behind one or two others within words, by absolute discounting of the counts of the most frequent runs. The mass
+    """Probabilities of an id behind one or two others within words, by absolute discounting of the counts of runs. The mass
     that these leave goes to the shorter context, and from there to the ids' own shares."""
 
     DISCOUNT = 0.7
@@ -406,6 +411,76 @@ class Runs:
         return np.log(p)
 
 
+def _run_probs(table: DataFrame, of_first: np.ndarray, share: np.ndarray) -> DataFrame:
+    """(key, c, p) of every triple of ids: its count and the log probability of its last id behind the others, by the counts of all runs. Groups
+    hold all runs of an id's contexts."""
+    sent = table.sparkSession.sparkContext.broadcast((of_first, share))
+
+    def run(group: pa.Table) -> pa.Table:
+        kind, key, c = (group.column(k).to_numpy() for k in ("kind", "key", "c"))
+        pairs, triples = (np.stack([key[kind == k], c[kind == k]], axis=1) for k in (2, 3))
+        t = triples[:, 0]
+        p = Runs(pairs, triples, *sent.value).log(t >> 40, t >> 20 & 0xFFFFF, t & 0xFFFFF)
+        return pa.table({"key": t, "c": triples[:, 1], "p": p})
+
+    sums = table.filter("kind in (2, 3)").groupBy("kind", "key").agg(F.sum("c").alias("c"))
+    first = F.shiftright("key", 20).bitwiseAND(0xFFFFF)
+    dealt = sums.withColumn("part", F.pmod(F.xxhash64(first), F.lit(DEALT)))
+    return dealt.groupBy("part").applyInArrow(run, "key long, c long, p double")
+
+
+def _inside(vocabulary: DataFrame, path: str, runs: DataFrame, inner: dict, cls: np.ndarray, within: np.ndarray, runs_told: int) -> DataFrame:
+    """(key, c, log) of every word: hash, count, and log probability of its ids behind the first and of its end, with the first's share in its class."""
+    known, least = most_frequent(runs, "c", runs_told)
+    known = known.sort_by("key")
+    sent = vocabulary.sparkSession.sparkContext.broadcast((inner, cls, within, known.column("key").to_numpy(), known.column("p").to_numpy()))
+
+    def run(batches):
+        sub = subwords(path)
+        weights, cls, within, told, probs = sent.value
+        scorer, stop = Scorer(weights), int(cls[sub.word_end])
+        for b in batches:
+            for i in range(0, b.num_rows, 1 << 14):
+                part = b.slice(i, 1 << 14)
+                words = part.column(0).to_pylist()
+                ids = sub.ids(words)
+                size = np.array([len(x) for x in ids])
+                all_ids = np.fromiter(chain.from_iterable(ids), np.int64, int(size.sum()))
+                at = np.r_[0, np.cumsum(size)]
+                c = cls[all_ids]
+                # an inner sequence is a word's classes but the first, then the word end
+                seq = np.empty(len(c), np.int64)
+                seq[:-1] = c[1:]
+                seq[at[1:] - 1] = stop
+                follow = np.empty(len(all_ids), np.int64)
+                follow[:-1] = all_ids[1:]
+                follow[at[1:] - 1] = sub.word_end
+                lead = np.r_[sub.word_end, all_ids[:-1]]
+                lead[at[:-1]] = sub.word_end
+                attention = within[follow]
+                for some, shape in ((size <= SHORT[0], SHORT), (size > SHORT[0], LONG)):
+                    if some.any():
+                        there = np.repeat(some, size)
+                        _, x, y = windows(seq[there], size[some], c[at[:-1][some]], shape)
+                        attention[there] += scorer.log_probs(x, y)[y != PAD]
+                key = lead << 40 | all_ids << 20 | follow
+                spot = np.minimum(np.searchsorted(told, key), max(0, len(told) - 1))
+                have = told[spot] == key if len(told) else np.zeros(len(key), bool)
+                each = np.where(have, np.logaddexp(attention + np.log(1 - PAIRED), (probs[spot] if len(told) else 0.0) + np.log(PAIRED)), 0.0)
+                log = np.add.reduceat(each, at[:-1]) + within[all_ids[at[:-1]]]
+                bounds = pa.array(np.r_[0, np.cumsum(np.add.reduceat(~have, at[:-1], dtype=np.int64))].astype(np.int32))
+                open_keys, open_att = (pa.ListArray.from_arrays(bounds, pa.array(x[~have])) for x in (key, attention))
+                hashes = pa.array(np.array([word_hash(w) for w in words], np.int64))
+                yield pa.RecordBatch.from_arrays([hashes, part.column(1), pa.array(log), open_keys, open_att], names=["key", "c", "log", "runs", "att"])
+
+    some = written(vocabulary.select("word", "c").mapInArrow(run, "key long, c long, log double, runs array<long>, att array<double>"), "inside")
+    each = some.filter("size(runs) > 0").select("key", "c", "log", F.explode(F.arrays_zip("runs", "att")).alias("r")).select("key", "c", "log", F.col("r.runs").alias("run"), F.col("r.att").alias("att"))
+    rare = runs.filter(F.col("c") < least).select(F.col("key").alias("run"), "p")
+    token = F.log(F.exp("att") * F.lit(1 - PAIRED) + F.exp("p") * F.lit(PAIRED))
+    late = each.join(rare, "run").groupBy("key").agg(F.first("c").alias("c"), (F.first("log") + F.sum(token)).alias("log"))
+    return written(some.filter("size(runs) = 0").select("key", "c", "log").unionByName(late), "known")
+
+
 def _sampled(batches, cls: np.ndarray, end: int, word_end: int, size: int):
     """From written windows: ("outer" or "inner", inputs, targets) in batches of ``size`` windows at most."""
     stop = int(cls[word_end])
@@ -475,10 +550,9 @@ def _rounds(given: DataFrame, cls: np.ndarray, end: int, word_end: int, seed: in
 class WordTable:
     """What is known of words met so far, in arrays; started anew beyond MEMO words."""
 
-    def __init__(self, sub: Subwords, outer: Scorer, inner: Scorer, runs: Runs, cls, within, keys, counts, denom):
-        self.runs = runs
-        self.sub, self.outer, self.inner, self.cls, self.within = sub, outer, inner, cls, within
-        self.keys, self.denom = keys, denom
+    def __init__(self, sub: Subwords, outer: Scorer, cls, keys, counts, logs, denom):
+        self.sub, self.outer, self.cls = sub, outer, cls
+        self.keys, self.logs = keys, logs
         self.share = np.log10((counts + 0.1) / denom) if denom else np.zeros(len(counts))
         self._clear()
 
@@ -502,37 +576,14 @@ class WordTable:
         for i in range(0, len(fresh), 1 << 14):
             part = fresh[i : i + (1 << 14)]
             here = slice(n + i, n + i + len(part))
-            ids = self.sub.ids(part)
-            size = np.array([len(x) for x in ids])
-            all_ids = np.fromiter(chain.from_iterable(ids), np.int64, int(size.sum()))
-            at = np.r_[0, np.cumsum(size)]
-            c = self.cls[all_ids]
-            self.first[here] = c[at[:-1]]
-            stop = int(self.cls[self.sub.word_end])
-            # an inner sequence is a word's classes but the first, then the word end
-            seq = np.empty(len(c), np.int64)
-            seq[:-1] = c[1:]
-            seq[at[1:] - 1] = stop
-            follow = np.empty(len(all_ids), np.int64)
-            follow[:-1] = all_ids[1:]
-            follow[at[1:] - 1] = self.sub.word_end
-            lead = np.r_[self.sub.word_end, all_ids[:-1]]
-            lead[at[:-1]] = self.sub.word_end
-            attention = self.within[follow]
-            for some, shape in ((size <= SHORT[0], SHORT), (size > SHORT[0], LONG)):
-                if some.any():
-                    there = np.repeat(some, size)
-                    _, x, y = windows(seq[there], size[some], c[at[:-1][some]], shape)
-                    attention[there] += self.inner.log_probs(x, y)[y != PAD]
-            each = np.logaddexp(attention + np.log(1 - PAIRED), self.runs.log(lead, all_ids, follow) + np.log(PAIRED))
-            log = np.add.reduceat(each, at[:-1]) + self.within[all_ids[at[:-1]]]
-            self.log[here] = log
+            self.first[here] = self.cls[[x[0] for x in self.sub.ids(part)]]
             h = np.array([word_hash(w) for w in part], np.int64)
             self.hash[here] = h
             if len(self.keys):
                 spot = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
                 told = self.keys[spot] == h
-                self.told[here], self.base[here] = told, np.where(told, self.share[spot], 0.0)
+                self.told[here] = told
+                self.base[here], self.log[here] = np.where(told, self.share[spot], 0.0), np.where(told, self.logs[spot], 0.0)
             else:
                 self.told[here] = False
         return [np.fromiter(map(self.at.__getitem__, w), np.int64, len(w)) for w in words]
@@ -549,15 +600,16 @@ def word_table(key: str, make) -> WordTable:
 
 
 def mixed(outer: np.ndarray, doc: np.ndarray, places: np.ndarray, table: WordTable, n: np.ndarray, end_in: float, end_base: float) -> np.ndarray:
-    """Natural log probability of each document: over its words and its end, what attention gives, mixed with the shares of the told words."""
+    """Natural log probability of each document's told words and its end: what attention gives, mixed with the words' shares."""
     at = np.arange(len(places)) + doc
     inner, told = np.full(len(outer), end_in), np.full(len(outer), end_base)
-    inner[at], told[at] = table.log[places], np.where(table.told[places], table.base[places], -np.inf)
+    inner[at], told[at] = table.log[places], table.base[places]
     token = np.logaddexp(outer + inner + np.log(1 - MIXED), told * np.log(10) + np.log(MIXED))
+    token[at[~table.told[places]]] = 0.0
     return np.bincount(np.repeat(np.arange(len(n)), n + 1), token, minlength=len(n))
 
 
-def lm_scores(docs: DataFrame, tokenizer_path: str, folds: int = 10, text: str = "text", doc_id: str = "doc_id", seed: int = 11, told: int = TOLD) -> DataFrame:
+def lm_scores(docs: DataFrame, tokenizer_path: str, folds: int = 10, text: str = "text", doc_id: str = "doc_id", seed: int = 11, told: int = TOLD, runs_told: int = RUNS_TOLD) -> DataFrame:
     """A row for each row of docs: doc_id, held_out boolean (crc32 of the id as text modulo folds is 0), n_tokens, n_known, train_tokens long,
     base_score double, score double.
 
@@ -567,38 +619,39 @@ def lm_scores(docs: DataFrame, tokenizer_path: str, folds: int = 10, text: str =
     repeated rows each count and get their row; an empty table gives none. Without training documents the networks stay as they started and N and V
     are 0. Words are looked up by 64-bit hashes. Other columns are not read.
 
-    Texts are read twice: to gather, and to score. Rare words' counts are joined by hash; a frequent word's count is told to all tasks.
+    Texts are read twice: to gather, and to score. Counts and inner probabilities of rare words are joined by hash, and told to all tasks of frequent
+    ones, as are probabilities of runs of ids within words.
     """
     spark = docs.sparkSession
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("t"), id_crc(doc_id).alias("crc"))
-    gathered = written(own.filter(F.col("crc") % folds != 0).select("t", "crc").mapInArrow(_gather(tokenizer_path), "kind byte, word binary, n long"), "gathered")
-    by_word = gathered.filter("kind = 0").groupBy("word").agg(F.sum("n").alias("c"))
-    table = written(by_word.mapInArrow(_words(tokenizer_path), "kind byte, key long, c long"), "words")
-    counts = table.filter("kind = 0").select("key", "c")
+    gathered = written(own.select("t", "crc").mapInArrow(_gather(tokenizer_path, folds), "kind byte, word binary, n long"), "gathered")
+    vocabulary = written(gathered.filter("kind = 0").groupBy("word").agg(F.sum("n").alias("c")), "vocabulary")
+    table = written(vocabulary.mapInArrow(_words(tokenizer_path), "kind byte, key long, c long"), "words")
     ends = gathered.filter("kind = 2").agg(F.sum("n")).first()[0] or 0
-    n_words, v_words = counts.agg(F.sum("c"), F.count("*")).first()
+    n_words, v_words = vocabulary.agg(F.sum("c"), F.count_if(F.col("c") > 0)).first()
     total, kinds = (n_words or 0) + ends, v_words + (ends > 0)
-    most = lambda df, n: (lambda t, least: (np.stack([t.column(c).to_numpy() for c in ("key", "c")], axis=1), least))(*most_frequent(df.select("key", "c"), "c", n))
-    top, least = most(counts, told)
-    top_key, top_c = top[np.argsort(top[:, 0])].T
     sub = subwords(tokenizer_path)
-    # ids' counts are as many as the vocabulary; of pairs the most frequent are told
+    # ids' counts are as many as the vocabulary
     id_counts, of_first = np.zeros(sub.size), np.zeros(sub.size)
     for r in table.filter("kind = 1").groupBy("key").agg(F.sum("c").alias("c")).collect():
         id_counts[r.key] = r.c
     of_first[:] = id_counts
     id_counts[sub.end] += ends
-    of = lambda kind: most(table.filter(F.col("kind") == kind).groupBy("key").agg(F.sum("c").alias("c")), RUNS_TOLD)[0]
-    runs = Runs(of(2), of(3), of_first, (id_counts + 0.1) / (id_counts + 0.1).sum())
+    runs = written(_run_probs(table, of_first, (id_counts + 0.1) / (id_counts + 0.1).sum()), "runs")
+    removed(table)
     cls, within = classes_of(id_counts)
     outer, inner = _rounds(gathered.filter("kind = 1"), cls, sub.end, sub.word_end, seed)
+    counts = _inside(vocabulary, tokenizer_path, runs, inner, cls, within, runs_told)
+    top, least = most_frequent(counts, "c", told)
+    top = top.sort_by("key")
+    top_key, top_c, top_log = (top.column(k).to_numpy() for k in ("key", "c", "log"))
     denom = float(total + 0.1 * (kinds + 1))
-    sent = spark.sparkContext.broadcast((outer, inner, runs, cls, within, top_key, top_c))  # some 40 MB at most, of fixed size
+    sent = spark.sparkContext.broadcast((outer, cls, within, top_key, top_c, top_log))  # some 4 MB, of fixed size
     n_ends, run_id = int(ends), uuid.uuid4().hex
 
     def run(batches):
-        o, i, near, c_of, in_class, keys, cs = sent.value
-        table = word_table(run_id, lambda: WordTable(subwords(tokenizer_path), Scorer(o), Scorer(i), near, c_of, in_class, keys, cs, denom))
+        o, c_of, in_class, keys, cs, logs = sent.value
+        table = word_table(run_id, lambda: WordTable(subwords(tokenizer_path), Scorer(o), c_of, keys, cs, logs, denom))
         end_id = table.sub.end
         end_base, end_class, end_in = float(np.log10((n_ends + 0.1) / denom)) if denom else 0.0, int(c_of[end_id]), float(in_class[end_id])
         for whole in batches:
@@ -614,13 +667,19 @@ def lm_scores(docs: DataFrame, tokenizer_path: str, folds: int = 10, text: str =
                 seq = np.full(len(flat_places) + len(n), end_class, np.int64)
                 seq[np.arange(len(flat_places)) + doc] = table.first[flat_places]
                 who, x, y = windows(seq, n + 1, CLASSES, OUTER)
-                score = mixed(table.outer.log_probs(x, y)[y != PAD], doc, flat_places, table, n, end_in, end_base)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n + 1), pa.array(known), pa.array(base), pa.array(score / np.log(10)), pa.array(rare, pa.list_(pa.int64()))], names=["doc_id", "crc", "n_tokens", "n_known", "base", "score", "rare"])
-
-    scored = written(own.select("doc_id", "t", "crc").mapInArrow(run, "doc_id long, crc long, n_tokens long, n_known long, base double, score double, rare array<long>").withColumn("rid", F.monotonically_increasing_id()), "scored")
-    looked = scored.select("rid", F.explode("rare").alias("key"))
+                outside = table.outer.log_probs(x, y)[y != PAD]
+                away = ~table.told[flat_places]
+                behind = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x) for x in rare])].astype(np.int32)), pa.array(outside[(np.arange(len(flat_places)) + doc)[away]]))
+                score = mixed(outside, doc, flat_places, table, n, end_in, end_base)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n + 1), pa.array(known), pa.array(base), pa.array(score / np.log(10)), pa.array(rare, pa.list_(pa.int64())), behind], names=["doc_id", "crc", "n_tokens", "n_known", "base", "score", "rare", "outer"])
+
+    scored = written(own.select("doc_id", "t", "crc").mapInArrow(run, "doc_id long, crc long, n_tokens long, n_known long, base double, score double, rare array<long>, outer array<double>").withColumn("rid", F.monotonically_increasing_id()), "scored")
+    looked = scored.select("rid", F.explode(F.arrays_zip("rare", "outer")).alias("r")).select("rid", F.col("r.rare").alias("key"), F.col("r.outer").alias("outer"))
     rest = counts.filter(F.col("c") < least)
-    c = F.coalesce("c", F.lit(0))
-    late = looked.join(rest, "key", "left").groupBy("rid").agg(F.sum(F.log10((c + 0.1) / F.lit(denom))).alias("more"), F.count_if(c > 0).alias("more_known"))
-    out = scored.drop("rare").join(late, "rid", "left")
-    return out.select("doc_id", (F.col("crc") % folds == 0).alias("held_out"), "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score")
+    c = F.col("c")
+    near, far = F.col("outer") + F.col("log") + F.lit(float(np.log(1 - MIXED))), F.log((c + 0.1) / F.lit(denom)) + F.lit(float(np.log(MIXED)))
+    token = F.when(c > 0, F.greatest(near, far) + F.log1p(F.exp(-F.abs(near - far)))).otherwise(near)
+    late = looked.join(rest, "key").groupBy("rid").agg(F.sum(F.log10((c + 0.1) / F.lit(denom))).alias("more"), F.count_if(c > 0).alias("more_known"), (F.sum(token) / F.lit(float(np.log(10)))).alias("more_score"))
+    out = scored.drop("rare", "outer").join(late, "rid", "left")
+    more = lambda name, to: (F.col(name) + F.coalesce(to, F.lit(0))).alias(name)
+    return out.withColumnRenamed("base", "base_score").select("doc_id", (F.col("crc") % folds == 0).alias("held_out"), "n_tokens", more("n_known", "more_known"), F.lit(int(total)).cast("long").alias("train_tokens"), more("base_score", "more"), more("score", "more_score"))

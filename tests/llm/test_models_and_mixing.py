@@ -108,6 +108,23 @@ def test_base_scores_equal_brute_force(spark, edge, piece_model, told):
     assert all(r.score < 0 and math.isfinite(r.score) for r in got)
 
 
+def test_scores_do_not_depend_on_what_is_told(edge, piece_model):
+    def scores(**how):
+        return sorted((r.score for r in lm.lm_scores(edge, piece_model, **how).collect()))
+
+    assert np.allclose(scores(told=5, runs_told=5), scores(), rtol=1e-9, atol=1e-7)
+
+
+def test_run_probabilities_use_every_count(spark):
+    share, of_first = np.full(10, 0.1), np.array([0, 9, 5, 0, 0, 0, 0, 0, 0, 0])
+    pairs, triples = [(1 << 20 | 2, 5), (1 << 20 | 3, 4), (2 << 20 | 9, 5)], [(9 << 40 | 1 << 20 | 2, 5), (9 << 40 | 1 << 20 | 3, 1), (8 << 40 | 1 << 20 | 3, 3), (9 << 40 | 2 << 20 | 9, 0), (1 << 40 | 2 << 20 | 9, 5)]
+    table = spark.createDataFrame([(2, k, c) for k, c in pairs] + [(3, k, c) for k, c in triples], "kind byte, key long, c long")
+    got = {r.key: (r.c, r.p) for r in lm._run_probs(table, of_first, share).collect()}
+    whole = lm.Runs(np.array(pairs), np.array(triples), of_first, share)
+    assert {k: c for k, (c, _) in got.items()} == dict(triples)
+    assert all(abs(p - whole.log(*(np.array([x]) for x in (k >> 40, k >> 20 & 0xFFFFF, k & 0xFFFFF)))[0]) < 1e-9 for k, (_, p) in got.items())
+
+
 def test_lm_of_nothing(empty, spark, piece_model):
     assert lm.lm_scores(empty, piece_model).count() == 0
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 10 == 0)
