@@ -9,9 +9,9 @@ two steps (group, then class in the group), so a distribution over GROUPS * GROU
 comes from the unigram shares of all known words instead, which sum to 1 at most; the rest of the weight is attention's.
 Sequences are cut into windows that overlap: the first CONTEXT places of a window only give context, every id is scored in one window.
 
-All training documents count: words' and ids' counts are sums over all of them, and each gives one of EVERY of its windows (the first, where it
-has fewer) and one of INSIDE of their words to the networks, which are trained where the windows lie: rounds of local steps from common weights, whose results are
-averaged by the windows seen. So all that is gathered grows with the corpus; only weights, counts of ids and the most
+All training documents count: words' and ids' counts are sums over all of them, and all their windows and words go through the networks, which are
+trained where the documents lie: rounds of local steps from common weights, each round on other documents, whose results are averaged by the
+windows seen. So all that is gathered grows with the corpus; only weights, counts of ids and the most
 frequent words and runs of ids, all of fixed size, reach the driver. What tasks are told steers the cost, never the result: rarer words and runs
 are joined by their keys.
 """
@@ -37,7 +37,9 @@ OUTER, SHORT, LONG = (24, 6), (4, 1), (8, 2)
 CLASSES = GROUPS * GROUPS
 #: Classes that several ids share; of fixed number.
 SHARED = 96
-EVERY, INSIDE, ROUNDS = 100, 4, 3
+ROUNDS = 3
+#: Windows of a step of the outer model, words of a step of the inner model; documents whose windows are made at once.
+STEP, WORDS_A_STEP, DOCS = 128, 512, 256
 #: Most frequent words that all tasks are told of (24 bytes each); rarer words are looked up by a join.
 TOLD = 1 << 17
 #: Weight of the known words' unigram shares beside the attention models.
@@ -200,28 +202,29 @@ def _softmax_log(t: np.ndarray) -> np.ndarray:
     return t - np.log(np.exp(t).sum(axis=1, keepdims=True))
 
 
-def gradients(p: dict, x: np.ndarray, y: np.ndarray) -> tuple[float, dict]:
-    """Mean negative log probability of the targets and its gradients."""
+def gradients(p: dict, x: np.ndarray, y: np.ndarray, times: np.ndarray | None = None) -> tuple[float, dict]:
+    """Mean negative log probability of the targets and its gradients. times: how often each window counts."""
     h, (x, pad, e, z, q, k, v, a, m) = forward(p, x)
     rows = np.flatnonzero(y.ravel() != PAD)
     hs, t = h.reshape(-1, h.shape[2])[rows], y.ravel()[rows]
     g, c = t // GROUPS, t % GROUPS
-    n = np.float32(max(1, len(t)))
+    each = np.ones(len(t), np.float32) if times is None else times.astype(np.float32)[rows // y.shape[1]]
+    n = np.float32(max(1, each.sum()))
     d = {w: np.zeros_like(s) for w, s in p.items()}
     lg = _softmax_log(hs @ p["g"] + p["gb"])
-    loss = -lg[np.arange(len(t)), g].sum()
+    loss = -(each * lg[np.arange(len(t)), g]).sum()
     dg = np.exp(lg)
     dg[np.arange(len(t)), g] -= 1
-    dg /= n
+    dg *= (each / n)[:, None]
     d["g"], d["gb"] = hs.T @ dg, dg.sum(axis=0)
     dh = dg @ p["g"].T
     for j in np.unique(g):
         at = np.flatnonzero(g == j)
         lc = _softmax_log(hs[at] @ p["c"][j] + p["cb"][j])
-        loss -= lc[np.arange(len(at)), c[at]].sum()
+        loss -= (each[at] * lc[np.arange(len(at)), c[at]]).sum()
         dc = np.exp(lc)
         dc[np.arange(len(at)), c[at]] -= 1
-        dc /= n
+        dc *= (each[at] / n)[:, None]
         d["c"][j], d["cb"][j] = hs[at].T @ dc, dc.sum(axis=0)
         dh[at] += dc @ p["c"][j].T
     dpre = np.zeros((h.shape[0] * h.shape[1], h.shape[2]), np.float32)
@@ -250,8 +253,8 @@ class Adam:
         self.m, self.s = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
         self.seen, self.steps = 0, 0
 
-    def step(self, x: np.ndarray, y: np.ndarray) -> float:
-        loss, d = gradients(self.p, x, y)
+    def step(self, x: np.ndarray, y: np.ndarray, times: np.ndarray | None = None) -> float:
+        loss, d = gradients(self.p, x, y, times)
         self.steps += 1
         fix = np.float32(self.rate * (1 - 0.99**self.steps) ** 0.5 / (1 - 0.9**self.steps))
         for k, g in d.items():
@@ -275,15 +278,13 @@ def unflat(v: np.ndarray, like: dict) -> dict:
     return out
 
 
-#: Stands between words in a written window.
+#: Stands between words in a written document.
 BETWEEN = 0xFFFF
 
 
 def _gather(path: str, folds: int):
-    """Rows of kind 0: a word and its count in training documents (0 for a word of the others); of training documents alone, kind 1: one of EVERY outer windows, as the ids of its words (a first byte tells whether it is a
-    document's first window; the end id alone stands for the document's end); kind 2: the number of documents."""
-    places, context = OUTER
-    step = places - context
+    """Rows of kind 0: a word and its count in training documents (0 for a word of the others); of training documents alone, kind 1: the ids of a
+    document's words (the end id alone stands for its end); kind 2: the number of documents."""
 
     def run(batches):
         sub = subwords(path)
@@ -301,7 +302,7 @@ def _gather(path: str, folds: int):
         for b in batches:
             for i in range(0, b.num_rows, 512):
                 crc = b.column(1).slice(i, 512).to_pylist()
-                flags, spans = [], []
+                spans = []
                 for t, h in zip(b.column(0).slice(i, 512).to_pylist(), crc):
                     own = lowered(t)
                     if h % folds == 0:
@@ -309,15 +310,11 @@ def _gather(path: str, folds: int):
                         continue
                     words.update(own)
                     docs += 1
-                    many = max(1, -(-(len(own) + 1 - context) // step))
-                    for k in range(h % EVERY if many > EVERY else h % many, many, EVERY):
-                        lo = k * step
-                        spans.append([*own[max(0, lo - 1) : lo + places], *([None] if lo + places > len(own) else [])])
-                        flags.append(lo > 0)
+                    spans.append([*own, None])
                 some = list({w for s in spans for w in s if w is not None})
                 ids = {w: np.array([*x, BETWEEN], "<u2").tobytes() for w, x in zip(some, sub.ids(some))} | {None: np.array([sub.end, BETWEEN], "<u2").tobytes()}
                 if spans:
-                    yield out(1, [bytes([f]) + b"".join(ids[w] for w in s) for f, s in zip(flags, spans)], [1] * len(spans))
+                    yield out(1, [b"".join(ids[w] for w in s) for s in spans], [1] * len(spans))
                 if len(words) > 400_000:
                     yield from counts()
                     words.clear()
@@ -481,36 +478,33 @@ def _inside(vocabulary: DataFrame, path: str, runs: DataFrame, inner: dict, cls:
     return written(some.filter("size(runs) = 0").select("key", "c", "log").unionByName(late), "known")
 
 
-def _sampled(batches, cls: np.ndarray, end: int, word_end: int, size: int):
-    """From written windows: ("outer" or "inner", inputs, targets) in batches of ``size`` windows at most."""
+def _all_windows(batches, cls: np.ndarray, end: int, word_end: int):
+    """From written documents: ("outer" or "inner", inputs, targets, how often each counts) for a step each. Equal words of a step are one window."""
     stop = int(cls[word_end])
     for b in batches:
-        raws = b.column(0).to_pylist()
-        if not raws:
-            continue
-        later = np.array([r[0] for r in raws], bool)
-        ids = np.frombuffer(b"".join(r[1:] for r in raws), "<u2").astype(np.int64)
-        ends = np.flatnonzero(ids == BETWEEN)
-        starts = np.r_[0, ends[:-1] + 1]
-        window = np.searchsorted(np.cumsum([len(r) // 2 for r in raws]), starts, side="right")
-        first = cls[ids[starts]]
-        head = np.r_[True, window[1:] != window[:-1]]  # a window's first word, which only leads a later window
-        target = ~(head & later[window])
-        n = np.bincount(window[target], minlength=len(raws))
-        _, x, y = windows(first[target], n, np.where(later, first[head], CLASSES), OUTER)
-        y[later, : OUTER[1]] = PAD
-        inside = (np.arange(len(starts)) % INSIDE == 0) & ~((ids[starts] == end) & (ends - starts == 1))
-        follow = np.where(ids == BETWEEN, stop, cls[np.where(ids == BETWEEN, 0, ids)])
-        follow[starts] = PAD
-        own = np.repeat(inside, ends + 1 - starts) & (follow != PAD)
-        _, u, v = windows(follow[own], (ends - starts)[inside], first[inside], LONG)
-        for name, given, wanted in (("outer", x, y), ("inner", u, v)):
-            for i in range(0, len(given), size):
-                yield name, given[i : i + size], wanted[i : i + size]
+        for at in range(0, b.num_rows, DOCS):
+            raws = b.column(0).slice(at, DOCS).to_pylist()
+            ids = np.frombuffer(b"".join(raws), "<u2").astype(np.int64)
+            ends = np.flatnonzero(ids == BETWEEN)
+            starts = np.r_[0, ends[:-1] + 1]
+            doc = np.searchsorted(np.cumsum([len(r) // 2 for r in raws]), starts, side="right")
+            first = cls[ids[starts]]
+            _, x, y = windows(first, np.bincount(doc, minlength=len(raws)), CLASSES, OUTER)
+            for i in range(0, len(x), STEP):
+                yield "outer", x[i : i + STEP], y[i : i + STEP], np.ones(len(x[i : i + STEP]))
+            inside = ~((ids[starts] == end) & (ends - starts == 1))
+            follow = np.where(ids == BETWEEN, stop, cls[np.where(ids == BETWEEN, 0, ids)])
+            follow[starts] = PAD
+            own = np.repeat(inside, ends + 1 - starts) & (follow != PAD)
+            who, u, v = windows(follow[own], (ends - starts)[inside], first[inside], LONG)
+            for i in np.unique(who // WORDS_A_STEP) if len(who) else ():
+                lo, hi = np.searchsorted(who, (i * WORDS_A_STEP, (i + 1) * WORDS_A_STEP))
+                both, times = np.unique(np.concatenate([u[lo:hi], v[lo:hi]], axis=1), axis=0, return_counts=True)
+                yield "inner", both[:, : LONG[0]], both[:, LONG[0] :], times
 
 
 def _rounds(given: DataFrame, cls: np.ndarray, end: int, word_end: int, seed: int) -> tuple[dict, dict]:
-    """Rounds of local training on all windows, averaged by the windows seen; round r takes the windows whose hash is r modulo ROUNDS."""
+    """Rounds of local training on all windows, averaged by the windows seen; round r takes the documents whose hash is r modulo ROUNDS."""
     spark = given.sparkSession
     outer, inner = initial(seed), initial(seed + 1)
     kinds = "seen long, weights binary"
@@ -532,8 +526,8 @@ def _rounds(given: DataFrame, cls: np.ndarray, end: int, word_end: int, seed: in
         def run(batches, rate=(6e-3, 5e-3, 3e-3)[min(r, 2)], sent=sent):
             o, i, c = sent.value
             both = {"outer": Adam(o, rate), "inner": Adam(i, rate)}
-            for name, x, y in _sampled(batches, c, end, word_end, 128):
-                both[name].step(x, y)
+            for name, x, y, times in _all_windows(batches, c, end, word_end):
+                both[name].step(x, y, times)
             seen = both["outer"].seen
             if seen:
                 yield packed(seen, np.concatenate([flat(both[k].p) for k in ("outer", "inner")]).astype(np.float64) * seen)

@@ -180,6 +180,28 @@ def test_probabilities_sum_to_one():
         assert abs(np.exp(runs.log(np.full(10, lead), np.full(10, first), all_ids)).sum() - 1) < 1e-9
 
 
+def test_networks_learn_from_all_windows_and_words(piece_model):
+    import pyarrow as pa
+
+    sub = lm.subwords(piece_model)
+    folds, crc = 10, 20 + 1
+    text = [f"learn{k % 50}" for k in range(1800)]
+    raws = [w for b in lm._gather(piece_model, folds)([pa.RecordBatch.from_pydict({"t": [" ".join(text), "held out"], "crc": [crc, 20]})]) for k, w in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if k == 1]
+    assert len(raws) == 1
+    cls, _ = lm.classes_of(np.arange(sub.size))
+    got = list(lm._all_windows([pa.RecordBatch.from_pydict({"word": pa.array(raws, pa.binary())})], cls, sub.end, sub.word_end))
+    targets = {name: sum(int(((y != lm.PAD).sum(axis=1) * t).sum()) for k, _, y, t in got if k == name) for name in ("outer", "inner")}
+    assert targets == {"outer": len(text) + 1, "inner": sum(len(x) for x in sub.ids([w.encode() for w in text]))}
+
+
+def test_gradients_count_repeated_windows():
+    rng = np.random.default_rng(3)
+    p = {k: v.astype(np.float64) for k, v in lm.initial().items()}
+    x, y, times = rng.integers(0, lm.CLASSES, (3, 8)), rng.integers(0, lm.CLASSES, (3, 8)), np.array([1, 3, 2])
+    (a, d), (b, e) = lm.gradients(p, x, y, times), lm.gradients(p, np.repeat(x, times, axis=0), np.repeat(y, times, axis=0))
+    assert abs(a - b) < 1e-5 and all(np.allclose(d[k], e[k], atol=1e-5) for k in d)
+
+
 def test_training_lowers_the_loss():
     rng = np.random.default_rng(2)
     a = lm.Adam(lm.initial(), 6e-3)
