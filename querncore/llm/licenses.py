@@ -182,19 +182,20 @@ def passages(model: Licences, t: Texts):
     three = grams(w)[2]
     at = np.minimum(np.searchsorted(model.triples, three), len(model.triples) - 1)
     doc = np.repeat(np.arange(len(p.offsets) - 1), np.diff(p.bounds))
-    lines = np.cumsum(t.raw == 10)[p.starts]
-    line = lines
-    hits = np.flatnonzero((model.triples[at] == three) & (doc[2:] == doc[:-2]) & (line[2:] == line[:-2]))
+    base = np.cumsum(t.raw == 10)
+    line = base[p.starts]
+    # words run over line feeds; lines without a word part them
+    part = np.cumsum(np.r_[0, np.diff(line) > 1])
+    hits = np.flatnonzero((model.triples[at] == three) & (doc[2:] == doc[:-2]) & (part[2:] == part[:-2]))
     if not len(hits):
         return
-    new = np.r_[True, (np.diff(hits) > GAP) | (line[hits[1:]] != line[hits[:-1]]) | (doc[hits[1:]] != doc[hits[:-1]])]
+    new = np.r_[True, (np.diff(hits) > GAP) | (part[hits[1:]] != part[hits[:-1]]) | (doc[hits[1:]] != doc[hits[:-1]])]
     first, last = hits[new], hits[np.r_[np.flatnonzero(new)[1:] - 1, len(hits) - 1]]
-    base = np.cumsum(t.raw == 10)
     for a, b in zip(first, last):
         lo, hi = a, b + 3
-        while lo > a - AROUND and lo > 0 and doc[lo - 1] == doc[a] and line[lo - 1] == line[a]:
+        while lo > a - AROUND and lo > 0 and doc[lo - 1] == doc[a] and part[lo - 1] == part[a]:
             lo -= 1
-        while hi < b + 3 + AROUND and hi < len(w) and doc[hi] == doc[a] and line[hi] == line[a]:
+        while hi < b + 3 + AROUND and hi < len(w) and doc[hi] == doc[a] and part[hi] == part[a]:
             hi += 1
         start = t.offsets[doc[a]]
         yield int(doc[a]), int(line[a] - (base[start - 1] if start else 0)), w[lo:hi]
@@ -202,11 +203,11 @@ def passages(model: Licences, t: Texts):
 
 def license_scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """A row for each row of docs: doc_id, and found, an array with an entry for each licence passage in the order of the text: paragraph int (line of
-    the text, from 0), family string ("unknown" where no family is probable enough or the template comparison does not confirm it), probability
+    the text where it begins, from 0), family string ("unknown" where no family is probable enough or the template comparison does not confirm it), probability
     double (of the family predicted), held double (share of a template's triples of that family).
 
-    Null and empty texts have no passages; repeated rows each get their row; an empty table gives none; other columns are not read. Passages do not
-    cross lines. One narrow pass.
+    Null and empty texts have no passages; repeated rows each get their row; an empty table gives none; other columns are not read. Passages run over
+    line feeds, but not over lines without words. One narrow pass.
     """
     entry = pa.struct([("paragraph", pa.int32()), ("family", pa.string()), ("probability", pa.float64()), ("held", pa.float64())])
 

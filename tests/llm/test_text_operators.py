@@ -358,6 +358,22 @@ def test_licences_of_documents(spark):
     assert all(f == ({"unknown"} if "All rights reserved." in texts[i] else set()) for i, f in got.items() if not any(n in texts[i] for n in notes.values()))
 
 
+def families(spark, *texts):
+    got = {r.doc_id: [(f.paragraph, f.family) for f in r.found] for r in licenses.license_scan(spark.createDataFrame(rows_of(*((k, t, "s") for k, t in enumerate(texts))), SCHEMA)).collect()}
+    return [got[k] for k in range(len(texts))]
+
+
+def test_licences_wrapped_over_lines(spark):
+    gpl = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or"""
+    bsd = """// Redistribution and use in source and binary forms, with or without\r
+// modification, are permitted provided that the following conditions are\r
+// met:"""
+    got = families(spark, gpl, bsd, "one\ntwo\nReleased under the\nMIT License.", "Released under the\n\nMIT License.")
+    assert got[:3] == [[(0, "gpl-3.0")], [(0, "bsd")], [(2, "mit")]] and got[3] != [(0, "mit")]
+
+
 def test_licences_cut_damaged_and_unknown(spark, edge, empty):
     rows = [
         (1, "Permission is hereby granted, free of charge, to any person obtaining a copy of this software", "s"),
