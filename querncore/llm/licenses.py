@@ -23,7 +23,7 @@ from querncore.llm.hashing import Texts, mix, slices
 # Short notices of public licences, and their key sentences.
 TEMPLATES = {
     "agpl-3.0": ["This program is licensed under the GNU Affero General Public License, version 3.", "You should have received a copy of the GNU Affero General Public License along with this program."],
-    "apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.", "distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."],
+    "apache-2.0": ["Licensed under the Apache License, Version 2.0.", "the Apache License, Version 2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.", "distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."],
     "bsd": ["Released under the BSD License.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software"],
     "cc-by-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "cc-by-nc-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
@@ -32,7 +32,7 @@ TEMPLATES = {
     "gpl-3.0": ["This work is licensed under the GNU General Public License, version 3.", "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"],
     "isc": ["Released under the ISC License.", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"],
     "lgpl-3.0": ["This library is licensed under the GNU Lesser General Public License, version 3.", "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License"],
-    "mit": ["Released under the MIT License.", "Licensed under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."],
+    "mit": ["Released under the MIT License.", "Licensed under the MIT License.", "the MIT License", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."],
     "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
 }
 UNKNOWN_TEXTS = ["All rights reserved.", "This document is licensed under the terms agreed with the publisher.", "Licensed under the terms of the vendor agreement.", "Released under the house license of the author.", "Permission is granted to members only.", "You may not use this file without written consent.", "This work is licensed under a proprietary license, version 7.", "No part of this text may be copied or distributed in any form."]
@@ -173,6 +173,36 @@ def trained(seed: int = 5, each: int = 120, steps: int = 300) -> Licences:
     return model
 
 
+def cuts(model: Licences, at: np.ndarray, keys: np.ndarray) -> list[int]:
+    """Numbers of the hits at which another family's notice begins. at: places of a passage's hits, keys: their triples' numbers.
+
+    A notice is a stretch about as long as a template that holds HELD of its triples; of those that overlap the one with the most triples counts."""
+    spots: dict[int, list[int]] = {}
+    for i, k in enumerate(keys.tolist()):
+        for j in model.of_template[k]:
+            if FAMILIES[model.template_family[j]] != UNKNOWN:
+                spots.setdefault(j, []).append(i)
+    found = []
+    for j, own in spots.items():
+        size = model.template_size[j]
+        for x, i in enumerate(own):
+            held, last = set(), i
+            for e in own[x:]:
+                if at[e] - at[i] >= size + AROUND:
+                    break
+                if keys[e] not in held:
+                    held.add(int(keys[e]))
+                    last = e
+            if len(held) >= HELD * size:
+                found.append((-len(held), int(at[last] - at[i]), i, last, int(model.template_family[j])))
+    taken: list[tuple[int, int, int]] = []
+    for _, _, i, last, family in sorted(found):
+        if all(last < a or i > b for a, b, _ in taken):
+            taken.append((i, last, family))
+    taken.sort()
+    return [y[0] for x, y in zip(taken, taken[1:]) if x[2] != y[2]]
+
+
 def passages(model: Licences, t: Texts):
     """(text, paragraph, words) around the places of a text that hold triples of templates."""
     p = plain(t)
@@ -190,12 +220,17 @@ def passages(model: Licences, t: Texts):
     if not len(hits):
         return
     new = np.r_[True, (np.diff(hits) > GAP) | (part[hits[1:]] != part[hits[:-1]]) | (doc[hits[1:]] != doc[hits[:-1]])]
-    first, last = hits[new], hits[np.r_[np.flatnonzero(new)[1:] - 1, len(hits) - 1]]
-    for a, b in zip(first, last):
-        lo, hi = a, b + 3
-        while lo > a - AROUND and lo > 0 and doc[lo - 1] == doc[a] and part[lo - 1] == part[a]:
+    bounds = np.r_[np.flatnonzero(new), len(hits)]
+    pieces = []  # first and last hit, and the words to stay between
+    for i, j in zip(bounds[:-1], bounds[1:]):
+        own = [i, *(i + c for c in cuts(model, hits[i:j], at[hits[i:j]])), j]
+        edges = [0, *(int(hits[c]) for c in own[1:-1]), len(w)]
+        pieces += [(hits[x], hits[y - 1], low, high) for x, y, low, high in zip(own, own[1:], edges, edges[1:])]
+    for a, b, low, high in pieces:
+        lo, hi = a, min(b + 3, high)
+        while lo > a - AROUND and lo > low and doc[lo - 1] == doc[a] and part[lo - 1] == part[a]:
             lo -= 1
-        while hi < b + 3 + AROUND and hi < len(w) and doc[hi] == doc[a] and part[hi] == part[a]:
+        while hi < b + 3 + AROUND and hi < high and doc[hi] == doc[a] and part[hi] == part[a]:
             hi += 1
         start = t.offsets[doc[a]]
         yield int(doc[a]), int(line[a] - (base[start - 1] if start else 0)), w[lo:hi]
@@ -207,7 +242,7 @@ def license_scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     double (of the family predicted), held double (share of a template's triples of that family).
 
     Null and empty texts have no passages; repeated rows each get their row; an empty table gives none; other columns are not read. Passages run over
-    line feeds, but not over lines without words. One narrow pass.
+    line feeds, but not over lines without words; licences of different families side by side are passages of their own. One narrow pass.
     """
     entry = pa.struct([("paragraph", pa.int32()), ("family", pa.string()), ("probability", pa.float64()), ("held", pa.float64())])
 

@@ -374,6 +374,20 @@ the Free Software Foundation, either version 3 of the License, or"""
     assert got[:3] == [[(0, "gpl-3.0")], [(0, "bsd")], [(2, "mit")]] and got[3] != [(0, "mit")]
 
 
+def test_licences_side_by_side(spark):
+    got = families(
+        spark,
+        "Released under the MIT License. Licensed under CC BY 4.0.",
+        "Licensed under the Apache License, Version 2.0 or the MIT License",
+        "It comes under the Apache License, Version 2.0 or the MIT License at your option.",
+        "Released under the BSD License.\nReleased under the ISC License. Licensed under CC BY-NC 4.0.",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+        " ".join(licenses.TEMPLATES["mit"][-2:]),
+    )
+    assert [[f for _, f in x] for x in got] == [["mit", "cc-by-4.0"], ["apache-2.0", "mit"], ["apache-2.0", "mit"], ["bsd", "isc", "cc-by-nc-4.0"], ["cc-by-nc-4.0"], ["mit"]]
+    assert [p for p, _ in got[3]] == [0, 1, 1]
+
+
 def test_licences_cut_damaged_and_unknown(spark, edge, empty):
     rows = [
         (1, "Permission is hereby granted, free of charge, to any person obtaining a copy of this software", "s"),
