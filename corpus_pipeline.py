@@ -4,11 +4,10 @@ weights, and what is left is encoded."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from querncore.llm.common import id_crc, table, written
+from querncore.llm.common import id_crc, removed, scratch, table, written
 from querncore.llm.jaccard_join import keep_one
-from querncore.llm.mixing import mix
+from querncore.llm.mixing import mixed_rows
 from querncore.llm.quality import accepted, learn
 from querncore.llm.queries import tokenizer_path
 from querncore.llm.unigram import encode_texts
@@ -25,8 +24,7 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    mixed = mix(docs, carry=True)
-    return mixed.filter("copies > 0").select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")).drop("_copy")
+    return mixed_rows(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,8 +39,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to the documents; each stage's rows are written to the shared folder and read again."""
+    """Applies the stages to the documents; each stage's rows are written to the shared folder and read again, and what
+    it wrote besides goes."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name.split()[0].lower())
+    for k, (name, stage) in enumerate(STAGES):
+        before = docs
+        with scratch(spark):
+            docs = written(stage(spark, before, sf_dir), name.split()[0].lower())
+        if k:
+            removed(before)
     return docs

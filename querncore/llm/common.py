@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import contextlib
-import gc
 import tempfile
 import uuid
 
@@ -18,9 +17,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir. Where none is set (tests, one machine), one is made and set."""
+    """The folder that the cluster names in spark.checkpoint.dir. Where none is set and all runs on one machine (tests), one is made and set; a
+    cluster without one is an error, since its machines share no temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="querncore-")
         spark.sparkContext.setCheckpointDir(base)
         base = spark.sparkContext.getCheckpointDir()
@@ -31,24 +33,42 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/querncore-{name}-{uuid.uuid4().hex}"
 
 
+#: Paths written inside each ``scratch`` that is open.
+_scopes: list[list[str]] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes the rows as a table in the shared folder and reads them back: cuts the lineage in a way that outlives executors. The shuffle
-    files that led there are no longer needed; Spark removes them once the driver's collectors have seen that."""
+    """Writes the rows as a table in the shared folder and reads them back: cuts the lineage in a way that outlives executors."""
     path, schema, spark = new_path(df.sparkSession, name), df.schema, df.sparkSession
     df.write.parquet(path)
-    del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    if _scopes:
+        _scopes[-1].append(path)
     return spark.read.schema(schema).parquet(path)
 
 
-def removed(df: DataFrame) -> None:
-    """Removes the folder of a table that ``written`` made, once nothing reads it any more."""
-    spark = df.sparkSession
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/querncore-" in folder:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Tables that are written inside go when it closes, but for the last one: the result."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop()[:-1]:
+            _delete(spark, path)
+
+
+def removed(*tables: DataFrame) -> None:
+    """Removes the folders of tables that ``written`` made, once nothing reads them any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if "/querncore-" in folder:
+                _delete(spark, folder)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -99,13 +119,36 @@ def bucket_of(points: np.ndarray):
     return find
 
 
-def most_frequent(counts: DataFrame, count: str, limit: int) -> tuple[pa.Table, int]:
-    """The rows whose count reaches the least threshold that ``limit`` rows at most reach, and that threshold. No sort: the threshold comes from
-    how many rows have each count (a few thousand numbers)."""
-    sizes = counts.groupBy(count).agg(F.count("*").alias("n")).filter(F.col(count) > 0)
-    threshold, rows = 1 << 62, 0
-    for c, n in sorted(((r[0], r[1]) for r in sizes.collect()), reverse=True):
+#: Steps of frequency in a doubling.
+STEPS = 64
+
+
+def most_frequent(counts: DataFrame, count: str, limit: int) -> tuple[pa.Table, Column]:
+    """At most ``limit`` rows with the largest counts (1 and more), and the condition that holds for exactly these. No sort: rows are told apart by
+    steps of their count's logarithm, and how many rows each step has (some thousand numbers at any size) tells where to stop."""
+    step = F.floor(F.log2(F.col(count)) * STEPS)
+    sizes = counts.filter(F.col(count) > 0).groupBy(step.alias("step")).agg(F.count("*").alias("n"))
+    least, rows = 1 << 31, 0
+    for s, n in sorted(((r[0], r[1]) for r in sizes.collect()), reverse=True):
         if rows + n > limit:
             break
-        threshold, rows = c, rows + n
-    return counts.filter(F.col(count) >= threshold).toArrow(), threshold
+        least, rows = s, rows + n
+    chosen = (F.col(count) > 0) & (step >= least)
+    return counts.filter(chosen).toArrow(), chosen
+
+
+def row_key(df: DataFrame) -> list[Column]:
+    """Columns _k1 long and _k2 int that tell rows apart by all that they hold: rows with the same key are the same row, repeated. They depend on the
+    row alone, so a row read twice, or again after an executor was lost, has the same key. Columns of maps, which have no order, do not count."""
+    fields = [f for f in df.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    held = [F.col(f"`{f.name}`") for f in fields]
+    nulls = F.array(*(c.isNull() for c in held))
+    return [F.xxhash64(nulls, *held).alias("_k1"), F.hash(nulls, *held).alias("_k2")]
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with underscores behind it until no column of df has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

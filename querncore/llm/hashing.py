@@ -4,16 +4,16 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 #: Bytes of text hashed at a time (a longer document is a slice of its own).
 SLICE = 1 << 20
-BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Longer ranges of bytes are hashed one by one.
+LONG = 256
 _space = np.zeros(256, bool)
 _space[[0x20, *range(0x09, 0x0E)]] = True
-_values = np.random.Generator(np.random.PCG64(0x51EED)).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
-_folded = _values.copy()
-_folded[ord("A") : ord("Z") + 1] = _values[ord("a") : ord("z") + 1]
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_lower = np.arange(256, dtype=np.uint8)
+_lower[ord("A") : ord("Z") + 1] += 32
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -27,18 +27,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**k and BASE**-k modulo 2**64 for k up to n."""
-    if len(_powers[0]) <= n:
-        inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
-        size = max(n, SLICE) + 1
-        for k, b in enumerate((BASE, inverse)):
-            p = np.full(size, b, np.uint64)
-            p[0] = 1
-            _powers[k] = np.cumprod(p, dtype=np.uint64)
-    return _powers[0], _powers[1]
-
-
 class Texts:
     """The bytes of some texts, their words, and hashes of byte ranges. Nulls are empty texts."""
 
@@ -59,16 +47,30 @@ class Texts:
             self.starts = self.ends = np.zeros(0, np.int64)
         #: words of text k are bounds[k] to bounds[k + 1]
         self.bounds = np.searchsorted(self.starts, offsets)
-        self._prefix = None
+        self._folded = None
 
     def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Of byte ranges, by their bytes alone."""
-        p, inverse = powers(len(self.raw))
-        if self._prefix is None:
-            self._prefix = np.zeros(len(self.raw) + 1, np.uint64)
-            np.cumsum((_folded if self.fold else _values)[self.raw] * p[: len(self.raw)], out=self._prefix[1:])
-        h = (self._prefix[ends] - self._prefix[starts]) * inverse[starts]
-        return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        """Of byte ranges, by their bytes alone. Eight bytes at a time go through a finaliser on top of the hash of those before, so ranges of up to
+        eight bytes and one length never share a hash, and others share one by chance alone, whatever their bytes; longer ones than LONG by xxh3."""
+        if self._folded is None:
+            folded = _lower[self.raw] if self.fold else self.raw
+            self._folded = np.concatenate([folded, np.zeros(8, np.uint8)])
+            # the eight bytes from each place on
+            self._eight = np.ndarray(len(self.raw) + 1, "<u8", self._folded.data, strides=(1,))
+        n = ends - starts
+        out = mix(n.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(0x9E3779B97F4A7C15))
+        left = np.flatnonzero((n > 0) & (n <= LONG))
+        at, rest = starts[left], n[left]
+        while len(left):
+            chunk = self._eight[at]
+            part = np.minimum(rest, 8).astype(np.uint64)
+            chunk &= np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - part * np.uint64(8))
+            out[left] = mix(out[left] * np.uint64(0xA0761D6478BD642F) ^ chunk)
+            more = rest > 8
+            left, at, rest = left[more], at[more] + 8, rest[more] - 8
+        for k in np.flatnonzero(n > LONG):
+            out[k] = xxhash.xxh3_64_intdigest(self._folded[starts[k] : ends[k]].data)
+        return out
 
     def words(self) -> np.ndarray:
         return self.hashes(self.starts, self.ends)

@@ -5,13 +5,18 @@ of prefix shingles:
 
 1. Equal sets become one. A set's order puts shingles that many sets share last and follows hashes otherwise; any two
    linked sets share a shingle within the first n - ceil(t n) + 1 of either.
-2. Index lists hold, for each prefix shingle, its sets by size, with the shingle's position in them. Neighbours in a list are compared
-   first, which links highly similar sets at a cost in proportion to the lists.
-3. A set's answers then follow from its component's: only pairs from different components are still open. Lists are cut into
-   blocks by size; block pairs whose sizes cannot reach the similarity, and entries whose positions or parity bitmaps leave too
-   small an overlap, are skipped. The pairs left are compared on their whole sets.
-
-No list, component or group of copies has to fit in one task, and no pair within a component is ever emitted again.
+2. Index lists hold, for each prefix shingle, its sets with the shingle's position in them. Neighbours in a list are compared
+   first, which links highly similar sets at a cost in proportion to the lists. Linked sets have a leader, and each keeps how much it gains and
+   loses against it.
+3. The lists then hold leaders alone, an entry for each, with the sizes, the positions and the distances from the leader that its sets span there.
+   Entries lie in blocks by size and position, and blocks (and smaller blocks inside them) that no position lets reach the similarity
+   are skipped; single entries go by size, position and parity bitmap. Leaders that are left are compared: these are a leader's answers, with
+   their intersections.
+4. A set's answers are derived from its leader's: its intersection with another leader's set is the leaders' own, give or take what both sets
+   gain and lose. Mostly that decides; the sets of the few pairs that it leaves open are read.
+
+A list with a large share of all sets is dealt over several tasks. No list, component or group of copies has to fit in one task, and no pair
+within a component is ever emitted.
 """
 
 from __future__ import annotations
@@ -19,18 +24,21 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from querncore.llm.common import most_frequent, partitions, removed, small_batches, written
+from querncore.llm.common import free_name, most_frequent, partitions, removed, row_key, small_batches, written
 from querncore.llm.hashing import shingles, slices
 
 #: Sets that share a shingle from which on it goes to the end of the order, and how many such shingles are told to all tasks
 #: (8 bytes each; the most frequent come first). Both steer the cost, never the result.
 FREQUENT, TOLD = 24, 1 << 19
-#: Entries of a block of an index list; bits of a set's parity bitmap.
-BLOCK, BITS = 2048, 512
+#: Sets of a list that a task gets of it: longer lists are dealt over tasks.
+HOT = 50_000
+#: Entries of a block of an index list, and of the blocks inside it; bits of a set's parity bitmap.
+BLOCK, INSIDE, BITS = 2048, 64, 512
+#: Tasks over which a set's entries are dealt where they are joined by set.
+SALTS = 4
 
 
 def needed(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
@@ -88,7 +96,8 @@ def _scan_sets(width: int):
             n, sid, bits = np.zeros(b.num_rows, np.int64), [None] * b.num_rows, [None] * b.num_rows
             for r, h in sets_of(b.column(1), width):
                 n[r], sid[r], bits[r] = len(h), set_id(h), bitmap(h)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(sid, pa.int64()), pa.array(bits, pa.binary())], names=["doc_id", "n", "sid", "bits"])
+            more = range(2, b.num_columns)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(sid, pa.int64()), pa.array(bits, pa.binary()), *(b.column(k) for k in more)], names=["doc_id", "n", "sid", "bits", *(f"key{k - 2}" for k in more)])
 
     return run
 
@@ -120,58 +129,61 @@ def _scan_counts(width: int, percent: int):
 
 
 def _scan_postings(width: int, percent: int, frequent):
+    """(token, sid, n, pos, salts): prefixes of sets; salts: over how many tasks the token's list is dealt."""
+    names = ["token", "sid", "n", "pos", "salts"]
+
     def run(batches):
-        seen, last = _Seen(), frequent.value
+        seen, (last, sets) = _Seen(), frequent.value
         for b in batches:
-            tokens, sids, sizes, places, held = [], [], [], [], 0
+            held, size = [], 0
+
+            def out():
+                return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held)], names=names)
+
             for _, h in sets_of(b.column(0), width):
                 sid = set_id(h)
                 if seen(sid):
                     continue
-                n = len(h)
+                n, p = len(h), int(prefix_length(len(h), percent))
+                salts = np.ones(p, np.int32)
                 if len(last):
-                    at = np.searchsorted(last, h)
-                    common = last[np.minimum(at, len(last) - 1)] == h
-                    h = np.r_[h[~common], h[common]]
-                p = int(prefix_length(n, percent))
-                tokens.append(h[:p].view(np.int64))
-                sids.append(np.full(p, sid))
-                sizes.append(np.full(p, n, np.int32))
-                places.append(np.arange(p, dtype=np.int32))
-                held += p
-                if held > 1 << 18:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (tokens, sids, sizes, places)], names=["token", "sid", "n", "pos"])
-                    tokens, sids, sizes, places, held = [], [], [], [], 0
+                    at = np.minimum(np.searchsorted(last, h), len(last) - 1)
+                    common = last[at] == h
+                    h, at = np.r_[h[~common], h[common]], np.r_[np.full(n - int(common.sum()), -1), at[common]][:p]
+                    salts[at >= 0] = -(-sets[at[at >= 0]] // HOT)
+                held.append((h[:p].view(np.int64), np.full(p, sid), np.full(p, n, np.int32), np.arange(p, dtype=np.int32), salts))
+                size += p
+                if size > 1 << 18:
+                    yield out()
+                    held, size = [], 0
             if held:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (tokens, sids, sizes, places)], names=["token", "sid", "n", "pos"])
+                yield out()
 
     return run
 
 
 def _lists(batches):
-    """From postings in order of token, size, set: the entries of lists of two sets and more, each with its neighbour before it."""
+    """From postings in order of token, size, set: the entries of lists of two sets and more, each with its neighbour before it. Of a list that is dealt
+    over tasks all entries stay."""
     carry = None  # the last entry so far, and whether it has been handed on
     for b in batches:
         if not b.num_rows:
             continue
-        token, sid, n, pos = (b.column(k).to_numpy() for k in range(4))
+        token, sid, n, pos, salts = (b.column(k).to_numpy() for k in range(5))
         if carry is not None:
-            token, sid, n, pos = (np.r_[c, x] for c, x in zip(carry[0], (token, sid, n, pos)))
+            token, sid, n, pos, salts = (np.r_[c, x] for c, x in zip(carry[0], (token, sid, n, pos, salts)))
         given = np.zeros(len(token), bool)
         if carry is not None:
             given[0] = carry[1]
         fresh = np.r_[True, (token[1:] != token[:-1]) | (sid[1:] != sid[:-1])]
-        token, sid, n, pos, given = token[fresh], sid[fresh], n[fresh], pos[fresh], given[fresh]
+        token, sid, n, pos, salts, given = (x[fresh] for x in (token, sid, n, pos, salts, given))
         same = np.r_[False, token[1:] == token[:-1]]  # as the entry before
         more = np.r_[same[1:], False]
-        out = (same | more) & ~given
-        # places in the list, from 0
-        spot = np.arange(len(token))
-        place = spot - np.maximum.accumulate(np.where(same, 0, spot)) + (np.where(token == token[0], carry[2], 0) if carry is not None and len(token) else 0)
+        out = (same | more | (salts > 1)) & ~given
         none = ~same[out]
         before = [pa.array(np.r_[x[:1], x[:-1]][out], mask=none) for x in (sid, n, pos)]
-        yield pa.RecordBatch.from_arrays([*(pa.array(x[out]) for x in (token, sid, n, pos)), *before, pa.array(place[out].astype(np.int64))], names=["token", "sid", "n", "pos", "before", "before_n", "before_pos", "place"])
-        carry = ([x[-1:] for x in (token, sid, n, pos)], bool(out[-1] or given[-1]), int(place[-1]))
+        yield pa.RecordBatch.from_arrays([*(pa.array(x[out]) for x in (token, sid, n, pos, salts)), *before], names=["token", "sid", "n", "pos", "salts", "before", "before_n", "before_pos"])
+        carry = ([x[-1:] for x in (token, sid, n, pos, salts)], bool(out[-1] or given[-1]))
 
 
 def _scan_tokens(width: int, bloom):
@@ -237,41 +249,51 @@ def _alike(batches):
         yield b.select(["a", "b"]).filter(pa.array(ok))
 
 
-def _verify(percent: int):
-    def run(batches):
-        for b in batches:
-            a, c = b.column(0).to_pylist(), b.column(1).to_pylist()
-            ok = []
-            for x, y in zip(b.column(2), b.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.r_[x, y]
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                ok.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64()), pa.array(ok, pa.bool_())], names=["a", "b", "linked"])
-
-    return run
-
-
-def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """pairs: a, b (set ids, each pair once). linked, by the whole sets, read again from texts where a pair asks for them. Written."""
+def _verify(batches):
+    for b in batches:
+        common, na, nb = [], [], []
+        for x, y in zip(b.column(2), b.column(3)):
+            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            both = np.r_[x, y]
+            both.sort()
+            common.append(int((both[1:] == both[:-1]).sum()))
+            na.append(len(x))
+            nb.append(len(y))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(x, pa.int64()) for x in (common, na, nb))], names=["a", "b", "common", "na", "nb"])
+
+
+def compared(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """pairs: a, b (set ids, each pair once) -> a, b, common, na, nb: the intersection and the sizes, by the whole sets, read again from texts where a
+    pair asks for them. Written."""
     spark = pairs.sparkSession
+    pairs, kinds = written(pairs.select("a", "b"), "asked"), "a long, b long, common long, na long, nb long"
+    if pairs.isEmpty():
+        return written(spark.createDataFrame([], kinds), "compared")
     asked = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
     bloom = spark.sparkContext.broadcast(_filter(asked))
     found = texts.mapInArrow(_scan_tokens(width, bloom), "sid long, tokens binary").join(asked, "sid", "left_semi")
     found = written(found.groupBy("sid").agg(F.first("tokens").alias("tokens")), "tokens")
     left = pairs.join(found.select(F.col("sid").alias("a"), F.col("tokens").alias("ta")), "a")
     both = left.join(found.select(F.col("sid").alias("b"), F.col("tokens").alias("tb")), "b").select("a", "b", "ta", "tb")
-    out = written(both.mapInArrow(_verify(percent), "a long, b long, linked boolean"), "verified")
-    removed(found)
+    out = written(both.mapInArrow(_verify, kinds), "compared")
+    removed(found, pairs)
     return out
 
 
+def _linked(percent: int):
+    return F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * percent
+
+
+def _need(percent: int, na, nb):
+    """``needed`` as a Column."""
+    return F.ceil((na + nb) * percent / F.lit(100 + percent))
+
+
 def components(links: DataFrame) -> DataFrame:
     """links: a, b. (node, root) of every node with links, root the smallest node of its component.
 
     Each partition first replaces its links by stars around its own roots; large-star and small-star steps follow until nothing
-    changes, each written to the shared folder. Minima are pre-aggregated before they are shuffled.
+    changes, each written to the shared folder, as is the result. Minima are pre-aggregated before they are shuffled.
     """
 
     def contract(batches):
@@ -303,94 +325,151 @@ def components(links: DataFrame) -> DataFrame:
         large = both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").filter("u != v").distinct()
-        edges = written(small, "stars")
+        before, edges = edges, written(small, "stars")
+        removed(before)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             break
         state = now
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    out = written(roots, "label")
+    removed(edges)
+    return out
 
 
-def _pack(batches):
-    """From entries in order of token, size, set: blocks of a list, packed, with the sizes and components they span."""
-    token, held, place = None, [], 0
-    out = []
+#: Columns of a packed block and the types of what they hold.
+PACKED = {"id": np.int64, "comp": np.int64, "low": np.int32, "high": np.int32, "reach": np.int32, "far": np.int32, "bits": np.uint64}
+BLOCKS = "token long, least int, most int, best int, " + ", ".join(f"{c} binary" for c in PACKED)
 
-    def packed():
-        cols = list(zip(*held))
-        n, comp = np.array(cols[1], np.int32), np.array(cols[3], np.int64)
-        return (token, place, int(n.min()), int(n.max()), int(comp.min()), int(comp.max()), np.array(cols[0], np.int64).tobytes(), n.tobytes(), np.array(cols[2], np.int32).tobytes(), comp.tobytes(), b"".join(cols[4]))
 
-    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), *(pa.binary(),) * 5)
-    names = "token place low high c_low c_high sid n pos comp bits"
+def _pack(batches):
+    """From entries in order of token, size class, position: blocks of a list, packed, with the least and largest size and the best reach (what a set
+    can still have in common from the position on) that they span."""
+    def rows(token, cols, done):
+        """Whole blocks of one list, and what is left of it unless it is done."""
+        n = len(cols[0])
+        to = n if done else n - n % BLOCK
+        out = []
+        for at in range(0, to, BLOCK):
+            part = [c[at : at + BLOCK] for c in cols]
+            out.append((token, int(part[2].min()), int(part[3].max()), int(part[4].max()), *(c.tobytes() for c in part)))
+        return out, [c[to:] for c in cols]
+
+    token, left = None, None
+    kinds = (pa.int64(), *(pa.int32(),) * 3, *(pa.binary(),) * len(PACKED))
+    names = "token least most best " + " ".join(PACKED)
     for b in batches:
-        for t, *entry in zip(*(b.column(k).to_pylist() for k in range(6))):
-            if t != token or len(held) >= BLOCK:
-                if held:
-                    out.append(packed())
-                place = place + 1 if t == token else 0
-                token, held = t, []
-            held.append(entry)
-        if len(out) >= 256:
-            yield _batch(names, out, kinds)
-            out = []
-    if held:
-        out.append(packed())
-    yield _batch(names, out, kinds)
+        if not b.num_rows:
+            continue
+        t = b.column(0).to_numpy()
+        cols = [b.column(k + 1).to_numpy().astype(kind) for k, kind in enumerate(list(PACKED.values())[:-1])]
+        cols.append(np.frombuffer(b"".join(b.column(len(PACKED)).to_pylist()), np.uint64).reshape(len(t), -1))
+        edges = np.r_[0, np.flatnonzero(t[1:] != t[:-1]) + 1, len(t)]
+        out = []
+        for lo, hi in zip(edges[:-1], edges[1:]):
+            own = [c[lo:hi] for c in cols]
+            if left is not None and t[lo] == token:
+                own = [np.concatenate(x) for x in zip(left, own)]
+            elif left is not None and len(left[0]):
+                out += rows(token, left, True)[0]
+            token = int(t[lo])
+            more, left = rows(token, own, False) if hi == len(t) else (rows(token, own, True)[0], None)
+            out += more
+        yield _batch(names, out, kinds)
+    if left is not None and len(left[0]):
+        yield _batch(names, rows(token, left, True)[0], kinds)
+
+
+def least_need(a, b, percent: int):
+    return needed(np.asarray(a, np.int64), np.asarray(b, np.int64), percent)
 
 
 def _open_pairs(percent: int, best: bool):
-    """Pairs of sets from different components that may be linked. best: of each set's partners in a block, the one whose bitmap is nearest alone."""
+    """Pairs of entries of different components that may hold linked sets. Of two blocks, smaller blocks are held against each other by their sizes and
+    positions first; where none of their sets can be linked, they are skipped. best: of an entry's partners in a block the nearest by bitmap alone."""
+
+    def nearest(p, q, differ):
+        keep = np.zeros(len(p), bool)
+        for own, other in ((p, q), (q, p)):
+            order = np.lexsort((other, differ, own))
+            keep[order[np.r_[True, own[order][1:] != own[order][:-1]]]] = True
+        return keep
 
     def unpack(row, p):
-        n = np.frombuffer(row[p + "n"], np.int32).astype(np.int64)
-        return np.frombuffer(row[p + "sid"], np.int64), n, np.frombuffer(row[p + "pos"], np.int32).astype(np.int64), np.frombuffer(row[p + "comp"], np.int64), np.frombuffer(row[p + "bits"], np.uint64).reshape(len(n), -1)
+        got = {c: np.frombuffer(row[p + c], kind) for c, kind in PACKED.items()}
+        n = len(got["id"])
+        got["bits"] = got["bits"].reshape(n, -1)
+        for c in ("low", "high", "reach", "far"):
+            got[c] = got[c].astype(np.int64)
+        at = np.arange(0, n, INSIDE)
+        got["at"], got["least"], got["most"], got["best"] = np.r_[at, n], np.minimum.reduceat(got["low"], at), np.maximum.reduceat(got["high"], at), np.maximum.reduceat(got["reach"], at)
+        return got
+
+    def fits(x_low, x_high, x_reach, y_low, y_high, y_reach):
+        sizes = (100 * x_high >= percent * y_low) & (100 * y_high >= percent * x_low)
+        return sizes & (np.minimum(x_reach, y_reach) >= least_need(x_low, y_low, percent))
 
     def run(batches):
         for b in batches:
             for row in b.to_pylist():
-                sx, nx, px, cx, bx = unpack(row, "x_")
-                sy, ny, py, cy, by = unpack(row, "y_")
-                same = row["same"]
-                for i in range(len(sx)):
-                    lo = i + 1 if same else 0
-                    hi = int(np.searchsorted(ny, nx[i] * 100 // percent, side="right"))  # sizes ascend: the rest of the block is skipped
-                    if hi <= lo:
-                        continue
-                    part = slice(lo, hi)
-                    need = needed(nx[i], ny[part], percent)
-                    ok = (cy[part] != cx[i]) & (1 + np.minimum(nx[i] - px[i], ny[part] - py[part]) - 1 >= need)
-                    j = np.flatnonzero(ok)
-                    if not len(j):
+                x, y = unpack(row, "x_"), unpack(row, "y_")
+                inside = fits(*(x[c][:, None] for c in ("least", "most", "best")), *(y[c][None, :] for c in ("least", "most", "best")))
+                if row["same"]:
+                    inside = np.triu(inside)
+                found = []
+                for i, j in zip(*np.nonzero(inside)):
+                    u, v = slice(x["at"][i], x["at"][i + 1]), slice(y["at"][j], y["at"][j + 1])
+                    ok = fits(*(x[c][u][:, None] for c in ("low", "high", "reach")), *(y[c][v][None, :] for c in ("low", "high", "reach")))
+                    ok &= x["comp"][u][:, None] != y["comp"][v][None, :]
+                    if row["same"] and i == j:
+                        ok = np.triu(ok, 1)
+                    k, m = np.nonzero(ok)
+                    if not len(k):
                         continue
-                    differ = np.bitwise_count(bx[i][None, :] ^ by[part][j]).sum(axis=1)
-                    fits = differ <= nx[i] + ny[part][j] - 2 * need[j]
-                    j = j[fits] + lo
-                    if best and len(j):
-                        j = j[[int(np.argmin(differ[fits]))]]
-                    if len(j):
-                        a, c = np.minimum(sx[i], sy[j]), np.maximum(sx[i], sy[j])
-                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c)], names=["a", "b"])
+                    k, m = k + u.start, m + v.start
+                    differ = np.bitwise_count(x["bits"][k] ^ y["bits"][m]).sum(axis=1, dtype=np.int64)
+                    size = x["high"][k] + y["high"][m]
+                    near = differ <= size - 2 * needed(size, 0, percent) + 1 + x["far"][k] + y["far"][m]
+                    found.append((x["id"][k[near]], y["id"][m[near]], differ[near]))
+                if found:
+                    p, q, differ = (np.concatenate(z) for z in zip(*found))
+                    if best and len(p):
+                        keep = nearest(p, q, differ)
+                        p, q = p[keep], q[keep]
+                    if len(p):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], names=["a", "b"])
 
     return run
 
 
-def _still_open(entries: DataFrame, known: DataFrame, percent: int, best: bool, parts: int) -> DataFrame:
-    """Pairs (a, b) of sets from different components that share an index list and may be linked."""
-    labelled = entries.join(known.select("sid", "comp"), "sid")
-    mixed = labelled.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x != y").select("token")
-    some = labelled.join(mixed, "token", "left_semi").join(known.select("sid", "bits"), "sid").select("token", "sid", "n", "pos", "comp", "bits")
-    some = some.repartition(parts, "token").sortWithinPartitions("token", "n", "sid")
-    blocks = written(some.mapInArrow(_pack, "token long, place int, low int, high int, c_low long, c_high long, sid binary, n binary, pos binary, comp binary, bits binary"), "blocks")
-    cols = ("sid", "n", "pos", "comp", "bits")
-    x = blocks.select("token", *(F.col(c).alias("x_" + c) for c in (*cols, "place", "high", "c_low", "c_high")))
-    y = blocks.select("token", *(F.col(c).alias("y_" + c) for c in (*cols, "place", "low", "c_low", "c_high")))
-    several = (F.col("x_c_low") != F.col("y_c_high")) | (F.col("y_c_low") != F.col("x_c_high"))
-    # blocks of one list part by size: those whose largest set is too small for the other's smallest are skipped
-    ok = (F.col("x_place") < F.col("y_place")) & (100 * F.col("x_high") >= percent * F.col("y_low")) & several
-    across = x.join(y.filter("y_place > 0"), "token").filter(ok).select(*(F.col(p + c) for p in ("x_", "y_") for c in cols), F.lit(False).alias("same"))
-    own = blocks.filter("c_low != c_high").select(*(F.col(c).alias(p + c) for p in ("x_", "y_") for c in cols), F.lit(True).alias("same"))
-    return own.unionByName(across.repartition(parts)).mapInArrow(_open_pairs(percent, best), "a long, b long").distinct()
+def _met(entries: DataFrame, percent: int, best: bool) -> DataFrame:
+    """entries: deal, token, salts, id, comp, low, high, reach, far, bits -> pairs (a, b) of ids of different components that share a list and may
+    hold linked sets (best: the nearest of them alone). Written."""
+    spark = entries.sparkSession
+    parts = partitions(spark)
+    size = F.floor(F.log("low") / F.lit(float(np.log(100 / percent) if percent < 100 else 1.0)))
+    some = entries.withColumn("size", size).repartition(parts, "deal").sortWithinPartitions("token", "size", F.col("reach") / F.col("low"), "id")
+    blocks = some.select("token", *PACKED).mapInArrow(_pack, BLOCKS)
+    blocks = written(blocks.withColumn("block", F.monotonically_increasing_id()), "blocks")
+    side = lambda p: [F.col(c).alias(p + c) for c in PACKED]
+    own = blocks.filter(F.length("id") > 8).select(*side("x_"), *side("y_"), F.lit(True).alias("same"))
+    several = blocks.groupBy("token").agg(F.count("*").alias("blocks")).filter("blocks > 1").select("token")
+    long = blocks.join(several, "token", "left_semi")
+    x, y = (long.select("token", *side(p), *(F.col(c).alias(p + c) for c in ("least", "most", "best", "block"))) for p in ("x_", "y_"))
+    # blocks of one list part by size and by position: those that cannot reach the similarity are not brought together
+    c = F.col
+    ok = (c("x_block") < c("y_block")) & (100 * c("x_most") >= percent * c("y_least")) & (100 * c("y_most") >= percent * c("x_least"))
+    ok &= F.least("x_best", "y_best") >= _need(percent, c("x_least"), c("y_least"))
+    across = x.join(y, "token").filter(ok).select(*(c(p + k) for p in ("x_", "y_") for k in PACKED), F.lit(False).alias("same")).repartition(parts)
+    out = written(own.unionByName(across).mapInArrow(_open_pairs(percent, best), "a long, b long").distinct(), "met")
+    removed(blocks)
+    return out
+
+
+def _by_set(entries: DataFrame, of_set: DataFrame, how: str = "inner") -> DataFrame:
+    """Joins entries of lists with what is known of sets, by sid; a long set's many entries are dealt over SALTS keys."""
+    salted = of_set.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    return entries.withColumn("salt", F.pmod("token", F.lit(SALTS)).cast("int")).join(salted, ["sid", "salt"], how).drop("salt")
 
 
 def jaccard_components(docs: DataFrame, percent: int = 90, width: int = 3, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -399,8 +478,8 @@ def jaccard_components(docs: DataFrame, percent: int = 90, width: int = 3, text:
 
     Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lowered; a set holds the distinct runs of ``width`` words, or all words as one run where there are
     fewer. Texts that are null or hold no words have an empty set and are linked with nothing. Repeated rows each get their row. Null ids are
-    passed over for component_id, unless a component has no other: then it is null. An empty table gives none; other
-    columns are not read. Shingles are compared by 64-bit hashes.
+    passed over for component_id, unless a component has no other: then it is null. A very long text is one set, whole. An empty table gives none;
+    other columns are not read. Shingles are compared by 64-bit hashes.
     """
     with small_batches(docs.sparkSession):
         sets, classes = _classes(docs, percent, width, text, doc_id)
@@ -408,51 +487,89 @@ def jaccard_components(docs: DataFrame, percent: int = 90, width: int = 3, text:
     return out.select("doc_id", "n_shingles", F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def _classes(docs: DataFrame, percent: int, width: int, text: str, doc_id: str) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, sid) of every row and (sid, root, component_id) of every set, root a set of its component. All that runs Python has run when this returns."""
+def _classes(docs: DataFrame, percent: int, width: int, text: str, doc_id: str, key=()) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n, sid, and the columns in key as key0, ...) of every row and (sid, root, component_id) of every set, root a set of its component.
+    All that runs Python has run when this returns."""
     spark = docs.sparkSession
-    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("t"))
+    names = [f"key{k}" for k in range(len(key))]
+    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("t"), *(c.alias(n) for c, n in zip(key, names)))
     texts = own.select("t")
     parts = partitions(spark)
-    sets = written(own.mapInArrow(_scan_sets(width), "doc_id long, n long, sid long, bits binary"), "sets")
-    distinct = written(sets.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("least"), F.first("bits").alias("bits")), "distinct")
+    kinds = "".join(f", {n} {own.schema[n].dataType.simpleString()}" for n in names)
+    sets = written(own.mapInArrow(_scan_sets(width), "doc_id long, n long, sid long, bits binary" + kinds), "sets")
+    distinct = written(sets.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("least"), F.first("bits").alias("bits"), F.first("n").cast("int").alias("n")), "distinct")
 
     counts = texts.mapInArrow(_scan_counts(width, percent), "token long, sets long").groupBy("token").agg(F.sum("sets").alias("sets"))
-    frequent = most_frequent(counts.filter(F.col("sets") >= FREQUENT), "sets", TOLD)[0].column("token").to_numpy()
-    told = spark.sparkContext.broadcast(np.sort(frequent.view(np.uint64)))
-    postings = texts.mapInArrow(_scan_postings(width, percent, told), "token long, sid long, n int, pos int")
-    dealt = postings.repartition(parts, "token").sortWithinPartitions("token", "n", "sid")
-    lists = written(dealt.mapInArrow(_lists, "token long, sid long, n int, pos int, before long, before_n int, before_pos int, place long"), "lists")
-
+    counts = written(counts.filter(F.col("sets") >= FREQUENT), "counts")
+    frequent = most_frequent(counts, "sets", TOLD)[0]
+    removed(counts)
+    order = np.argsort(frequent.column("token").to_numpy().view(np.uint64))
+    told = spark.sparkContext.broadcast((frequent.column("token").to_numpy().view(np.uint64)[order], frequent.column("sets").to_numpy()[order]))
+    postings = texts.mapInArrow(_scan_postings(width, percent, told), "token long, sid long, n int, pos int, salts int")
+    deal = lambda by: F.when(F.col("salts") > 1, F.xxhash64("token", F.pmod(by, F.col("salts")))).otherwise(F.col("token")).alias("deal")
+    dealt = postings.withColumn("deal", deal("sid")).repartition(parts, "deal").sortWithinPartitions("token", "n", "sid").drop("deal")
+    lists = written(dealt.mapInArrow(_lists, "token long, sid long, n int, pos int, salts int, before long, before_n int, before_pos int"), "lists")
+
+    # 2. neighbours
     pair = lambda x, y: [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
-    need = F.ceil(F.lit(percent) * (F.col("n") + F.col("before_n")) / F.lit(100 + percent))
+    need = _need(percent, F.col("n"), F.col("before_n"))
     reach = F.least(F.col("n") - F.col("pos"), F.col("before_n") - F.col("before_pos")) >= need  # what can still be common from here on
     near = lists.filter(F.col("before").isNotNull() & (F.col("before") != F.col("sid")) & reach).select(*pair("before", "sid"), (F.col("n") + F.col("before_n") - 2 * need).cast("long").alias("most")).distinct()
     bits = lambda c: distinct.select(F.col("sid").alias(c), F.col("bits").alias(c + "_bits"))
     near = near.join(bits("a"), "a").join(bits("b"), "b").select("a", "b", "most", "a_bits", "b_bits")
     near = written(near.mapInArrow(_alike, "a long, b long"), "near")
-    first = verified(near, texts, width, percent)
-    links = first.filter("linked").select("a", "b")
-    label = components(links)
-
-    # a list of two sets has had its only pair compared
-    long = lists.join(lists.filter("place = 2").select("token"), "token", "left_semi").select("token", "sid", "n", "pos")
-    long = written(long, "long")
+    first = compared(near, texts, width)
+    removed(near)
+    label = components(first.filter(_linked(percent)).select("a", "b"))
+
+    # every set against its leader: what it gains and what it loses
+    members = label.filter("node != root").select(*pair("node", "root"), "node", "root")
+    known = members.join(first, ["a", "b"])
+    late = compared(members.join(first, ["a", "b"], "left_anti").select("a", "b"), texts, width)
+    against = known.unionByName(members.join(late, ["a", "b"]))
+    own_n = lambda x: F.when(F.col(x) == F.col("a"), F.col("na")).otherwise(F.col("nb"))
+    against = against.select(F.col("node").alias("sid"), F.col("root").alias("comp"), (own_n("node") - F.col("common")).alias("gain"), (own_n("root") - F.col("common")).alias("loss"))
+    against = written(against, "against")
+    removed(late)
+
+    # 3. leaders' answers
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    marked = _by_set(lists.select("token", "sid", "n", "pos", "salts"), against, "left").select("token", "sid", "n", "salts", (F.col("n") - F.col("pos")).alias("reach"), F.coalesce("comp", "sid").alias("comp"), (zero("gain") + zero("loss")).cast("int").alias("far"))
+    marked = written(marked, "marked")
     removed(lists)
-    done, every = first.select("a", "b"), label
+    spread = marked.withColumn("deal", deal("comp")).repartition(parts, "deal").groupBy("deal", "token", "comp").agg(F.first("salts").alias("salts"), F.min("n").alias("low"), F.max("n").alias("high"), F.max("reach").alias("reach"), F.max("far").alias("far"))
+    spread = spread.withColumn("many", F.count("*").over(Window.partitionBy("deal", "token"))).filter("many > 1 or salts > 1").drop("many")
+    entries = _by_set(spread.withColumnRenamed("comp", "sid"), distinct.select("sid", "bits")).withColumnRenamed("sid", "id")
+    entries = written(entries, "entries")
+    answers, every = first, label
+    stars = lambda: every.filter("node != root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+    for best in (True, False):  # nearest partners first: what they link has no pairs any more
+        met = _met(_rooted(entries, every), percent, best)
+        fresh = compared(met.join(answers, ["a", "b"], "left_anti"), texts, width)
+        removed(met)
+        links = fresh.filter(_linked(percent)).select("a", "b")
+        if not links.isEmpty():
+            every = components(stars().unionByName(links))
+        answers = answers.unionByName(fresh)
+    removed(entries)
+    answers = written(answers.filter(~_linked(percent)), "answers")
+
+    # 4. answers derived from the leaders': open where gains could still lift an intersection
+    spans = against.groupBy("comp").agg(F.max("gain").alias("gain")).withColumnRenamed("comp", "sid").join(_sizes_of(against, distinct), "sid")
+    one = lambda c: spans.select(F.col("sid").alias(c), F.col("gain").alias(c + "_gain"), F.col("low").alias(c + "_low"))
+    could = F.col("common") + zero("a_gain") + zero("b_gain") >= _need(percent, F.coalesce("a_low", "na"), F.coalesce("b_low", "nb"))
+    left = answers.join(one("a"), "a", "left").join(one("b"), "b", "left").filter("a_gain is not null or b_gain is not null")
+    left = written(left.filter(could).select("a", "b", "common"), "left")
+    removed(answers)
+    root = lambda c: every.select(F.col("node").alias(c), F.col("root").alias(c + "_root"))
     for best in (True, False):
-        known = distinct.join(every.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "bits", F.coalesce("root", "sid").alias("comp"))
-        still = _still_open(long, known, percent, best, parts).join(done, ["a", "b"], "left_anti")
-        still = written(still, "open")
-        if still.isEmpty():
-            continue  # nearest partners may all have been compared before, others not
-        late = verified(still, texts, width, percent)
-        done = done.unionByName(late.select("a", "b"))
-        late = late.filter("linked").select("a", "b")
-        if not late.isEmpty():
-            stars = every.filter("node != root").select(F.col("node").alias("a"), F.col("root").alias("b"))
-            every = components(stars.unionByName(late))
-    removed(long)
+        apart = left.join(root("a"), "a", "left").join(root("b"), "b", "left").filter(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b", "common")
+        if apart.isEmpty():
+            break
+        links = _derived(apart, marked, every, against, distinct, texts, percent, width, deal, best)
+        if not links.isEmpty():
+            every = components(stars().unionByName(links))
+    removed(left, marked, against)
 
     of = distinct.select("sid", "least").join(every.withColumnRenamed("node", "sid"), "sid")
     least = of.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -461,43 +578,55 @@ def _classes(docs: DataFrame, percent: int, width: int, text: str, doc_id: str)
     return sets, classes
 
 
-def _scan_ids(width: int):
-    """The rows as they are, with the set id of column _text in place of it; null where the set is empty."""
+def _sizes_of(against: DataFrame, distinct: DataFrame) -> DataFrame:
+    """(sid, low) of leaders: the least size of a leader's sets, its own among them."""
+    sizes = distinct.select("sid", "n")
+    held = against.select("sid", "comp").join(sizes, "sid").groupBy("comp").agg(F.min("n").alias("m")).withColumnRenamed("comp", "sid")
+    return held.join(sizes, "sid").select("sid", F.least("m", "n").alias("low"))
 
-    def run(batches):
-        for b in batches:
-            at = b.schema.get_field_index("_text")
-            sid = [None] * b.num_rows
-            for r, h in sets_of(b.column(at), width):
-                sid[r] = set_id(h)
-            yield b.drop_columns(["_text"]).append_column("_sid", pa.array(sid, pa.int64()))
 
-    return run
+def _rooted(entries: DataFrame, every: DataFrame) -> DataFrame:
+    """Entries of lists with the component that their sets are in by now."""
+    roots = every.filter("node != root").withColumnRenamed("node", "sid")
+    return _by_set(entries.drop("comp").withColumnRenamed("id", "sid"), roots, "left").withColumn("comp", F.coalesce("root", "sid")).drop("root").withColumnRenamed("sid", "id")
+
+
+def _derived(left: DataFrame, marked: DataFrame, every: DataFrame, against: DataFrame, distinct: DataFrame, texts: DataFrame, percent: int, width: int, deal, best: bool) -> DataFrame:
+    """Links (a, b) between sets whose leaders are the pairs of left, which has the leaders' intersections. Pairs of sets that meet in a list are
+    decided by the leaders' intersection and their own gains and losses; only where these leave it open are the sets read."""
+    busy = left.select(F.explode(F.array("a", "b")).alias("comp")).distinct()
+    some = marked.join(busy, "comp", "left_semi")
+    entries = _by_set(some, distinct.select("sid", "bits")).withColumn("deal", deal("sid"))
+    entries = entries.select("deal", "token", "salts", F.col("sid").alias("id"), F.col("n").alias("low"), F.col("n").alias("high"), "reach", F.lit(0).alias("far"), "bits")
+    met = _met(_rooted(entries, every), percent, best)
+    who = distinct.select("sid", F.col("n").cast("long").alias("n")).join(against, "sid", "left").select("sid", "n", F.coalesce("comp", "sid").alias("comp"), F.coalesce("gain", F.lit(0)).alias("gain"), F.coalesce("loss", F.lit(0)).alias("loss"))
+    side = lambda c: who.select(F.col("sid").alias(c), F.col("n").alias("n" + c), *(F.col(x).alias(f"{c}_{x}") for x in ("comp", "gain", "loss")))
+    pairs = met.join(side("a"), "a").join(side("b"), "b")
+    leaders = left.select(F.col("a").alias("x"), F.col("b").alias("y"), "common")
+    pairs = pairs.withColumn("x", F.least("a_comp", "b_comp")).withColumn("y", F.greatest("a_comp", "b_comp")).join(leaders, ["x", "y"])
+    need = _need(percent, F.col("na"), F.col("nb"))
+    pairs = written(pairs.filter(F.col("common") + F.col("a_gain") + F.col("b_gain") >= need).select("a", "b", (F.col("common") - F.col("a_loss") - F.col("b_loss") >= need).alias("sure")), "pairs")
+    removed(met)
+    read = compared(pairs.filter("not sure").select("a", "b"), texts, width)
+    return pairs.filter("sure").select("a", "b").unionByName(read.filter(_linked(percent)).select("a", "b"))
 
 
 def keep_one(docs: DataFrame, percent: int = 90, width: int = 3, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of docs that stay when of every group of linked documents the one with the smallest id stays (a null id after all others; of rows
-    with the same id the one with the smallest set id, then with the smallest hash of its text). Rows with no words are linked with nothing: one of
-    each id stays, where no row with words and that id does. All columns are kept."""
-    spark = docs.sparkSession
-    with small_batches(spark):
-        sets, classes = _classes(docs, percent, width, text, doc_id)
-        rows = sets.filter("sid is not null").groupBy("doc_id", "sid").agg(F.count("*").alias("n"))
-        first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sid", "n"))
-        stay = written(rows.join(classes.select("sid", "root"), "sid").groupBy("root").agg(first.alias("r")).select("r.doc_id", "r.sid", "r.n"), "stay")
-        own = F.col(doc_id).cast("long")
-        repeated = sets.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
-        if repeated.isEmpty():
-            # an id tells the row
-            some = stay.select("doc_id").unionByName(sets.filter("sid is null").select("doc_id"))
-            return docs.join(some.select(F.col("doc_id").alias("_stay")), own.eqNullSafe(F.col("_stay")), "left_semi")
-        told = docs.withColumn("_text", F.col(text)).mapInArrow(_scan_ids(width), T.StructType([*docs.schema.fields, T.StructField("_sid", T.LongType())]))
-        told = written(told, "rows")
-    empty = told.filter("_sid is null").withColumn("_own", own)
-    empty = empty.join(stay.select(F.col("doc_id").alias("_stay")), F.col("_own").eqNullSafe(F.col("_stay")), "left_anti").dropDuplicates(["_own"]).drop("_own", "_sid")
-    kept = told.join(stay.select(F.col("doc_id").alias("_stay"), F.col("sid").alias("_set")), own.eqNullSafe(F.col("_stay")) & (F.col("_sid") == F.col("_set")), "left_semi")
-    if not stay.filter("n > 1").isEmpty():
-        best = kept.groupBy(own.alias("_stay"), F.col("_sid").alias("_set")).agg(F.min(F.xxhash64(text)).alias("_hash"))
-        kept = kept.join(best, own.eqNullSafe(F.col("_stay")) & (F.col("_sid") == F.col("_set")) & (F.xxhash64(text) == F.col("_hash")), "left_semi")
-        kept = kept.withColumn("_own", own).dropDuplicates(["_own", "_sid"]).drop("_own")
-    return kept.drop("_sid").unionByName(empty)
+    """The rows of docs that stay when of every group of linked documents one stays: the one with the smallest id, a null id after all others; among
+    rows with the same id the one with the smallest ``row_key``; of rows that repeat each other wholly any. Rows with no words are linked with nothing
+    and all stay. A very long text is a set like any other. All columns are kept; an empty table gives none."""
+    k1, k2 = row_key(docs)
+    with small_batches(docs.sparkSession):
+        sets, classes = _classes(docs, percent, width, text, doc_id, (k1, k2))
+    rows = sets.filter("sid is not null").groupBy("doc_id", "key0", "key1", "sid").agg(F.count("*").alias("n")).join(classes.select("sid", "root"), "sid")
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("key0"), F.col("key1"))
+    first = rows.groupBy("root").agg(F.min(order).alias("first"))
+    a, b, n = (free_name(docs, x) for x in ("_k1", "_k2", "_n"))
+    told = written(rows.join(first, "root").select(F.col("key0").alias(a), F.col("key1").alias(b), "n", (order == F.col("first")).alias("stays")), "told")
+    keyed = docs.select("*", k1.alias(a), k2.alias(b))
+    kept = keyed.join(told.filter("not stays").select(a, b), [a, b], "left_anti")
+    again = told.filter("stays and n > 1").select(a, b)
+    if not again.isEmpty():
+        marked = kept.join(again.withColumn(n, F.lit(1)), [a, b], "left")
+        kept = marked.filter(F.col(n).isNull()).unionByName(marked.filter(F.col(n) == 1).dropDuplicates([a, b]))
+    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -1,27 +1,21 @@
 """LM scoring: a causal self-attention model trained in numpy on subword ids, beside a smoothed unigram base over words.
 
-A word is its subword ids and a word end. Its first id is predicted by causal self-attention over the first ids of the words before it (the
-outer model), its other ids and its end by causal self-attention over the word's own ids (the inner model, mixed with counts of neighbouring ids): the attention mask
-is closed between a word's inside and what stands around it. So the inner part of a word's probability is the same wherever it
-stands and is made once for each word. Both models give the class of an id: the frequent ids are classes of their own, the others share
-classes by rank, and within a shared class an id has its add-0.1 share of the class's count over all training documents. Classes are predicted in
-two steps (group, then class in the group), so a distribution over GROUPS * GROUPS classes costs two small softmaxes. With the weight MIXED a word
-comes from the unigram shares of all known words instead, which sum to 1 at most; the rest of the weight is attention's.
-Sequences are cut into windows that overlap: the first CONTEXT places of a window only give context, every id is scored in one window.
-
-All training documents count: words' and ids' counts are sums over all of them, and all their windows and words go through the networks, which are
-trained where the documents lie: rounds of local steps from common weights, each round on other documents, whose results are averaged by the
-windows seen. So all that is gathered grows with the corpus; only weights, counts of ids and the most
-frequent words and runs of ids, all of fixed size, reach the driver. What tasks are told steers the cost, never the result: rarer words and runs
-are joined by their keys.
+A text is one sequence: the subword ids of its words, in order, then the end id. Windows of PLACES ids overlap: the first CONTEXT places of all
+windows but a text's first only give context, so each id is scored once. Masked attention runs over whole batches of windows. An id is predicted
+as its class: the frequent ids are classes of their own, the others share classes by rank, and within a shared class an id has its add-0.1 share of
+the class's count. Classes come in two steps (group, then member of the group), so a distribution over CLASSES costs two small softmaxes; the
+probabilities of all ids sum to 1 at every place.
+
+All training documents count, and all their ids are learnt from. Documents are dealt into groups by a hash of their id and text; a group is a bounded
+number of ids, so the groups grow with the corpus. Each round trains on its groups from common weights, and the groups' weights are averaged in
+whole numbers. So the model depends on the rows alone, not on how they lie in tasks. Only weights, counts of ids and the most frequent words, all of
+fixed size, reach the driver; rarer words are joined by their keys, with the same result.
 """
 
 from __future__ import annotations
 
-import uuid
-from collections import Counter
+import ctypes
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,26 +23,22 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from querncore.llm.common import id_crc, most_frequent, removed, written
+from querncore.llm.common import id_crc, most_frequent, partitions, removed, written
 
-GROUPS, DIM, HIDDEN = 32, 16, 24
-#: (places, places of context) of the outer model's windows and of the inner model's, for short words and for others.
-OUTER, SHORT, LONG = (24, 6), (4, 1), (8, 2)
-CLASSES = GROUPS * GROUPS
+PLACES, CONTEXT, DIM, HIDDEN = 32, 6, 16, 32
+GROUPS, MEMBERS = 16, 64
+CLASSES = GROUPS * MEMBERS
 #: Classes that several ids share; of fixed number.
 SHARED = 96
-ROUNDS = 3
-#: Windows of a step of the outer model, words of a step of the inner model; documents whose windows are made at once.
-STEP, WORDS_A_STEP, DOCS = 128, 512, 256
-#: Most frequent words that all tasks are told of (24 bytes each); rarer words are looked up by a join.
-TOLD = 1 << 17
-#: Weight of the known words' unigram shares beside the attention models.
-MIXED = 0.03
-#: Within words: weight of the shares of ids behind one another, how many triples of ids all tasks are told (16 bytes each; the others are looked
-#: up by a join), and into how many groups the counts are dealt.
-PAIRED, RUNS_TOLD, DEALT = 0.9, 1 << 18, 512
-MEMO = 700_000
+#: Ids of a training group (but for its longest text), windows of a step, rates of the rounds.
+GROUP_IDS, STEP, RATES = 1 << 20, 128, (8e-3, 8e-3, 6e-3, 3e-3)
+#: Most frequent words that all tasks are told of (16 bytes each); rarer words are looked up by a join. Steers the cost alone.
+TOLD = 1 << 18
+#: Words that a task keeps the ids of.
+MEMO = 500_000
 PAD = -1
+#: Weights are averaged as multiples of 2**-24.
+GRAIN = 1 << 24
 
 
 def lowered(text: str | None) -> list[bytes]:
@@ -61,18 +51,30 @@ def word_hash(word: bytes) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
+@lru_cache(1)
+def keep_freed() -> None:
+    """Has the C library keep freed arrays for the next step: to map and clear them anew for each costs as much as the arithmetic."""
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 1 << 25)
+        libc.mallopt(-1, 1 << 26)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
 class Subwords:
-    """Subword ids of words by a SentencePiece model. The id behind its vocabulary is the word end; a document ends in the model's end id."""
+    """Subword ids of words by a SentencePiece model; a text ends in the model's end id."""
 
     def __init__(self, path: str):
         import sentencepiece
 
         self.sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.word_end, self.end = self.sp.get_piece_size(), self.sp.eos_id()
-        self.size = self.word_end + 1
+        self.size, self.unknown = self.sp.get_piece_size(), self.sp.unk_id()
+        self.end = self.sp.eos_id() if self.sp.eos_id() >= 0 else self.unknown
+        self.dtype = "<u2" if self.size <= 1 << 16 else "<u4"
 
     def ids(self, words: list[bytes]) -> list[list[int]]:
-        return self.sp.encode([w.decode() for w in words], num_threads=1)
+        return [x or [self.unknown] for x in self.sp.encode([w.decode() for w in words], num_threads=1)]
 
 
 @lru_cache(2)
@@ -80,600 +82,454 @@ def subwords(path: str) -> Subwords:
     return Subwords(path)
 
 
-def classes_of(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The class of every id and the log probability of every id in its class, from the ids' counts."""
+class Words:
+    """Words met so far by number, 0 being the text's end: hash, and ids one behind the other. Started anew beyond MEMO words."""
+
+    def __init__(self, sub: Subwords):
+        self.sub = sub
+        self.clear()
+
+    def clear(self) -> None:
+        self.at: dict[bytes, int] = {}
+        self.n, self.used = 1, 1
+        self.hash, self.start, self.size = (np.zeros(1 << 12, np.int64) for _ in range(3))
+        self.ids = np.zeros(1 << 13, np.int32)
+        self.size[0], self.ids[0] = 1, self.sub.end
+
+    def full(self) -> bool:
+        return self.n > MEMO
+
+    def add(self, words: list[bytes]) -> np.ndarray:
+        """Numbers of words; those not met before are entered."""
+        fresh = list(set(words).difference(self.at))
+        for i in range(0, len(fresh), 1 << 14):
+            part = fresh[i : i + (1 << 14)]
+            found = self.sub.ids(part)
+            size = np.array([len(x) for x in found])
+            lo, hi = self.n, self.n + len(part)
+            if hi > len(self.hash):
+                self.hash, self.start, self.size = (np.resize(x, max(hi, 2 * len(x))) for x in (self.hash, self.start, self.size))
+            if self.used + size.sum() > len(self.ids):
+                self.ids = np.resize(self.ids, max(self.used + int(size.sum()), 2 * len(self.ids)))
+            self.at.update(zip(part, range(lo, hi)))
+            self.hash[lo:hi] = [word_hash(w) for w in part]
+            self.size[lo:hi] = size
+            self.start[lo:hi] = self.used + np.cumsum(size) - size
+            self.ids[self.used : self.used + int(size.sum())] = [i for x in found for i in x]
+            self.n, self.used = hi, self.used + int(size.sum())
+        return np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
+
+    def sequences(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words one behind the other, and how many each has."""
+        n = self.size[numbers]
+        spot = np.repeat(self.start[numbers] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        return self.ids[spot], n
+
+
+def texts_of(words: Words, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the words of some texts, each text's end behind it, and each text's number of them."""
+    each = [lowered(t) for t in texts]
+    n = np.array([len(x) for x in each], np.int64)
+    out = np.zeros(int(n.sum()) + len(n), np.int64)
+    out[np.arange(int(n.sum())) + np.repeat(np.arange(len(n)), n)] = words.add([w for x in each for w in x])
+    return out, n + 1
+
+
+def classes_of(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The class of every id, the log probability of every id in its class, and the classes' masses, from the ids' counts."""
     order = np.lexsort((np.arange(len(counts)), -counts))
     own = min(len(counts), CLASSES - SHARED)
-    cls = np.empty(len(counts), np.int64)
+    cls = np.empty(len(counts), np.int16)
     cls[order[:own]] = np.arange(own)
     rest = order[own:]
     # shared classes of about equal mass, in order of rank
     mass = np.cumsum(counts[rest] + 0.1)
     cls[rest] = own + np.minimum(SHARED - 1, (mass / mass[-1] * SHARED).astype(np.int64)) if len(rest) else 0
     total = np.bincount(cls, counts + 0.1, minlength=CLASSES)
-    return cls, np.log((counts + 0.1) / total[cls])
+    return cls, np.log((counts + 0.1) / total[cls]), total
 
 
-def windows(given: np.ndarray, n: np.ndarray, before, shape: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def windows(given: np.ndarray, n: np.ndarray, places: int, context: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(sequence, inputs, targets) of all windows of sequences of target classes, PAD beyond their ends. given: the sequences one behind the other,
-    n: their lengths, before: the class that stands before each. Each target is scored once: those of the first context places of later
-    windows are PAD."""
-    places, context = shape
+    n: their lengths. Class CLASSES stands before a sequence. Each target comes once: those of the first context places of later windows are PAD."""
     step = places - context
     many = np.maximum(1, -(-(n - context) // step))
     room = context + many * step + 1
     at = np.cumsum(room) - room
-    x = np.full(int(room.sum()), PAD, np.int64)
-    x[at] = before
+    x = np.full(int(room.sum()), PAD, np.int16)
+    x[at] = CLASSES
     x[np.arange(len(given)) + np.repeat(at + 1 - (np.cumsum(n) - n), n)] = given
-    if many.max(initial=1) == 1:
-        who, k = np.arange(len(n)), 0
-    else:
-        who = np.repeat(np.arange(len(n)), many)
-        k = np.arange(len(who)) - np.repeat(np.cumsum(many) - many, many)
+    who = np.repeat(np.arange(len(n)), many)
+    k = np.arange(len(who)) - np.repeat(np.cumsum(many) - many, many)
     spots = (at[who] + k * step)[:, None] + np.arange(places)
     inputs, targets = x[spots], x[spots + 1]
     inputs[targets == PAD] = PAD
-    if not np.isscalar(k):
-        targets[k > 0, :context] = PAD
+    targets[k > 0, :context] = PAD
     return who, inputs, targets
 
 
-def initial(seed: int = 11) -> dict[str, np.ndarray]:
-    """Weights of one model. Class CLASSES stands before a sequence."""
+def initial(mass: np.ndarray, seed: int = 11) -> dict[str, np.ndarray]:
+    """Weights before training; hidden unit 0 is always 1, so its rows of g and c are biases: the logs of the classes' shares."""
     r = np.random.default_rng(seed)
-    d = lambda *s: (r.normal(0, 0.5 / s[0] ** 0.5, s)).astype(np.float32)
-    return {"emb": (r.normal(0, 0.3, (CLASSES + 1, DIM))).astype(np.float32), "pos": (r.normal(0, 0.05, (OUTER[0], DIM))).astype(np.float32), "q": d(DIM, DIM), "k": d(DIM, DIM), "v": d(DIM, DIM), "o": d(DIM, HIDDEN), "h": d(DIM, HIDDEN), "b": np.zeros(HIDDEN, np.float32), "g": d(HIDDEN, GROUPS), "gb": np.zeros(GROUPS, np.float32), "c": (r.normal(0, 0.05, (GROUPS, HIDDEN, GROUPS))).astype(np.float32), "cb": np.zeros((GROUPS, GROUPS), np.float32)}
-
-
-def forward(p: dict, x: np.ndarray):
-    """Hidden states of a batch of windows, with what the way back needs."""
-    places = x.shape[1]
-    pad = x == PAD
-    e = p["emb"][np.where(pad, CLASSES, x)]
-    z = e + p["pos"][:places]
-    q, k, v = (s.reshape(z.shape) for s in np.split(z.reshape(-1, DIM) @ np.concatenate([p["q"], p["k"], p["v"]], axis=1), 3, axis=1))
-    a = q @ k.transpose(0, 2, 1) * DIM**-0.5
-    a = np.where(np.tril(np.ones((places, places), bool)), a, -np.inf).astype(z.dtype)
-    a -= a.max(axis=2, keepdims=True)
-    np.exp(a, out=a)
-    a /= a.sum(axis=2, keepdims=True)
-    m = a @ v
-    h = np.tanh(m.reshape(-1, DIM) @ p["o"] + e.reshape(-1, DIM) @ p["h"] + p["b"]).reshape(len(x), places, -1)
-    return h, (x, pad, e, z, q, k, v, a, m)
+    d = lambda *s: r.normal(0, 0.5 / s[0] ** 0.5, s)
+    p = {"emb": r.normal(0, 0.3, (CLASSES + 1, DIM)), "pos": r.normal(0, 0.05, (PLACES, DIM)), "qkv": d(DIM, 3 * DIM), "skip": d(DIM, HIDDEN), "o": d(DIM, HIDDEN), "b": np.zeros(HIDDEN)}
+    p |= {"g": r.normal(0, 0.05, (HIDDEN, GROUPS)), "c": r.normal(0, 0.05, (GROUPS, HIDDEN, MEMBERS))}
+    share = (mass / mass.sum()).reshape(GROUPS, MEMBERS)
+    p["g"][0], p["c"][:, 0] = np.log(share.sum(axis=1)), np.log(share / share.sum(axis=1, keepdims=True))
+    return {k: v.astype(np.float32) for k, v in p.items()}
 
 
-class Scorer:
-    """A trained model, folded for scoring: what depends on a class or a place alone is multiplied out beforehand."""
+def in_order(y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places with targets, in order of the targets' groups, and the targets."""
+    rows = np.flatnonzero(y.ravel() != PAD)
+    t = y.ravel()[rows].astype(np.int64)
+    order = np.argsort((t // MEMBERS).astype(np.uint8), kind="stable")
+    return rows[order], t[order]
 
-    def __init__(self, p: dict):
-        w = np.concatenate([p["q"] * DIM**-0.5, p["k"], p["v"]], axis=1).astype(np.float32)
-        self.of_class = np.concatenate([p["emb"] @ w, p["emb"] @ p["h"] + p["b"]], axis=1).astype(np.float32)
-        self.of_place = np.concatenate([p["pos"] @ w, np.zeros((OUTER[0], HIDDEN), np.float32)], axis=1).astype(np.float32)
-        self.p = p
-        # exponents are clipped where weights are so large that they could overflow
-        top = np.abs(self.of_class).max(axis=0) + np.abs(self.of_place).max(axis=0)
-        spread = float((top[:DIM] * top[DIM : 2 * DIM]).sum())
-        reach = max(float((np.abs(p["g"]).sum(axis=0) + np.abs(p["gb"])).max()), float((np.abs(p["c"]).sum(axis=1) + np.abs(p["cb"])).max()))
-        self.clip_scores = (lambda a: np.clip(a, -60, 60, out=a)) if spread >= 60 else (lambda a: a)
-        self.clip_logits = (lambda a: np.clip(a, -60, 60)) if reach >= 60 else (lambda a: a)
-        self.masks = {n: np.tril(np.ones((n, n), np.float32)) for n in (OUTER[0], SHORT[0], LONG[0])}
 
-    def log_probs(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Natural log probabilities of the target classes, 0 at PAD."""
-        out = np.zeros(y.shape)
-        for at in range(0, len(x), 512):
-            out[at : at + 512] = self._some(x[at : at + 512], y[at : at + 512])
-        return out
+class Net:
+    """The model with some weights. What depends on a class or a place alone is multiplied out beforehand."""
 
-    def _some(self, x, y):
-        p, places = self.p, x.shape[1]
-        s = self.of_class[np.where(x == PAD, CLASSES, x)]
-        s += self.of_place[:places]
-        q, k, v, base = s[:, :, :DIM], s[:, :, DIM : 2 * DIM], s[:, :, 2 * DIM : 3 * DIM], s[:, :, 3 * DIM :]
-        a = q @ k.transpose(0, 2, 1)
-        self.clip_scores(a)
+    def __init__(self, p: dict[str, np.ndarray]):
+        self.p = p
+        self.of_class = p["emb"] @ np.concatenate([p["qkv"], p["skip"]], axis=1)
+        self.of_class[:, 3 * DIM :] += p["b"]
+        self.of_place = p["pos"] @ p["qkv"]
+        for t in (self.of_class, self.of_place):
+            t[:, :DIM] *= DIM**-0.5
+        # exponents stay in range by themselves unless weights are very large
+        top = np.abs(self.of_class[:, : 3 * DIM]).max(axis=0) + np.abs(self.of_place).max(axis=0)
+        self.clip = float(top[:DIM] @ top[DIM : 2 * DIM]) > 60
+        self.shift = max(float(np.abs(p["g"]).sum(axis=0).max()), float(np.abs(p["c"]).sum(axis=1).max())) > 60
+        self.mask = np.tril(np.ones((PLACES, PLACES), p["g"].dtype))
+        self.ones = np.ones(max(GROUPS, MEMBERS), p["g"].dtype)
+
+    def attention(self, x: np.ndarray):
+        """What stands at each place (queries, keys, values, and the place's own share of the hidden units), masked weights, their sums."""
+        places = x.shape[1]
+        z = self.of_class[np.where(x == PAD, CLASSES, x)]
+        z[:, :, : 3 * DIM] += self.of_place[:places]
+        a = z[:, :, :DIM] @ z[:, :, DIM : 2 * DIM].transpose(0, 2, 1)
+        if self.clip:
+            np.clip(a, -60, 60, out=a)
         np.exp(a, out=a)
-        a *= self.masks[places]
-        a /= a.sum(axis=2, keepdims=True)
-        rows = np.flatnonzero(y.ravel() != PAD)
-        h = ((a @ v).reshape(-1, DIM) @ p["o"]).reshape(-1, HIDDEN)[rows]
-        h += base.reshape(-1, HIDDEN)[rows] if base.flags.c_contiguous else np.ascontiguousarray(base).reshape(-1, HIDDEN)[rows]
+        a *= self.mask[:places, :places]
+        return z, a, a.sum(axis=2, keepdims=True)
+
+    def hidden(self, z: np.ndarray, m: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        h = m.reshape(-1, DIM) @ self.p["o"]
+        h += z.reshape(-1, z.shape[2])[:, 3 * DIM :]
+        h = h[rows]
         np.tanh(h, out=h)
-        t = y.ravel()[rows]
-        g, c = t // GROUPS, t % GROUPS
-        order = np.argsort(g, kind="stable")
-        h, g, c = h[order], g[order], c[order]
-        logit = h @ p["g"] + p["gb"]
-        found = logit[np.arange(len(t)), g] - np.log(np.exp(self.clip_logits(logit)).sum(axis=1))
-        bounds = np.searchsorted(g, np.arange(GROUPS + 1))
+        h[:, 0] = 1
+        return h
+
+    def _soft(self, h: np.ndarray, w: np.ndarray, t: np.ndarray):
+        """Log probability of column t of each row, exponents, their sums."""
+        logit = h @ w
+        if self.shift:
+            logit -= logit.max(axis=1, keepdims=True)
+        found = logit[np.arange(len(t)), t]
+        np.exp(logit, out=logit)
+        total = logit @ self.ones[: logit.shape[1]]
+        return found - np.log(total), logit, total
+
+    def outputs(self, h: np.ndarray, t: np.ndarray, back: bool = False):
+        """Log probabilities of targets in order of group; with back, also the gradients of minus their mean by g, c and h."""
+        p, n = self.p, len(t)
+        group, member = t // MEMBERS, t % MEMBERS
+        found, logit, total = self._soft(h, p["g"], group)
+        bounds = np.searchsorted(group, np.arange(GROUPS + 1))
+        if back:
+
+            def slope(logit, total, t):
+                logit /= total[:, None]
+                logit[np.arange(len(t)), t] -= 1
+                logit *= logit.dtype.type(1 / n)
+                return logit
+
+            logit = slope(logit, total, group)
+            d = {"g": h.T @ logit, "c": np.zeros_like(p["c"])}
+            dh = logit @ p["g"].T
         for j in range(GROUPS):
             lo, hi = bounds[j], bounds[j + 1]
-            if hi > lo:
-                logit = h[lo:hi] @ p["c"][j] + p["cb"][j]
-                found[lo:hi] += logit[np.arange(hi - lo), c[lo:hi]] - np.log(np.exp(self.clip_logits(logit)).sum(axis=1))
-        out = np.zeros(y.size)
-        out[rows[order]] = found
-        return out.reshape(y.shape)
+            if lo == hi:
+                continue
+            more, logit, total = self._soft(h[lo:hi], p["c"][j], member[lo:hi])
+            found[lo:hi] += more
+            if back:
+                logit = slope(logit, total, member[lo:hi])
+                d["c"][j] = h[lo:hi].T @ logit
+                dh[lo:hi] += logit @ p["c"][j].T
+        return (found, d, dh) if back else found
 
-
-def _softmax_log(t: np.ndarray) -> np.ndarray:
-    t = t - t.max(axis=1, keepdims=True)
-    return t - np.log(np.exp(t).sum(axis=1, keepdims=True))
+    def log_probs(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Natural log probabilities of the target classes, 0 at PAD."""
+        out = np.zeros(y.shape)
+        for at in range(0, len(x), STEP):
+            part = y[at : at + STEP]
+            z, a, total = self.attention(x[at : at + STEP])
+            m = a @ z[:, :, 2 * DIM : 3 * DIM]
+            m /= total
+            rows, t = in_order(part)
+            some = np.zeros(part.size)
+            some[rows] = self.outputs(self.hidden(z, m, rows), t)
+            out[at : at + STEP] = some.reshape(part.shape)
+        return out
 
 
-def gradients(p: dict, x: np.ndarray, y: np.ndarray, times: np.ndarray | None = None) -> tuple[float, dict]:
-    """Mean negative log probability of the targets and its gradients. times: how often each window counts."""
-    h, (x, pad, e, z, q, k, v, a, m) = forward(p, x)
-    rows = np.flatnonzero(y.ravel() != PAD)
-    hs, t = h.reshape(-1, h.shape[2])[rows], y.ravel()[rows]
-    g, c = t // GROUPS, t % GROUPS
-    each = np.ones(len(t), np.float32) if times is None else times.astype(np.float32)[rows // y.shape[1]]
-    n = np.float32(max(1, each.sum()))
-    d = {w: np.zeros_like(s) for w, s in p.items()}
-    lg = _softmax_log(hs @ p["g"] + p["gb"])
-    loss = -(each * lg[np.arange(len(t)), g]).sum()
-    dg = np.exp(lg)
-    dg[np.arange(len(t)), g] -= 1
-    dg *= (each / n)[:, None]
-    d["g"], d["gb"] = hs.T @ dg, dg.sum(axis=0)
-    dh = dg @ p["g"].T
-    for j in np.unique(g):
-        at = np.flatnonzero(g == j)
-        lc = _softmax_log(hs[at] @ p["c"][j] + p["cb"][j])
-        loss -= (each[at] * lc[np.arange(len(at)), c[at]]).sum()
-        dc = np.exp(lc)
-        dc[np.arange(len(at)), c[at]] -= 1
-        dc *= (each[at] / n)[:, None]
-        d["c"][j], d["cb"][j] = hs[at].T @ dc, dc.sum(axis=0)
-        dh[at] += dc @ p["c"][j].T
-    dpre = np.zeros((h.shape[0] * h.shape[1], h.shape[2]), np.float32)
-    dpre[rows] = dh * (1 - hs * hs)
-    dpre = dpre.reshape(h.shape)
-    flat = lambda s: s.reshape(-1, s.shape[2])
-    d["o"], d["h"], d["b"] = flat(m).T @ flat(dpre), flat(e).T @ flat(dpre), flat(dpre).sum(axis=0)
-    dm, de = dpre @ p["o"].T, dpre @ p["h"].T
-    da, dv = dm @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ dm
-    ds = a * (da - (da * a).sum(axis=2, keepdims=True)) * DIM**-0.5
-    dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-    for w, s in (("q", dq), ("k", dk), ("v", dv)):
-        d[w] = flat(z).T @ flat(s)
-    dz = dq @ p["q"].T + dk @ p["k"].T + dv @ p["v"].T
-    d["pos"][: x.shape[1]] = dz.sum(axis=0)
-    de = (de + dz) * ~pad[:, :, None]
-    np.add.at(d["emb"], np.where(pad, CLASSES, x).ravel(), flat(de))
-    return float(loss / n), d
-
-
-class Adam:
-    """Steps of one model's weights."""
-
-    def __init__(self, p: dict, rate: float):
-        self.p, self.rate = {k: v.copy() for k, v in p.items()}, rate
-        self.m, self.s = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
-        self.seen, self.steps = 0, 0
-
-    def step(self, x: np.ndarray, y: np.ndarray, times: np.ndarray | None = None) -> float:
-        loss, d = gradients(self.p, x, y, times)
-        self.steps += 1
-        fix = np.float32(self.rate * (1 - 0.99**self.steps) ** 0.5 / (1 - 0.9**self.steps))
+def gradients(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+    """Mean negative log probability of the targets and its gradients."""
+    net = Net(p)
+    z, a, total = net.attention(x)
+    a /= total
+    q, k, v = z[:, :, :DIM], z[:, :, DIM : 2 * DIM], z[:, :, 2 * DIM : 3 * DIM]
+    m = a @ v
+    rows, t = in_order(y)
+    h = net.hidden(z, m, rows)
+    found, d, dh = net.outputs(h, t, back=True)
+    h *= h
+    np.subtract(1, h, out=h)
+    dh *= h
+    flat = z.reshape(-1, z.shape[2])
+    pre = np.zeros((len(flat), HIDDEN), h.dtype)
+    pre[rows] = dh
+    d["o"] = m.reshape(-1, DIM).T @ pre
+    dm = (pre @ p["o"].T).reshape(m.shape)
+    dz = np.empty_like(flat)
+    dz[:, 3 * DIM :] = pre
+    at_place = dz.reshape(z.shape)
+    at_place[:, :, 2 * DIM : 3 * DIM] = a.transpose(0, 2, 1) @ dm
+    da = dm @ v.transpose(0, 2, 1)
+    da -= np.einsum("blm,blm->bl", da, a)[:, :, None]
+    da *= a
+    at_place[:, :, :DIM] = da @ k
+    at_place[:, :, DIM : 2 * DIM] = da.transpose(0, 2, 1) @ q
+    # places of one class together
+    own = np.where(x == PAD, CLASSES, x).ravel()
+    order = np.argsort(own, kind="stable")
+    own = own[order]
+    first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+    by_class = np.zeros((CLASSES + 1, z.shape[2]), h.dtype)
+    by_class[own[first]] = np.add.reduceat(dz[order], first, axis=0)
+    by_place = at_place[:, :, : 3 * DIM].sum(axis=0)
+    d["b"] = by_class[:, 3 * DIM :].sum(axis=0)
+    by_class[:, :DIM] *= DIM**-0.5
+    by_place[:, :DIM] *= DIM**-0.5
+    d["emb"] = by_class @ np.concatenate([p["qkv"], p["skip"]], axis=1).T
+    w = p["emb"].T @ by_class
+    pos = p["pos"][: x.shape[1]]
+    d["qkv"], d["skip"] = w[:, : 3 * DIM] + pos.T @ by_place, w[:, 3 * DIM :]
+    d["pos"] = np.zeros_like(p["pos"])
+    d["pos"][: x.shape[1]] = by_place @ p["qkv"].T
+    return float(-found.mean()), d
+
+
+def trained(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, rate: float, seed) -> dict[str, np.ndarray]:
+    """The weights after a step of Adam on every STEP windows, in an order that the seed tells."""
+    p = {k: v.copy() for k, v in p.items()}
+    m, s = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
+    order = np.random.default_rng(seed).permutation(len(x))
+    for n, at in enumerate(range(0, len(order), STEP), 1):
+        some = order[at : at + STEP]
+        _, d = gradients(p, x[some], y[some])
+        # the rate grows with a step's windows, so that a last, small step does not weigh like a full one
+        fix = np.float32(rate * len(some) / STEP * (1 - 0.99**n) ** 0.5 / (1 - 0.9**n))
         for k, g in d.items():
-            self.m[k] += np.float32(0.1) * (g - self.m[k])
-            self.s[k] += np.float32(0.01) * (g * g - self.s[k])
-            self.p[k] -= fix * self.m[k] / (np.sqrt(self.s[k]) + np.float32(1e-8))
-        self.seen += len(x)
-        return loss
+            m[k] += np.float32(0.1) * (g - m[k])
+            s[k] += np.float32(0.01) * (g * g - s[k])
+            p[k] -= fix * m[k] / (np.sqrt(s[k]) + np.float32(1e-8))
+    return p
 
 
-def flat(p: dict) -> np.ndarray:
+def flat(p: dict[str, np.ndarray]) -> np.ndarray:
     return np.concatenate([p[k].ravel() for k in sorted(p)])
 
 
-def unflat(v: np.ndarray, like: dict) -> dict:
+def unflat(v: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     out, at = {}, 0
     for k in sorted(like):
-        n = like[k].size
-        out[k] = v[at : at + n].reshape(like[k].shape).astype(np.float32)
-        at += n
+        out[k] = v[at : at + like[k].size].reshape(like[k].shape).astype(np.float32)
+        at += like[k].size
     return out
 
 
-#: Stands between words in a written document.
-BETWEEN = 0xFFFF
-
-
-def _gather(path: str, folds: int):
-    """Rows of kind 0: a word and its count in training documents (0 for a word of the others); of training documents alone, kind 1: the ids of a
-    document's words (the end id alone stands for its end); kind 2: the number of documents."""
-
-    def run(batches):
-        sub = subwords(path)
-        words: Counter = Counter()
-        docs = 0
+def learnt(given: DataFrame, ids: int, cls: np.ndarray, mass: np.ndarray, dtype: str, seed: int) -> dict[str, np.ndarray]:
+    """Weights from the training texts. given: h long (a hash of a text and its id), ids binary; ids: how many ids they hold in all.
 
-        def out(kind, word, n):
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(word), kind, np.int8)), pa.array(word, pa.binary()), pa.array(n, pa.int64())], names=["kind", "word", "n"])
+    A group holds about GROUP_IDS ids and trains by itself; rounds take the groups in turn, and the weights of a round's groups are averaged as whole
+    multiples of 1 / GRAIN, so neither their order nor the tasks that held them matter. A task holds one group at a time."""
+    spark, p = given.sparkSession, initial(mass, seed)
+    rounds = len(RATES)
+    groups = max(rounds, -(-ids // GROUP_IDS))
+    tasks = min(-(-groups // rounds), 16 * partitions(spark))
+    kinds = "groups long, weights binary"
 
-        def counts():
-            items = list(words.items())
-            for i in range(0, len(items), 1 << 16):
-                yield out(0, *map(list, zip(*items[i : i + (1 << 16)])))
+    def packed(n, total):
+        return pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["groups", "weights"])
 
+    def summed(batches):
+        n, acc = 0, 0
         for b in batches:
-            for i in range(0, b.num_rows, 512):
-                crc = b.column(1).slice(i, 512).to_pylist()
-                spans = []
-                for t, h in zip(b.column(0).slice(i, 512).to_pylist(), crc):
-                    own = lowered(t)
-                    if h % folds == 0:
-                        words.update(dict.fromkeys(own, 0))
-                        continue
-                    words.update(own)
-                    docs += 1
-                    spans.append([*own, None])
-                some = list({w for s in spans for w in s if w is not None})
-                ids = {w: np.array([*x, BETWEEN], "<u2").tobytes() for w, x in zip(some, sub.ids(some))} | {None: np.array([sub.end, BETWEEN], "<u2").tobytes()}
-                if spans:
-                    yield out(1, [b"".join(ids[w] for w in s) for s in spans], [1] * len(spans))
-                if len(words) > 400_000:
-                    yield from counts()
-                    words.clear()
-        yield from counts()
-        if docs:
-            yield out(2, [b""], [docs])
-
-    return run
+            for k, w in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                n, acc = n + k, acc + np.frombuffer(w, np.int64)
+        if n:
+            yield packed(n, acc)
+
+    group = F.pmod("h", F.lit(groups))
+    for r, rate in enumerate(RATES):
+        sent = spark.sparkContext.broadcast((p, cls))  # some 300 KB, of fixed size
+
+        def run(batches, rate=rate, sent=sent):
+            keep_freed()
+            start, c = sent.value
+            n, acc, own, held = 0, 0, None, []
+
+            def finished():
+                seqs = [np.frombuffer(x, dtype) for x in held]
+                size = np.array([len(x) for x in seqs])
+                _, x, y = windows(c[np.concatenate(seqs)], size, PLACES, 0)
+                return np.rint(flat(trained(start, x, y, rate, (seed, own))).astype(np.float64) * GRAIN).astype(np.int64)
+
+            for b in batches:
+                for g, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    if g != own and held:
+                        n, acc, held = n + 1, acc + finished(), []
+                    own = g
+                    held.append(x)
+            if held:
+                yield packed(n + 1, acc + finished())
+
+        some = given.select(group.alias("group"), "ids", "h").filter(F.col("group") % rounds == r)
+        dealt = some.repartitionById(tasks, (F.floor(F.col("group") / rounds) % tasks).cast("int")).sortWithinPartitions("group", "h")
+        parts = dealt.select("group", "ids").mapInArrow(run, kinds).repartition(8).mapInArrow(summed, kinds).collect()
+        if parts:
+            total = sum(np.frombuffer(x.weights, np.int64) for x in parts)
+            p = unflat(total / (sum(x.groups for x in parts) * GRAIN), p)
+        sent.unpersist()
+    return p
 
 
-def _words(path: str):
-    """From (word, c): rows of kind 0, the word's hash and c; of kind 1, an id and its count; of kind 2, a pair of neighbouring ids of a
-    word (first << 20 | second, the word end among them) and its count; of kind 3, three of them (a word's beginning counts as the word
-    end), each summed up in the task."""
+def _gather(path: str, folds: int):
+    """Rows of kind 0: a word's hash, its count in training texts and in all; kind 1, of each training text: a hash of id and text, and its ids;
+    kind 2: an id and its count in training texts; kind 3: number of training texts. Counts are summed up in the task."""
 
     def run(batches):
         sub = subwords(path)
-        ids = np.zeros(sub.size, np.int64)
-        runs: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {2: [], 3: []}
+        words = Words(sub)
+        counts, every = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        of_id, docs = np.zeros(sub.size, np.int64), 0
 
-        def out(kind, key, c):
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int8)), pa.array(key, pa.int64()), pa.array(c, pa.int64())], names=["kind", "key", "c"])
+        def out(kind, key, c, n=None, ids=None):
+            ids = pa.nulls(len(key), pa.binary()) if ids is None else pa.array(ids, pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int8)), pa.array(key, pa.int64()), pa.array(c, pa.int64()), pa.array(c if n is None else n, pa.int64()), ids], names=["kind", "key", "c", "n", "ids"])
 
-        def merged(some):
-            key, at = np.unique(np.concatenate([k for k, _ in some]), return_inverse=True)
-            return key, np.bincount(at, np.concatenate([c for _, c in some])).astype(np.int64)
+        def counted():
+            for i in range(1, words.n, 1 << 16):
+                part = slice(i, min(i + (1 << 16), words.n))
+                yield out(0, words.hash[part], counts[part], every[part])
 
         for b in batches:
-            for i in range(0, b.num_rows, 1 << 14):
-                words, c = b.column(0).slice(i, 1 << 14).to_pylist(), b.column(1).slice(i, 1 << 14).to_numpy()
-                found = sub.ids(words)
-                n = np.array([len(x) for x in found])
-                flat_ids = np.fromiter(chain.from_iterable(found), np.int64, int(n.sum()))
-                each = np.repeat(c, n)
-                ids += np.bincount(flat_ids, each, minlength=sub.size).astype(np.int64)
-                ids[sub.word_end] += c.sum()
-                follow = np.r_[flat_ids[1:], sub.word_end]
-                follow[np.cumsum(n) - 1] = sub.word_end
-                lead = np.r_[sub.word_end, flat_ids[:-1]]
-                lead[np.cumsum(n) - n] = sub.word_end
-                for kind, key in ((2, flat_ids << 20 | follow), (3, lead << 40 | flat_ids << 20 | follow)):
-                    runs[kind].append((key, each))
-                    if len(runs[kind]) >= 32:
-                        runs[kind] = [merged(runs[kind])]
-                        if len(runs[kind][0][0]) > 1 << 21:
-                            yield out(kind, *runs[kind].pop())
-                yield out(0, [word_hash(w) for w in words], c)
-        for kind, some in runs.items():
-            if some:
-                yield out(kind, *merged(some))
-        some = np.flatnonzero(ids)
-        yield out(1, some, ids[some])
+            for i in range(0, b.num_rows, 256):
+                part = b.slice(i, 256)
+                numbers, n = texts_of(words, part.column(0).to_pylist())
+                learn = (part.column(1).to_numpy() % folds) != 0
+                mine = np.repeat(learn, n)
+                counts, every = (np.r_[x, np.zeros(words.n - len(x), np.int64)] for x in (counts, every))
+                every += np.bincount(numbers, minlength=words.n)
+                if learn.any():
+                    counts += np.bincount(numbers[mine], minlength=words.n)
+                    ids, size = words.sequences(numbers[mine])
+                    of_id += np.bincount(ids, minlength=sub.size)
+                    docs += int(learn.sum())
+                    bounds = np.cumsum(np.add.reduceat(size, np.r_[0, np.cumsum(n[learn])[:-1]]))
+                    raw = [x.tobytes() for x in np.split(ids.astype(sub.dtype), bounds[:-1])]
+                    key = [word_hash(x + str(k).encode()) for x, k in zip(raw, np.asarray(part.column(2).to_pylist(), object)[learn])]
+                    yield out(1, key, np.zeros(len(raw), np.int64), None, raw)
+                if words.full():
+                    yield from counted()
+                    words.clear()
+                    counts, every = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        yield from counted()
+        some = np.flatnonzero(of_id)
+        yield out(2, some, of_id[some])
+        if docs:
+            yield out(3, [0], [docs])
 
     return run
 
 
-class Runs:
-    """Probabilities of an id behind one or two others within words, by absolute discounting of the counts of runs. The mass
-    that these leave goes to the shorter context, and from there to the ids' own shares."""
-
-    DISCOUNT = 0.7
-
-    def __init__(self, pairs: np.ndarray, triples: np.ndarray, of_first: np.ndarray, share: np.ndarray):
-        """pairs, triples: (key, count) rows; of_first: counts of the contexts of one id."""
-        self.share = share
-        pairs, triples = (x[np.argsort(x[:, 0])] for x in (pairs, triples))
-        self.key2, first = pairs[:, 0].copy(), pairs[:, 0] >> 20
-        self.p2 = np.maximum(pairs[:, 1] - self.DISCOUNT, 0) / np.maximum(of_first[first], 1)
-        self.left2 = np.maximum(1 - np.bincount(first, self.p2, minlength=len(of_first)), 1e-9)
-        # the count of a context of two ids is its own count as a run; at a word's beginning, the sum of what follows
-        context = triples[:, 0] >> 20
-        self.context, at = np.unique(context, return_inverse=True)
-        seen = np.bincount(at, triples[:, 1], minlength=len(self.context))
-        own = self._find(self.key2, pairs[:, 1], self.context)
-        total = np.maximum(own, seen)
-        self.key3 = triples[:, 0].copy()
-        self.p3 = np.maximum(triples[:, 1] - self.DISCOUNT, 0) / np.maximum(total[at], 1)
-        self.left3 = np.maximum(1 - np.bincount(at, self.p3, minlength=len(self.context)), 1e-9)
-
-    @staticmethod
-    def _find(keys: np.ndarray, values: np.ndarray, want: np.ndarray, none: float = 0.0) -> np.ndarray:
-        if not len(keys):
-            return np.full(len(want), none)
-        at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
-        return np.where(keys[at] == want, values[at], none)
-
-    def log(self, lead: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-        key = first << 20 | second
-        p = self.left2[first] * self.share[second] + self._find(self.key2, self.p2, key)
-        p = self._find(self.context, self.left3, lead << 20 | first, 1.0) * p + self._find(self.key3, self.p3, lead << 40 | key)
-        return np.log(p)
-
-
-def _run_probs(table: DataFrame, of_first: np.ndarray, share: np.ndarray) -> DataFrame:
-    """(key, c, p) of every triple of ids: its count and the log probability of its last id behind the others, by the counts of all runs. Groups
-    hold all runs of an id's contexts."""
-    sent = table.sparkSession.sparkContext.broadcast((of_first, share))
-
-    def run(group: pa.Table) -> pa.Table:
-        kind, key, c = (group.column(k).to_numpy() for k in ("kind", "key", "c"))
-        pairs, triples = (np.stack([key[kind == k], c[kind == k]], axis=1) for k in (2, 3))
-        t = triples[:, 0]
-        p = Runs(pairs, triples, *sent.value).log(t >> 40, t >> 20 & 0xFFFFF, t & 0xFFFFF)
-        return pa.table({"key": t, "c": triples[:, 1], "p": p})
-
-    sums = table.filter("kind in (2, 3)").groupBy("kind", "key").agg(F.sum("c").alias("c"))
-    first = F.shiftright("key", 20).bitwiseAND(0xFFFFF)
-    dealt = sums.withColumn("part", F.pmod(F.xxhash64(first), F.lit(DEALT)))
-    return dealt.groupBy("part").applyInArrow(run, "key long, c long, p double")
-
-
-def _inside(vocabulary: DataFrame, path: str, runs: DataFrame, inner: dict, cls: np.ndarray, within: np.ndarray, runs_told: int) -> DataFrame:
-    """(key, c, log) of every word: hash, count, and log probability of its ids behind the first and of its end, with the first's share in its class."""
-    known, least = most_frequent(runs, "c", runs_told)
-    known = known.sort_by("key")
-    sent = vocabulary.sparkSession.sparkContext.broadcast((inner, cls, within, known.column("key").to_numpy(), known.column("p").to_numpy()))
-
+def _score(path: str, folds: int, sent, denom: float, ends: int):
     def run(batches):
-        sub = subwords(path)
-        weights, cls, within, told, probs = sent.value
-        scorer, stop = Scorer(weights), int(cls[sub.word_end])
-        for b in batches:
-            for i in range(0, b.num_rows, 1 << 14):
-                part = b.slice(i, 1 << 14)
-                words = part.column(0).to_pylist()
-                ids = sub.ids(words)
-                size = np.array([len(x) for x in ids])
-                all_ids = np.fromiter(chain.from_iterable(ids), np.int64, int(size.sum()))
-                at = np.r_[0, np.cumsum(size)]
-                c = cls[all_ids]
-                # an inner sequence is a word's classes but the first, then the word end
-                seq = np.empty(len(c), np.int64)
-                seq[:-1] = c[1:]
-                seq[at[1:] - 1] = stop
-                follow = np.empty(len(all_ids), np.int64)
-                follow[:-1] = all_ids[1:]
-                follow[at[1:] - 1] = sub.word_end
-                lead = np.r_[sub.word_end, all_ids[:-1]]
-                lead[at[:-1]] = sub.word_end
-                attention = within[follow]
-                for some, shape in ((size <= SHORT[0], SHORT), (size > SHORT[0], LONG)):
-                    if some.any():
-                        there = np.repeat(some, size)
-                        _, x, y = windows(seq[there], size[some], c[at[:-1][some]], shape)
-                        attention[there] += scorer.log_probs(x, y)[y != PAD]
-                key = lead << 40 | all_ids << 20 | follow
-                spot = np.minimum(np.searchsorted(told, key), max(0, len(told) - 1))
-                have = told[spot] == key if len(told) else np.zeros(len(key), bool)
-                each = np.where(have, np.logaddexp(attention + np.log(1 - PAIRED), (probs[spot] if len(told) else 0.0) + np.log(PAIRED)), 0.0)
-                log = np.add.reduceat(each, at[:-1]) + within[all_ids[at[:-1]]]
-                bounds = pa.array(np.r_[0, np.cumsum(np.add.reduceat(~have, at[:-1], dtype=np.int64))].astype(np.int32))
-                open_keys, open_att = (pa.ListArray.from_arrays(bounds, pa.array(x[~have])) for x in (key, attention))
-                hashes = pa.array(np.array([word_hash(w) for w in words], np.int64))
-                yield pa.RecordBatch.from_arrays([hashes, part.column(1), pa.array(log), open_keys, open_att], names=["key", "c", "log", "runs", "att"])
-
-    some = written(vocabulary.select("word", "c").mapInArrow(run, "key long, c long, log double, runs array<long>, att array<double>"), "inside")
-    each = some.filter("size(runs) > 0").select("key", "c", "log", F.explode(F.arrays_zip("runs", "att")).alias("r")).select("key", "c", "log", F.col("r.runs").alias("run"), F.col("r.att").alias("att"))
-    rare = runs.filter(F.col("c") < least).select(F.col("key").alias("run"), "p")
-    token = F.log(F.exp("att") * F.lit(1 - PAIRED) + F.exp("p") * F.lit(PAIRED))
-    late = each.join(rare, "run").groupBy("key").agg(F.first("c").alias("c"), (F.first("log") + F.sum(token)).alias("log"))
-    return written(some.filter("size(runs) = 0").select("key", "c", "log").unionByName(late), "known")
-
-
-def _all_windows(batches, cls: np.ndarray, end: int, word_end: int):
-    """From written documents: ("outer" or "inner", inputs, targets, how often each counts) for a step each. Equal words of a step are one window."""
-    stop = int(cls[word_end])
-    for b in batches:
-        for at in range(0, b.num_rows, DOCS):
-            raws = b.column(0).slice(at, DOCS).to_pylist()
-            ids = np.frombuffer(b"".join(raws), "<u2").astype(np.int64)
-            ends = np.flatnonzero(ids == BETWEEN)
-            starts = np.r_[0, ends[:-1] + 1]
-            doc = np.searchsorted(np.cumsum([len(r) // 2 for r in raws]), starts, side="right")
-            first = cls[ids[starts]]
-            _, x, y = windows(first, np.bincount(doc, minlength=len(raws)), CLASSES, OUTER)
-            for i in range(0, len(x), STEP):
-                yield "outer", x[i : i + STEP], y[i : i + STEP], np.ones(len(x[i : i + STEP]))
-            inside = ~((ids[starts] == end) & (ends - starts == 1))
-            follow = np.where(ids == BETWEEN, stop, cls[np.where(ids == BETWEEN, 0, ids)])
-            follow[starts] = PAD
-            own = np.repeat(inside, ends + 1 - starts) & (follow != PAD)
-            who, u, v = windows(follow[own], (ends - starts)[inside], first[inside], LONG)
-            for i in np.unique(who // WORDS_A_STEP) if len(who) else ():
-                lo, hi = np.searchsorted(who, (i * WORDS_A_STEP, (i + 1) * WORDS_A_STEP))
-                both, times = np.unique(np.concatenate([u[lo:hi], v[lo:hi]], axis=1), axis=0, return_counts=True)
-                yield "inner", both[:, : LONG[0]], both[:, LONG[0] :], times
-
-
-def _rounds(given: DataFrame, cls: np.ndarray, end: int, word_end: int, seed: int) -> tuple[dict, dict]:
-    """Rounds of local training on all windows, averaged by the windows seen; round r takes the documents whose hash is r modulo ROUNDS."""
-    spark = given.sparkSession
-    outer, inner = initial(seed), initial(seed + 1)
-    kinds = "seen long, weights binary"
-
-    def packed(seen, total):
-        return pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["seen", "weights"])
-
-    def total(batches):
-        seen, acc = 0, None
-        for b in batches:
-            for n, w in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                seen, acc = seen + n, np.frombuffer(w) if acc is None else acc + np.frombuffer(w)
-        if seen:
-            yield packed(seen, acc)
-
-    for r in range(ROUNDS):
-        sent = spark.sparkContext.broadcast((outer, inner, cls))  # under 1 MB, of fixed size
-
-        def run(batches, rate=(6e-3, 5e-3, 3e-3)[min(r, 2)], sent=sent):
-            o, i, c = sent.value
-            both = {"outer": Adam(o, rate), "inner": Adam(i, rate)}
-            for name, x, y, times in _all_windows(batches, c, end, word_end):
-                both[name].step(x, y, times)
-            seen = both["outer"].seen
-            if seen:
-                yield packed(seen, np.concatenate([flat(both[k].p) for k in ("outer", "inner")]).astype(np.float64) * seen)
-
-        part = given.filter(F.pmod(F.xxhash64("word"), F.lit(ROUNDS)) == r).select("word")
-        summed = part.mapInArrow(run, kinds).repartition(8).mapInArrow(total, kinds).collect()
-        if summed:
-            mean = sum(np.frombuffer(x.weights) for x in summed) / sum(x.seen for x in summed)
-            half = len(mean) // 2
-            outer, inner = unflat(mean[:half], outer), unflat(mean[half:], inner)
-    return outer, inner
-
-
-class WordTable:
-    """What is known of words met so far, in arrays; started anew beyond MEMO words."""
-
-    def __init__(self, sub: Subwords, outer: Scorer, cls, keys, counts, logs, denom):
-        self.sub, self.outer, self.cls = sub, outer, cls
-        self.keys, self.logs = keys, logs
-        self.share = np.log10((counts + 0.1) / denom) if denom else np.zeros(len(counts))
-        self._clear()
-
-    def _clear(self):
-        self.at: dict[bytes, int] = {}
-        self.first, self.log, self.base, self.hash, self.told = (np.zeros(0, t) for t in (np.int16, np.float64, np.float64, np.int64, bool))
-
-    def look(self, words: list[list[bytes]]) -> list[np.ndarray]:
-        """Places of the words of some texts in the arrays."""
-        fresh = list(set(chain.from_iterable(words)).difference(self.at))
-        if len(self.at) + len(fresh) > MEMO:
-            self._clear()
-            fresh = list(set(chain.from_iterable(words)))
-        n = len(self.at)
-        self.at.update(zip(fresh, range(n, n + len(fresh))))
-        if n + len(fresh) > len(self.first):
-            more = max(n + len(fresh), 2 * len(self.first)) - len(self.first)
-            for name in ("first", "log", "base", "hash", "told"):
-                old = getattr(self, name)
-                setattr(self, name, np.r_[old, np.zeros(more, old.dtype)])
-        for i in range(0, len(fresh), 1 << 14):
-            part = fresh[i : i + (1 << 14)]
-            here = slice(n + i, n + i + len(part))
-            self.first[here] = self.cls[[x[0] for x in self.sub.ids(part)]]
-            h = np.array([word_hash(w) for w in part], np.int64)
-            self.hash[here] = h
-            if len(self.keys):
-                spot = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-                told = self.keys[spot] == h
-                self.told[here] = told
-                self.base[here], self.log[here] = np.where(told, self.share[spot], 0.0), np.where(told, self.logs[spot], 0.0)
-            else:
-                self.told[here] = False
-        return [np.fromiter(map(self.at.__getitem__, w), np.int64, len(w)) for w in words]
-
-
-_kept: list = [None, None]
-
-
-def word_table(key: str, make) -> WordTable:
-    """The table that this worker has kept from its tasks before, if it is of the same run."""
-    if _kept[0] != key:
-        _kept[:] = [key, make()]
-    return _kept[1]
-
+        keep_freed()
+        weights, cls, within, keys, counts = sent.value
+        net, words = Net(weights), Words(subwords(path))
+        share = np.log10((counts + 0.1) / denom)
+        #: per word: told or not, known, base score
+        told, known, base = np.ones(1, bool), np.array([ends > 0]), np.array([np.log10((ends + 0.1) / denom)])
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 256):
+                b = whole.slice(lo, 256)
+                if words.full():
+                    words.clear()
+                    told, known, base = told[:1], known[:1], base[:1]
+                numbers, n = texts_of(words, b.column(1).to_pylist())
+                if words.n > len(told):
+                    h = words.hash[len(told) : words.n]
+                    at = np.minimum(np.searchsorted(keys, h), max(0, len(keys) - 1))
+                    have = keys[at] == h if len(keys) else np.zeros(len(h), bool)
+                    told = np.r_[told, have]
+                    known = np.r_[known, have & (counts[at] > 0) if len(keys) else have]
+                    base = np.r_[base, np.where(have, share[at], 0.0) if len(keys) else np.zeros(len(h))]
+                doc = np.repeat(np.arange(len(n)), n)
+                add = lambda v: np.bincount(doc, v[numbers], minlength=len(n))
+                ids, size = words.sequences(numbers)
+                of = np.repeat(doc, size)
+                who, x, y = windows(cls[ids], np.bincount(of, minlength=len(n)), PLACES, CONTEXT)
+                score = np.bincount(who, net.log_probs(x, y).sum(axis=1), minlength=len(n)) + np.bincount(of, within[ids], minlength=len(n))
+                away = ~told[numbers]
+                rare = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.bincount(doc, away, minlength=len(n)))].astype(np.int32)), pa.array(words.hash[numbers[away]]))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n), pa.array(add(known).astype(np.int64)), pa.array(add(base)), pa.array(score / np.log(10)), rare], names=["doc_id", "crc", "n_tokens", "n_known", "base", "score", "rare"])
 
-def mixed(outer: np.ndarray, doc: np.ndarray, places: np.ndarray, table: WordTable, n: np.ndarray, end_in: float, end_base: float) -> np.ndarray:
-    """Natural log probability of each document's told words and its end: what attention gives, mixed with the words' shares."""
-    at = np.arange(len(places)) + doc
-    inner, told = np.full(len(outer), end_in), np.full(len(outer), end_base)
-    inner[at], told[at] = table.log[places], table.base[places]
-    token = np.logaddexp(outer + inner + np.log(1 - MIXED), told * np.log(10) + np.log(MIXED))
-    token[at[~table.told[places]]] = 0.0
-    return np.bincount(np.repeat(np.arange(len(n)), n + 1), token, minlength=len(n))
+    return run
 
 
-def lm_scores(docs: DataFrame, tokenizer_path: str, folds: int = 10, text: str = "text", doc_id: str = "doc_id", seed: int = 11, told: int = TOLD, runs_told: int = RUNS_TOLD) -> DataFrame:
+def lm_scores(docs: DataFrame, tokenizer_path: str, folds: int = 10, text: str = "text", doc_id: str = "doc_id", seed: int = 11, told: int = TOLD) -> DataFrame:
     """A row for each row of docs: doc_id, held_out boolean (crc32 of the id as text modulo folds is 0), n_tokens, n_known, train_tokens long,
     base_score double, score double.
 
     Tokens are the words ``[^\\x20\\x09-\\x0D]+`` with A-Z lowered, and one end. base_score is the sum over tokens of log10((c + 0.1) / (N + 0.1
     (V + 1))) by the counts in all documents that are not held out; n_known counts tokens with c > 0. score is the model's log10 probability of the
-    text: of its words' subword ids, the words' ends and the end. A null text counts as empty (the end alone); null ids are held out;
-    repeated rows each count and get their row; an empty table gives none. Without training documents the networks stay as they started and N and V
-    are 0. Words are looked up by 64-bit hashes. Other columns are not read.
+    text's subword ids and its end. A null text counts as empty (the end alone); null ids are held out; repeated rows each count and get their row;
+    an empty table gives none. A very long text is scored in windows as any other; in training it belongs to one group. Without training documents the
+    model stays as it started and N and V are 0. Words are looked up by 64-bit hashes. Other columns are not read.
 
-    Texts are read twice: to gather, and to score. Counts and inner probabilities of rare words are joined by hash, and told to all tasks of frequent
-    ones, as are probabilities of runs of ids within words.
+    Texts are read twice: to gather, and to score. The ids of training texts are written, and dealt to their groups once.
     """
     spark = docs.sparkSession
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("t"), id_crc(doc_id).alias("crc"))
-    gathered = written(own.select("t", "crc").mapInArrow(_gather(tokenizer_path, folds), "kind byte, word binary, n long"), "gathered")
-    vocabulary = written(gathered.filter("kind = 0").groupBy("word").agg(F.sum("n").alias("c")), "vocabulary")
-    table = written(vocabulary.mapInArrow(_words(tokenizer_path), "kind byte, key long, c long"), "words")
-    ends = gathered.filter("kind = 2").agg(F.sum("n")).first()[0] or 0
+    gathered = written(own.select("t", "crc", "doc_id").mapInArrow(_gather(tokenizer_path, folds), "kind byte, key long, c long, n long, ids binary"), "gathered")
+    vocabulary = written(gathered.filter("kind = 0").groupBy("key").agg(F.sum("c").alias("c"), F.sum("n").alias("n")), "vocabulary")
     n_words, v_words = vocabulary.agg(F.sum("c"), F.count_if(F.col("c") > 0)).first()
+    ends = int(gathered.filter("kind = 3").agg(F.sum("c")).first()[0] or 0)
     total, kinds = (n_words or 0) + ends, v_words + (ends > 0)
+    denom = float(total + 0.1 * (kinds + 1))
     sub = subwords(tokenizer_path)
     # ids' counts are as many as the vocabulary
-    id_counts, of_first = np.zeros(sub.size), np.zeros(sub.size)
-    for r in table.filter("kind = 1").groupBy("key").agg(F.sum("c").alias("c")).collect():
-        id_counts[r.key] = r.c
-    of_first[:] = id_counts
-    id_counts[sub.end] += ends
-    runs = written(_run_probs(table, of_first, (id_counts + 0.1) / (id_counts + 0.1).sum()), "runs")
-    removed(table)
-    cls, within = classes_of(id_counts)
-    outer, inner = _rounds(gathered.filter("kind = 1"), cls, sub.end, sub.word_end, seed)
-    counts = _inside(vocabulary, tokenizer_path, runs, inner, cls, within, runs_told)
-    top, least = most_frequent(counts, "c", told)
+    of_id = np.zeros(sub.size)
+    for r in gathered.filter("kind = 2").groupBy("key").agg(F.sum("c").alias("c")).collect():
+        of_id[r.key] = r.c
+    cls, within, mass = classes_of(of_id)
+    weights = learnt(gathered.filter("kind = 1").select(F.col("key").alias("h"), "ids"), int(of_id.sum()), cls, mass, sub.dtype, seed)
+    removed(gathered)
+    # the most frequent of all documents, so that no word that is joined is frequent in those held out
+    top, frequent = most_frequent(vocabulary, "n", told)
     top = top.sort_by("key")
-    top_key, top_c, top_log = (top.column(k).to_numpy() for k in ("key", "c", "log"))
-    denom = float(total + 0.1 * (kinds + 1))
-    sent = spark.sparkContext.broadcast((outer, cls, within, top_key, top_c, top_log))  # some 4 MB, of fixed size
-    n_ends, run_id = int(ends), uuid.uuid4().hex
-
-    def run(batches):
-        o, c_of, in_class, keys, cs, logs = sent.value
-        table = word_table(run_id, lambda: WordTable(subwords(tokenizer_path), Scorer(o), c_of, keys, cs, logs, denom))
-        end_id = table.sub.end
-        end_base, end_class, end_in = float(np.log10((n_ends + 0.1) / denom)) if denom else 0.0, int(c_of[end_id]), float(in_class[end_id])
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 256):
-                b = whole.slice(lo, 256)
-                places = table.look([lowered(t) for t in b.column(1).to_pylist()])
-                n = np.array([len(x) for x in places])
-                flat_places = np.concatenate(places)
-                doc = np.repeat(np.arange(len(n)), n)
-                add = lambda v: np.bincount(doc, v[flat_places], minlength=len(n))
-                base, known = add(table.base) + end_base, add(table.told).astype(np.int64) + (n_ends > 0)
-                rare = [table.hash[x[~table.told[x]]] for x in places]
-                seq = np.full(len(flat_places) + len(n), end_class, np.int64)
-                seq[np.arange(len(flat_places)) + doc] = table.first[flat_places]
-                who, x, y = windows(seq, n + 1, CLASSES, OUTER)
-                outside = table.outer.log_probs(x, y)[y != PAD]
-                away = ~table.told[flat_places]
-                behind = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x) for x in rare])].astype(np.int32)), pa.array(outside[(np.arange(len(flat_places)) + doc)[away]]))
-                score = mixed(outside, doc, flat_places, table, n, end_in, end_base)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n + 1), pa.array(known), pa.array(base), pa.array(score / np.log(10)), pa.array(rare, pa.list_(pa.int64())), behind], names=["doc_id", "crc", "n_tokens", "n_known", "base", "score", "rare", "outer"])
-
-    scored = written(own.select("doc_id", "t", "crc").mapInArrow(run, "doc_id long, crc long, n_tokens long, n_known long, base double, score double, rare array<long>, outer array<double>").withColumn("rid", F.monotonically_increasing_id()), "scored")
-    looked = scored.select("rid", F.explode(F.arrays_zip("rare", "outer")).alias("r")).select("rid", F.col("r.rare").alias("key"), F.col("r.outer").alias("outer"))
-    rest = counts.filter(F.col("c") < least)
+    sent = spark.sparkContext.broadcast((weights, cls, within, top.column("key").to_numpy(), top.column("c").to_numpy()))  # some 5 MB, of fixed size
+    scored = written(own.select("doc_id", "t", "crc").mapInArrow(_score(tokenizer_path, folds, sent, denom, ends), "doc_id long, crc long, n_tokens long, n_known long, base double, score double, rare array<long>").withColumn("rid", F.monotonically_increasing_id()), "scored")
+    looked = scored.select("rid", F.explode("rare").alias("key"))
     c = F.col("c")
-    near, far = F.col("outer") + F.col("log") + F.lit(float(np.log(1 - MIXED))), F.log((c + 0.1) / F.lit(denom)) + F.lit(float(np.log(MIXED)))
-    token = F.when(c > 0, F.greatest(near, far) + F.log1p(F.exp(-F.abs(near - far)))).otherwise(near)
-    late = looked.join(rest, "key").groupBy("rid").agg(F.sum(F.log10((c + 0.1) / F.lit(denom))).alias("more"), F.count_if(c > 0).alias("more_known"), (F.sum(token) / F.lit(float(np.log(10)))).alias("more_score"))
-    out = scored.drop("rare", "outer").join(late, "rid", "left")
-    more = lambda name, to: (F.col(name) + F.coalesce(to, F.lit(0))).alias(name)
-    return out.withColumnRenamed("base", "base_score").select("doc_id", (F.col("crc") % folds == 0).alias("held_out"), "n_tokens", more("n_known", "more_known"), F.lit(int(total)).cast("long").alias("train_tokens"), more("base_score", "more"), more("score", "more_score"))
+    late = looked.join(vocabulary.filter(~frequent), "key").groupBy("rid").agg(F.sum(F.log10((c + 0.1) / F.lit(denom))).alias("more"), F.count_if(c > 0).alias("more_known"))
+    out = scored.drop("rare").join(late, "rid", "left")
+    more = lambda name, to: F.col(name) + F.coalesce(to, F.lit(0))
+    return out.select("doc_id", (F.col("crc") % folds == 0).alias("held_out"), "n_tokens", more("n_known", "more_known").alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), more("base", "more").alias("base_score"), "score")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from querncore.llm.common import WORD, written
+from querncore.llm.common import WORD, free_name, partitions, removed, row_key, written
 
 #: Documents that fly together; what a task holds of one group.
 BLOCK = 4000
@@ -93,70 +93,128 @@ def seed_of(*key) -> int:
     return int.from_bytes(hashlib.blake2b(repr(key).encode(), digest_size=8).digest(), "big")
 
 
-def _fly(land: bool, level: int, seed: int):
+def _fly(level: int, seed: int):
     def run(group: pa.Table) -> pa.Table:
         group = group.sort_by([("h", "ascending"), ("id", "ascending"), ("size", "ascending"), ("rid", "ascending")])
         src, block = group.column("src")[0].as_py(), group.column("block")[0].as_py()
+        land = group.column("blocks")[0].as_py() == 1
         rng = np.random.default_rng(seed_of(seed, src, block, level))
         p = flight(group.column("prob").to_numpy(), group.column("size").to_numpy().astype(float), rng, land)
-        return group.set_column(group.schema.get_field_index("prob"), "prob", pa.array(p, pa.float64())).select(["rid", "id", "h", "src", "size", "prob", "block"])
+        return group.set_column(group.schema.get_field_index("prob"), "prob", pa.array(p, pa.float64())).select(["rid", "id", "h", "src", "size", "prob"])
 
     return run
 
 
+def _joined(rows: DataFrame, few: DataFrame, on) -> DataFrame:
+    """An inner join with a row for each source, broadcast where they are FEW at most."""
+    return rows.join(F.broadcast(few) if few.limit(FEW + 1).count() <= FEW else few, on)
+
+
 def settle(units: DataFrame, seed: int = 0, block: int = BLOCK) -> DataFrame:
-    """units: rid long (unique), id long, h long, src int, size long, prob double. Returns rid and prob, now 0 or 1, of every unit.
-    A source with any share of the rows is dealt over blocks of about ``block`` units; every level leaves at most two of a block."""
-    spark = units.sparkSession
-    schema = "rid long, id long, h long, src int, size long, prob double, block long"
-    parts, level = [], 0
-    left = units
+    """units: rid long (unique), id long, h long, src long, size long, prob double. Returns rid and prob, now 0 or 1, of every unit.
+    A source with any share of the rows is dealt over blocks of about ``block`` units; every level leaves at most two of a block, and a source that
+    has a single block left lands."""
+    schema = "rid long, id long, h long, src long, size long, prob double"
+    out, left, level = None, units, 0
     while True:
-        counts = dict(left.groupBy("src").count().collect())  # a row for each source
-        if not counts:
-            break
-        land = max(counts.values()) <= block
-        blocks = spark.createDataFrame([(s, -(-n // block)) for s, n in counts.items()], "src int, blocks long")
-        flown = left.join(F.broadcast(blocks) if len(counts) <= FEW else blocks, "src").withColumn("block", F.pmod(F.xxhash64("h", F.lit(level)), F.col("blocks")))
-        flown = written(flown.select("rid", "id", "h", "src", "size", "prob", "block").groupBy("src", "block").applyInArrow(_fly(land, level, seed), schema), f"flight{level}")
+        blocks = written(left.groupBy("src").agg(F.ceil(F.count("*") / block).cast("long").alias("blocks")), "blocks")
+        if blocks.isEmpty():
+            removed(blocks)
+            return out if out is not None else units.select("rid", "prob").limit(0)
+        dealt = _joined(left, blocks, "src").withColumn("block", F.pmod(F.xxhash64("h", F.lit(level)), F.col("blocks")))
+        flown = written(dealt.select("rid", "id", "h", "src", "size", "prob", "block", "blocks").groupBy("src", "block").applyInArrow(_fly(level, seed), schema), f"flight{level}")
+        removed(blocks)
         settled = (F.col("prob") == 0) | (F.col("prob") == 1)
-        parts.append(flown.filter(settled).select("rid", "prob"))
-        if land:
+        done = flown.filter(settled).select("rid", "prob")
+        out = done if out is None else out.unionByName(done)
+        left, level = flown.filter(~settled), level + 1
+
+
+def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
+    """source string, n long -> src long (place in the order of code points, null last), source, source_size, target double: ``targets`` for any
+    number of sources. Ranges of sources are ordered in their tasks, and a task's first place follows from the others' counts. The targets are
+    min(cap * size, level * weight) for the level at which they sum up to what is shared; the driver sees that level alone, which only rises."""
+    spark = sizes.sparkSession
+    ordered = sizes.repartitionByRange(partitions(spark), F.col("source").asc_nulls_last()).sortWithinPartitions(F.col("source").asc_nulls_last())
+    ordered = written(ordered.withColumn("at", F.monotonically_increasing_id()), "sources")
+    part, place = F.shiftright("at", 33), F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    first, offsets = 0, []
+    for p, n in sorted(tuple(r) for r in ordered.groupBy(part.alias("part")).count().collect()):  # a row for each task
+        offsets.append((p, first))
+        first += n
+    begin = F.broadcast(spark.createDataFrame(offsets, "part long, first long"))
+    rows = ordered.withColumn("part", part.cast("long")).join(begin, "part").select((place + F.col("first")).alias("src"), "source", F.col("n").alias("source_size"))
+    w = F.element_at(F.array(*(F.lit(float(x)) for x in weights)), (F.col("src") % len(weights) + 1).cast("int"))
+    rows = written(rows.withColumn("w", w), "targets")
+    removed(ordered)
+    some = F.col("source_size") > 0
+    total = rows.agg(F.sum("source_size")).first()[0] or 0
+    level, top = 0.0, F.col("source_size") * F.lit(float(cap))
+    while total:
+        above = top < F.col("w") * F.lit(level)
+        fixed, open_ = rows.filter(some).agg(F.sum(F.when(above, top)), F.sum(F.when(~above, F.col("w")))).first()
+        if not open_:
+            level = float("inf")
             break
-        left, level = flown.filter(~settled).drop("block"), level + 1
-    out = None
-    for p in parts:
-        out = p if out is None else out.unionByName(p)
-    return out if out is not None else units.select("rid", "prob").limit(0)
-
-
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = 0, text: str = "text", doc_id: str = "doc_id", source: str = "source", carry: bool = False, block: int = BLOCK) -> DataFrame:
-    """A row for each row of docs: doc_id, size (words of the text), source_size, target double (its source's), taken long (words that
-    the mix takes of the document, repeats counted), copies int; with carry, all columns of docs and copies alone.
+        now = (share * total - (fixed or 0.0)) / open_
+        if now <= level * (1 + 1e-12):
+            break
+        level = now
+    return rows.select("src", "source", "source_size", F.when(some, F.least(top, F.col("w") * F.lit(level))).otherwise(0.0).alias("target"))
 
-    Sources are ordered by code point, null (a source of its own) last, and the weights repeat along that order; they share
-    ``share`` times the sum of all sizes, no target above cap (at most 2) times its source's size, the excess dealt again.
-    Null and empty texts have size 0 and are never short of their copies. Repeated rows are documents of their own. An empty table gives none. The same
-    rows and seed give the same mix however they are dealt out: order comes from hashes of ids, rows equal in id and size are interchangeable.
 
-    Texts are read once, for their sizes; a table of ids and sizes is written, and the flight shuffles that alone. To the
-    driver come one row for each source.
-    """
+def _drawn(docs: DataFrame, weights, share: float, cap: float, seed: int, text: str, doc_id: str, source: str, block: int, key=()) -> DataFrame:
+    """A row for each row of docs: id, size, source_size, target, copies, and the columns in key."""
     if not 0 < cap <= 2:
         raise ValueError("cap must be above 0 and 2 at most: copies are 0, 1 or 2")
-    spark = docs.sparkSession
+    names = [f"key{k}" for k in range(len(key))]
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(source).cast("string").alias("source"), size.alias("size"), *([F.struct(*docs.columns).alias("row")] if carry else []))
+    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(source).cast("string").alias("source"), size.alias("size"), *(k.alias(n) for k, n in zip(key, names)))
     rows = written(rows.withColumn("rid", F.monotonically_increasing_id()), "sizes")
-    totals = sorted(((r.source, r.n) for r in rows.groupBy("source").agg(F.sum("size").alias("n")).collect()), key=lambda r: (r[0] is None, (r[0] or "").encode()))
-    plan = spark.createDataFrame([(k, s, n, t) for k, ((s, n), t) in enumerate(zip(totals, targets(totals, weights, share, cap)))], "src int, source string, source_size long, target double")
-    rows = rows.join(F.broadcast(plan) if len(totals) <= FEW else plan, rows["source"].eqNullSafe(plan["source"])).drop(plan["source"])
-    expected = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(cap))).otherwise(F.lit(0.0))
+    plan = source_targets(rows.groupBy("source").agg(F.sum("size").alias("n")), weights, share, cap).withColumnRenamed("source", "own")
+    rows = _joined(rows, plan, F.col("source").eqNullSafe(F.col("own"))).drop("own")
+    expected = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(cap)))).otherwise(F.lit(0.0))
     rows = rows.withColumn("whole", F.floor(expected + EPS)).withColumn("prob", F.greatest(expected - F.col("whole"), F.lit(0.0)))
     units = rows.filter(F.col("prob") > EPS).select("rid", "id", F.xxhash64("id", "size").alias("h"), "src", "size", "prob")
     drawn = settle(units, seed, block).select("rid", F.col("prob").cast("int").alias("more"))
-    copies = (F.col("whole") + F.coalesce("more", F.lit(0))).cast("int")
-    out = rows.join(drawn, "rid", "left").withColumn("copies", copies)
-    if carry:
-        return out.select("row.*", "copies")
+    return rows.join(drawn, "rid", "left").select("id", "size", "source_size", "target", (F.col("whole") + F.coalesce("more", F.lit(0))).cast("int").alias("copies"), *names)
+
+
+def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = 0, text: str = "text", doc_id: str = "doc_id", source: str = "source", block: int = BLOCK) -> DataFrame:
+    """A row for each row of docs: doc_id, size (words of the text), source_size, target double (its source's), taken long (words that
+    the mix takes of the document, repeats counted), copies int.
+
+    Sources are ordered by code point, null (a source of its own) last, and the weights repeat along that order; they share
+    ``share`` times the sum of all sizes, no target above cap (at most 2) times its source's size, the excess dealt again.
+    Null and empty texts have size 0; they are taken as often as their source's share says, which takes no words. A very long text is a unit like any
+    other: it is taken whole, so a source's words meet its target but for two of its units at most. Repeated rows are documents of their own. An
+    empty table gives none; other columns are not read. The same rows and seed give the same mix however they are dealt out: order comes from hashes of
+    ids, rows equal in id and size are interchangeable.
+
+    Texts are read once, for their sizes; a table of ids and sizes is written, and the flight shuffles that alone.
+    """
+    out = _drawn(docs, weights, share, cap, seed, text, doc_id, source, block)
     return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+
+
+#: Copies of one row that a task makes from one array.
+MADE = 4096
+
+
+def mixed_rows(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = 0, text: str = "text", doc_id: str = "doc_id", source: str = "source", block: int = BLOCK) -> DataFrame:
+    """The rows of docs with all their columns, each as often as ``mix`` takes it. Edge cases are those of ``mix``.
+
+    Texts are not carried through the draw: rows are found again by their ``row_key``, in one join at the end. Of rows that repeat each other wholly, one
+    is given as often as all of them are taken."""
+    out = _drawn(docs, weights, share, cap, seed, text, doc_id, source, block, row_key(docs))
+    a, b, times, rows = (free_name(docs, x) for x in ("_k1", "_k2", "_times", "_rows"))
+    want = out.groupBy(F.col("key0").alias(a), F.col("key1").alias(b)).agg(F.sum("copies").alias(times), F.count("*").alias(rows)).filter(F.col(times) > 0)
+    want = written(want, "copies")
+    k1, k2 = row_key(docs)
+    found = docs.select("*", k1.alias(a), k2.alias(b)).join(want, [a, b])
+    if not want.filter(F.col(rows) > 1).isEmpty():
+        repeated = found.filter(F.col(rows) > 1).dropDuplicates([a, b])
+        found = found.filter(F.col(rows) == 1).unionByName(repeated)
+    spans = F.sequence(F.lit(0), F.floor((F.col(times) - 1) / MADE))
+    found = found.withColumn(b, F.explode(spans))
+    return found.withColumn(a, F.explode(F.sequence(F.lit(1), F.least(F.lit(MADE), F.col(times) - F.col(b) * MADE)))).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -108,23 +108,6 @@ def test_base_scores_equal_brute_force(spark, edge, piece_model, told):
     assert all(r.score < 0 and math.isfinite(r.score) for r in got)
 
 
-def test_scores_do_not_depend_on_what_is_told(edge, piece_model):
-    def scores(**how):
-        return sorted((r.score for r in lm.lm_scores(edge, piece_model, **how).collect()))
-
-    assert np.allclose(scores(told=5, runs_told=5), scores(), rtol=1e-9, atol=1e-7)
-
-
-def test_run_probabilities_use_every_count(spark):
-    share, of_first = np.full(10, 0.1), np.array([0, 9, 5, 0, 0, 0, 0, 0, 0, 0])
-    pairs, triples = [(1 << 20 | 2, 5), (1 << 20 | 3, 4), (2 << 20 | 9, 5)], [(9 << 40 | 1 << 20 | 2, 5), (9 << 40 | 1 << 20 | 3, 1), (8 << 40 | 1 << 20 | 3, 3), (9 << 40 | 2 << 20 | 9, 0), (1 << 40 | 2 << 20 | 9, 5)]
-    table = spark.createDataFrame([(2, k, c) for k, c in pairs] + [(3, k, c) for k, c in triples], "kind byte, key long, c long")
-    got = {r.key: (r.c, r.p) for r in lm._run_probs(table, of_first, share).collect()}
-    whole = lm.Runs(np.array(pairs), np.array(triples), of_first, share)
-    assert {k: c for k, (c, _) in got.items()} == dict(triples)
-    assert all(abs(p - whole.log(*(np.array([x]) for x in (k >> 40, k >> 20 & 0xFFFFF, k & 0xFFFFF)))[0]) < 1e-9 for k, (_, p) in got.items())
-
-
 def test_lm_of_nothing(empty, spark, piece_model):
     assert lm.lm_scores(empty, piece_model).count() == 0
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 10 == 0)
@@ -133,23 +116,40 @@ def test_lm_of_nothing(empty, spark, piece_model):
 
 
 def test_windows_score_each_target_once():
-    for shape in (lm.OUTER, lm.SHORT, lm.LONG):
-        n = np.array([1, 2, 3, 7, shape[0], shape[0] + 1, 100])
+    for places, context in ((lm.PLACES, lm.CONTEXT), (lm.PLACES, 0), (4, 1)):
+        n = np.array([1, 2, 3, 7, places, places + 1, 100])
         given = np.arange(n.sum()) % 900
-        who, x, y = lm.windows(given, n, lm.CLASSES, shape)
+        who, x, y = lm.windows(given, n, places, context)
         assert y[y != lm.PAD].tolist() == given.tolist()
         assert np.bincount(np.repeat(who, (y != lm.PAD).sum(axis=1)), minlength=len(n)).tolist() == n.tolist()
 
 
+def random_weights(seed=1):
+    r = np.random.default_rng(seed)
+    return {k: r.normal(0, 0.4, v.shape) for k, v in lm.initial(np.ones(lm.CLASSES)).items()}
+
+
+def plain_log_prob(p, before, target):
+    """Of one class behind those of its window, by plain loops over places."""
+    e = p["emb"][before]
+    q, k, v = (((e + p["pos"][: len(before)]) @ p["qkv"])[:, i * lm.DIM : (i + 1) * lm.DIM] for i in range(3))
+    weight = np.exp([float(q[-1] @ k[j]) / math.sqrt(lm.DIM) for j in range(len(before))])
+    h = np.tanh((weight[:, None] * v).sum(axis=0) / weight.sum() @ p["o"] + e[-1] @ p["skip"] + p["b"])
+    h[0] = 1
+    group, member = divmod(int(target), lm.MEMBERS)
+    soft = lambda z, i: z[i] - math.log(np.exp(z).sum())
+    return soft(h @ p["g"], group) + soft(h @ p["c"][group], member)
+
+
 def test_gradients_and_causality():
     rng = np.random.default_rng(1)
-    p = {k: v.astype(np.float64) for k, v in lm.initial().items()}
+    p = random_weights()
     x, y = rng.integers(0, lm.CLASSES, (3, 8)), rng.integers(0, lm.CLASSES, (3, 8))
     y[0, 5:] = x[0, 5:] = lm.PAD
     _, d = lm.gradients(p, x, y)
     for k in p:
         at = tuple(int(rng.integers(0, n)) for n in p[k].shape)
-        at = (int(x[1, 2]), 3) if k == "emb" else (int(y[1, 1]) // lm.GROUPS, 3, int(y[1, 1]) % lm.GROUPS) if k == "c" else (2, 3) if k == "pos" else at
+        at = (int(x[1, 2]), 3) if k == "emb" else (int(y[1, 1]) // lm.MEMBERS, 3, int(y[1, 1]) % lm.MEMBERS) if k == "c" else (2, 3) if k == "pos" else at
         e, old = 1e-5, p[k][at]
         p[k][at] = old + e
         up = lm.gradients(p, x, y)[0]
@@ -157,71 +157,133 @@ def test_gradients_and_causality():
         down = lm.gradients(p, x, y)[0]
         p[k][at] = old
         assert abs((up - down) / (2 * e) - d[k][at]) < 1e-6
-    weights = lm.initial()
-    s = lm.Scorer(weights)
-    a = s.log_probs(x, y)
-    assert abs(-a.sum() / (y != lm.PAD).sum() - lm.gradients(weights, x, y)[0]) < 1e-4
+    net = lm.Net(p)
+    a = net.log_probs(x, y)
+    assert abs(-a.sum() / (y != lm.PAD).sum() - lm.gradients(p, x, y)[0]) < 1e-6
     later = x.copy()
     later[:, 6:] = (later[:, 6:] + 1) % lm.CLASSES
     later[0, 5:] = lm.PAD
-    assert np.allclose(s.log_probs(later, y)[:, :6], a[:, :6])
+    assert np.allclose(net.log_probs(later, y)[:, :6], a[:, :6])
 
 
-def test_probabilities_sum_to_one():
-    s = lm.Scorer(lm.initial(3))
+@pytest.mark.parametrize("scale", [1, 30])
+def test_batches_equal_plain_loops(scale):
+    """Also with weights so large that exponents have to be kept in range."""
+    rng = np.random.default_rng(2)
+    p = random_weights(2)
+    for k in ("g", "c"):
+        p[k] *= scale
+    n = np.array([5, lm.PLACES + 20, 1])
+    given = rng.integers(0, lm.CLASSES, n.sum())
+    who, x, y = lm.windows(given, n, lm.PLACES, lm.CONTEXT)
+    got = lm.Net(p).log_probs(x, y)
+    for w, i in zip(*np.nonzero(y != lm.PAD)):
+        assert got[w, i] == pytest.approx(plain_log_prob(p, x[w, : i + 1], y[w, i]), abs=1e-8)
+
+
+def test_probabilities_of_ids_sum_to_one():
+    cls, within, mass = lm.classes_of(np.arange(5000)[::-1] ** 2 % 977)
     x = np.tile([[5, 7, 9, 1]], (lm.CLASSES, 1))
     y = np.full((lm.CLASSES, 4), lm.PAD)
     y[:, 3] = np.arange(lm.CLASSES)
-    assert abs(np.exp(s.log_probs(x, y)[:, 3]).sum() - 1) < 1e-4
-    share = np.full(10, 0.1)
-    runs = lm.Runs(np.array([[1 << 20 | 2, 5], [1 << 20 | 3, 4]]), np.array([[9 << 40 | 1 << 20 | 2, 3]]), np.array([0, 9, 0, 0, 0, 0, 0, 0, 0, 0]), share)
-    all_ids = np.arange(10)
-    for lead, first in ((9, 1), (8, 1), (9, 4)):
-        assert abs(np.exp(runs.log(np.full(10, lead), np.full(10, first), all_ids)).sum() - 1) < 1e-9
-
+    of_class = lm.Net(random_weights(3)).log_probs(x, y)[:, 3]
+    assert abs(np.exp(of_class[cls] + within).sum() - 1) < 1e-6
+    start = lm.Net({k: v * 0 if k not in "gc" else v for k, v in lm.initial(mass).items()})
+    assert np.allclose(np.exp(start.log_probs(x, y)[:, 3]), mass / mass.sum(), rtol=0.6)
 
-def test_networks_learn_from_all_windows_and_words(piece_model):
-    import pyarrow as pa
-
-    sub = lm.subwords(piece_model)
-    folds, crc = 10, 20 + 1
-    text = [f"learn{k % 50}" for k in range(1800)]
-    raws = [w for b in lm._gather(piece_model, folds)([pa.RecordBatch.from_pydict({"t": [" ".join(text), "held out"], "crc": [crc, 20]})]) for k, w in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if k == 1]
-    assert len(raws) == 1
-    cls, _ = lm.classes_of(np.arange(sub.size))
-    got = list(lm._all_windows([pa.RecordBatch.from_pydict({"word": pa.array(raws, pa.binary())})], cls, sub.end, sub.word_end))
-    targets = {name: sum(int(((y != lm.PAD).sum(axis=1) * t).sum()) for k, _, y, t in got if k == name) for name in ("outer", "inner")}
-    assert targets == {"outer": len(text) + 1, "inner": sum(len(x) for x in sub.ids([w.encode() for w in text]))}
 
+def test_training_lowers_the_loss():
+    rng = np.random.default_rng(2)
+    y = np.cumsum(rng.integers(1, 3, (60 * lm.STEP, 8)), axis=1) % 20
+    x = np.c_[np.full(len(y), lm.CLASSES), y[:, :-1]]
+    start = lm.initial(np.bincount(y.ravel(), minlength=lm.CLASSES) + 0.1)
+    before, after = (lm.gradients(p, x[:512], y[:512])[0] for p in (start, lm.trained(start, x, y, 8e-3, 1)))
+    assert after < 0.5 * before
 
-def test_gradients_count_repeated_windows():
-    rng = np.random.default_rng(3)
-    p = {k: v.astype(np.float64) for k, v in lm.initial().items()}
-    x, y, times = rng.integers(0, lm.CLASSES, (3, 8)), rng.integers(0, lm.CLASSES, (3, 8)), np.array([1, 3, 2])
-    (a, d), (b, e) = lm.gradients(p, x, y, times), lm.gradients(p, np.repeat(x, times, axis=0), np.repeat(y, times, axis=0))
-    assert abs(a - b) < 1e-5 and all(np.allclose(d[k], e[k], atol=1e-5) for k in d)
 
+def test_all_training_texts_are_learnt_from(spark, piece_model, monkeypatch):
+    import pyarrow as pa
 
-def test_training_lowers_the_loss():
-    rng = np.random.default_rng(2)
-    a = lm.Adam(lm.initial(), 6e-3)
-    losses = []
-    for _ in range(60):
-        y = np.cumsum(rng.integers(1, 3, (32, 8)), axis=1) % 20
-        x = np.c_[np.full(32, lm.CLASSES), y[:, :-1]]
-        losses.append(a.step(x, y))
-    assert losses[-1] < 0.6 * losses[0]
+    sub = lm.subwords(piece_model)
+    texts = [" ".join(f"learn{k % 50}" for k in range(1800)), "held out", None]
+    batch = pa.RecordBatch.from_pydict({"t": texts, "crc": [21, 20, 22], "doc_id": [1, 2, 3]})
+    rows = [r for b in lm._gather(piece_model, 10)([batch]) for r in b.to_pylist()]
+    ids = [np.frombuffer(r["ids"], sub.dtype).tolist() for r in rows if r["kind"] == 1]
+    want = [i for w in texts[0].split() for i in sub.ids([w.encode()])[0]] + [sub.end]
+    assert ids == [want, [sub.end]]
+    counted = {r["key"]: r["c"] for r in rows if r["kind"] == 2}
+    assert counted == Counter(want + [sub.end]) and [r["c"] for r in rows if r["kind"] == 3] == [2]
+    _, _, y = lm.windows(np.array(want), np.array([len(want)]), lm.PLACES, 0)
+    assert y[y != lm.PAD].tolist() == want
+
+
+def test_scores_do_not_depend_on_partitions_and_repeat_those_of_whole_texts(spark, piece_model, monkeypatch):
+    monkeypatch.setattr(lm, "GROUP_IDS", 20_000)
+    d = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet")
+    kept = {}
+    learnt = lm.learnt
+    monkeypatch.setattr(lm, "learnt", lambda *a: kept.setdefault("p", learnt(*a)))
+    got = {r.doc_id: r for r in lm.lm_scores(d, piece_model).collect()}
+    first = kept.pop("p")
+    other = {r.doc_id: r.score for r in lm.lm_scores(d.repartition(7), piece_model).collect()}
+    assert all(np.array_equal(first[k], v) for k, v in kept["p"].items())
+    assert all(abs(other[i] - r.score) < 1e-5 * abs(r.score) for i, r in got.items())
+    # two whole texts by plain loops
+    rows = [(r.doc_id, r.text) for r in d.collect()]
+    sub, of_id = lm.subwords(piece_model), np.zeros(lm.subwords(piece_model).size)
+    seq = {i: [x for w in lm.lowered(t) for x in sub.ids([w])[0]] + [sub.end] for i, t in rows}
+    for i, s in seq.items():
+        if not got[i].held_out:
+            np.add.at(of_id, s, 1)
+    cls, within, _ = lm.classes_of(of_id)
+    p = {k: v.astype(np.float64) for k, v in first.items()}
+    for i in [i for i, s in seq.items() if 40 < len(s) < 150][:2]:
+        c, total, step = [lm.CLASSES, *cls[seq[i]].tolist()], 0.0, lm.PLACES - lm.CONTEXT
+        for k in range(len(seq[i])):
+            begin = 0 if k < lm.PLACES else (k - lm.CONTEXT) // step * step
+            total += plain_log_prob(p, np.array(c[begin : k + 1]), c[k + 1]) + within[seq[i][k]]
+        assert got[i].score == pytest.approx(total / math.log(10), rel=1e-4)
+
+
+def test_attention_beats_the_base_on_texts_held_out(spark, piece_model):
+    got = lm.lm_scores(spark.read.parquet(f"{DATA}/sf0.1/documents.parquet"), piece_model).filter("held_out").collect()
+    assert sum(r.score for r in got) > sum(r.base_score for r in got) + 0.1 * sum(r.n_tokens for r in got)
+    assert np.mean([r.score > r.base_score for r in got]) > 0.55
 
 
 # --- mixing
 
 
-def test_targets_share_and_stop():
-    sizes = [("a", 100), ("b", 1000), ("c", 50), (None, 10)]
-    got = mixing.targets(sizes)
-    assert sum(got) == pytest.approx(1.5 * 1160) and all(t <= 2 * n + 1e-9 for t, (_, n) in zip(got, sizes))
-    assert got[0] == 200 and got[2] == 100 and got[3] == 20
-    assert mixing.targets([]) == [] and mixing.targets([("a", 0)]) == [0.0]
+def brute_targets(sizes, weights=(3.0, 1.0, 2.0), share=1.5, cap=2.0):
+    """Deals share times all sizes by weight; a target stops at cap times its size, the excess is dealt again among the others."""
+    target, open_, left = [0.0] * len(sizes), {k for k, n in enumerate(sizes) if n}, share * sum(sizes)
+    while open_ and left > 1e-9:
+        total = sum(weights[k % len(weights)] for k in open_)
+        above = {k for k in open_ if left * weights[k % len(weights)] / total > cap * sizes[k]}
+        if not above:
+            for k in open_:
+                target[k] = left * weights[k % len(weights)] / total
+            break
+        for k in above:
+            target[k] = cap * sizes[k]
+            left -= target[k]
+        open_ -= above
+    return target
+
+
+@pytest.mark.parametrize("seed", [None, 1, 2])
+def test_targets_share_and_stop(spark, seed):
+    rng = np.random.default_rng(seed)
+    names = ["a", "b", "c", None] if seed is None else sorted({f"s{rng.integers(10**6)}" for _ in range(200)} | {"\uffee", "\U0001f600"}, key=lambda s: s.encode()) + [None]
+    sizes = [100, 1000, 50, 10] if seed is None else [int(x) for x in rng.pareto(0.7, len(names)) * 10]
+    df = spark.createDataFrame(list(zip(names, sizes)), "source string, n long").repartition(5)
+    got = sorted(map(tuple, mixing.source_targets(df).collect()))
+    assert [(k, s, n) for k, s, n, _ in got] == [(k, s, n) for k, (s, n) in enumerate(zip(names, sizes))]
+    assert [t for *_, t in got] == pytest.approx(brute_targets(sizes))
+    if seed is None:
+        assert [t for *_, t in got] == pytest.approx([200, 1420, 100, 20])
+    none = spark.createDataFrame([], "source string, n long")
+    assert mixing.source_targets(none).count() == 0 and [r.target for r in mixing.source_targets(spark.createDataFrame([("a", 0)], "source string, n long")).collect()] == [0.0]
 
 
 def test_flight_keeps_its_sums():
@@ -254,6 +316,28 @@ def test_mix_meets_targets(spark, block):
         assert abs(sum(r.taken for r in own) - own[0].target) <= 2 * 37 and own[0].source_size == sum(r.size for r in own)
 
 
+def test_mixed_rows_are_taken_as_often_as_the_mix_says(spark, edge, empty):
+    rows = [(k, "w " * (k % 37), "abcd"[min(3, k % 9)] if k % 50 else None) for k in range(600)] + [(None, "null id", "a"), (7, "same id", "b")] + [(900, "repeated row", "c")] * 9
+    df = spark.createDataFrame(rows_of(*rows), SCHEMA)
+    took = Counter()
+    for r in mixing.mix(df, block=50).collect():
+        took[r.doc_id, r.size] += r.copies
+    got = mixing.mixed_rows(df.repartition(5), block=50)
+    assert got.columns == df.columns
+    assert Counter((r.doc_id, len((r.text or "").split())) for r in got.collect()) == +took
+    again = mixing.mixed_rows(df.repartition(2), block=50).collect()
+    assert Counter(again) == Counter(got.collect())
+    clash = spark.createDataFrame([(1, "a b c", "s", 5, 6, 7, 8, 9)], "doc_id long, text string, source string, copies int, _copy int, _k1 int, _times int, key0 int")
+    assert mixing.mixed_rows(clash).columns == clash.columns and mixing.mixed_rows(clash).count() <= 2
+    assert mixing.mixed_rows(empty).count() == 0 and mixing.mixed_rows(edge).columns == edge.columns
+
+
+def test_many_copies_of_one_row(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MADE", 7)
+    df = spark.createDataFrame(rows_of(*[(1, "two words", "a")] * 40), SCHEMA)
+    assert mixing.mixed_rows(df).count() == sum(r.copies for r in mixing.mix(df).collect()) == 60
+
+
 def test_mix_edges(edge, empty):
     got = mixing.mix(edge).collect()
     assert len(got) == len(EDGE) and mixing.mix(empty).count() == 0

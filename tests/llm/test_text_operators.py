@@ -39,6 +39,28 @@ def test_hashes_depend_on_bytes_alone_and_fold_ascii():
     assert h[0] == h[4] and h[1] == h[6] and h[2] == h[3] and h[5] != h[6]
 
 
+def thue_morse(n):
+    """A word of 2**n letters, and the one with its letters exchanged: sums over powers modulo 2**64 cannot tell them apart."""
+    word = "a"
+    for _ in range(n):
+        word += word.translate({97: 98, 98: 97})
+    return word, word.translate({97: 98, 98: 97})
+
+
+@pytest.mark.parametrize("n", [3, 7, 10])
+def test_hashes_tell_words_apart_that_sums_of_powers_do_not(n):
+    _, t = next(hashing.slices(pa.array([" ".join(thue_morse(n)), "ab", "ba", "ab\0"]), fold=True))
+    assert len(set(t.words().tolist())) == 5
+
+
+def test_different_long_words_are_different_texts(spark):
+    a, b = thue_morse(10)
+    rows = [(k, " ".join([w, *"c d e f g h".split()]), "s") for k, w in enumerate((a, b))]
+    df = spark.createDataFrame(rows_of(*rows), SCHEMA)
+    assert [r.component_id for r in jaccard_join.jaccard_components(df).orderBy("doc_id").collect()] == [0, 1]
+    assert len({r.fingerprint for r in fingerprints.fingerprints(df).collect()}) == 2
+
+
 # --- fingerprints
 
 
@@ -135,9 +157,8 @@ def near_copies(seed, groups=6, copies=9):
     return rows
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_components_equal_all_pairs(spark, seed):
-    rows = near_copies(seed)
+def test_components_equal_all_pairs(spark):
+    rows = near_copies(1, 12, 9)
     assert joined(spark, rows) == brute_components(rows)
 
 
@@ -154,6 +175,29 @@ def test_components_with_frequent_shingles(spark, monkeypatch):
     assert joined(spark, rows, percent=80) == brute_components(rows, 80)
 
 
+def test_components_with_long_lists(spark, monkeypatch):
+    """Lists dealt over tasks, blocks of a few entries."""
+    for name, value in (("FREQUENT", 2), ("HOT", 3), ("BLOCK", 4), ("INSIDE", 2)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    rows = near_copies(8, 6, 12)
+    assert joined(spark, rows, percent=80) == brute_components(rows, 80)
+
+
+@pytest.mark.parametrize("percent,width", [(90, 1), (80, 2)])
+def test_answers_derived_from_leaders(spark, percent, width):
+    """Groups whose leaders are not linked, but some of whose other sets are: chains of copies, each a little further off."""
+    rng = random.Random(percent)
+    rows = []
+    for g in range(9):
+        base = [f"g{g}w{k}" for k in range(100)]
+        for step in range(9):
+            w = list(base)
+            for k in range(step * 2):
+                w[k * 3 % 100] = f"g{g}x{k}" if rng.random() < 0.9 else f"g{g}y{k}"
+            rows.append((rng.randrange(10_000), " ".join(w)))
+    assert joined(spark, rows, percent=percent, width=width) == brute_components(rows, percent, width)
+
+
 def test_components_of_nothing(empty, spark):
     assert jaccard_join.jaccard_components(empty).count() == 0
 
@@ -168,10 +212,11 @@ def hidden_link():
     def apart(x, y):
         return sum((p ^ q).bit_count() for p, q in zip(jaccard_join.bitmap(hashes(x)), jaccard_join.bitmap(hashes(y))))
 
-    words = sorted((f"h{k}" for k in range(1000)), key=lambda w: int(hashes([w])[0]))
-    a, others = words[:200], words[200:]
     rng = random.Random(4)
-    while True:
+    for t in range(100_000):
+        if t % 500 == 0:
+            words = sorted((f"h{t}-{k}" for k in range(1000)), key=lambda w: int(hashes([w])[0]))
+            a, others = words[:200], words[200:]
         fresh = rng.sample(others, 21)
         b, c = a[:189] + fresh[:11], a[:179] + a[189:] + fresh[11:]
         ids = [jaccard_join.set_id(hashes(x)) for x in (a, b, c)]
@@ -185,17 +230,50 @@ def test_link_behind_a_nearer_neighbour_is_found(spark):
     assert [r[2] for r in want] == [0, 1, 0] and joined(spark, rows, percent=90, width=1) == want
 
 
+def kept_sources(spark, *rows, percent=90, width=3, parts=3):
+    df = spark.createDataFrame(rows_of(*rows), SCHEMA)
+    kept = jaccard_join.keep_one(df.repartition(parts), percent, width)
+    assert kept.columns == df.columns
+    return sorted(r.source for r in kept.collect())
+
+
+def brute_kept(rows, percent=90, width=3):
+    """How many rows stay: one of each component, and all without words."""
+    number = [(k, t, s) for k, (_, t, s) in enumerate(rows)]
+    return len({c for k, n, c in brute_components(number, percent, width)})
+
+
 def test_keep_one_keeps_one_of_each_group(spark):
-    rows = [(i, t, s) for i, t, s in EDGE] + [(5, EDGE[0][1], "a"), (30, LONG, "b")]
-    kept = sorted((r.doc_id for r in jaccard_join.keep_one(spark.createDataFrame(rows_of(*rows), SCHEMA)).collect()), key=str)
-    assert kept == sorted([5, -3, 9, 11, 13, 15, 17, 19, 21, None], key=str)
+    rows = [(i, t, str(k)) for k, (i, t, _) in enumerate(EDGE)] + [(5, EDGE[0][1], "a"), (30, LONG, "b")]
+    kept = kept_sources(spark, *rows)
+    # rows 0, 1, 2 and "a" are one group, "b" is a copy of row 10; rows without words (4, 5, 6, 7) all stay
+    assert len(kept) == brute_kept(rows) == 11
+    assert set(kept) - {"0", "1", "a"} == {"3", "4", "5", "6", "7", "8", "9", "10", "11", "12"}
 
 
 def test_keep_one_with_repeated_and_null_ids(spark):
     text = lambda c: " ".join(f"{c}{k}" for k in range(50))
     rows = [(None, text("a"), "1"), (None, text("b"), "2"), (4, text("c"), "3"), (4, text("d"), "4"), (3, text("e"), "5"), (5, text("e"), "6"), (5, text("f"), "7"), (8, "", "8"), (8, None, "9"), (None, text("e"), "10"), (3, text("e"), "11")]
-    kept = [r.source for r in jaccard_join.keep_one(spark.createDataFrame(rows_of(*rows), SCHEMA).repartition(3)).collect()]
-    assert len(kept) == 7 and set(kept) - {"5", "11", "8", "9"} == {"1", "2", "3", "4", "7"}
+    kept = kept_sources(spark, *rows)
+    assert len(kept) == brute_kept(rows) == 8 and set(kept) - {"5", "11"} == {"1", "2", "3", "4", "7", "8", "9"}
+    assert kept == kept_sources(spark, *rows, parts=1)
+    unrelated = [(i, text(c), c) for i, c in ((None, "p"), (None, "q"), (1, "r"), (1, "s"))]
+    assert kept_sources(spark, *unrelated) == ["p", "q", "r", "s"]
+    assert kept_sources(spark, (None, text("t"), "1"), (3, text("t"), "2"), (None, text("u"), "3")) == ["2", "3"]
+
+
+def test_keep_one_of_rows_that_repeat_wholly(spark, empty):
+    text = " ".join(f"w{k}" for k in range(50))
+    assert kept_sources(spark, *[(7, text, "a")] * 5, (9, text, "b"), *[(8, None, "c")] * 2) == ["a", "c", "c"]
+    assert jaccard_join.keep_one(empty).count() == 0
+
+
+def test_keep_one_with_clashing_columns(spark):
+    text = " ".join(f"w{k}" for k in range(50))
+    rows = [(1, text, 5, 6, 7, 8, 9), (2, text, 5, 6, 7, 8, 9), (2, text, 5, 6, 7, 8, 9), (3, None, 5, 6, 7, 8, 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _k1 long, _K2 int, _n int, key0 int, stays int")
+    kept = jaccard_join.keep_one(df)
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3]
 
 
 # --- records
