@@ -72,20 +72,20 @@ def removed(*tables: DataFrame) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@contextlib.contextmanager
-def small_batches(spark: SparkSession, rows: int = 1000):
-    """Arrow batches of so many rows at most while jobs run inside: rows with whole sets or packed blocks are large, and a batch of the usual
-    10,000 of them is held by the JVM and by Python at once."""
+#: Rows of an Arrow batch.
+ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Has the session hand at most ROWS rows to Python at once, as a user would set it: a batch of the usual 10,000 whole texts or packed blocks is held by
+    the JVM and by Python at the same time. Rows that come later are handed over the same way."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
+    if not 0 < int(spark.conf.get(key)) <= ROWS:
+        spark.conf.set(key, str(ROWS))
 
 
 def id_crc(id_col: str | Column = "doc_id") -> Column:

@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -96,8 +97,8 @@ def _scan_sets(width: int):
             n, sid, bits = np.zeros(b.num_rows, np.int64), [None] * b.num_rows, [None] * b.num_rows
             for r, h in sets_of(b.column(1), width):
                 n[r], sid[r], bits[r] = len(h), set_id(h), bitmap(h)
-            more = range(2, b.num_columns)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(sid, pa.int64()), pa.array(bits, pa.binary()), *(b.column(k) for k in more)], names=["doc_id", "n", "sid", "bits", *(f"key{k - 2}" for k in more)])
+            more = range(3, b.num_columns)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(sid, pa.int64()), pa.array(bits, pa.binary()), b.column(2), *(b.column(k) for k in more)], names=["doc_id", "n", "sid", "bits", "th", *(f"key{k - 3}" for k in more)])
 
     return run
 
@@ -187,13 +188,17 @@ def _lists(batches):
 
 
 def _scan_tokens(width: int, bloom):
+    """From texts and their hashes: set ids and sets of the texts whose hashes are in the filter; other texts are not cut into shingles."""
+
     def run(batches):
         seen, filt = _Seen(), np.frombuffer(bloom.value, np.uint8)
         for b in batches:
+            spots = _spots(b.column(1).to_numpy())
+            asked = (filt[spots >> 3] >> (spots & 7).astype(np.uint8) & 1).all(axis=0)
             rows, held = [], 0
-            for _, h in sets_of(b.column(0), width):
+            for _, h in sets_of(b.column(0).filter(pa.array(asked)), width):
                 sid = set_id(h)
-                if _in(filt, sid) and not seen(sid):
+                if not seen(sid):
                     rows.append((sid, h.tobytes()))
                     held += len(h)
                     if held > 1 << 19:
@@ -204,22 +209,18 @@ def _scan_tokens(width: int, bloom):
     return run
 
 
-#: Bits of the filter that spares sets which no pair asks for; of fixed size, so beyond some 100 million asked sets it spares fewer.
+#: Bits of the filter that spares texts which no pair asks for; of fixed size, so beyond some 100 million asked texts it spares fewer.
 FILTER_BITS = 1 << 25
 
 
-def _spots(sid: np.ndarray) -> np.ndarray:
-    u = sid.astype(np.int64).view(np.uint64)
+def _spots(hashes: np.ndarray) -> np.ndarray:
+    """Places of hashes in the filter."""
+    u = hashes.astype(np.int64).view(np.uint64)
     return np.stack([(u * np.uint64(m) >> np.uint64(39)).astype(np.int64) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)])
 
 
-def _in(filt: np.ndarray, sid: int) -> bool:
-    u = sid & 0xFFFFFFFFFFFFFFFF
-    return all(filt[s >> 3] >> (s & 7) & 1 for s in ((u * m & 0xFFFFFFFFFFFFFFFF) >> 39 for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)))
-
-
-def _filter(sids: DataFrame) -> bytes:
-    """The filter of set ids, made in tasks and joined in a tree; the driver gets FILTER_BITS / 8 bytes."""
+def _filter(hashes: DataFrame) -> bytes:
+    """The filter of hashes, made in tasks and joined in a tree; the driver gets FILTER_BITS / 8 bytes."""
 
     def fill(batches):
         filt = np.zeros(FILTER_BITS, bool)
@@ -235,7 +236,7 @@ def _filter(sids: DataFrame) -> bytes:
             out = y if out is None else out | y
         return pa.table({"part": group.column("part")[:1], "bits": pa.array([out.tobytes()], pa.binary())})
 
-    few = sids.coalesce(max(8, partitions(sids.sparkSession) // 8))
+    few = hashes.coalesce(max(8, partitions(hashes.sparkSession) // 8))
     rows = few.mapInArrow(fill, "part int, bits binary").groupBy("part").applyInArrow(join, "part int, bits binary").collect()
     got = {r.part: bytes(r.bits) for r in rows}
     return b"".join(got.get(k, bytes(FILTER_BITS // 8 // 64)) for k in range(64))
@@ -262,15 +263,16 @@ def _verify(batches):
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(x, pa.int64()) for x in (common, na, nb))], names=["a", "b", "common", "na", "nb"])
 
 
-def compared(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """pairs: a, b (set ids, each pair once) -> a, b, common, na, nb: the intersection and the sizes, by the whole sets, read again from texts where a
-    pair asks for them. Written."""
+def compared(pairs: DataFrame, texts: tuple[DataFrame, DataFrame], width: int) -> DataFrame:
+    """pairs: a, b (set ids, each pair once) -> a, b, common, na, nb: the intersection and the sizes, by the whole sets, made again from the texts that
+    pairs ask for. texts: (t, th), texts and their hashes, and (sid, th), a text for each set. Written."""
     spark = pairs.sparkSession
     pairs, kinds = written(pairs.select("a", "b"), "asked"), "a long, b long, common long, na long, nb long"
     if pairs.isEmpty():
         return written(spark.createDataFrame([], kinds), "compared")
     asked = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-    bloom = spark.sparkContext.broadcast(_filter(asked))
+    texts, of_set = texts
+    bloom = spark.sparkContext.broadcast(_filter(asked.join(of_set, "sid").select("th")))
     found = texts.mapInArrow(_scan_tokens(width, bloom), "sid long, tokens binary").join(asked, "sid", "left_semi")
     found = written(found.groupBy("sid").agg(F.first("tokens").alias("tokens")), "tokens")
     left = pairs.join(found.select(F.col("sid").alias("a"), F.col("tokens").alias("ta")), "a")
@@ -409,35 +411,66 @@ def _open_pairs(percent: int, best: bool):
         sizes = (100 * x_high >= percent * y_low) & (100 * y_high >= percent * x_low)
         return sizes & (np.minimum(x_reach, y_reach) >= least_need(x_low, y_low, percent))
 
+    def found(x, k, y, m):
+        """Of entries k of x and m of y, those that sizes, positions and components leave: the ones whose bitmaps are near enough, and how far they are."""
+        differ = np.bitwise_count(x["bits"][k] ^ y["bits"][m]).sum(axis=1, dtype=np.int64)
+        size = x["high"][k] + y["high"][m]
+        near = differ <= size - 2 * needed(size, 0, percent) + 1 + x["far"][k] + y["far"][m]
+        return x["id"][k[near]], y["id"][m[near]], differ[near]
+
+    def short(cols, n):
+        """Pairs within many short lists at once."""
+        x = {c: np.frombuffer(b"".join(v), kind) for (c, kind), v in zip(PACKED.items(), cols)}
+        x["bits"] = x["bits"].reshape(len(x["id"]), -1)
+        for c in ("low", "high", "reach", "far"):
+            x[c] = x[c].astype(np.int64)
+        after = np.repeat(np.cumsum(n), n) - np.arange(int(n.sum())) - 1  # entries behind an entry in its list
+        ends = np.cumsum(after)
+        at = 0
+        while at < len(after):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (1 << 17), side="right")))
+            some = after[at:to]
+            k = np.repeat(np.arange(at, to), some)
+            m = k + 1 + np.arange(len(k)) - np.repeat(np.cumsum(some) - some, some)
+            ok = (x["comp"][k] != x["comp"][m]) & fits(*(x[c][k] for c in ("low", "high", "reach")), *(x[c][m] for c in ("low", "high", "reach")))
+            yield found(x, k[ok], x, m[ok])
+            at = to
+
+    def long(x, y, same):
+        """Pairs between two blocks, or within one."""
+        inside = fits(*(x[c][:, None] for c in ("least", "most", "best")), *(y[c][None, :] for c in ("least", "most", "best")))
+        if same:
+            inside = np.triu(inside)
+        for i, j in zip(*np.nonzero(inside)):
+            u, v = slice(x["at"][i], x["at"][i + 1]), slice(y["at"][j], y["at"][j + 1])
+            ok = fits(*(x[c][u][:, None] for c in ("low", "high", "reach")), *(y[c][v][None, :] for c in ("low", "high", "reach")))
+            ok &= x["comp"][u][:, None] != y["comp"][v][None, :]
+            if same and i == j:
+                ok = np.triu(ok, 1)
+            k, m = np.nonzero(ok)
+            if len(k):
+                yield found(x, k + u.start, y, m + v.start)
+
+    def pairs(some):
+        some = list(some)
+        if some:
+            p, q, differ = (np.concatenate(z) for z in zip(*some))
+            if best and len(p):
+                keep = nearest(p, q, differ)
+                p, q = p[keep], q[keep]
+            if len(p):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], names=["a", "b"])
+
     def run(batches):
         for b in batches:
-            for row in b.to_pylist():
-                x, y = unpack(row, "x_"), unpack(row, "y_")
-                inside = fits(*(x[c][:, None] for c in ("least", "most", "best")), *(y[c][None, :] for c in ("least", "most", "best")))
-                if row["same"]:
-                    inside = np.triu(inside)
-                found = []
-                for i, j in zip(*np.nonzero(inside)):
-                    u, v = slice(x["at"][i], x["at"][i + 1]), slice(y["at"][j], y["at"][j + 1])
-                    ok = fits(*(x[c][u][:, None] for c in ("low", "high", "reach")), *(y[c][v][None, :] for c in ("low", "high", "reach")))
-                    ok &= x["comp"][u][:, None] != y["comp"][v][None, :]
-                    if row["same"] and i == j:
-                        ok = np.triu(ok, 1)
-                    k, m = np.nonzero(ok)
-                    if not len(k):
-                        continue
-                    k, m = k + u.start, m + v.start
-                    differ = np.bitwise_count(x["bits"][k] ^ y["bits"][m]).sum(axis=1, dtype=np.int64)
-                    size = x["high"][k] + y["high"][m]
-                    near = differ <= size - 2 * needed(size, 0, percent) + 1 + x["far"][k] + y["far"][m]
-                    found.append((x["id"][k[near]], y["id"][m[near]], differ[near]))
-                if found:
-                    p, q, differ = (np.concatenate(z) for z in zip(*found))
-                    if best and len(p):
-                        keep = nearest(p, q, differ)
-                        p, q = p[keep], q[keep]
-                    if len(p):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], names=["a", "b"])
+            n = pc.binary_length(b.column(0)).to_numpy() // 8
+            few = b.column(b.num_columns - 1).to_numpy(zero_copy_only=False) & (n <= INSIDE)
+            if few.any():
+                own = b.filter(pa.array(few))
+                yield from pairs(short([own.column(k).to_pylist() for k in range(len(PACKED))], n[few]))
+            for row in b.filter(pa.array(~few)).to_pylist():
+                x = unpack(row, "x_")
+                yield from pairs(long(x, x if row["same"] else unpack(row, "y_"), row["same"]))
 
     return run
 
@@ -452,7 +485,7 @@ def _met(entries: DataFrame, percent: int, best: bool) -> DataFrame:
     blocks = some.select("token", *PACKED).mapInArrow(_pack, BLOCKS)
     blocks = written(blocks.withColumn("block", F.monotonically_increasing_id()), "blocks")
     side = lambda p: [F.col(c).alias(p + c) for c in PACKED]
-    own = blocks.filter(F.length("id") > 8).select(*side("x_"), *side("y_"), F.lit(True).alias("same"))
+    own = blocks.filter(F.length("id") > 8).select(*side("x_"), *(F.lit(None).cast("binary").alias("y_" + c) for c in PACKED), F.lit(True).alias("same"))
     several = blocks.groupBy("token").agg(F.count("*").alias("blocks")).filter("blocks > 1").select("token")
     long = blocks.join(several, "token", "left_semi")
     x, y = (long.select("token", *side(p), *(F.col(c).alias(p + c) for c in ("least", "most", "best", "block"))) for p in ("x_", "y_"))
@@ -481,8 +514,7 @@ def jaccard_components(docs: DataFrame, percent: int = 90, width: int = 3, text:
     passed over for component_id, unless a component has no other: then it is null. A very long text is one set, whole. An empty table gives none;
     other columns are not read. Shingles are compared by 64-bit hashes.
     """
-    with small_batches(docs.sparkSession):
-        sets, classes = _classes(docs, percent, width, text, doc_id)
+    sets, classes = _classes(docs, percent, width, text, doc_id)
     out = sets.select("doc_id", F.col("n").alias("n_shingles"), "sid").join(classes.drop("root"), "sid", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
@@ -491,13 +523,15 @@ def _classes(docs: DataFrame, percent: int, width: int, text: str, doc_id: str,
     """(doc_id, n, sid, and the columns in key as key0, ...) of every row and (sid, root, component_id) of every set, root a set of its component.
     All that runs Python has run when this returns."""
     spark = docs.sparkSession
+    small_batches(spark)
     names = [f"key{k}" for k in range(len(key))]
-    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("t"), *(c.alias(n) for c, n in zip(key, names)))
+    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("t"), F.xxhash64(text).alias("th"), *(c.alias(n) for c, n in zip(key, names)))
     texts = own.select("t")
     parts = partitions(spark)
     kinds = "".join(f", {n} {own.schema[n].dataType.simpleString()}" for n in names)
-    sets = written(own.mapInArrow(_scan_sets(width), "doc_id long, n long, sid long, bits binary" + kinds), "sets")
-    distinct = written(sets.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("least"), F.first("bits").alias("bits"), F.first("n").cast("int").alias("n")), "distinct")
+    sets = written(own.mapInArrow(_scan_sets(width), "doc_id long, n long, sid long, bits binary, th long" + kinds), "sets")
+    distinct = written(sets.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("least"), F.first("bits").alias("bits"), F.first("n").cast("int").alias("n"), F.min("th").alias("th")), "distinct")
+    known_texts = (own.select("t", "th"), distinct.select("sid", "th"))
 
     counts = texts.mapInArrow(_scan_counts(width, percent), "token long, sets long").groupBy("token").agg(F.sum("sets").alias("sets"))
     counts = written(counts.filter(F.col("sets") >= FREQUENT), "counts")
@@ -518,14 +552,14 @@ def _classes(docs: DataFrame, percent: int, width: int, text: str, doc_id: str,
     bits = lambda c: distinct.select(F.col("sid").alias(c), F.col("bits").alias(c + "_bits"))
     near = near.join(bits("a"), "a").join(bits("b"), "b").select("a", "b", "most", "a_bits", "b_bits")
     near = written(near.mapInArrow(_alike, "a long, b long"), "near")
-    first = compared(near, texts, width)
+    first = compared(near, known_texts, width)
     removed(near)
     label = components(first.filter(_linked(percent)).select("a", "b"))
 
     # every set against its leader: what it gains and what it loses
     members = label.filter("node != root").select(*pair("node", "root"), "node", "root")
     known = members.join(first, ["a", "b"])
-    late = compared(members.join(first, ["a", "b"], "left_anti").select("a", "b"), texts, width)
+    late = compared(members.join(first, ["a", "b"], "left_anti").select("a", "b"), known_texts, width)
     against = known.unionByName(members.join(late, ["a", "b"]))
     own_n = lambda x: F.when(F.col(x) == F.col("a"), F.col("na")).otherwise(F.col("nb"))
     against = against.select(F.col("node").alias("sid"), F.col("root").alias("comp"), (own_n("node") - F.col("common")).alias("gain"), (own_n("root") - F.col("common")).alias("loss"))
@@ -545,7 +579,7 @@ def _classes(docs: DataFrame, percent: int, width: int, text: str, doc_id: str,
     stars = lambda: every.filter("node != root").select(F.col("node").alias("a"), F.col("root").alias("b"))
     for best in (True, False):  # nearest partners first: what they link has no pairs any more
         met = _met(_rooted(entries, every), percent, best)
-        fresh = compared(met.join(answers, ["a", "b"], "left_anti"), texts, width)
+        fresh = compared(met.join(answers, ["a", "b"], "left_anti"), known_texts, width)
         removed(met)
         links = fresh.filter(_linked(percent)).select("a", "b")
         if not links.isEmpty():
@@ -566,7 +600,7 @@ def _classes(docs: DataFrame, percent: int, width: int, text: str, doc_id: str,
         apart = left.join(root("a"), "a", "left").join(root("b"), "b", "left").filter(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b", "common")
         if apart.isEmpty():
             break
-        links = _derived(apart, marked, every, against, distinct, texts, percent, width, deal, best)
+        links = _derived(apart, marked, every, against, distinct, known_texts, percent, width, deal, best)
         if not links.isEmpty():
             every = components(stars().unionByName(links))
     removed(left, marked, against)
@@ -591,7 +625,7 @@ def _rooted(entries: DataFrame, every: DataFrame) -> DataFrame:
     return _by_set(entries.drop("comp").withColumnRenamed("id", "sid"), roots, "left").withColumn("comp", F.coalesce("root", "sid")).drop("root").withColumnRenamed("sid", "id")
 
 
-def _derived(left: DataFrame, marked: DataFrame, every: DataFrame, against: DataFrame, distinct: DataFrame, texts: DataFrame, percent: int, width: int, deal, best: bool) -> DataFrame:
+def _derived(left: DataFrame, marked: DataFrame, every: DataFrame, against: DataFrame, distinct: DataFrame, texts: tuple[DataFrame, DataFrame], percent: int, width: int, deal, best: bool) -> DataFrame:
     """Links (a, b) between sets whose leaders are the pairs of left, which has the leaders' intersections. Pairs of sets that meet in a list are
     decided by the leaders' intersection and their own gains and losses; only where these leave it open are the sets read."""
     busy = left.select(F.explode(F.array("a", "b")).alias("comp")).distinct()
@@ -616,8 +650,7 @@ def keep_one(docs: DataFrame, percent: int = 90, width: int = 3, text: str = "te
     rows with the same id the one with the smallest ``row_key``; of rows that repeat each other wholly any. Rows with no words are linked with nothing
     and all stay. A very long text is a set like any other. All columns are kept; an empty table gives none."""
     k1, k2 = row_key(docs)
-    with small_batches(docs.sparkSession):
-        sets, classes = _classes(docs, percent, width, text, doc_id, (k1, k2))
+    sets, classes = _classes(docs, percent, width, text, doc_id, (k1, k2))
     rows = sets.filter("sid is not null").groupBy("doc_id", "key0", "key1", "sid").agg(F.count("*").alias("n")).join(classes.select("sid", "root"), "sid")
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("key0"), F.col("key1"))
     first = rows.groupBy("root").agg(F.min(order).alias("first"))
