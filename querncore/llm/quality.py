@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from querncore.llm.common import id_crc
+from querncore.llm.common import id_crc, removed, small_batches, written
 from querncore.llm.hashing import Texts, mix, slices
 
 #: Labelled rows that are learnt from, at most: those with the smallest hashes of their ids. The one bound on a sample here.
@@ -104,36 +104,58 @@ class Quality:
         return 1 / (1 + np.exp(-np.clip(self.logits(self.features(texts)) / self.temperature, -40, 40)))
 
 
-def learnt_context(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The frequent terms of the sample, ascending by hash, and their context vectors: the sums of their neighbours' index vectors, to length 1."""
-    found = [(t.words(), np.repeat(np.arange(len(t.offsets) - 1), np.diff(t.bounds))) for _, t in slices(texts, fold=True)]
-    if not found or not sum(len(h) for h, _ in found):
-        return np.zeros(0, np.uint64), np.zeros((0, DIM))
-    terms, times = np.unique(np.concatenate([h for h, _ in found]), return_counts=True)
-    terms = np.sort(terms[np.lexsort((terms, -times))[:FREQUENT]])
-    index = pooled(np.arange(len(terms)), terms, len(terms))
-    near = np.zeros((len(terms), len(terms)), np.float32)
-    for h, doc in found:
+def terms_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of some texts and how often each stands there."""
+    found = [t.words() for _, t in slices(texts, fold=True)]
+    return np.unique(np.concatenate(found or [np.zeros(0, np.uint64)]), return_counts=True)
+
+
+def index_of(terms: np.ndarray) -> np.ndarray:
+    return np.rint(pooled(np.arange(len(terms)), terms, len(terms))).astype(np.int64)
+
+
+def context_of(texts: pa.Array, terms: np.ndarray, index: np.ndarray) -> np.ndarray:
+    """For each term (ascending hashes) the sum of the index vectors of the terms that stand near it in some texts; whole numbers, so that the order in
+    which texts are summed up does not matter."""
+    out = np.zeros((len(terms), DIM), np.int64)
+    for _, t in slices(texts, fold=True):
+        h = t.words()
+        if not len(h) or not len(terms):
+            continue
+        doc = np.repeat(np.arange(len(t.offsets) - 1), np.diff(t.bounds))
         at = np.minimum(np.searchsorted(terms, h), len(terms) - 1)
         known = terms[at] == h
         for d in range(1, WINDOW + 1):
             ok = known[d:] & known[:-d] & (doc[d:] == doc[:-d])
-            np.add.at(near.reshape(-1), at[d:][ok] * len(terms) + at[:-d][ok], 1)
-    near = (near + near.T) @ index.astype(np.float32)
-    return terms, near / np.maximum(np.linalg.norm(near, axis=1, keepdims=True), 1e-9)
+            a, b = at[d:][ok], at[:-d][ok]
+            pair, times = np.unique(np.r_[a * len(terms) + b, b * len(terms) + a], return_counts=True)
+            if len(pair):
+                own, near = pair // len(terms), pair % len(terms)
+                first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+                out[own[first]] += np.add.reduceat(index[near] * times[:, None], first, axis=0)
+    return out
+
 
+def to_length_one(context: np.ndarray) -> np.ndarray:
+    return context / np.maximum(np.linalg.norm(context, axis=1, keepdims=True), 1e-9)
 
-def fit(texts: list[str | None], labels: list[int], hidden: int = 24, epochs: int = 40, seed: int = 7) -> Quality:
-    """Trains on four of five rows and sets the temperature on the fifth. Without both labels the score is the labels' (smoothed) mean."""
+
+def fit(texts: list[str | None], labels: list[int], **how) -> Quality:
+    """A classifier from texts that are at hand."""
     column = pa.array(texts, pa.large_string())
-    model = Quality(*learnt_context(column))
-    x, y = model.features(column), np.array(labels, np.float64)
-    width = WIDTH
-    model.mean, model.scale = (x.mean(axis=0), x.std(axis=0) + 1e-3) if len(x) else (np.zeros(width), np.ones(width))
+    terms, times = terms_of(column)
+    terms = np.sort(terms[np.lexsort((terms, -times))[:FREQUENT]])
+    model = Quality(terms, to_length_one(context_of(column, terms, index_of(terms))))
+    return trained(model, model.features(column), np.array(labels, np.float64), **how)
+
+
+def trained(model: Quality, x: np.ndarray, y: np.ndarray, hidden: int = 24, epochs: int = 40, seed: int = 7) -> Quality:
+    """Trains on the features of four of five rows and sets the temperature on the fifth. Without both labels the score is the labels' (smoothed) mean."""
+    model.mean, model.scale = (x.mean(axis=0), x.std(axis=0) + 1e-3) if len(x) else (np.zeros(WIDTH), np.ones(WIDTH))
     rng = np.random.default_rng(seed)
-    model.w1, model.b1 = (rng.normal(0, (2 / width) ** 0.5, (width, hidden)), np.zeros(hidden))
+    model.w1, model.b1 = (rng.normal(0, (2 / WIDTH) ** 0.5, (WIDTH, hidden)), np.zeros(hidden))
     model.w2, model.b2 = rng.normal(0, (1 / hidden) ** 0.5, hidden), 0.0
-    if len(set(labels)) < 2:
+    if len(set(y.tolist())) < 2:
         p = (y.sum() + 1) / (len(y) + 2)
         model.w2, model.b2 = np.zeros(hidden), float(np.log(p / (1 - p)))
         return model
@@ -145,8 +167,9 @@ def fit(texts: list[str | None], labels: list[int], hidden: int = 24, epochs: in
     params = [model.w1, model.b1, model.w2, np.array([0.0])]
     m, v, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
     for epoch in range(epochs):
+        learn = rng.permutation(learn)
         for at in range(0, len(learn), 64):
-            rows = rng.permutation(learn)[:64] if at == 0 else learn[at : at + 64]
+            rows = learn[at : at + 64]
             a, t = z[rows], y[rows]
             pre = a @ params[0] + params[1]
             h = np.maximum(pre, 0)
@@ -159,7 +182,6 @@ def fit(texts: list[str | None], labels: list[int], hidden: int = 24, epochs: in
             for k, g in enumerate(grads):
                 m[k], v[k] = 0.9 * m[k] + 0.1 * g, 0.999 * v[k] + 0.001 * g * g
                 params[k] -= rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
-        learn = rng.permutation(learn)
     model.w1, model.b1, model.w2, model.b2 = *params[:3], float(params[3][0])
     raw, t = model.logits(x[tune]), y[tune]
     grid = np.exp(np.linspace(np.log(0.25), np.log(8), 61))
@@ -169,17 +191,53 @@ def fit(texts: list[str | None], labels: list[int], hidden: int = 24, epochs: in
 
 
 def learn(docs: DataFrame, labels: DataFrame, usable=None, sample: int = SAMPLE, label: str = "quality", text: str = "text", doc_id: str = "doc_id") -> Quality:
-    """Fits on at most ``sample`` labelled rows, those with the smallest hashes of their ids; usable: a condition on the id. The
-    driver gets the whole texts of these rows alone. Null labels and null ids are passed over; of labels that repeat an id, the
-    smallest counts."""
+    """Fits on at most ``sample`` labelled rows, those with the smallest hashes of their ids; usable: a condition on the id. Null labels and null ids are
+    passed over; of labels that repeat an id, the smallest counts, and of documents that repeat one, any.
+
+    Terms are counted, contexts summed up and features made in tasks, a very long text's like any other's; the driver gets the sample's ids and
+    features, the frequent terms and their contexts, all of fixed size, and no text."""
+    spark = docs.sparkSession
+    small_batches(spark)
     own = labels.select(F.col(doc_id).cast("long").alias("_id"), F.col(label).cast("int").alias("_label")).filter("_id is not null and _label is not null")
     if usable is not None:
         own = own.filter(usable(F.col("_id")))
     chosen = own.groupBy("_id").agg(F.min("_label").alias("_label")).orderBy(F.xxhash64("_id"), "_id").limit(sample)
-    chosen = docs.sparkSession.createDataFrame([(r._id, r._label) for r in chosen.collect()], "_id long, _label int")
-    rows = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_id")
-    got = sorted(((r._id, r._text or "", r._label) for r in rows.collect()))
-    return fit([t for _, t, _ in got], [y for _, _, y in got])
+    chosen = spark.createDataFrame([(r._id, r._label) for r in chosen.collect()], "_id long, _label int")
+    rows = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_id").dropDuplicates(["_id"])
+    rows = written(rows.select("_text", "_id", "_label").repartition(8, "_id"), "sample")
+
+    def counted(batches):
+        for b in batches:
+            h, n = terms_of(b.column(0))
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["term", "n"])
+
+    counts = rows.mapInArrow(counted, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    terms = np.array([r.term for r in counts.orderBy(F.desc("n"), "term").limit(FREQUENT).collect()], np.int64).view(np.uint64)
+    terms = np.sort(terms)
+    index = index_of(terms)
+    sent = spark.sparkContext.broadcast((terms, index))
+
+    def summed(batches):
+        out = 0
+        for b in batches:
+            out = out + context_of(b.column(0), *sent.value)
+        if not np.isscalar(out):
+            yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["context"])
+
+    # a row for each of eight tasks
+    parts = [np.frombuffer(r.context, np.int64).reshape(len(terms), DIM) for r in rows.coalesce(8).mapInArrow(summed, "context binary").collect()]
+    model = Quality(terms, to_length_one(sum(parts, np.zeros((len(terms), DIM)))))
+    ready = spark.sparkContext.broadcast(model)
+
+    def made(batches):
+        for b in batches:
+            x = ready.value.features(b.column(0))
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array([r.tobytes() for r in x], pa.binary())], names=["id", "label", "x"])
+
+    got = sorted(((r.id, r.label, r.x) for r in rows.mapInArrow(made, "id long, label int, x binary").collect()), key=lambda r: r[0])
+    removed(rows)
+    x = np.array([np.frombuffer(x) for *_, x in got]).reshape(len(got), WIDTH)
+    return trained(model, x, np.array([y for _, y, _ in got], np.float64))
 
 
 def score(docs: DataFrame, model: Quality, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -215,7 +273,7 @@ def quality(docs: DataFrame, labels: DataFrame, folds: int = 5, sample: int = SA
     """doc_id, held_out boolean (crc32 of the id as text modulo folds is 0; those ids' labels are not learnt from), score double,
     predicted int (1 if score >= 0.3).
 
-    Nothing but the text goes into a score. Null and empty texts are scored too; repeated rows each get their row; null ids are
+    Nothing but the text goes into a score. Null and empty texts are scored too, very long ones whole; repeated rows each get their row; null ids are
     held out; an empty table gives none; without labels every score is 0.5. Other columns are not read.
     """
     model = learn(docs, labels, lambda c: id_crc(c) % folds != 0, sample)
