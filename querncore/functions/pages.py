@@ -41,30 +41,57 @@ def segments(p: Column) -> Column:
     return F.filter(F.split(p, "/"), lambda s: s != "")
 
 
-STRONG_PAGE = "/(brand[-_]?(assets|guidelines|kit|portal|resources|center|centre|hub)|press[-_]?kit|media[-_]?kit|logos?|branding|brand)(/|$)"
+# Patterns of paths that hold brand assets, that inform the press, and classes of other pages and sitemaps.
+STRONG_PAGE = "(^|[-_/])(brand(ing)?[-_/](asset|center|guideline|resource|toolkit)|press[-_/]kit|media[-_/]kit|logo[-_/](asset|download|file|kit)|visual[-_/]identity)s?($|[-_/])"
+NEWSROOM_INFORMATION = "(^|[-_/])(newsroom|press|media)[-_/](information|resource|asset|download|about|contact)($|[-_/])"
+OTHER_PAGE = "^(article|author|blog|careers?|jobs?|events?|legal|privacy|products?|customers?|partners?|support|store|shop|docs?|documentation|developers?|api)$"
+NEGATIVE_SITEMAP = "(^|[-_/])(image|video|product|category|tag|author|event|job)s?([-_.]|$)"
+POSITIVE_SITEMAP = "(^|[-_/])(page|newsroom|press|media|brand|corporate)s?([-_.]|$)"
 
 
-def page_url_score(url: Column) -> Column:
-    """How likely a page holds brand assets, by its path."""
-    p = F.regexp_replace(F.lower(path(url)), "[.][a-z0-9]+$", "")
+def decoded_path(url: Column) -> Column:
+    """The path, percent-decoded where that is possible, in lower case."""
+    raw = path(url)
+    return F.lower(F.coalesce(F.try_url_decode(F.replace(raw, F.lit("+"), F.lit("%2B"))), raw))
+
+
+def page_url_score(url: Column, age_days: Column | None = None, max_age_days: float | None = None) -> Column:
+    """How likely a page holds brand assets, by its path; and by how many days ago it changed, where that is known."""
+    p = F.regexp_replace(decoded_path(url), "[.][a-z0-9]{1,8}$", "")
     seg = segments(p)
     n = F.size(seg)
     focused = F.exists(seg, lambda s: s.isin("brand", "branding", "logo", "logos"))
-    strong = p.rlike(STRONG_PAGE) | focused
-    news = F.exists(seg, lambda s: s.isin("newsroom", "press", "media"))
-    firm = F.exists(seg, lambda s: s.isin("company", "about", "corporate"))
-    first_news = F.array_position(F.transform(seg, lambda s: s.isin("newsroom", "press", "media").cast("int")), 1)
-    deep = (first_news > 2) | (n - first_news > 0)
-    negative = F.exists(seg, lambda s: s.isin("article", "author", "blog", "career", "careers", "job", "jobs", "event", "events", "legal", "privacy", "product", "products", "support", "store", "shop", "doc", "docs", "developer", "developers", "api"))
-    dated = p.rlike("/(19|20)[0-9][0-9]/(0?[1-9]|1[0-2])(/|$)")
-    base = F.when(strong, 100 - F.when((n > 3) & ~focused, 30).otherwise(0)).when(news, 55 + F.when(deep, -40).otherwise(25)).when(firm, 25).otherwise(0)
-    return (base - F.when(negative & ~strong, 45).otherwise(0) - F.when(dated & ~strong, 30).otherwise(0) - F.when(query(url) != "", 5).otherwise(0)).cast("int")
-
-
-def link_priority(semantic: Column) -> Column:
+    guide = (n <= 4) & F.exists(seg, lambda s: s.rlike("^(brand[-_])?style[-_]guide$"))
+    named = p.rlike(STRONG_PAGE)
+    strong = named | focused | guide
+    told = F.get(F.filter(seg, lambda s: s.isin("newsroom", "press", "media", "company", "about", "corporate")), F.lit(0))
+    at = F.array_position(seg, told)
+    news = F.when((at > 2) | (n - at > 0), 15).otherwise(80)
+    weak = F.when(told.isNull(), 0).when(told.isin("newsroom", "press", "media"), news).otherwise(25)
+    base = F.when(strong, 100 - F.when((n > 3) & ~focused, 30).otherwise(0)).when(p.rlike(NEWSROOM_INFORMATION), 80).otherwise(weak)
+    other = F.exists(seg, lambda s: s.rlike(OTHER_PAGE)) & ~strong
+    dated = p.rlike("/(19|20)[0-9][0-9]/(0?[1-9]|1[0-2])(/|$)") & ~named
+    score = base - F.when(other, 45).otherwise(0) - F.when(dated, 30).otherwise(0) - F.when(query(url) != "", 5).otherwise(0)
+    if age_days is not None:
+        score = score + F.when(age_days <= 730, 5).otherwise(0)
+        if max_age_days is not None:
+            score = score - F.when(age_days > max_age_days, 20).otherwise(0)
+    return score.cast("int")
+
+
+def sitemap_priority(url: Column) -> Column:
+    """The order in which the documents of a sitemap index are read."""
+    p = decoded_path(url)
+    return F.when(p.rlike(POSITIVE_SITEMAP), 50).otherwise(0) - F.when(p.rlike(NEGATIVE_SITEMAP), 80).otherwise(0) - F.when(p.endswith(".gz"), 1).otherwise(0)
+
+
+def link_priority(semantic: Column, heading: Column | None = None) -> Column:
+    """5 under a heading that says logo or logos alone, then by the words of the link."""
     s = F.lower(semantic)
+    alone = F.lit(False) if heading is None else F.coalesce(F.lower(heading).rlike("^logos?$"), F.lit(False))
     return (
-        F.when(s.rlike("press[-_ ]*kit|media[-_ ]*kit|brand[-_ ]*(asset|toolkit)|logo"), 4)
+        F.when(alone, 5)
+        .when(s.rlike("press[-_ ]*kit|media[-_ ]*kit|brand[-_ ]*(asset|toolkit)|logo"), 4)
         .when(s.rlike("press|media|brand|newsroom"), 3)
         .when(s.rlike("(^|[/_-])news($|[/?#_-])"), 2)
         .when(s.rlike("company|about"), 1)
@@ -115,3 +142,10 @@ def asset_literals(code: Column, most: int = 4) -> Column:
     """The first distinct quoted asset paths of a script."""
     found = F.regexp_extract_all(code, F.lit("[\"']([A-Za-z0-9_./-]+[.](svg|png|webp))[\"']"), F.lit(1))
     return F.slice(F.array_distinct(F.filter(found, lambda s: F.lower(s).rlike("logo|brand|icon"))), 1, most)
+
+
+def family_key(url: Column, shape: Column, own: Column) -> Column:
+    """The renditions of one asset: its shape and its address without delivery parameters; candidates without a web address stand alone."""
+    plain = family_url(F.regexp_replace(url, "/:/rs=[^/]+", ""))
+    web = F.coalesce(scheme(url).isin("http", "https"), F.lit(False))
+    return F.when(web, F.concat(shape, F.lit(":"), plain)).otherwise(F.concat(F.lit("unique:"), own.cast("string")))

@@ -236,3 +236,36 @@ def company_agreement(text: Column, company: Column) -> Column:
     words = lambda t: F.filter(F.split(F.regexp_replace(F.lower(t), "[^a-z0-9]+", " "), " "), lambda w: w != "")
     name = F.filter(words(company), lambda w: ~w.isin("inc", "llc", "ltd", "corp", "co", "gmbh", "plc", "ag", "sa", "company", "corporation", "limited"))
     return (F.size(name) > 0) & (F.size(F.array_except(name, words(text))) == 0)
+
+
+# What an archive's members are not, products that are no company's logo, and words that companies share.
+NOT_A_LOGO = r"__macosx|(^|/)\._|badge|powered[-_\s]*by|screenshot|headshot|deprecated|legacy|(^|[\s/_.-])(icon|symbol|glyph|vertical|stacked|favicon|app[-_\s]*icon)($|[\s/_.-])"
+PRODUCT = r"(^|[\s/_.-])(copilot|claude|connect|checkout|terminal|atlas|slackbot|salesforce)($|[\s/_.-])"
+LEGAL_WORDS = ("inc", "llc", "ltd", "corp", "corporation", "company", "technologies", "technology", "tech", "center")
+
+
+def _named(text: Column) -> Column:
+    """Words of a name without those that companies share."""
+    left = F.regexp_replace(F.lower(text), r"\b(" + "|".join((*LEGAL_WORDS, "co")) + r")\b", " ")
+    return F.filter(F.split(F.regexp_replace(left, "[^a-z0-9]+", " "), " "), lambda w: w != "")
+
+
+def archive_member_score(member: Column, company: Column, context: Column) -> Column:
+    """``archive_score`` of a member for a company, less what speaks against it: 80 for what is no logo, 100 for another product's."""
+    m, name = F.lower(member), _named(company)
+    hay = F.array_join(_named(member), "")
+    agrees = F.exists(name, lambda w: (F.length(w) >= 3) & F.contains(hay, w))
+    product = F.regexp_extract(m, PRODUCT, 2)
+    return archive_score(member, agrees, context) - F.when(m.rlike(NOT_A_LOGO), 80).otherwise(0) - F.when((product != "") & ~F.array_contains(name, product), 100).otherwise(0)
+
+
+def acronym_agreement(text: Column, company: Column) -> Column:
+    """The first letters of the company's words (n for and), three at least, stand in the text as a word or before logo, wordmark or lockup."""
+    words = F.filter(F.split(F.regexp_replace(F.lower(company), "[^a-z0-9]+", " "), " "), lambda w: (w != "") & ~w.isin(*LEGAL_WORDS))
+    letters = F.array_join(F.transform(words, lambda w: F.when(w == "and", "n").otherwise(F.substring(w, 1, 1))), "")
+    return (F.length(letters) >= 3) & F.rlike(F.lower(text), F.concat(F.lit("(^|[/_.-])"), letters, F.lit("([/_.-]|logo|wordmark|lockup)")))
+
+
+def family_shape() -> Column:
+    r = F.coalesce(content_ratio(), ratio())
+    return F.when(r.isNull(), "unknown").when(r >= 1.8, "wide").when(r.between(0.72, 1.4), "square").otherwise("other")

@@ -76,11 +76,14 @@ def catalog_match(rows: DataFrame, fingerprint: str, catalog: DataFrame, catalog
     return met.withColumn("_m", first).withColumn("match", F.col("_m.o")).withColumn("distance", F.bit_count(F.col(fingerprint).bitwiseXOR(F.col("_m.f")))).drop("_m", "_entries")
 
 
-def replay_novel(candidates: DataFrame, seen: DataFrame, hash_col: str, url_cols: list[str]) -> DataFrame:
-    """Candidates whose hash, and none of whose URLs, have been seen: one anti-join a key instead of a disjunction."""
-    out = candidates.join(seen.select(hash_col), hash_col, "left_anti")
+def replay_novel(candidates: DataFrame, seen: DataFrame, hash_col: str, url_cols: list[str], entity: list[str] | None = None) -> DataFrame:
+    """Candidates whose hash has not been seen, and none of whose URLs is any URL that has been (of the same entity): an anti-join a key instead of a
+    disjunction. Null hashes and URLs match nothing."""
+    own = entity or []
+    known = seen.select(*own, F.explode(F.array(*(c for c in url_cols if c in seen.columns))).alias("_u")).filter("_u is not null").distinct()
+    out = candidates.join(seen.select(*own, hash_col), [*own, hash_col], "left_anti")
     for c in url_cols:
-        out = out.join(seen.select(F.col(url_cols[0]).alias(c)).filter(F.col(c).isNotNull()), c, "left_anti")
+        out = out.join(known.withColumnRenamed("_u", c), [*own, c], "left_anti")
     return out.select(*candidates.columns)
 
 

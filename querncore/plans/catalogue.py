@@ -344,13 +344,17 @@ def page_link_priority(spark, sf):
     return t(spark, sf, "pages").select("page_id", pages.link_priority(F.concat("url", F.lit(" "), F.coalesce("html", F.lit("")))).alias("priority"))
 
 
-@query("""
-WITH a AS (SELECT page_id, url, regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1)), '[.][a-z0-9]+$', '') AS p FROM pages),
+@query(r"""
+WITH a AS (SELECT page_id, url, regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1)), '[.][a-z0-9]{1,8}$', '') AS p FROM pages),
 b AS (SELECT *, list_filter(string_split(p, '/'), lambda s: s <> '') AS seg FROM a),
-c AS (SELECT *, len(seg) AS n, list_has_any(seg, ['brand', 'branding', 'logo', 'logos']) AS focused, list_has_any(seg, ['newsroom', 'press', 'media']) AS news, list_has_any(seg, ['company', 'about', 'corporate']) AS firm, coalesce(list_position(list_transform(seg, lambda s: s IN ('newsroom', 'press', 'media')), true), 0) AS ord,
-list_has_any(seg, ['article', 'author', 'blog', 'career', 'careers', 'job', 'jobs', 'event', 'events', 'legal', 'privacy', 'product', 'products', 'support', 'store', 'shop', 'doc', 'docs', 'developer', 'developers', 'api']) AS neg, regexp_matches(p, '/(19|20)[0-9][0-9]/(0?[1-9]|1[0-2])(/|$)') AS dated FROM b),
-d AS (SELECT *, focused OR regexp_matches(p, '/(brand[-_]?(assets|guidelines|kit|portal|resources|center|centre|hub)|press[-_]?kit|media[-_]?kit|logos?|branding|brand)(/|$)') AS strong FROM c)
-SELECT page_id, CAST(CASE WHEN strong THEN 100 - CASE WHEN n > 3 AND NOT focused THEN 30 ELSE 0 END WHEN news THEN 55 + CASE WHEN ord > 2 OR n - ord > 0 THEN -40 ELSE 25 END WHEN firm THEN 25 ELSE 0 END - CASE WHEN neg AND NOT strong THEN 45 ELSE 0 END - CASE WHEN dated AND NOT strong THEN 30 ELSE 0 END - CASE WHEN regexp_extract(url, '^[^?#]*[?]([^#]*)', 1) <> '' THEN 5 ELSE 0 END AS INTEGER) AS score FROM d""")
+c AS (SELECT *, len(seg) AS n, list_has_any(seg, ['brand', 'branding', 'logo', 'logos']) AS focused, list_filter(seg, lambda s: s IN ('newsroom', 'press', 'media', 'company', 'about', 'corporate'))[1] AS token,
+regexp_matches(p, '(^|[-_/])(brand(ing)?[-_/](asset|center|guideline|resource|toolkit)|press[-_/]kit|media[-_/]kit|logo[-_/](asset|download|file|kit)|visual[-_/]identity)s?($|[-_/])') AS named,
+len(seg) <= 4 AND len(list_filter(seg, lambda s: regexp_matches(s, '^(brand[-_])?style[-_]guide$'))) > 0 AS guide FROM b),
+d AS (SELECT *, named OR focused OR guide AS strong, list_position(seg, token) - 1 AS spot, token IN ('newsroom', 'press', 'media') AS news FROM c)
+SELECT page_id, CAST(CASE WHEN strong THEN 100 - CASE WHEN n > 3 AND NOT focused THEN 30 ELSE 0 END WHEN regexp_matches(p, '(^|[-_/])(newsroom|press|media)[-_/](information|resource|asset|download|about|contact)($|[-_/])') THEN 80
+WHEN token IS NULL THEN 0 WHEN NOT news THEN 25 WHEN spot > 1 OR n - spot - 1 > 0 THEN 15 ELSE 80 END
+- CASE WHEN NOT strong AND len(list_filter(seg, lambda s: regexp_matches(s, '^(article|author|blog|careers?|jobs?|events?|legal|privacy|products?|customers?|partners?|support|store|shop|docs?|documentation|developers?|api)$'))) > 0 THEN 45 ELSE 0 END
+- CASE WHEN NOT named AND regexp_matches(p, '/(19|20)\d\d/(0?[1-9]|1[0-2])(/|$)') THEN 30 ELSE 0 END - CASE WHEN regexp_extract(url, '^[^?#]*[?]([^#]*)', 1) <> '' THEN 5 ELSE 0 END AS INTEGER) AS score FROM d""")
 def page_url_score(spark, sf):
     return t(spark, sf, "pages").select("page_id", pages.page_url_score(F.col("url")).alias("score"))
 

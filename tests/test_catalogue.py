@@ -6,7 +6,7 @@ import duckdb
 import pytest
 from tests.conftest import DATA
 
-from querncore.plans import catalogue
+from querncore.plans import candidates, catalogue  # noqa: F401
 
 SF = DATA / "sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
