@@ -4,8 +4,12 @@ A text is cut into paragraphs: at line feeds, and inside a line behind words cho
 changes the paragraphs that it touches and no others; a run of equal or uncut words is cut every 16. The digest of a paragraph's
 second, third, ... occurrence is one of its own. Each digest is put into one cell of each third of a
 sketch: a cell holds how many digests it got, their sum, and the sum of their checks. Two versions' sketches subtract cell by cell; what
-both hold cancels, and cells left with a single digest are peeled until the differing digests are all recovered. Where
-cells remain, both sketches are made anew with four times the cells, until peeling recovers everything.
+both hold cancels, and cells left with a single digest are peeled until the differing digests are all recovered.
+
+A fingerprint is such a sketch as text, so the likeness of two versions comes from their two fingerprints alone (``fingerprint_likeness``,
+``likeness_of``) while they differ in few digests. Where cells remain, a fingerprint is too small for the difference: both sketches are then made anew
+from the texts with four times the cells, again and again (``differences``), until peeling recovers everything or the sketches have cells enough for all
+digests; what even these leave (a digest that one text holds twice by chance) is compared digest by digest.
 """
 
 from __future__ import annotations
@@ -13,18 +17,24 @@ from __future__ import annotations
 import base64
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from querncore.llm.common import bucket_of, partitions, split_points
 from querncore.llm.hashing import Texts, mix, slices
 
 #: Cells of a fingerprint (a multiple of three); one of so many words ends a paragraph.
-CELLS, ONE_OF = 15, 4
+CELLS, ONE_OF = 48, 4
 #: Words of a paragraph at most.
 LONGEST = 16
 PARTS = 3
+#: A cell in a fingerprint: count, sum and check, little-endian.
+CELL = np.dtype([("c", "<u4"), ("t", "<u8"), ("k", "<u4")])
+#: Checks have so many bits.
+LOW = np.uint64(0xFFFFFFFF)
 
 
 def digests(t: Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -87,7 +97,7 @@ class Sketches:
             pure = look[np.abs(c) == 1]
             sign = self.count[pure]
             d = self.total[pure] * sign.view(np.uint64)
-            good = check_of(d) == self.check[pure] * sign.view(np.uint64)
+            good = check_of(d) == self.check[pure] * sign.view(np.uint64) & LOW
             pure, sign, d = pure[good], sign[good], d[good]
             doc = pure // self.cells
             order = np.lexsort((d, doc))
@@ -99,44 +109,103 @@ class Sketches:
             np.add.at(plus, doc[sign > 0], 1)
             np.add.at(minus, doc[sign < 0], 1)
             look = np.unique(self.add(doc, d, -sign))
-        busy = np.flatnonzero((self.count != 0) | (self.total != 0) | (self.check != 0)) // self.cells
+        busy = np.flatnonzero((self.count != 0) | (self.total != 0) | (self.check & LOW != 0)) // self.cells
         done = np.ones(texts, bool)
         done[busy] = False
         return plus, minus, done
 
 
 def strings(doc: np.ndarray, d: np.ndarray, texts: int, cells: int = CELLS) -> list[str]:
-    """The fingerprints: the cells' counts (2 bytes), sums (8) and checks (4), little-endian, in base64."""
+    """The fingerprints: the cells in base64."""
     s = Sketches(texts, cells)
     s.add(doc, d, 1)
-    packed = np.zeros((texts, cells), dtype=[("c", "<u2"), ("t", "<u8"), ("k", "<u4")])
-    packed["c"], packed["t"], packed["k"] = (x.reshape(texts, cells) for x in (s.count.astype(np.uint16), s.total, s.check.astype(np.uint32)))
+    packed = np.zeros((texts, cells), CELL)
+    packed["c"], packed["t"], packed["k"] = (x.reshape(texts, cells) for x in (s.count.astype(np.uint32), s.total, s.check & LOW))
     return [base64.b64encode(row.tobytes()).decode() for row in packed]
 
 
+def parsed(fingerprints: list[str], cells: int = CELLS) -> np.ndarray:
+    """The cells of fingerprints, a row for each."""
+    raw = b"".join(map(base64.b64decode, fingerprints))
+    return np.frombuffer(raw, CELL).reshape(len(fingerprints), cells)
+
+
+def subtracted(first: list[str], second: list[str], cells: int = CELLS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For pairs of fingerprints: the first's number of digests, how many digests only the first holds, and only the second, and whether the cells gave all of
+    them up (only then do the numbers before count)."""
+    a, b = parsed(first, cells), parsed(second, cells)
+    s = Sketches(len(first), cells)
+    s.count = (a["c"].astype(np.int64) - b["c"].astype(np.int64)).ravel()
+    s.total, s.check = (a["t"] - b["t"]).ravel(), (a["k"].astype(np.uint64) - b["k"].astype(np.uint64)).ravel()
+    only_a, only_b, done = s.peel(len(first))
+    return a["c"].sum(axis=1, dtype=np.int64) // PARTS, only_a, only_b, done
+
+
+def share(n: np.ndarray, only_a: np.ndarray, only_b: np.ndarray) -> np.ndarray:
+    """Common digests over all digests of a pair, in 0 to 1; 1 for two texts without any. n: digests of the first."""
+    every = n + only_b
+    return np.where(every > 0, (n - only_a) / np.maximum(every, 1), 1.0)
+
+
+def fingerprint_likeness(first: list[str], second: list[str], cells: int = CELLS) -> np.ndarray:
+    """The likeness of pairs of fingerprints, from these alone; nan where they differ in more digests than their cells give up."""
+    n, only_a, only_b, done = subtracted(first, second, cells)
+    return np.where(done, share(n, only_a, only_b), np.nan)
+
+
+@F.pandas_udf(DoubleType())
+def likeness_of(first: pd.Series, second: pd.Series) -> pd.Series:
+    """Columns of fingerprints -> their likeness; null where one is null or they differ in too many digests."""
+    out = pd.Series(np.nan, index=first.index)
+    some = first.notna() & second.notna()
+    out[some] = fingerprint_likeness(first[some].tolist(), second[some].tolist())
+    return out.astype(object).where(out.notna(), None)
+
+
+def one_by_one(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], texts: int) -> tuple[np.ndarray, np.ndarray]:
+    """What ``differences`` gives, digest by digest."""
+    doc, d = np.r_[a[0], b[0]], np.r_[a[1], b[1]]
+    sign = np.r_[np.ones(len(a[0]), np.int64), -np.ones(len(b[0]), np.int64)]
+    order = np.lexsort((d, doc))
+    doc, d, sign = doc[order], d[order], sign[order]
+    first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (d[1:] != d[:-1])]) if len(doc) else np.zeros(0, np.int64)
+    net = np.add.reduceat(sign, first) if len(first) else sign
+    return (np.bincount(doc[first], np.maximum(w, 0), texts).astype(np.int64) for w in (net, -net))
+
+
 def differences(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], texts: int, cells: int = CELLS) -> tuple[np.ndarray, np.ndarray]:
-    """For pairs of versions (text, digest): how many digests only the first holds, and only the second, by subtracting and peeling."""
+    """For pairs of versions (text, digest): how many digests only the first holds, and only the second, by sketches of ``cells`` cells, subtracted and peeled;
+    what they leave, by four times the cells, until these are twice the digests of the pair; what is left then, digest by digest."""
     only_a, only_b = np.zeros(texts, np.int64), np.zeros(texts, np.int64)
     open_ = np.arange(texts)
     while len(open_):
+        held = np.bincount(a[0], minlength=len(open_)) + np.bincount(b[0], minlength=len(open_))
         s = Sketches(len(open_), cells)
         s.add(*a, 1)
         s.add(*b, -1)
         plus, minus, done = s.peel(len(open_))
         only_a[open_[done]], only_b[open_[done]] = plus[done], minus[done]
-        place = np.cumsum(~done) - 1
-        a, b = ((place[x[keep]], y[keep]) for x, y, keep in ((*a, ~done[a[0]]), (*b, ~done[b[0]])))
-        open_, cells = open_[~done], cells * 4
+        stuck = ~done & (cells >= 2 * held)
+        if stuck.any():
+            plus, minus = one_by_one(a, b, len(open_))
+            only_a[open_[stuck]], only_b[open_[stuck]] = plus[stuck], minus[stuck]
+        a, b, open_ = (*of(a, b, ~done & ~stuck), open_[~done & ~stuck])
+        cells *= 4
     return only_a, only_b
 
 
-def likeness(a, b, texts: int) -> np.ndarray:
-    """Common digests over all digests of a pair, in 0 to 1; 1 for two texts without any."""
-    only_a, only_b = differences(a, b, texts)
-    na, nb = np.bincount(a[0], minlength=texts), np.bincount(b[0], minlength=texts)
-    both = na - only_a
-    every = na + only_b
-    return np.where(every > 0, both / np.maximum(every, 1), 1.0)
+def of(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], some: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The digests of some texts, these numbered anew."""
+    place = np.cumsum(some) - 1
+    return [(place[doc[some[doc]]], d[some[doc]]) for doc, d in (a, b)]
+
+
+def likeness(first: list[str], second: list[str], a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], cells: int = CELLS) -> np.ndarray:
+    """The likeness of pairs of fingerprints; where these do not give it, that of larger ones made from the texts' digests."""
+    n, only_a, only_b, done = subtracted(first, second, cells)
+    if not done.all():
+        only_a[~done], only_b[~done] = differences(*of(a, b, ~done), int((~done).sum()), cells * 4)
+    return share(n, only_a, only_b)
 
 
 def _compare(keep: int):
@@ -157,8 +226,10 @@ def _compare(keep: int):
                     cols.append((np.concatenate(doc), np.concatenate(d)))
                 own, edited, following = cols
                 m = b.num_rows
+                prints = [strings(*x, m) for x in cols]
+                near = [likeness(prints[0], prints[k], own, x) for k, x in ((1, edited), (2, following))]
                 yield pa.RecordBatch.from_arrays(
-                    [*(b.column(k) for k in range(keep)), pa.array(strings(*own, m)), pa.array(strings(*edited, m)), pa.array(likeness(own, edited, m)), pa.array(likeness(own, following, m))],
+                    [*(b.column(k) for k in range(keep)), *map(pa.array, prints[:2]), *map(pa.array, near)],
                     names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
                 )
 
@@ -197,8 +268,9 @@ def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     near_next.
 
     The edited text is the text with its last floor(n_chars / 3) code points replaced by as many of the next text's first
-    (or all); what is next says ``with_next``. near_edited and near_next are the likeness of the text's digests to the edited text's
-    and to the next text's, as found by subtracting and peeling sketches. A null text counts as empty; a text without words has the
+    (or all); what is next says ``with_next``. near_edited and near_next are the likeness of its fingerprint to the edited text's and to
+    the next text's: common digests over all; where the fingerprints differ in too much to tell, that of larger ones. A very long text is cut into digests
+    whole; its fingerprint is as long as any other. A null text counts as empty; a text without words has the
     sketch without digests; two such are alike to 1. Equal texts have equal fingerprints. Repeated rows each get their row; an empty
     table gives none; other columns are not read.
     """

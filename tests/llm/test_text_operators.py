@@ -13,6 +13,7 @@ import pytest
 from tests.conftest import DATA
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from querncore.llm import fingerprints, hashing, jaccard_join, licenses, records, token_counts, unigram
 from tests.llm.conftest import EDGE, LONG, SCHEMA, rows_of, sample
@@ -73,6 +74,34 @@ def test_sketches_recover_every_difference():
         assert [int(x[0]) for x in fingerprints.differences(z(a), z(b), 1)] == [len(np.setdiff1d(a, b)), len(np.setdiff1d(b, a))]
 
 
+def test_likeness_comes_from_fingerprints_then_larger_sketches():
+    rng = np.random.default_rng(5)
+    common = [rng.integers(1, 1 << 63, n, dtype=np.uint64) for n in (0, 10, 2000, 2000, 70_000)]
+    a, b = ([np.unique(np.r_[c, rng.integers(1, 1 << 63, k, dtype=np.uint64)]) for c, k in zip(common, ks)] for ks in ((0, 5, 3, 900, 4), (0, 2, 8, 700, 1)))
+    column = lambda xs: (np.repeat(np.arange(len(xs)), [len(x) for x in xs]), np.concatenate(xs))
+    first, second = (fingerprints.strings(*column(x), len(x)) for x in (a, b))
+    want = [len(np.intersect1d(x, y)) / len(np.union1d(x, y)) if len(x) else 1.0 for x, y in zip(a, b)]
+    alone = fingerprints.fingerprint_likeness(first, second)
+    assert np.isnan(alone[3]) and alone[[0, 1, 2, 4]].tolist() == [want[k] for k in (0, 1, 2, 4)]
+    assert fingerprints.likeness(first, second, column(a), column(b)).tolist() == want
+
+
+def test_digests_that_cells_never_give_up_are_told_one_by_one():
+    twice = np.array([7, 7, 9, 11], np.uint64)
+    a, b = (np.zeros(4, np.int64), twice), (np.zeros(2, np.int64), np.array([9, 13], np.uint64))
+    assert [x.tolist() for x in fingerprints.differences(a, b, 1, 12)] == [[3], [1]]
+
+
+def test_columns_of_fingerprints_are_compared(spark):
+    base = "".join(f"line {k}\n" for k in range(40))
+    rows = [(1, base, "a"), (2, base.replace("line 7\n", "another line\n"), "a"), (3, None, "a")]
+    df = fingerprints.fingerprints(spark.createDataFrame(rows_of(*rows), SCHEMA)).select("doc_id", "fingerprint")
+    pairs = df.alias("a").join(df.alias("b"), F.expr("a.doc_id <= b.doc_id")).select("a.doc_id", F.col("b.doc_id").alias("other"), fingerprints.likeness_of("a.fingerprint", "b.fingerprint").alias("near"))
+    got = {(r.doc_id, r.other): r.near for r in pairs.collect()}
+    assert got[1, 1] == got[3, 3] == 1 and 0.8 < got[1, 2] < 1
+    assert spark.range(1).select(fingerprints.likeness_of(F.lit(None).cast("string"), F.lit("")).alias("x")).first().x is None
+
+
 def edited_texts(rows):
     order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
     out = []
@@ -99,6 +128,13 @@ def test_fingerprint_likeness(spark):
     for i, t, _ in rows:
         by.setdefault(t, set()).add(got[i].fingerprint)
     assert all(len(x) == 1 for x in by.values()) and len(set().union(*by.values())) == len(by)
+    order = sorted(rows, key=lambda r: -r[0])
+    own = lambda t: set(zip(*map(np.ndarray.tolist, fingerprints.digests(next(hashing.slices(pa.array([t]), fold=False))[1]))))
+    for k, (i, t, _) in enumerate(order):  # by the sets of digests
+        following = order[(k + 1) % len(order)][1]
+        for near, other in ((got[i].near_next, following), (got[i].near_edited, t[: len(t) - len(t) // 3] + following[: len(t) // 3])):
+            x, y = own(t), own(other)
+            assert near == len(x & y) / len(x | y)
     long = [r for r in got.values() if r.n_chars > 400]
     assert np.mean([0.3 < r.near_edited < 0.8 for r in long]) > 0.95 and np.mean([r.near_next for r in long]) < 0.1
 
