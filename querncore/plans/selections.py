@@ -54,7 +54,7 @@ def selection_outcomes(spark, sf):
 
 
 @query(f"""WITH {PICKED},
-h AS (SELECT c.entity, bool_or(coalesce(l.identity = 'correct' AND len(l.roles) > 0, false)) AS positive, bool_or(coalesce(l.identity = 'correct' AND list_contains(l.roles, 'icon'), false)) AS icon, bool_or(coalesce(l.identity = 'correct' AND list_contains(l.roles, 'wide'), false)) AS wide FROM c LEFT JOIN l ON l.k = c.k GROUP BY 1),
+h AS (SELECT c.entity, bool_or(coalesce(l.identity = 'correct' AND len(l.roles) > 0, false)) AS positive, bool_or(coalesce(l.identity = 'correct' AND list_contains(l.roles, 'icon'), false)) AS icon, bool_or(coalesce(l.identity = 'correct' AND list_contains(l.roles, 'wide'), false)) AS wide FROM c LEFT JOIN l ON l.entity = c.entity AND l.k = c.k GROUP BY 1),
 g AS (SELECT entity, bool_or(correct) AS correct, bool_or(role <> 'favicon' AND coalesce(identity = 'wrong', false)) AS wrong, count(*) FILTER (role <> 'favicon' AND correct) AS n,
   sum(CASE WHEN role <> 'favicon' AND correct THEN (CASE usability_light WHEN 'good' THEN 1.0 WHEN 'conditional' THEN 0.5 ELSE 0 END + CASE usability_dark WHEN 'good' THEN 1.0 WHEN 'conditional' THEN 0.5 ELSE 0 END) / 2 ELSE 0 END) AS usable FROM o GROUP BY 1),
 s AS (SELECT count(*) AS entities, count(*) AS with_candidates, count(*) FILTER (positive) AS with_any_positive, count(*) FILTER (correct) AS correct_domains, count(*) FILTER (wrong) AS wrong_domains, count(*) FILTER (icon) AS icons, count(*) FILTER (wide) AS wides, sum(n) AS n, sum(usable) AS usable FROM h JOIN g USING (entity)),
@@ -73,7 +73,7 @@ def availability_proxy(spark, sf):
 
 
 @query(f"""WITH {PICKED} SELECT count(*) AS selected_slots, count(*) FILTER (NOT EXISTS (SELECT 1 FROM l WHERE l.entity = s.entity AND l.k = s.k AND l.role = s.role)) AS missing_role_slots,
-count(DISTINCT s.k) FILTER (NOT EXISTS (SELECT 1 FROM l WHERE l.k = s.k)) AS candidates_without_any_label FROM sel s""")
+count(DISTINCT (s.entity, s.k)) FILTER (NOT EXISTS (SELECT 1 FROM l WHERE l.entity = s.entity AND l.k = s.k)) AS candidates_without_any_label FROM sel s""")
 def label_gap_diagnostic(spark, sf):
     _, labels, sel = picked(spark, sf)
     return selection.label_gaps(sel, labels, "entity", "k")
