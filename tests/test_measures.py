@@ -68,6 +68,23 @@ def test_svg_policy(markup, want):
     assert svg.verdict(markup.encode()) == want
 
 
+@pytest.mark.parametrize(
+    "markup,want",
+    [
+        ('<svg><g style="transform:translate3d(1px,0,0) rotateY(4deg);fill:none"/></svg>', "safe"),
+        ('<svg><g style="position:fixed"/></svg>', "style"),
+        ("<svg><style>.a{background:red}</style></svg>", "style"),
+        ('<svg><g xmlns="http://www.w3.org/2000/svg"/></svg>', "namespace"),
+        ('<svg viewBox="0 0 1 1" aria-label="x" data-a.b="y"/>', "safe"),
+        ('<svg srcdoc="x"/>', "attribute"),
+    ],
+)
+def test_svg_allow_lists(spark, markup, want):
+    assert svg.verdict(markup.encode(), {"viewbox", "style", "xmlns"}) == want
+    df = spark.createDataFrame([(bytearray(markup.encode()),), (None,)], "c binary")
+    assert [r.v for r in df.select(svg.svg_verdict_with({"viewbox", "style", "xmlns"})("c").alias("v")).collect()] == [want, "empty"]
+
+
 def test_role_metrics(spark):
     e = spark.createDataFrame([("a",), ("b",), ("c",)], "entity string")
     c = spark.createDataFrame([("a", "1", "icon", True, True, "correct", True, False), ("a", "2", "icon", True, False, "correct", True, True), ("b", "3", "icon", False, False, "wrong", False, False)], "entity string, candidate string, role string, correct boolean, best boolean, identity string, any_theme boolean, both_themes boolean")
