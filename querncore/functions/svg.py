@@ -34,18 +34,18 @@ PROPERTIES = set(
 )
 # Attributes that may occur, besides aria- and data- ones.
 ATTRIBUTES = set(
-    "accent-height alignment-baseline baseline-shift cap-height class clip clip-path clip-rule color color-interpolation color-interpolation-filters color- "
-    "profile color-rendering cursor cx cy d direction display dominant-baseline dx dy edgeMode elevation enable-background fill fill-opacity fill-rule "
-    "filter filterUnits flood-color flood-opacity font-family font-size font-size-adjust font-stretch font-style font-variant font-weight fx fy glyph-name "
-    "glyph-orientation-horizontal glyph-orientation-vertical gradientTransform gradientUnits height href id image-rendering in in2 intercept k k1 k2 k3 k4 "
-    "kernelMatrix kernelUnitLength letter-spacing lighting-color limitingConeAngle marker-end marker-mid marker-start markerHeight markerUnits markerWidth "
-    "mask maskContentUnits maskUnits mode numOctaves offset opacity operator order orient orientation origin overflow paint-order pathLength "
-    "patternContentUnits patternTransform patternUnits pointer-events points preserveAlpha preserveAspectRatio primitiveUnits r radius refX refY rendering- "
-    "intent result role rotate rx ry scale seed shape-rendering slope spacing specularConstant specularExponent spreadMethod stdDeviation stitchTiles stop- "
-    "color stop-opacity stroke stroke-dasharray stroke-dashoffset stroke-linecap stroke-linejoin stroke-miterlimit stroke-opacity stroke-width style "
-    "surfaceScale systemLanguage tableValues targetX targetY text-anchor text-decoration text-rendering transform transform-origin type unicode-bidi "
-    "vector-effect version viewBox visibility width word-spacing writing-mode x x1 x2 xChannelSelector xlink:href xml:space xmlns xmlns:xlink y y1 y2 "
-    "yChannelSelector z zoomAndPan".lower().split()
+    "accent-height alignment-baseline baseline-shift cap-height class clip clip-path clip-rule color color-interpolation color-interpolation-filters "
+    "color-profile color-rendering cursor cx cy d direction display dominant-baseline dx dy edgeMode elevation enable-background fill fill-opacity "
+    "fill-rule filter filterUnits flood-color flood-opacity font-family font-size font-size-adjust font-stretch font-style font-variant font-weight fx fy "
+    "glyph-name glyph-orientation-horizontal glyph-orientation-vertical gradientTransform gradientUnits height href id image-rendering in in2 intercept k "
+    "k1 k2 k3 k4 kernelMatrix kernelUnitLength letter-spacing lighting-color limitingConeAngle marker-end marker-mid marker-start markerHeight markerUnits "
+    "markerWidth mask maskContentUnits maskUnits mode numOctaves offset opacity operator order orient orientation origin overflow paint-order pathLength "
+    "patternContentUnits patternTransform patternUnits pointer-events points preserveAlpha preserveAspectRatio primitiveUnits r radius refX refY "
+    "rendering-intent result role rotate rx ry scale seed shape-rendering slope spacing specularConstant specularExponent spreadMethod stdDeviation "
+    "stitchTiles stop-color stop-opacity stroke stroke-dasharray stroke-dashoffset stroke-linecap stroke-linejoin stroke-miterlimit stroke-opacity "
+    "stroke-width style surfaceScale systemLanguage tableValues targetX targetY text-anchor text-decoration text-rendering transform transform-origin type "
+    "unicode-bidi vector-effect version viewBox visibility width word-spacing writing-mode x x1 x2 xChannelSelector xlink:href xml:space xmlns xmlns:xlink "
+    "y y1 y2 yChannelSelector z zoomAndPan".lower().split()
 )
 DEPTH = 256
 

@@ -77,6 +77,7 @@ def test_svg_policy(markup, want):
         ('<svg><g xmlns="http://www.w3.org/2000/svg"/></svg>', "namespace"),
         ('<svg viewBox="0 0 1 1" aria-label="x" data-a.b="y"/>', "safe"),
         ('<svg srcdoc="x"/>', "attribute"),
+        ('<svg stop="x"/>', "attribute"),
     ],
 )
 def test_svg_allow_lists(spark, markup, want):
@@ -113,3 +114,8 @@ def test_small_rules(spark):
     assert got[0].g == ["missing-crop", "width-out-of-range", "missing-identity-evidence"] and got[1].g == []
     t = spark.createDataFrame([("A man in a red shirt with the logo on his back",), ("Acme logo",), (None,)], "t string")
     assert [r.x for r in t.select(replay.describes_embedded_logo(F.col("t")).alias("x")).collect()] == [True, False, False]
+
+
+def test_svg_attributes_by_default():
+    assert svg.verdict(b'<svg viewBox="0 0 1 1"><stop stop-color="red" rendering-intent="auto" color-profile="auto"/></svg>') == "safe"
+    assert svg.verdict(b'<svg><stop color="red" stop="x"/></svg>') == "attribute"
