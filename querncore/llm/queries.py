@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from querncore.llm.common import table
+from querncore.llm.sql import RESAMPLING, WARC, sort_means_sql
 
 
 def tokenizer_path(name: str) -> str:
@@ -90,11 +91,32 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op11_sort_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from querncore.llm.centroids import cluster
+
+    return cluster(table(spark, sf_dir, "embeddings"), k=16, rounds=3, seed=1, dims=64, scale=64)
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from querncore.llm.warc import read_warc, write_warc
+
+    path = write_warc(table(spark, sf_dir, "pages"), least=1000)
+    schema = "record_type string, source_id long, payload_bytes long, payload_digest string, refers_to_source_id long"
+    records = read_warc(spark, path, schema, where="record_type IN ('response', 'revisit')", verify=True)
+    return records.selectExpr("source_id AS page_id", "payload_bytes", "payload_digest", "record_type", "refers_to_source_id AS refers_to")
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from querncore.llm.resampling import resample
+
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=1, buckets=10_000, seed=2024, least=20, percent=10)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_fingerprints, op2_jaccard_join, op3_records, op4_quality, op5_token_counts, op6_unigram, op7_nearest, op8_lm_scores, op9_licenses, op10_mixing, pipeline)
+    own = (op1_fingerprints, op2_jaccard_join, op3_records, op4_quality, op5_token_counts, op6_unigram, op7_nearest, op8_lm_scores, op9_licenses, op10_mixing, op11_sort_means, op12_warc, op13_resampling, pipeline)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    """None of these can be expressed in SQL over the tables; tests/llm holds their brute-force versions."""
-    return {}
+    """The queries that SQL can express; for the others tests/llm holds brute-force versions."""
+    return {"op11_sort_means": sort_means_sql(), "op12_warc": WARC, "op13_resampling": RESAMPLING}

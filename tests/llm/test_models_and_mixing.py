@@ -387,4 +387,4 @@ def test_registered_queries_run(spark):
     from querncore.llm import queries
 
     names = {q.split("_")[0] for q in queries.queries()}
-    assert names == {f"op{k}" for k in range(1, 11)} | {"pipeline"}
+    assert names == {f"op{k}" for k in range(1, 14)} | {"pipeline"}
