@@ -20,11 +20,6 @@ def clamp(x: Column, low: float, high: float) -> Column:
     return F.least(F.greatest(x, F.lit(low)), F.lit(high))
 
 
-def nearest_rank(value: str, fraction: float) -> Column:
-    """The nearest-rank percentile of the non-null values of a group."""
-    return F.expr(f"percentile_disc({fraction}) WITHIN GROUP (ORDER BY {value})")
-
-
 def money(x: Column, digits: int = 4) -> Column:
     """A decimal, so that sums do not depend on the order of addition."""
     return x.cast(f"decimal(18,{digits})")

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from querncore.functions.capture import percent_decoded
 from querncore.functions.numbers import clamp, half_up
 
 # How much a discovery source says for itself.
@@ -21,9 +22,8 @@ SOURCE_WEIGHTS = {
     "besticon": 12, "google-favicon": 10, "duckduckgo-favicon": 9, "root-favicon": 5, "social-banner": -30,
     "wikimedia-commons": 24, "linkedin": 20,
 }
-FAVICON_SOURCES = ("html-icon", "apple", "mask-icon", "ms-tile", "manifest", "besticon", "google-favicon", "duckduckgo-favicon", "root-favicon")
-AUTHORITATIVE_SOURCES = ("schema", "og-logo", "microdata", "bimi", "official-archive")
-STRUCTURED_SOURCES = ("schema", "og-logo", "microdata", "bimi")
+FAVICON_SOURCES = ("manifest", "apple", "mask-icon", "bimi", "ms-tile", "html-icon", "besticon", "google-favicon", "duckduckgo-favicon", "root-favicon")
+AUTHORITATIVE_SOURCES = ("schema", "og-logo", "microdata")
 DOM_SOURCES = ("dom-img", "dom-picture", "noscript-img", "browser-img")
 
 
@@ -72,7 +72,7 @@ def provisional_queue() -> Column:
         F.when(yes("negative_context") | yes("banner") | (c("source") == "social-banner") | bare, F.lit(None).cast("string"))
         .when(ratio >= 1.8, "wide")
         .when(c("source").isin(*FAVICON_SOURCES), "favicon")
-        .when(c("source").isin(*STRUCTURED_SOURCES), "wide")
+        .when(c("source").isin(*AUTHORITATIVE_SOURCES), "wide")
         .otherwise("icon")
     )
 
@@ -168,9 +168,14 @@ def icon_rejections(surface: str | None = None) -> Column:
     return F.array_compact(F.array(F.when(c("foreground_occupancy") < 0.015, "negligible foreground occupancy"), F.when(c("box_occupancy") < 0.08, "visible content box is too small"), poor))
 
 
+def edge() -> Column:
+    """The shorter side; a side that is missing or 0 is no bound."""
+    side = lambda n: F.when(c(n) > 0, c(n).cast("double")).otherwise(float("inf"))
+    return F.least(side("width"), side("height"))
+
+
 def icon_size_bonus() -> Column:
-    edge = F.least("width", "height")
-    return F.when(~c("source").isin(*FAVICON_SOURCES), 0).when(edge >= 180, 8).when(edge >= 96, 4).otherwise(0)
+    return F.when(~c("source").isin(*FAVICON_SOURCES), 0).when(edge() >= 180, 8).when(edge() >= 96, 4).otherwise(0)
 
 
 def icon_effective(scores: str = "role_scores") -> Column:
@@ -180,8 +185,7 @@ def icon_effective(scores: str = "role_scores") -> Column:
 
 
 def favicon_rank(scores: str = "role_scores", roles: str = "predicted_roles") -> Column:
-    edge = F.least("width", "height")
-    size = F.when(edge <= 64, 40).when(edge <= 128, 25).when(edge <= 256, 10).otherwise(0)
+    size = F.when(edge() <= 64, 40).when(edge() <= 128, 25).when(edge() <= 256, 10).otherwise(0)
     return size + 0.6 * F.coalesce("suitability", F.lit(0.0)) + F.when(F.array_contains(roles, "icon"), 8).otherwise(0) + F.when(c("source") == "html-icon", 1).otherwise(0) + 0.01 * F.coalesce(F.col(scores)["favicon"], F.lit(0.0))
 
 
@@ -223,14 +227,6 @@ def preference_score(wanted: dict[str, str]) -> Column:
     return total
 
 
-def archive_score(member: Column, agrees: Column, context: Column) -> Column:
-    """How likely an archive's member is the asset; null for other kinds of files."""
-    m = F.lower(member)
-    kind = F.when(m.endswith(".svg"), 30).when(m.endswith(".png"), 18).when(m.endswith(".webp"), 12)
-    role = F.when(m.rlike("wordmark|lockup|logotype|logomark|brandmark"), 45).when(m.contains("logo"), 18).otherwise(0)
-    return kind + role + F.when(agrees, 35).otherwise(0) + F.when(F.lower(context).rlike("brand|press|media|logo"), 8).otherwise(0)
-
-
 def company_agreement(text: Column, company: Column) -> Column:
     """Every word of the company's name (without legal suffixes) is a word of the text."""
     words = lambda t: F.filter(F.split(F.regexp_replace(F.lower(t), "[^a-z0-9]+", " "), " "), lambda w: w != "")
@@ -238,7 +234,9 @@ def company_agreement(text: Column, company: Column) -> Column:
     return (F.size(name) > 0) & (F.size(F.array_except(name, words(text))) == 0)
 
 
-# What an archive's members are not, products that are no company's logo, and words that companies share.
+# What an archive's members are called, what they are not, products that are no company's logo, and words that companies share.
+WORDMARK_MEMBER = r"(^|[\s/_.-])(wordmark|lockup|horizontal|primary|full[-_\s]*logo|logo[-_\s]*(primary|horizontal))($|[\s/_.-])"
+LOGO_MEMBER = r"(^|[\s/_.-])(logo|wordmark|lockup)($|[\s/_.-])"
 NOT_A_LOGO = r"__macosx|(^|/)\._|badge|powered[-_\s]*by|screenshot|headshot|deprecated|legacy|(^|[\s/_.-])(icon|symbol|glyph|vertical|stacked|favicon|app[-_\s]*icon)($|[\s/_.-])"
 PRODUCT = r"(^|[\s/_.-])(copilot|claude|connect|checkout|terminal|atlas|slackbot|salesforce)($|[\s/_.-])"
 LEGAL_WORDS = ("inc", "llc", "ltd", "corp", "corporation", "company", "technologies", "technology", "tech", "center")
@@ -251,12 +249,16 @@ def _named(text: Column) -> Column:
 
 
 def archive_member_score(member: Column, company: Column, context: Column) -> Column:
-    """``archive_score`` of a member for a company, less what speaks against it: 80 for what is no logo, 100 for another product's."""
-    m, name = F.lower(member), _named(company)
-    hay = F.array_join(_named(member), "")
+    """How likely an archive's member is a company's wordmark, by its percent-decoded path: less 80 for what is no logo, 100 for another product's. Null
+    for other kinds of files and where a percent sign starts no byte."""
+    m, name = F.lower(F.replace(percent_decoded(member), F.lit("\\"), F.lit("/"))), _named(company)
+    kind = F.when(m.endswith(".svg"), 30).when(m.endswith(".png"), 18).when(m.endswith(".webp"), 12)
+    role = F.when(m.rlike(WORDMARK_MEMBER), 45).when(m.rlike(LOGO_MEMBER), 18).otherwise(0)
+    hay = F.array_join(_named(m), "")
     agrees = F.exists(name, lambda w: (F.length(w) >= 3) & F.contains(hay, w))
     product = F.regexp_extract(m, PRODUCT, 2)
-    return archive_score(member, agrees, context) - F.when(m.rlike(NOT_A_LOGO), 80).otherwise(0) - F.when((product != "") & ~F.array_contains(name, product), 100).otherwise(0)
+    against = F.when(m.rlike(NOT_A_LOGO), 80).otherwise(0) + F.when((product != "") & ~F.array_contains(name, product), 100).otherwise(0)
+    return kind + role + F.when(agrees, 35).otherwise(0) + F.when(F.lower(context).rlike("brand|press|media|logo"), 8).otherwise(0) - against
 
 
 def acronym_agreement(text: Column, company: Column) -> Column:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from querncore.functions.numbers import half_up, money, nearest_rank, rate_pct
+from querncore.functions.numbers import half_up, money, rate_pct
+from querncore.operators.percentiles import exact_percentiles, with_percentiles
 
 
 def taxonomy(df: DataFrame, category: str) -> DataFrame:
@@ -13,10 +14,11 @@ def taxonomy(df: DataFrame, category: str) -> DataFrame:
 
 
 def metrics(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """available, total, mean (one decimal), p50, p95 (nearest rank) of the non-null values of each group."""
+    """available, total, mean (one decimal), p50, p95 (nearest rank, exact) of the non-null values of each group."""
     total = F.sum(money(F.col(value))).cast("double")
     n = F.count(value)
-    return df.groupBy(*keys).agg(n.alias("available"), total.alias("total"), half_up(total / n, 1).alias("mean"), nearest_rank(value, 0.5).alias("p50"), nearest_rank(value, 0.95).alias("p95"))
+    sums = df.groupBy(*keys).agg(n.alias("available"), total.alias("total"), half_up(total / n, 1).alias("mean"))
+    return with_percentiles(sums, exact_percentiles(df, keys, value, {"p50": 0.5, "p95": 0.95}), keys)
 
 
 def role_coverage(df: DataFrame, entity: str, role: str, reachable: Column) -> DataFrame:
@@ -113,12 +115,13 @@ def loss_taxonomy(df: DataFrame, keys: list[str], captured: Column, candidate: C
 
 
 def grouping_metrics(df: DataFrame, sets: list[list[str]], value: str) -> DataFrame:
-    """Metrics over the union of rows of every grouping set (never an average of averages). Absent keys are null; level tells the set."""
-    df.createOrReplaceTempView("_quern_rows")
+    """Metrics over the union of rows of every grouping set (never an average of averages). Absent keys are null; level tells the set: a bit for each key in
+    order of names, the last one lowest, set where the key is absent."""
     names = sorted({k for s in sets for k in s})
-    every = ", ".join("(" + ", ".join(s) + ")" for s in sets)
-    cols = ", ".join(names)
-    return df.sparkSession.sql(
-        f"SELECT {cols}, cast(grouping_id({cols}) AS bigint) AS level, count(*) AS n, cast(sum(cast({value} AS decimal(18,4))) AS double) AS total,"
-        f" percentile_disc(0.95) WITHIN GROUP (ORDER BY {value}) AS p95 FROM _quern_rows GROUP BY {cols} GROUPING SETS ({every})"
-    )
+    level = lambda s: sum(1 << (len(names) - 1 - i) for i, k in enumerate(names) if k not in s)
+    kind = {k: df.schema[k].dataType for k in names}
+    each = F.array(*(F.struct(F.lit(level(s)).cast("long").alias("level"), *((F.col(k) if k in s else F.lit(None).cast(kind[k])).alias(k) for k in names)) for s in sets))
+    rows = df.select(F.explode(each).alias("_g"), F.col(value)).select("_g.*", value)
+    keys = [*names, "level"]
+    sums = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(money(F.col(value))).cast("double").alias("total"))
+    return with_percentiles(sums, exact_percentiles(rows, keys, value, {"p95": 0.95}), keys)

@@ -90,3 +90,17 @@ def replay_novel(candidates: DataFrame, seen: DataFrame, hash_col: str, url_cols
 def upsert(base: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """base with the rows of new in place of those with the same key."""
     return base.join(new.select(key), key, "left_anti").unionByName(new)
+
+
+#: Entries of a catalogue that is broadcast; a larger one is joined by a shuffle.
+CATALOGUE_ENTRIES = 100_000
+
+
+def reviewed_hashes(df: DataFrame, content_hash: str, catalogue: DataFrame) -> DataFrame:
+    """df with reviewed: struct<reason, owners, owner_domains> of the catalogue's entry (sha256, reason, owners, owner_domains) for a row's hash, null where it has
+    none. Of entries that repeat a hash the last reason in order counts; no list of owners or domains is an empty one."""
+    none = F.array().cast("array<string>")
+    entry = F.struct("reason", F.coalesce("owners", none).alias("owners"), F.coalesce("owner_domains", none).alias("owner_domains"))
+    known = catalogue.filter("sha256 IS NOT NULL").groupBy(F.col("sha256").alias("_sha256")).agg(F.max(entry).alias("reviewed"))
+    small = known.limit(CATALOGUE_ENTRIES + 1).count() <= CATALOGUE_ENTRIES
+    return df.join(F.broadcast(known) if small else known, F.col(content_hash) == F.col("_sha256"), "left").drop("_sha256")

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from querncore.functions.numbers import nearest_rank
 from querncore.operators import ranking
+from querncore.operators.percentiles import exact_percentiles, with_percentiles
 
 
 def role_order(role: str, preference: Column, score: Column, tie: str) -> list[Column]:
-    """Best first: padded wordmarks last (icons only), then the preference's points, the role's score, bytes; the tie's column makes it total."""
+    """Best first: padded wordmarks last (icons only), then the preference's points, the score (for icons ``scoring.icon_effective``, else the role's own),
+    bytes; the tie's column makes it total."""
     padded = [F.coalesce(F.col("padded_wordmark"), F.lit(False)).asc()] if role == "icon" else []
     return [*padded, preference.desc(), F.coalesce(score, F.lit(0.0)).desc(), F.desc("bytes"), F.asc(tie)]
 
@@ -38,14 +39,15 @@ def smallest_descendant(df: DataFrame, keys: list[str], area: Column, strength:
 
 
 def transparent_siblings(chosen: DataFrame, members: DataFrame, family: list[str], index: str) -> DataFrame:
-    """For each chosen row that has a theme and a color: the first member of its family with a transparent background, the same theme and color, and
-    a shape within 1 %. Columns of both: family, index, theme, color, width, height; of members: background. Gives index and sibling."""
+    """For each chosen row that has a theme and a color: the first member of its family that may take the row's role, with a transparent background, the
+    same theme and color, and a shape within 1 %. Columns of both: family, index, theme, color, width, height; of chosen: role; of members: background,
+    predicted_roles. Gives index and sibling."""
     told = lambda c: c.isNotNull() & (c != "unknown")
     own = chosen.filter(told(F.col("theme")) & told(F.col("color")) & (F.col("width") >= 1) & (F.col("height") >= 1))
-    own = own.select(*family, "theme", "color", F.col(index).alias("_own"), (F.col("width") / F.col("height")).alias("_shape"))
+    own = own.select(*family, "theme", "color", F.col("role").alias("_role"), F.col(index).alias("_own"), (F.col("width") / F.col("height")).alias("_shape"))
     others = members.filter((F.col("background") == "transparent") & (F.col("width") > 0) & (F.col("height") > 0))
-    others = others.select(*family, "theme", "color", index, (F.col("width") / F.col("height")).alias("_other"))
-    met = own.join(others, [*family, "theme", "color"]).filter((F.col(index) != F.col("_own")) & (F.abs(F.col("_other") / F.col("_shape") - 1) <= 0.01))
+    others = others.select(*family, "theme", "color", index, "predicted_roles", (F.col("width") / F.col("height")).alias("_other"))
+    met = own.join(others, [*family, "theme", "color"]).filter((F.col(index) != F.col("_own")) & F.array_contains("predicted_roles", F.col("_role")) & (F.abs(F.col("_other") / F.col("_shape") - 1) <= 0.01))
     return met.groupBy(F.col("_own").alias(index)).agg(F.min(index).alias("sibling"))
 
 
@@ -107,13 +109,13 @@ def variant_costs(rows: DataFrame, variant: str) -> DataFrame:
     n = F.count("*")
     whole = reviewed == answered
     counts = [F.count(F.when(F.col("verdict") == v, 1)).alias(v) for v in ("correct", "wrong_brand", "related_brand", "not_logo", "ambiguous")]
-    return rows.groupBy(variant).agg(
+    sums = rows.groupBy(variant).agg(
         n.alias("audited_misses"), answered.alias("answered"), (answered / n).alias("answer_rate"), reviewed.alias("reviewed"), *counts,
         F.when(whole & (answered > 0), correct / answered).alias("strict_precision"), F.when(whole, 100 * correct / n).alias("correct_gains_per_100"),
         F.sum("requests").alias("requests"), F.sum("bytes").alias("bytes"), F.floor(F.sum("latency_ms") / n + 0.5).alias("mean_latency_ms"),
-        nearest_rank("latency_ms", 0.5).alias("p50_latency_ms"), nearest_rank("latency_ms", 0.95).alias("p95_latency_ms"),
         F.max("requests").alias("max_requests"), F.max("bytes").alias("max_bytes"), F.max("latency_ms").alias("max_latency_ms"),
     )
+    return with_percentiles(sums, exact_percentiles(rows, [variant], "latency_ms", {"p50_latency_ms": 0.5, "p95_latency_ms": 0.95}), [variant])
 
 
 def label_gaps(selections: DataFrame, labels: DataFrame, entity: str, candidate: str) -> DataFrame:

@@ -17,7 +17,7 @@ K = "(l_orderkey * 10 + l_linenumber)"
 
 def dealt(by: int, values: list[str | None], shift: int = 0) -> str:
     """One of the values by the candidate's number: (k + shift) // by modulo their number."""
-    shown = ["NULL" if v is None else "'" + v.replace("'", "''") + "'" for v in values]
+    shown = ["NULL" if v is None else "'" + v.replace("'", "''").replace("\\", "' || chr(92) || '") + "'" for v in values]  # a backslash means itself in one engine alone
     return f"CASE CAST(floor(({K} + {shift}) / {by}.0) AS BIGINT) % {len(values)} " + " ".join(f"WHEN {k} THEN {v}" for k, v in enumerate(shown)) + " END"
 
 
@@ -68,14 +68,19 @@ FEATURES = {
 C = "c AS (SELECT " + ", ".join(f"{v} AS {k}" for k, v in FEATURES.items()) + " FROM lineitem)"
 
 
+def settled(df):
+    """The same rows; columns worked out so far are not worked out anew in what follows. Spark inlines no expression across a generator, so plans stay as
+    small as the rules are written, where inlined scores of scores grow beyond what the optimiser can go through."""
+    return df.select(F.explode(F.array(F.struct(*(F.col(c) for c in df.columns)))).alias("c")).select("c.*")
+
+
 def candidates(spark, sf):
-    """The stand-in, kept: a real candidate table has its features as columns, while here each is a long expression that would stand in every rule anew."""
-    rows = t(spark, sf, "lineitem").selectExpr(*(f"{v} AS {k}" for k, v in FEATURES.items())).withColumn("eligible_roles", F.when(F.col("k") % 6 == 1, F.array(F.lit("icon"))).when(F.col("k") % 6 == 2, F.array(F.lit("wide"))))
-    return rows.persist()
+    rows = settled(t(spark, sf, "lineitem").selectExpr(*(f"{v} AS {k}" for k, v in FEATURES.items())))
+    return rows.withColumn("eligible_roles", F.when(F.col("k") % 6 == 1, F.array(F.lit("icon"))).when(F.col("k") % 6 == 2, F.array(F.lit("wide"))))
 
 
-FAVICONS = "('html-icon', 'apple', 'mask-icon', 'ms-tile', 'manifest', 'besticon', 'google-favicon', 'duckduckgo-favicon', 'root-favicon')"
-OFFICIAL = "('schema', 'og-logo', 'microdata', 'bimi', 'official-archive')"
+FAVICONS = "('bimi', 'html-icon', 'apple', 'mask-icon', 'ms-tile', 'manifest', 'besticon', 'google-favicon', 'duckduckgo-favicon', 'root-favicon')"
+OFFICIAL = "('schema', 'og-logo', 'microdata')"
 WEIGHT = "CASE source " + " ".join(f"WHEN '{s}' THEN {w}" for s, w in scoring.SOURCE_WEIGHTS.items()) + " ELSE 0 END"
 
 #: m: measures; s: what every score starts from; r: the role scores.
@@ -100,7 +105,7 @@ p AS (SELECT *, may_icon AND icon_score >= 35 AND NOT negative_context AND gener
 
 
 def scored(spark, sf):
-    return candidates(spark, sf).withColumn("role_scores", scoring.role_scores()).withColumn("predicted_roles", scoring.predicted_roles())
+    return settled(settled(candidates(spark, sf).withColumn("role_scores", scoring.role_scores())).withColumn("predicted_roles", scoring.predicted_roles()))
 
 
 @query(f"{SCORED} SELECT k, icon_score AS icon, wide_score AS wide, favicon_score AS favicon, CASE WHEN greatest(icon_score, wide_score, favicon_score) >= 70 THEN 'high' WHEN greatest(icon_score, wide_score, favicon_score) >= 45 THEN 'medium' ELSE 'low' END AS band FROM r")
@@ -125,11 +130,14 @@ def candidate_winners(spark, sf):
     return ranking.top(rows, ["entity", "role"], [F.desc("score"), F.asc("k")]).select("entity", "role", "k", "score")
 
 
-@query(f"""{SCORED} SELECT k, CASE WHEN fav THEN CASE WHEN least(width, height) >= 180 THEN 8 WHEN least(width, height) >= 96 THEN 4 ELSE 0 END ELSE 0 END AS bonus,
-icon_score - CASE WHEN content >= 1.8 AND ratio < 1.8 THEN 40 ELSE 0 END - CASE WHEN stacked THEN 40 ELSE 0 END - CASE WHEN clipping_risk >= 0.5 AND NOT likely_clipped THEN 3 ELSE 0 END
-+ CASE WHEN fav THEN CASE WHEN least(width, height) >= 180 THEN 8 WHEN least(width, height) >= 96 THEN 4 ELSE 0 END ELSE 0 END AS effective FROM r WHERE width IS NOT NULL""")
+EDGE = "least(coalesce(nullif(width, 0), 1e300), coalesce(nullif(height, 0), 1e300))"
+BONUS = f"CASE WHEN NOT fav THEN 0 WHEN {EDGE} >= 180 THEN 8 WHEN {EDGE} >= 96 THEN 4 ELSE 0 END"
+EFFECTIVE = f"icon_score - CASE WHEN content >= 1.8 AND ratio < 1.8 THEN 40 ELSE 0 END - CASE WHEN stacked THEN 40 ELSE 0 END - CASE WHEN clipping_risk >= 0.5 AND NOT likely_clipped THEN 3 ELSE 0 END + {BONUS}"
+
+
+@query(f"{SCORED} SELECT k, {BONUS} AS bonus, {EFFECTIVE} AS effective FROM r")
 def icon_effective_score(spark, sf):
-    return scored(spark, sf).filter("width is not null").select("k", scoring.icon_size_bonus().alias("bonus"), scoring.icon_effective().alias("effective"))
+    return scored(spark, sf).select("k", scoring.icon_size_bonus().alias("bonus"), scoring.icon_effective().alias("effective"))
 
 
 @query(f"""WITH {C} SELECT k, array_to_string(list_filter([CASE WHEN foreground_occupancy < 0.015 THEN 'negligible foreground occupancy' END, CASE WHEN box_occupancy < 0.08 THEN 'visible content box is too small' END,
@@ -140,10 +148,10 @@ def icon_rejections(spark, sf):
     return candidates(spark, sf).select("k", F.array_join(scoring.icon_rejections(), "|").alias("reasons"), on_light.alias("poor_on_light"))
 
 
-@query(f"""{SCORED} SELECT k, CASE WHEN least(width, height) <= 64 THEN 40 WHEN least(width, height) <= 128 THEN 25 WHEN least(width, height) <= 256 THEN 10 ELSE 0 END + 0.6 * coalesce(suitability, 0) + CASE WHEN is_icon THEN 8 ELSE 0 END
-+ CASE WHEN source = 'html-icon' THEN 1 ELSE 0 END + CAST(0.01 AS DOUBLE) * favicon_score AS rank FROM p WHERE is_favicon AND width IS NOT NULL""")
+@query(f"""{SCORED} SELECT k, CASE WHEN {EDGE} <= 64 THEN 40 WHEN {EDGE} <= 128 THEN 25 WHEN {EDGE} <= 256 THEN 10 ELSE 0 END + 0.6 * coalesce(suitability, 0) + CASE WHEN is_icon THEN 8 ELSE 0 END
++ CASE WHEN source = 'html-icon' THEN 1 ELSE 0 END + CAST(0.01 AS DOUBLE) * favicon_score AS rank FROM p WHERE is_favicon""")
 def favicon_rank(spark, sf):
-    return scored(spark, sf).filter(F.array_contains("predicted_roles", "favicon") & F.col("width").isNotNull()).select("k", scoring.favicon_rank().alias("rank"))
+    return scored(spark, sf).filter(F.array_contains("predicted_roles", "favicon")).select("k", scoring.favicon_rank().alias("rank"))
 
 
 PIXELS = "CASE WHEN regexp_matches(lower(coalesce(type, '') || ' ' || url), 'svg') THEN 1e12 WHEN sizes = 'any' THEN 1e11 ELSE greatest(coalesce(declared_width * declared_height, 0), CASE sizes WHEN '32x32' THEN 1024 WHEN '16x16 180x180' THEN 32400 WHEN '512x128' THEN 65536 ELSE 0 END) END"
@@ -158,7 +166,7 @@ def discovery_priority(spark, sf):
 
 @query(f"""WITH {C}, d AS (SELECT *, coalesce(CASE sizes WHEN '32x32' THEN 1.0 WHEN '16x16 180x180' THEN 1.0 WHEN '512x128' THEN 4.0 END, CASE WHEN declared_width > 0 AND declared_height > 0 THEN declared_width / declared_height END) AS shape FROM c)
 SELECT k, CASE WHEN negative_context OR banner OR source = 'social-banner' THEN NULL WHEN source IN ('dom-img', 'dom-picture', 'noscript-img', 'browser-img') AND NOT positive_token AND NOT coalesce(home_linked, false) AND NOT coalesce(dom_region IN ('header', 'nav'), false) THEN NULL
-WHEN shape >= 1.8 THEN 'wide' WHEN source IN {FAVICONS} THEN 'favicon' WHEN source IN ('schema', 'og-logo', 'microdata', 'bimi') THEN 'wide' ELSE 'icon' END AS queue FROM d""")
+WHEN shape >= 1.8 THEN 'wide' WHEN source IN {FAVICONS} THEN 'favicon' WHEN source IN ('schema', 'og-logo', 'microdata') THEN 'wide' ELSE 'icon' END AS queue FROM d""")
 def provisional_queue(spark, sf):
     return candidates(spark, sf).select("k", scoring.provisional_queue().alias("queue"))
 
@@ -168,15 +176,15 @@ def preference_scores(spark, sf):
     return candidates(spark, sf).select("k", scoring.preference_score({"theme": "dark", "color": "white", "background": "any"}).alias("points"))
 
 
-MEMBERS = ["Logos/acme-wordmark.svg", "logo/ACME_logo.png", "__MACOSX/._logo.svg", "press/headshot.webp", "brand/globex claude logo.svg", "icon.png", "img/legacy/acme logotype.png", "readme.txt", "Acme-Widgets/lockup.webp", "kit/powered by acme.svg", "app icon acme.png", "salesforce/acme.png"]
+MEMBERS = ["Logos/acme-wordmark.svg", "logo/ACME_logo.png", "__MACOSX/._logo.svg", "press/headshot.webp", "brand/globex claude logo.svg", "icon.png", "img/legacy/acme logotype.png", "readme.txt", "Acme-Widgets/lockup.webp", "kit/powered by acme.svg", "app icon acme.png", "salesforce/acme.png", "kit/acme-horizontal.svg", r"kit\acme\Full Logo.png", "kit/acme%20logo.svg", "analogous.svg", "img/logo primary.webp", "logotype.png", "a+b/primary%2Bacme.svg"]
 NAMES = ["Acme Inc", "Globex Technologies", "Salesforce", "AB Co"]
 MEMBER = f"SELECT {K} AS k, {dealt(1, MEMBERS)} AS member, {dealt(2, NAMES)} AS company, {dealt(3, ['press-kit.zip', 'files.zip'])} AS context FROM lineitem"
 LEGAL = "inc|llc|ltd|corp|corporation|company|co|technologies|technology|tech|center"
 
 
-@query(rf"""WITH a AS (SELECT *, lower(member) AS m, list_filter(string_split(regexp_replace(regexp_replace(lower(company), '\b({LEGAL})\b', ' ', 'g'), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> '') AS named, regexp_replace(regexp_replace(lower(member), '\b({LEGAL})\b', ' ', 'g'), '[^a-z0-9]+', '', 'g') AS hay FROM ({MEMBER})),
-b AS (SELECT *, regexp_extract(m, '(^|[\s/_.-])(copilot|claude|connect|checkout|terminal|atlas|slackbot|salesforce)($|[\s/_.-])', 2) AS product FROM a)
-SELECT k, CASE WHEN m LIKE '%.svg' THEN 30 WHEN m LIKE '%.png' THEN 18 WHEN m LIKE '%.webp' THEN 12 END + CASE WHEN regexp_matches(m, 'wordmark|lockup|logotype|logomark|brandmark') THEN 45 WHEN m LIKE '%logo%' THEN 18 ELSE 0 END
+@query(rf"""WITH a AS (SELECT *, replace(lower(url_decode(replace(member, '+', '%2B'))), '\', '/') AS m, list_filter(string_split(regexp_replace(regexp_replace(lower(company), '\b({LEGAL})\b', ' ', 'g'), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> '') AS named FROM ({MEMBER})),
+b AS (SELECT *, regexp_replace(regexp_replace(m, '\b({LEGAL})\b', ' ', 'g'), '[^a-z0-9]+', '', 'g') AS hay, regexp_extract(m, '(^|[\s/_.-])(copilot|claude|connect|checkout|terminal|atlas|slackbot|salesforce)($|[\s/_.-])', 2) AS product FROM a)
+SELECT k, CASE WHEN m LIKE '%.svg' THEN 30 WHEN m LIKE '%.png' THEN 18 WHEN m LIKE '%.webp' THEN 12 END + CASE WHEN regexp_matches(m, '(^|[\s/_.-])(wordmark|lockup|horizontal|primary|full[-_\s]*logo|logo[-_\s]*primary|logo[-_\s]*horizontal)($|[\s/_.-])') THEN 45 WHEN regexp_matches(m, '(^|[\s/_.-])logo($|[\s/_.-])') THEN 18 ELSE 0 END
 + CASE WHEN len(list_filter(named, lambda w: length(w) >= 3 AND contains(hay, w))) > 0 THEN 35 ELSE 0 END + CASE WHEN regexp_matches(context, 'brand|press|media|logo') THEN 8 ELSE 0 END
 - CASE WHEN regexp_matches(m, '__macosx|(^|/)\._|badge|powered[-_\s]*by|screenshot|headshot|deprecated|legacy|(^|[\s/_.-])(icon|symbol|glyph|vertical|stacked|favicon|app[-_\s]*icon)($|[\s/_.-])') THEN 80 ELSE 0 END
 - CASE WHEN product <> '' AND NOT list_contains(named, product) THEN 100 ELSE 0 END AS score FROM b""")
@@ -185,11 +193,11 @@ def archive_member_score(spark, sf):
 
 
 FIRST, SECOND, THIRD = ["press", "company", "brand", "blog", "en", "about", "newsroom", "media-kit", "2024", "products", "brand-style-guide"], ["press", "information", "logos", "05", "acme", "news.html", "press-information"], ["", "a/b", "story", "05/x"]
-PAGE = f"SELECT {K} AS k, 'https://www.example.com/' || {dealt(1, FIRST)} || '/' || {dealt(3, SECOND)} || '/' || {dealt(2, THIRD)} || {dealt(5, ['', '?q=1'])} AS url, CASE WHEN {K} % 4 = 0 THEN NULL ELSE CAST({K} % 1500 AS DOUBLE) END AS age FROM lineitem"
+PAGE = [f"{K} AS k", f"'https://www.example.com/' || {dealt(1, FIRST)} || '/' || {dealt(3, SECOND)} || '/' || {dealt(2, THIRD)} || {dealt(5, ['', '?q=1'])} AS url", f"CASE WHEN {K} % 4 = 0 THEN NULL ELSE CAST({K} % 1500 AS DOUBLE) END AS age"]
 STRONG = "(^|[-_/])(brand(ing)?[-_/](asset|center|guideline|resource|toolkit)|press[-_/]kit|media[-_/]kit|logo[-_/](asset|download|file|kit)|visual[-_/]identity)s?($|[-_/])"
 
 
-@query(rf"""WITH a AS (SELECT *, regexp_replace(lower(regexp_extract(url, '^https://[^/]*([^?#]*)', 1)), '[.][a-z0-9]{{1,8}}$', '') AS p, list_filter(string_split(regexp_replace(lower(regexp_extract(url, '^https://[^/]*([^?#]*)', 1)), '[.][a-z0-9]{{1,8}}$', ''), '/'), lambda s: s <> '') AS seg FROM ({PAGE})),
+@query(rf"""WITH a AS (SELECT *, regexp_replace(lower(regexp_extract(url, '^https://[^/]*([^?#]*)', 1)), '[.][a-z0-9]{{1,8}}$', '') AS p, list_filter(string_split(regexp_replace(lower(regexp_extract(url, '^https://[^/]*([^?#]*)', 1)), '[.][a-z0-9]{{1,8}}$', ''), '/'), lambda s: s <> '') AS seg FROM (SELECT {', '.join(PAGE)} FROM lineitem)),
 b AS (SELECT *, len(seg) AS n, list_has_any(seg, ['brand', 'branding', 'logo', 'logos']) AS focused, list_filter(seg, lambda s: s IN ('newsroom', 'press', 'media', 'company', 'about', 'corporate'))[1] AS token, regexp_matches(p, '{STRONG}') AS named,
   len(seg) <= 4 AND len(list_filter(seg, lambda s: regexp_matches(s, '^(brand[-_])?style[-_]guide$'))) > 0 AS guide FROM a),
 d AS (SELECT *, list_position(seg, token) - 1 AS spot, token IN ('newsroom', 'press', 'media') AS news, named OR focused OR guide AS strong FROM b)
@@ -198,10 +206,7 @@ SELECT k, CASE WHEN strong THEN 100 - CASE WHEN n > 3 AND NOT focused THEN 30 EL
 - CASE WHEN NOT strong AND len(list_filter(seg, lambda s: regexp_matches(s, '^(article|author|blog|careers?|jobs?|events?|legal|privacy|products?|customers?|partners?|support|store|shop|docs?|documentation|developers?|api)$'))) > 0 THEN 45 ELSE 0 END
 - CASE WHEN NOT named AND regexp_matches(p, '/(19|20)\d\d/(0?[1-9]|1[0-2])(/|$)') THEN 30 ELSE 0 END - CASE WHEN url LIKE '%?q=1' THEN 5 ELSE 0 END + CASE WHEN age <= 730 THEN 5 ELSE 0 END - CASE WHEN age > 1000 THEN 20 ELSE 0 END AS score FROM d""")
 def sitemap_page_score(spark, sf):
-    rows = t(spark, sf, "lineitem").createOrReplaceTempView
-    rows("_candidate_lines")
-    df = spark.sql(PAGE.replace("FROM lineitem", "FROM _candidate_lines"))
-    return df.select("k", pages.page_url_score(F.col("url"), F.col("age"), 1000).alias("score"))
+    return t(spark, sf, "lineitem").selectExpr(*PAGE).select("k", pages.page_url_score(F.col("url"), F.col("age"), 1000).alias("score"))
 
 
 MAPS = ["sitemap.xml", "page-sitemap.xml", "product_sitemap.xml.gz", "press/sitemap.xml", "media-images.xml", "video-sitemap.xml", "brand_pages.xml.gz", "tags.xml"]

@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from querncore.functions import ids, pages
-from querncore.functions.numbers import efficiency, half_up, money, rate_pct
+from querncore.functions.numbers import clamp, efficiency, half_up, money, rate_pct
 from querncore.operators import budgets, dedupe, evaluation, joins, ranking, sampling
+from querncore.operators.percentiles import exact_percentiles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -98,23 +99,29 @@ def displacement_decision(spark, sf):
     return ranking.displacement(rows, ["l_suppkey"], F.col("l_returnflag") == "N", (F.col("l_linestatus") == "F") & (F.col("l_discount") >= 0.08), F.col("l_tax") >= 0.06, (F.col("l_tax") == 0) & (F.col("l_quantity") == 50), [F.desc("l_extendedprice"), F.asc("line")], "line")
 
 
-def _card(sql: bool):
-    """Additive role scores of parts, as SQL text that both engines read."""
-    conf = "(CASE p_brand WHEN 'Brand#1' THEN 30 WHEN 'Brand#2' THEN 22 WHEN 'Brand#3' THEN 12 ELSE 5 END + CASE WHEN p_name LIKE '%ring%' THEN 15 ELSE 0 END + CASE WHEN p_size >= 40 THEN 18 ELSE 0 END - CASE WHEN p_type = 'PROMO' THEN 35 ELSE 0 END)"
-    clamp = "floor(least(greatest({x}, 0.0), 100.0) * 10 + 0.5) / 10"
-    parts = {"icon": f"{conf} + CASE WHEN p_size BETWEEN 10 AND 30 THEN 28 ELSE -12 END", "wide": f"{conf} + CASE WHEN p_size > 30 THEN 30 ELSE -18 END", "favicon": f"{conf} + CASE WHEN p_size < 10 THEN 28 ELSE -22 END"}
-    kind = "DOUBLE"
-    return {k: f"CAST({clamp.format(x=f'CAST({v} AS DOUBLE)')} AS {kind})" for k, v in parts.items()}
+#: Additive role scores of parts: m, what all start from; the rest by role.
+CARD = """
+WITH a AS (SELECT *, CASE p_brand WHEN 'Brand#1' THEN 30 WHEN 'Brand#2' THEN 22 WHEN 'Brand#3' THEN 12 ELSE 5 END + CASE WHEN p_name LIKE '%ring%' THEN 15 ELSE 0 END + CASE WHEN p_size >= 40 THEN 18 ELSE 0 END - CASE WHEN p_type = 'PROMO' THEN 35 ELSE 0 END AS m FROM part),
+b AS (SELECT p_partkey, m + CASE WHEN p_size BETWEEN 10 AND 30 THEN 28 ELSE -12 END AS i, m + CASE WHEN p_size > 30 THEN 30 ELSE -18 END AS w, m + CASE WHEN p_size < 10 THEN 28 ELSE -22 END AS f FROM a),
+c AS (SELECT p_partkey, CAST(least(greatest(i, 0), 100) AS DOUBLE) AS icon, CAST(least(greatest(w, 0), 100) AS DOUBLE) AS wide, CAST(least(greatest(f, 0), 100) AS DOUBLE) AS favicon FROM b)"""
 
 
-@query(f"""SELECT p_partkey, {', '.join(f'{v} AS {k}' for k, v in _card(True).items())} FROM part""")
+def _card() -> dict:
+    size, points = F.col("p_size"), lambda cond, yes, no=0: F.when(cond, yes).otherwise(no)
+    brand = F.coalesce(F.create_map(*[F.lit(x) for kv in {"Brand#1": 30, "Brand#2": 22, "Brand#3": 12}.items() for x in kv])[F.col("p_brand")], F.lit(5))
+    base = brand + points(F.col("p_name").contains("ring"), 15) + points(size >= 40, 18) + points(F.col("p_type") == "PROMO", -35)
+    shapes = {"icon": points(size.between(10, 30), 28, -12), "wide": points(size > 30, 30, -18), "favicon": points(size < 10, 28, -22)}
+    return {role: half_up(clamp((base + shape).cast("double"), 0.0, 100.0), 1) for role, shape in shapes.items()}
+
+
+@query(f"{CARD} SELECT p_partkey, icon, wide, favicon FROM c")
 def role_score_card(spark, sf):
-    return t(spark, sf, "part").select("p_partkey", *(F.expr(v).alias(k) for k, v in _card(False).items()))
+    return t(spark, sf, "part").select("p_partkey", *(v.alias(k) for k, v in _card().items()))
 
 
-@query(f"""SELECT p_partkey, role FROM (SELECT p_partkey, unnest(['icon', 'wide', 'favicon']) AS role, unnest([{', '.join(_card(True).values())}]) AS s FROM part) WHERE s >= 35""")
+@query(f"{CARD} SELECT p_partkey, 'icon' AS role FROM c WHERE icon >= 35 UNION ALL SELECT p_partkey, 'wide' FROM c WHERE wide >= 35 UNION ALL SELECT p_partkey, 'favicon' FROM c WHERE favicon >= 35")
 def predicted_roles(spark, sf):
-    roles = F.array_compact(F.array(*[F.when(F.expr(v) >= 35, k) for k, v in _card(False).items()]))
+    roles = F.array_compact(F.array(*[F.when(v >= 35, k) for k, v in _card().items()]))
     return t(spark, sf, "part").select("p_partkey", F.explode(roles).alias("role"))
 
 
@@ -205,7 +212,8 @@ def quality_score(spark, sf):
     d = t(spark, sf, "documents").select("doc_id", "n_chars").join(t(spark, sf, "labels"), "doc_id")
     good = F.col("quality") == 1
     s = d.select(F.coalesce(good, F.lit(False)).alias("covered"), (good & (F.coalesce("toxic", F.lit(0)) == 0)).alias("correct"), F.least(F.coalesce("n_chars", F.lit(0)) / F.lit(4000.0), F.lit(1.0)).alias("usability"), F.coalesce(F.col("toxic") == 1, F.lit(False)).alias("wrong"), "n_chars")
-    return evaluation.score_card(s, efficiency(F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY n_chars)"), 5000, 20000))
+    p = exact_percentiles(s, [], "n_chars", {"p95": 0.95})
+    return evaluation.score_card(s.join(F.broadcast(p), how="left"), efficiency(F.max("p95"), 5000, 20000))  # one row
 
 
 @query("""SELECT event_type, k, CAST(grouping(event_type) * 2 + grouping(k) AS BIGINT) AS level, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,4))) AS DOUBLE) AS total, quantile_disc(value, 0.95) AS p95 FROM (SELECT event_type, user_id % 5 AS k, value FROM events) GROUP BY GROUPING SETS ((), (event_type), (k), (event_type, k))""")

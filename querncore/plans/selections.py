@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from querncore.functions import capture, scoring
 from querncore.operators import ranking, selection
-from querncore.plans.candidates import SCORED, C, K, candidates, dealt, scored
+from querncore.plans.candidates import EFFECTIVE, SCORED, C, K, candidates, dealt, scored
 from querncore.plans.catalogue import query, t
 
 
@@ -128,22 +128,23 @@ def claim_dispositions(spark, sf):
 
 
 @query(f"""{SCORED}, x AS (SELECT *, k % 3 = 0 AS padded, k % 97 AS bytes, CASE WHEN theme = 'dark' THEN 2 WHEN theme = 'any' THEN 1 WHEN coalesce(theme, 'unknown') <> 'unknown' THEN -2 ELSE 0 END + CASE WHEN color = 'white' THEN 2 WHEN color = 'any' THEN 1 WHEN coalesce(color, 'unknown') <> 'unknown' THEN -2 ELSE 0 END AS points FROM p)
-SELECT entity, 'icon' AS role, k FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY padded, points DESC, icon_score DESC, bytes DESC, k) AS place FROM x WHERE is_icon) WHERE place = 1
+SELECT entity, 'icon' AS role, k FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY padded, points DESC, {EFFECTIVE} DESC, bytes DESC, k) AS place FROM x WHERE is_icon) WHERE place = 1
 UNION ALL SELECT entity, 'wide', k FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY points DESC, wide_score DESC, bytes DESC, k) AS place FROM x WHERE is_wide) WHERE place = 1""")
 def role_comparator(spark, sf):
     rows = scored(spark, sf).withColumn("padded_wordmark", F.col("k") % 3 == 0).withColumn("bytes", F.col("k") % 97)
     points, out = scoring.preference_score({"theme": "dark", "color": "white", "background": "any"}), []
     for role in ("icon", "wide"):
         own = rows.filter(F.array_contains("predicted_roles", role))
-        out.append(ranking.top(own, ["entity"], selection.role_order(role, points, F.col("role_scores")[role], "k")).select("entity", F.lit(role).alias("role"), "k"))
+        out.append(ranking.top(own, ["entity"], selection.role_order(role, points, scoring.icon_effective() if role == "icon" else F.col("role_scores")[role], "k")).select("entity", F.lit(role).alias("role"), "k"))
     return out[0].unionByName(out[1])
 
 
-@query(f"""WITH {C} SELECT a.k, min(b.k) AS sibling FROM c a JOIN c b ON a.entity = b.entity AND a.theme = b.theme AND a.color = b.color AND a.k % 4 = b.k % 4 AND a.k <> b.k AND abs(b.width / b.height / (a.width / a.height) - 1) <= 0.01
-WHERE a.k % 10 = 3 AND a.theme <> 'unknown' AND a.color <> 'unknown' AND a.width >= 1 AND a.height >= 1 AND b.background = 'transparent' AND b.width > 0 AND b.height > 0 GROUP BY a.k""")
+@query(f"""{SCORED} SELECT a.k, min(b.k) AS sibling FROM p a JOIN p b ON a.entity = b.entity AND a.theme = b.theme AND a.color = b.color AND a.k % 4 = b.k % 4 AND a.k <> b.k AND abs(b.width / b.height / (a.width / a.height) - 1) <= 0.01
+WHERE a.k % 10 = 3 AND a.theme <> 'unknown' AND a.color <> 'unknown' AND a.width >= 1 AND a.height >= 1 AND b.background = 'transparent' AND b.width > 0 AND b.height > 0 AND CASE WHEN a.k % 3 = 0 THEN b.is_wide ELSE b.is_icon END GROUP BY a.k""")
 def transparent_sibling(spark, sf):
-    rows = candidates(spark, sf).withColumn("family", F.col("k") % 4)
-    return selection.transparent_siblings(rows.filter("k % 10 = 3"), rows, ["entity", "family"], "k")
+    rows = scored(spark, sf).withColumn("family", F.col("k") % 4)
+    chosen = rows.filter("k % 10 = 3").withColumn("role", F.when(F.col("k") % 3 == 0, "wide").otherwise("icon"))
+    return selection.transparent_siblings(chosen, rows, ["entity", "family"], "k")
 
 
 @query(f"WITH {C}, u AS (SELECT *, k % 100 AS priority FROM c), once AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY entity, url ORDER BY priority DESC, k) = 1) SELECT entity, url, k, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY priority DESC, url) AS rank FROM once) WHERE rank <= 3")
