@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from querncore.functions import pages, scoring
+from querncore.functions.columns import settled
 from querncore.operators import joins
 from querncore.plans.catalogue import query, t
 
@@ -68,12 +69,6 @@ FEATURES = {
 C = "c AS (SELECT " + ", ".join(f"{v} AS {k}" for k, v in FEATURES.items()) + " FROM lineitem)"
 
 
-def settled(df):
-    """The same rows; columns worked out so far are not worked out anew in what follows. Spark inlines no expression across a generator, so plans stay as
-    small as the rules are written, where inlined scores of scores grow beyond what the optimiser can go through."""
-    return df.select(F.explode(F.array(F.struct(*(F.col(c) for c in df.columns)))).alias("c")).select("c.*")
-
-
 def candidates(spark, sf):
     rows = settled(t(spark, sf, "lineitem").selectExpr(*(f"{v} AS {k}" for k, v in FEATURES.items())))
     return rows.withColumn("eligible_roles", F.when(F.col("k") % 6 == 1, F.array(F.lit("icon"))).when(F.col("k") % 6 == 2, F.array(F.lit("wide"))))
