@@ -6,7 +6,7 @@ import duckdb
 import pytest
 from tests.conftest import DATA
 
-from querncore.plans import candidates, catalogue, icon_choice, knowledge, page_marks, reviews, selections  # noqa: F401  each adds its queries to the catalogue
+from querncore.plans import candidates, catalogue, icon_choice, knowledge, page_marks, qualification, reviews, selections  # noqa: F401  each adds its queries to the catalogue
 
 SF = DATA / "sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
