@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from querncore.functions import scoring
-from querncore.operators import icons
+from querncore.operators import frozen, icons
 from querncore.plans.candidates import EDGE, EFFECTIVE, SCORED, dealt, scored
 from querncore.plans.catalogue import query
 
@@ -54,3 +54,25 @@ def icon_pick(spark, sf):
         }
     )
     return icons.pick_icons(rows)
+
+
+#: The same candidates by role, for replays: all in the role wide, the others where predicted.
+REPLAY = f"""{SCORED},
+u AS (SELECT DISTINCT ON (k) *, k // 10 AS e, k % 13 AS place, CAST({RANK} AS DOUBLE) AS frank, CASE WHEN k % 5 = 0 THEN 'foreign named logo' ELSE generic_reason END AS why, k % 3 <> 1 AS here, k % 6 < 2 AS both_themes FROM p),
+x AS (SELECT e AS entity, 'icon' AS role, k AS candidate, icon_score AS score, place, source, home, bar, positive_token, agrees_with_company, false AS back, both_themes FROM u WHERE is_icon UNION ALL SELECT e, 'favicon', k, frank, place, source, home, bar, positive_token, agrees_with_company, false, both_themes FROM u WHERE is_favicon
+  UNION ALL SELECT e, 'wide', k, wide_score, place, source, home, bar, positive_token, agrees_with_company, coalesce(here AND positive_token AND bar AND why = 'foreign named logo' AND ratio BETWEEN 1.8 AND 12, false) AS back, both_themes FROM u WHERE is_wide OR coalesce(here AND positive_token AND bar AND why = 'foreign named logo' AND ratio BETWEEN 1.8 AND 12, false)),
+y AS (SELECT *, score + CASE WHEN back THEN 100 ELSE 0 END - CASE WHEN role = 'icon' AND source IN ('manifest', 'apple', 'mask-icon', 'ms-tile', 'html-icon', 'besticon', 'google-favicon', 'duckduckgo-favicon', 'root-favicon') AND NOT home AND NOT (positive_token AND bar) AND NOT agrees_with_company THEN 10 ELSE 0 END AS effective FROM x),
+z AS (SELECT *, CASE WHEN role = 'wide' AND effective >= max(effective) OVER (PARTITION BY entity, role) - 4 THEN CASE WHEN both_themes THEN 0 ELSE 1 END ELSE 2 END AS tier FROM y)"""
+
+
+@query(f"{REPLAY} SELECT DISTINCT ON (entity, role) entity, role, candidate, effective FROM z ORDER BY entity, role, tier, effective DESC, place")
+def profile_winners(spark, sf):
+    rows = scored(spark, sf).dropDuplicates(["k"]).withColumn("favicon_rank", scoring.favicon_rank())
+    s, roles = F.col("role_scores"), F.col("predicted_roles")
+    each = F.explode(F.array(*(F.struct(F.lit(r).alias("role"), s[r].alias("score"), F.array_contains(roles, r).alias("predicted")) for r in ("icon", "wide", "favicon"))))
+    own = F.concat(F.lit("https://www.a"), F.col("k").cast("string"), F.lit(".example/x.png"))
+    rows = rows.select(
+        F.expr("k div 10").alias("entity"), F.col("k").alias("candidate"), (F.col("k") % 13).alias("place"), "source", "favicon_rank", "home_linked", "dom_region", "positive_token", "agrees_with_company", "width", "height", own.alias("url"), each.alias("x"),
+        F.when(F.col("k") % 3 == 1, "https://other.example/").otherwise(F.replace(own, F.lit("www."), F.lit(""))).alias("source_url"), F.when(F.col("k") % 5 == 0, "foreign named logo").otherwise(F.col("generic_reason")).alias("generic_reason"), F.when(F.col("k") % 6 < 2, F.array(F.lit("dark"), F.lit("light"))).alias("themes"),
+    ).select("*", "x.*").drop("x")
+    return frozen.winners(rows, ["favicon-tiny-v1", "icon-evidence-v1", "wide-theme-v1", "wide-header-recovery-v1"])
