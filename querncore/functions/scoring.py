@@ -268,6 +268,12 @@ def acronym_agreement(text: Column, company: Column) -> Column:
     return (F.length(letters) >= 3) & F.rlike(F.lower(text), F.concat(F.lit("(^|[/_.-])"), letters, F.lit("([/_.-]|logo|wordmark|lockup)")))
 
 
+def candidate_priority() -> Column:
+    """Which of a page's candidates go first: 100 for what the site says of itself, 80 for the home link, 60 for the header or menu, 40 for a mark's word."""
+    points = [(c("source").isin(*AUTHORITATIVE_SOURCES), 100), (yes("home_linked"), 80), (in_bar(), 60), (yes("positive_token"), 40)]
+    return sum((F.when(cond, n).otherwise(0) for cond, n in points), F.lit(0))
+
+
 def family_shape() -> Column:
     r = F.coalesce(content_ratio(), ratio())
     return F.when(r.isNull(), "unknown").when(r >= 1.8, "wide").when(r.between(0.72, 1.4), "square").otherwise("other")

@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def adjudicate_slots(candidates: DataFrame, labels: DataFrame) -> DataFrame:
-    """event_id, slot, verdict: a sign-up stands in for the icon slot only where its entity has no click. The entity's flag is an
-    aggregate joined back, so an entity with many candidates is counted in parts."""
-    flags = candidates.groupBy("user_id").agg(F.bool_or(F.col("event_type") == "click").alias("_icon"))
-    rows = candidates.join(flags, "user_id").join(labels.withColumn("_has", F.lit(True)), F.col("event_id") == F.col("doc_id"), "left")
-    kind = F.col("event_type")
-    slot = F.when(kind == "click", "icon").when((kind == "signup") & ~F.col("_icon"), "icon").otherwise(kind)
-    verdict = F.when(F.col("_has").isNull(), "unlabelled").when(F.col("toxic") == 1, "wrong").when(F.col("quality") == 1, "correct").otherwise("ambiguous")
-    return rows.select("event_id", slot.alias("slot"), verdict.alias("verdict"))
+def adjudicate_slots(candidates: DataFrame, labels: DataFrame, entity: str, candidate: str, role: str, label_key: str, verdict: Column, own: str = "icon", stand_in: str = "favicon") -> DataFrame:
+    """candidate, slot, verdict: a candidate of the role ``stand_in`` stands in the slot ``own`` where its entity has no candidate of its own for it; others stand in
+    their role's slot. verdict: over the label's columns; candidates without a label are unlabelled. The entity's flag is an aggregate joined back, so an entity with many
+    candidates is counted in parts. Labels are one a key."""
+    flags = candidates.groupBy(entity).agg(F.coalesce(F.bool_or(F.col(role) == own), F.lit(False)).alias("_own"))
+    rows = candidates.join(flags, entity).join(labels.withColumn("_has", F.lit(True)), F.col(candidate) == F.col(label_key), "left")
+    slot = F.when((F.col(role) == stand_in) & ~F.col("_own"), own).otherwise(F.col(role))
+    return rows.select(candidate, slot.alias("slot"), F.when(F.col("_has").isNull(), "unlabelled").otherwise(verdict).alias("verdict"))
 
 
 def expand_omitted(items: DataFrame, labels: DataFrame, key: str, roles: list[str]) -> DataFrame:

@@ -45,6 +45,13 @@ def holdout(df: DataFrame, id_col: str, seed: str, n: int) -> DataFrame:
     return seeded_rank(df, seeded_key(seed, value), value, "_at").withColumn("held_out", F.col("_at") < n).drop("_at", "_total")
 
 
+def of_split(df: DataFrame, assigned: DataFrame, id_col: str, split: str, shard: int | None = None) -> DataFrame:
+    """The rows of entities of one split, or of one of its shards: a semi-join with what ``assign_splits`` gave."""
+    chosen = assigned.filter(F.col("benchmark_split") == split)
+    chosen = chosen if shard is None else chosen.filter(F.col("capture_shard") == shard)
+    return df.join(chosen.select(id_col), id_col, "left_semi")
+
+
 def hash_bucket(value: Column, buckets: int = 10) -> Column:
     """The first 32 bits of sha256, modulo the buckets."""
     return F.conv(F.left(F.sha2(value, 256), F.lit(8)), 16, 10).cast("bigint") % buckets

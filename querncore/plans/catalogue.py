@@ -529,7 +529,9 @@ FROM events e JOIN s ON e.user_id = s.user_id LEFT JOIN l ON l.doc_id = e.event_
 def slot_adjudication(spark, sf):
     from querncore.operators.labels import adjudicate_slots
 
-    return adjudicate_slots(t(spark, sf, "events"), t(spark, sf, "labels"))
+    events = t(spark, sf, "events").withColumn("role", F.when(F.col("event_type") == "click", "icon").otherwise(F.col("event_type")))
+    verdict = F.when(F.col("toxic") == 1, "wrong").when(F.col("quality") == 1, "correct").otherwise("ambiguous")
+    return adjudicate_slots(events, t(spark, sf, "labels"), "user_id", "event_id", "role", "doc_id", verdict, own="icon", stand_in="signup")
 
 
 @query("""SELECT d.doc_id, role, coalesce(CASE role WHEN 'quality' THEN l.quality ELSE l.toxic END = 1, false) AS correct, l.doc_id IS NULL AS omitted FROM (SELECT doc_id, unnest(['quality', 'toxic']) AS role FROM documents) d LEFT JOIN labels l ON d.doc_id = l.doc_id""")
@@ -549,11 +551,11 @@ def paired_role_gain(spark, sf):
     return t(spark, sf, "events").groupBy("user_id").agg(F.array_join(F.array_sort(F.array_except(odd, even)), ",").alias("gained"))
 
 
-@query("""SELECT n, array_to_string(list_sort(list(k)), ',') AS ids FROM (SELECT CAST(r_regionkey AS VARCHAR) AS k, 1 AS n FROM region UNION SELECT CAST(n_nationkey AS VARCHAR), 1 FROM nation UNION SELECT CAST(s_suppkey AS VARCHAR), 1 FROM supplier WHERE s_suppkey < 40) GROUP BY n""")
+@query("""SELECT k AS id, count(*) AS tables, string_agg(t, ',' ORDER BY t) AS found_in FROM (SELECT CAST(r_regionkey AS VARCHAR) AS k, 'region' AS t FROM region UNION SELECT CAST(n_nationkey AS VARCHAR), 'nation' FROM nation UNION SELECT CAST(s_suppkey AS VARCHAR), 'supplier' FROM supplier) GROUP BY k""")
 def union_of_ids(spark, sf):
-    k = lambda name, c, where="true": t(spark, sf, name).filter(where).select(F.col(c).cast("string").alias("k"))
-    u = k("region", "r_regionkey").unionByName(k("nation", "n_nationkey")).unionByName(k("supplier", "s_suppkey", "s_suppkey < 40")).distinct()
-    return u.groupBy(F.lit(1).alias("n")).agg(F.array_join(F.array_sort(F.collect_list("k")), ",").alias("ids"))
+    k = lambda name, col: t(spark, sf, name).select(F.col(col).cast("string").alias("id"), F.lit(name).alias("t"))
+    u = k("region", "r_regionkey").unionByName(k("nation", "n_nationkey")).unionByName(k("supplier", "s_suppkey")).distinct()
+    return u.groupBy("id").agg(F.count("*").alias("tables"), F.array_join(F.array_sort(F.collect_set("t")), ",").alias("found_in"))  # three tables at most
 
 
 @query("""SELECT o_custkey, files AS names FROM (SELECT o_custkey, count(DISTINCT o_orderpriority) AS files FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey) WHERE files >= 2""")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from querncore.functions import capture, scoring
-from querncore.operators import ranking, selection
+from querncore.operators import ranking, sampling, selection
 from querncore.plans.candidates import EFFECTIVE, SCORED, C, K, candidates, dealt, scored
 from querncore.plans.catalogue import query, t
 
@@ -147,9 +147,9 @@ def transparent_sibling(spark, sf):
     return selection.transparent_siblings(chosen, rows, ["entity", "family"], "k")
 
 
-@query(f"WITH {C}, u AS (SELECT *, k % 100 AS priority FROM c), once AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY entity, url ORDER BY priority DESC, k) = 1) SELECT entity, url, k, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY priority DESC, url) AS rank FROM once) WHERE rank <= 3")
+@query(f"WITH {C}, u AS (SELECT *, CASE WHEN source IN ('schema', 'og-logo', 'microdata') THEN 100 ELSE 0 END + CASE WHEN home_linked THEN 80 ELSE 0 END + CASE WHEN dom_region IN ('header', 'nav') THEN 60 ELSE 0 END + CASE WHEN positive_token THEN 40 ELSE 0 END AS priority FROM c), once AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY entity, url ORDER BY priority DESC, k) = 1) SELECT entity, url, k, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY priority DESC, url) AS rank FROM once) WHERE rank <= 3")
 def unique_by_priority_limit(spark, sf):
-    rows = candidates(spark, sf).withColumn("priority", F.col("k") % 100)
+    rows = candidates(spark, sf).withColumn("priority", scoring.candidate_priority())
     return selection.unique_by_priority(rows, ["entity"], "url", "priority", "k", 3).select("entity", "url", "k", "rank")
 
 
@@ -221,3 +221,10 @@ def allowed_analytics_events(spark, sf):
     fields = F.create_map(F.lit("outcome"), F.col("outcome"), F.lit("placement"), F.col("placement"))
     rows = lines(spark, sf, **EVENT).withColumn("safe", selection.allowed_event(F.col("name"), fields, ALLOWED)).filter("safe is not null")
     return rows.select("k", "name", F.col("safe")["outcome"].alias("outcome"), F.col("safe")["placement"].alias("placement"))
+
+
+@query("""WITH a AS (SELECT c_custkey, CAST(c_custkey AS VARCHAR) AS id FROM customer), b AS (SELECT *, row_number() OVER (ORDER BY sha256('seed-1' || chr(0) || id), id) - 1 AS at, count(*) OVER () AS n FROM a)
+SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM b WHERE at >= floor(n * 0.6 + 0.5) AND at < floor(n * 0.6 + 0.5) + floor(n * 0.2 + 0.5))""")
+def orders_of_split(spark, sf):
+    assigned = sampling.assign_splits(t(spark, sf, "customer").select("c_custkey"), "c_custkey", "seed-1").withColumnRenamed("c_custkey", "o_custkey")
+    return sampling.of_split(t(spark, sf, "orders"), assigned, "o_custkey", "validation").select("o_orderkey")

@@ -80,7 +80,7 @@ class Page(HTMLParser):
     def add(self, kind: str, source: str, url: str | None, **more) -> None:
         url = resolved(url, self.base)
         if url:
-            region = next((t for t, _ in reversed(self.open) if t in ("header", "nav", "footer", "main", "article", "aside")), None)
+            region = next((t for t, _ in reversed(self.open) if t in ("header", "nav", "footer")), "body")
             text = " ".join([str(more.get("alt") or ""), more.pop("semantic", ""), url.rsplit("/", 1)[-1]])
             around = " ".join(f"{a.get('class', '')} {a.get('id', '')}" for _, a in self.open[-4:])
             home = self.anchor is not None and self.anchor["home"]
@@ -129,7 +129,7 @@ class Page(HTMLParser):
             self.noscript = []
         elif tag == "a":
             url = resolved(a.get("href"), self.base)
-            home = bool(url) and urlsplit(url).hostname == urlsplit(self.page).hostname and urlsplit(url).path in ("", "/")
+            home = bool(url) and urlsplit(url).hostname == urlsplit(self.page).hostname and urlsplit(url).path in ("", "/") and not urlsplit(url).query
             self.anchor = {"url": a.get("href"), "home": home, "text": [a.get("aria-label", ""), a.get("title", "")]}
         if tag not in VOID:
             self.open.append((tag, a))

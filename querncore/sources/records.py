@@ -209,3 +209,15 @@ def private_address(value: Column) -> Column:
         return hosts.map(one)
 
     return check(value)
+
+
+#: A page as a rendering browser has seen it.
+OBSERVATION = "url string, domain string, company string, candidates array<struct<kind:string,url:string,inlineSvg:string,evidence:string>>"
+
+
+def read_observations(spark: SparkSession, path: str) -> DataFrame:
+    """Observations of rendered pages, one page a line of JSON: page, domain, company, at (a candidate's place, from 0), kind, url, inline_svg, css_background, evidence (JSON as it
+    stands). Pages without candidates have no rows; candidates that are null are passed over; lines that do not parse fail the job. ``dedupe.merge_rendered`` takes it from here."""
+    pages = read_jsonl(spark, path, OBSERVATION)
+    rows = pages.select(F.col("url").alias("page"), "domain", "company", F.posexplode("candidates").alias("at", "c")).filter("c IS NOT NULL")
+    return rows.select("page", "domain", "company", F.col("at").cast("long").alias("at"), "c.kind", "c.url", F.col("c.inlineSvg").alias("inline_svg"), F.get_json_object("c.evidence", "$.cssBackground").alias("css_background"), "c.evidence")

@@ -120,3 +120,21 @@ def test_streams_equal_batch(spark, tmp_path):
     q = limits.windowed_metrics(stream, "ts", ["u"], "i", "10 seconds").writeStream.format("memory").queryName("windows").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sum(r.n for r in spark.table("windows").collect()) == 40
+
+
+def test_observations_of_rendered_pages(spark, tmp_path):
+    import json
+
+    from querncore.operators import dedupe
+
+    pages = [
+        {"url": "https://a.test/", "domain": "a.test", "company": "A", "candidates": [{"kind": "external", "url": "https://a.test/x.png", "evidence": {"alt": "one", "cssBackground": {"size": "1px"}}}, {"kind": "external", "url": "https://a.test/x.png", "evidence": {"alt": "two", "cssBackground": {"size": "1px"}}}, None, {"kind": "external", "url": "https://a.test/x.png", "evidence": {"alt": "three"}}, {"kind": "inline-svg", "inlineSvg": "<svg/>", "evidence": {}}, {"kind": "external", "url": "data:x"}]},
+        {"url": "https://b.test/", "candidates": []},
+        {"url": "https://c.test/"},
+    ]
+    (tmp_path / "o.jsonl").write_text("\n".join(map(json.dumps, pages)))
+    rows = records.read_observations(spark, str(tmp_path))
+    assert [r.at for r in rows.orderBy("at").collect()] == [0, 1, 3, 4, 5]
+    survivors, evidence = dedupe.merge_rendered(rows, ["page"], "at")
+    assert [(r.at, r.inline_svg) for r in survivors.orderBy("at").collect()] == [(0, None), (3, None), (4, "<svg/>")]
+    assert [(r.at, r.place, json.loads(r.evidence).get("alt")) for r in evidence.orderBy("at", "place").collect()] == [(0, 0, "one"), (0, 1, "two"), (3, 0, "three"), (4, 0, None)]
