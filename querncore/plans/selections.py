@@ -223,8 +223,8 @@ def allowed_analytics_events(spark, sf):
     return rows.select("k", "name", F.col("safe")["outcome"].alias("outcome"), F.col("safe")["placement"].alias("placement"))
 
 
-@query("""WITH a AS (SELECT c_custkey, CAST(c_custkey AS VARCHAR) AS id FROM customer), b AS (SELECT *, row_number() OVER (ORDER BY sha256('seed-1' || chr(0) || id), id) - 1 AS at, count(*) OVER () AS n FROM a)
-SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM b WHERE at >= floor(n * 0.6 + 0.5) AND at < floor(n * 0.6 + 0.5) + floor(n * 0.2 + 0.5))""")
+@query("""WITH a AS (SELECT c_custkey, CAST(c_custkey AS VARCHAR) AS id FROM customer), b AS (SELECT *, row_number() OVER (ORDER BY sha256('seed-1' || chr(0) || id), id) - 1 AS ord, count(*) OVER () AS n FROM a)
+SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM b WHERE ord >= floor(n * 0.6 + 0.5) AND ord < floor(n * 0.6 + 0.5) + floor(n * 0.2 + 0.5))""")
 def orders_of_split(spark, sf):
     assigned = sampling.assign_splits(t(spark, sf, "customer").select("c_custkey"), "c_custkey", "seed-1").withColumnRenamed("c_custkey", "o_custkey")
     return sampling.of_split(t(spark, sf, "orders"), assigned, "o_custkey", "validation").select("o_orderkey")
