@@ -241,7 +241,7 @@ def license_scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     the text where it begins, from 0), family string ("unknown" where no family is probable enough or the template comparison does not confirm it), probability
     double (of the family predicted), held double (share of a template's triples of that family).
 
-    Null and empty texts have no passages; repeated rows each get their row; an empty table gives none; other columns are not read. Passages run over
+    Null and empty texts have no passages; texts of any length are searched whole; repeated rows each get their row; an empty table gives none; other columns are not read. Passages run over
     line feeds, but not over lines without words; licences of different families side by side are passages of their own. One narrow pass.
     """
     entry = pa.struct([("paragraph", pa.int32()), ("family", pa.string()), ("probability", pa.float64()), ("held", pa.float64())])

@@ -191,8 +191,8 @@ def write_records(docs: DataFrame, tokenizer_path: str, path: str | None = None,
     shard int, path string, n_docs long, n_ids long, start long (ids of all shards before it).
 
     The ids are cut into ranges of about equal numbers of rows; texts are encoded where they are read and only token ids are
-    shuffled, to the range of their document. A task writes a shard under a name of its own and then renames it, so a lost
-    executor or a second attempt leaves whole files only. Folders are written through pyarrow's file systems.
+    shuffled, to the range of their document. A shard's name is its attempt's own and the manifest tells which attempt's
+    counts, so nothing is renamed and what a lost executor or a second attempt leaves is never read. Folders are written through pyarrow's file systems.
     Null texts count as empty (the end id alone); null ids come first; rows with equal ids are ordered by their token ids, and
     equal rows stay as many as they are; an empty table gives an empty manifest. Other columns are not read.
     """
@@ -215,24 +215,21 @@ def write_records(docs: DataFrame, tokenizer_path: str, path: str | None = None,
         fs, top = opened(path)
         fs.create_dir(top, recursive=True)
         dtype = encoder(tokenizer_path).dtype
-        shard, out, index, tmp, n, n_ids, at = None, None, None, "", 0, 0, 0
+        shard, out, index, name, n, n_ids, at = None, None, None, "", 0, 0, 0
         done = []
 
         def close():
             out.close()
             index.close()
-            name = f"{top}/shard-{shard:06d}.rec"
-            fs.move(f"{tmp}.idx", index_path(name))
-            fs.move(f"{tmp}.rec", name)
-            done.append((shard, f"{path}/shard-{shard:06d}.rec", n, n_ids))
+            done.append((shard, f"{path}/{name}.rec", n, n_ids))
 
         for b in batches:
             for s, i, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
                 if s != shard:
                     if out:
                         close()
-                    shard, tmp, n, n_ids, at = s, f"{top}/.{uuid.uuid4().hex}", 0, 0, 0
-                    out, index = fs.open_output_stream(f"{tmp}.rec"), fs.open_output_stream(f"{tmp}.idx")
+                    shard, name, n, n_ids, at = s, f"shard-{s:06d}-{uuid.uuid4().hex}", 0, 0, 0
+                    out, index = fs.open_output_stream(f"{top}/{name}.rec"), fs.open_output_stream(f"{top}/{name}.idx")
                 own = np.frombuffer(ids, dtype)
                 framed = frame(payload_of(i, own))
                 index.write(struct.pack("<Q", at))

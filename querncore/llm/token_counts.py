@@ -129,7 +129,7 @@ def counter(path: str) -> BpeCounter:
 def token_counts(docs: DataFrame, model_path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), limit: int = 4096) -> DataFrame:
     """A row for each row of docs: the columns in keep, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit).
 
-    A null text counts as empty: 0 bytes, 0 tokens. Repeated rows stay, each with its counts; an empty table gives none. Other
+    A null text counts as empty: 0 bytes, 0 tokens. Texts of any length are counted whole, one at a time. Repeated rows stay, each with its counts; an empty table gives none. Other
     columns of docs, whatever their names, are not read. One narrow pass: no shuffle, a memo of bounded size per Python worker.
     """
     fields = [docs.schema[c] for c in keep]
