@@ -600,6 +600,9 @@ def _classes(docs: DataFrame, percent: int, width: int, text: str, doc_id: str,
         apart = left.join(root("a"), "a", "left").join(root("b"), "b", "left").filter(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b", "common")
         if apart.isEmpty():
             break
+        if best:  # of each leader the nearest one alone: what joins them leaves few pairs of a large group to the exact round
+            nearest = lambda own, other: apart.groupBy(own).agg(F.max_by(F.struct(other, "common"), F.struct("common", other)).alias("o")).select(own, "o.*")
+            apart = nearest("a", "b").unionByName(nearest("b", "a").select("a", "b", "common")).distinct()
         links = _derived(apart, marked, every, against, distinct, known_texts, percent, width, deal, best)
         if not links.isEmpty():
             every = components(stars().unionByName(links))
