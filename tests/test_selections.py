@@ -38,8 +38,11 @@ def test_order_siblings_and_instances(spark):
     rows = spark.createDataFrame([(1, True, 9, 5.0, 9), (2, None, 0, 3.0, 1), (3, False, 0, 3.0, 2), (4, False, 1, None, 0)], "k int, padded_wordmark boolean, points int, score double, bytes int")
     for role, want in (("icon", [4, 3, 2, 1]), ("wide", [1, 4, 3, 2])):
         assert [r.k for r in rows.orderBy(*selection.role_order(role, F.col("points"), F.col("score"), "k")).collect()] == want
-    family = spark.createDataFrame([(1, "f", "dark", "white", 100.0, 50.0, "opaque"), (2, "f", "dark", "white", 201.0, 100.0, "transparent"), (3, "f", "dark", "white", 210.0, 100.0, "transparent"), (4, "f", "unknown", "white", 100.0, 50.0, "opaque")], "k int, family string, theme string, color string, width double, height double, background string")
-    assert [tuple(r) for r in selection.transparent_siblings(family, family, ["family"], "k").collect()] == [(1, 2)]
+    both, wide = ["icon", "wide"], ["wide"]
+    family = [(1, "f", "dark", "white", 100.0, 50.0, "opaque", "icon", both), (2, "f", "dark", "white", 201.0, 100.0, "transparent", "icon", both), (3, "f", "dark", "white", 210.0, 100.0, "transparent", "icon", both), (4, "f", "unknown", "white", 100.0, 50.0, "opaque", "icon", both)]
+    family += [(0, "f", "dark", "white", 200.0, 100.0, "transparent", "wide", wide), (5, "f", "dark", "white", 100.0, 50.0, "opaque", "favicon", None)]  # one that may not be an icon; a role that none may take
+    family = spark.createDataFrame(family, "k int, family string, theme string, color string, width double, height double, background string, role string, predicted_roles array<string>")
+    assert sorted(tuple(r) for r in selection.transparent_siblings(family, family, ["family"], "k").collect()) == [(0, 2), (1, 2)]
     seen = spark.createDataFrame([(1, 1, "u", "h"), (2, 1, "v", "h"), (3, 1, None, None)], "instance int, entity int, url string, hash string")
     cands = spark.createDataFrame([(7, 1, "u", None), (8, 1, "w", "h"), (9, 1, "u", "h"), (5, 1, None, None)], "candidate int, entity int, url string, hash string")
     got = {r.instance: (r.candidate, r.confidence) for r in selection.mapped_instances(seen, cands, ["entity"], "candidate").collect()}
