@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,14 +50,23 @@ def near(a: Column, b: Column, share: float = 0.12, least: float = 4.0) -> Colum
 
 
 def near_pairs(rows: DataFrame, keys: list[str], x: str, y: str, id_col: str, cell: float = 0.12, least: float = 4.0) -> DataFrame:
-    """Pairs within a group (a < b by id) whose x and y are near each other. A range join by cells: values are put on a scale on which
-    near ones differ by less than one cell, each row looks into its own and the neighbouring cells, and equal cells are joined by a hash."""
-    width = F.log(F.lit(1 / (1 - cell)))
-    at = lambda c: F.floor(F.log(F.greatest(F.col(c).cast("double"), F.lit(least / cell))) / width)
-    base = rows.select(*keys, F.col(id_col).alias("a"), F.col(x).alias("ax"), F.col(y).alias("ay"), at(x).alias("cell"))
-    other = rows.select(*keys, F.col(id_col).alias("b"), F.col(x).alias("bx"), F.col(y).alias("by"), F.explode(F.array(at(x) - 1, at(x), at(x) + 1)).alias("cell"))
-    ok = (F.col("a") < F.col("b")) & near(F.col("ax"), F.col("bx"), cell, least) & near(F.col("ay"), F.col("by"), cell, least)
-    return base.join(other, [*keys, "cell"]).filter(ok).select(*keys, "a", "b")
+    """Pairs within a group (a < b by id) whose x and y are near each other. A range join by cells of both: values are put on a scale on which near ones
+    differ by one cell at most, even up to the least distance's bound and logarithmic beyond, each row looks into its own and half of the cells around it, so
+    that every pair of cells meets once, and equal cells are joined by a hash. Rows are dealt over a fixed number of tasks: pairs, not rows, are the work,
+    and tables too small for more than a task or two may hold most of it."""
+    bound, width = least / cell, math.log(1 / (1 - cell)) * (1 + 1e-9)
+    scale = lambda v: F.when(v <= bound, v / bound / width).otherwise((1 + F.log(v / bound)) / width)
+    at = lambda c: F.floor(scale(F.col(c).cast("double")))
+    tasks = max(8 * rows.sparkSession.sparkContext.defaultParallelism, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    base = rows.select(*keys, F.col(id_col).alias("_p"), F.col(x).alias("_px"), F.col(y).alias("_py"), at(x).alias("_cx"), at(y).alias("_cy"), F.lit(False).alias("_own"))
+    cells = [(0, 0), (0, 1), (1, -1), (1, 0), (1, 1)]
+    around = F.explode(F.array(*(F.struct((F.col("_cx") + i).alias("_cx"), (F.col("_cy") + j).alias("_cy"), F.lit((i, j) == (0, 0)).alias("_own")) for i, j in cells)))
+    other = base.select(*keys, F.col("_p").alias("_q"), F.col("_px").alias("_qx"), F.col("_py").alias("_qy"), around.alias("_c")).select(*keys, "_q", "_qx", "_qy", "_c.*")
+    meet = [*keys, "_cx", "_cy"]
+    met = base.drop("_own").repartition(tasks, *meet).join(other.repartition(tasks, *meet), meet)
+    # in one cell each pair is met from both sides
+    ok = near(F.col("_px"), F.col("_qx"), cell, least) & near(F.col("_py"), F.col("_qy"), cell, least) & F.when(F.col("_own"), F.col("_p") < F.col("_q")).otherwise(F.col("_p") != F.col("_q"))
+    return met.filter(ok).select(*keys, F.least("_p", "_q").alias("a"), F.greatest("_p", "_q").alias("b"))
 
 
 def sign_bits(vector: str, first: int = 32) -> Column:
