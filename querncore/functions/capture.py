@@ -91,11 +91,11 @@ def title_score(title: Column, mime: Column, width: Column, height: Column, agre
 
 def precision_interval(time: Column, precision: Column) -> Column:
     """first and last date that a time of so much precision (9: year, 10: month, 11: day) may mean; null where it means none."""
-    part = lambda n: F.regexp_extract(time, r"^\+(\d{4})-(\d{2})-(\d{2})T", n)
-    month = F.when(precision >= 10, part(2)).otherwise("01")
-    day = F.when(precision >= 11, part(3)).otherwise("01")
-    ok = precision.between(9, 11) & (part(1) > "0000")
-    first = F.when(ok, F.try_to_date(F.concat_ws("-", part(1), month, day), "yyyy-MM-dd"))
+    part = lambda at, n: F.substring(time, at, n)
+    month = F.when(precision >= 10, part(7, 2)).otherwise("01")
+    day = F.when(precision >= 11, part(10, 2)).otherwise("01")
+    ok = precision.between(9, 11) & time.rlike(r"^\+\d{4}-\d{2}-\d{2}T") & (part(2, 4) > "0000")
+    first = F.when(ok, F.concat_ws("-", part(2, 4), month, day).try_cast("date"))
     last = F.when(precision == 9, F.date_sub(F.add_months(first, 12), 1)).when(precision == 10, F.last_day(first)).otherwise(first)
     return F.when(first.isNotNull(), F.struct(first.alias("first"), last.alias("last")))
 

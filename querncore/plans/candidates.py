@@ -16,10 +16,30 @@ from querncore.plans.catalogue import query, t
 K = "(l_orderkey * 10 + l_linenumber)"
 
 
+#: What Spark reads in place of each text that was dealt: the SQL has the value's number written out in every branch, as a quotient of decimals.
+IN_SPARK: dict[str, str] = {}
+
+
 def dealt(by: int, values: list[str | None], shift: int = 0) -> str:
     """One of the values by the candidate's number: (k + shift) // by modulo their number."""
     shown = ["NULL" if v is None else "'" + v.replace("'", "''").replace("\\", "' || chr(92) || '") + "'" for v in values]  # a backslash means itself in one engine alone
-    return f"CASE CAST(floor(({K} + {shift}) / {by}.0) AS BIGINT) % {len(values)} " + " ".join(f"WHEN {k} THEN {v}" for k, v in enumerate(shown)) + " END"
+    text = f"CASE CAST(floor(({K} + {shift}) / {by}.0) AS BIGINT) % {len(values)} " + " ".join(f"WHEN {k} THEN {v}" for k, v in enumerate(shown)) + " END"
+    n = f"({K} + {shift})"
+    place = n if by == 1 else f"(({n} - pmod({n}, {by}L)) div {by}L)"  # rounds down below 0 too
+    IN_SPARK[text] = f"get(array({', '.join(shown)}), CAST({place} % {len(values)}L AS INT))"
+    return text
+
+
+def in_spark(text: str) -> str:
+    """A feature's text with what was dealt as a place in a constant array, worked out once a row in whole numbers. The same values."""
+    for sql in sorted((x for x in IN_SPARK if x in text), key=len, reverse=True):
+        text = text.replace(sql, IN_SPARK[sql])
+    return text
+
+
+def of_lines(spark, sf, features: dict[str, str]):
+    """The table's lines with these features alone."""
+    return t(spark, sf, "lineitem").selectExpr(*(f"{in_spark(v)} AS {n}" for n, v in features.items()))
 
 
 SOURCES = list(scoring.SOURCE_WEIGHTS) + ["unknown-source"]
@@ -70,7 +90,7 @@ C = "c AS (SELECT " + ", ".join(f"{v} AS {k}" for k, v in FEATURES.items()) + "
 
 
 def candidates(spark, sf):
-    rows = settled(t(spark, sf, "lineitem").selectExpr(*(f"{v} AS {k}" for k, v in FEATURES.items())))
+    rows = settled(of_lines(spark, sf, FEATURES))
     return rows.withColumn("eligible_roles", F.when(F.col("k") % 6 == 1, F.array(F.lit("icon"))).when(F.col("k") % 6 == 2, F.array(F.lit("wide"))))
 
 
@@ -184,7 +204,7 @@ SELECT k, CASE WHEN m LIKE '%.svg' THEN 30 WHEN m LIKE '%.png' THEN 18 WHEN m LI
 - CASE WHEN regexp_matches(m, '__macosx|(^|/)\._|badge|powered[-_\s]*by|screenshot|headshot|deprecated|legacy|(^|[\s/_.-])(icon|symbol|glyph|vertical|stacked|favicon|app[-_\s]*icon)($|[\s/_.-])') THEN 80 ELSE 0 END
 - CASE WHEN product <> '' AND NOT list_contains(named, product) THEN 100 ELSE 0 END AS score FROM b""")
 def archive_member_score(spark, sf):
-    return t(spark, sf, "lineitem").selectExpr(f"{K} AS k", f"{dealt(1, MEMBERS)} AS member", f"{dealt(2, NAMES)} AS company", f"{dealt(3, ['press-kit.zip', 'files.zip'])} AS context").select("k", scoring.archive_member_score(F.col("member"), F.col("company"), F.col("context")).alias("score"))
+    return of_lines(spark, sf, {"k": K, "member": dealt(1, MEMBERS), "company": dealt(2, NAMES), "context": dealt(3, ["press-kit.zip", "files.zip"])}).select("k", scoring.archive_member_score(F.col("member"), F.col("company"), F.col("context")).alias("score"))
 
 
 FIRST, SECOND, THIRD = ["press", "company", "brand", "blog", "en", "about", "newsroom", "media-kit", "2024", "products", "brand-style-guide"], ["press", "information", "logos", "05", "acme", "news.html", "press-information"], ["", "a/b", "story", "05/x"]
@@ -201,7 +221,7 @@ SELECT k, CASE WHEN strong THEN 100 - CASE WHEN n > 3 AND NOT focused THEN 30 EL
 - CASE WHEN NOT strong AND len(list_filter(seg, lambda s: regexp_matches(s, '^(article|author|blog|careers?|jobs?|events?|legal|privacy|products?|customers?|partners?|support|store|shop|docs?|documentation|developers?|api)$'))) > 0 THEN 45 ELSE 0 END
 - CASE WHEN NOT named AND regexp_matches(p, '/(19|20)\d\d/(0?[1-9]|1[0-2])(/|$)') THEN 30 ELSE 0 END - CASE WHEN url LIKE '%?q=1' THEN 5 ELSE 0 END + CASE WHEN age <= 730 THEN 5 ELSE 0 END - CASE WHEN age > 1000 THEN 20 ELSE 0 END AS score FROM d""")
 def sitemap_page_score(spark, sf):
-    return t(spark, sf, "lineitem").selectExpr(*PAGE).select("k", pages.page_url_score(F.col("url"), F.col("age"), 1000).alias("score"))
+    return t(spark, sf, "lineitem").selectExpr(*map(in_spark, PAGE)).select("k", pages.page_url_score(F.col("url"), F.col("age"), 1000).alias("score"))
 
 
 MAPS = ["sitemap.xml", "page-sitemap.xml", "product_sitemap.xml.gz", "press/sitemap.xml", "media-images.xml", "video-sitemap.xml", "brand_pages.xml.gz", "tags.xml"]
@@ -210,7 +230,7 @@ MAPS = ["sitemap.xml", "page-sitemap.xml", "product_sitemap.xml.gz", "press/site
 @query(rf"""SELECT k, CASE WHEN regexp_matches(p, '(^|[-_/])(page|newsroom|press|media|brand|corporate)s?([-_.]|$)') THEN 50 ELSE 0 END - CASE WHEN regexp_matches(p, '(^|[-_/])(image|video|product|category|tag|author|event|job)s?([-_.]|$)') THEN 80 ELSE 0 END - CASE WHEN p LIKE '%.gz' THEN 1 ELSE 0 END AS priority
 FROM (SELECT {K} AS k, '/' || {dealt(1, MAPS)} AS p FROM lineitem)""")
 def sitemap_document_priority(spark, sf):
-    rows = t(spark, sf, "lineitem").selectExpr(f"{K} AS k", f"'https://example.com/' || {dealt(1, MAPS)} AS url")
+    rows = of_lines(spark, sf, {"k": K, "url": f"'https://example.com/' || {dealt(1, MAPS)}"})
     return rows.select("k", pages.sitemap_priority(F.col("url")).alias("priority"))
 
 
@@ -237,5 +257,5 @@ COMPANIES, TEXTS = ["International Business Machines Corp", "Rock and Roll", "Ac
 b AS (SELECT *, array_to_string(list_transform(list_filter(string_split(lower(company), ' '), lambda w: w NOT IN ('inc', 'llc', 'ltd', 'corp', 'corporation', 'company', 'technologies', 'technology', 'tech', 'center')), lambda w: CASE WHEN w = 'and' THEN 'n' ELSE w[1] END), '') AS letters FROM a)
 SELECT k, length(letters) >= 3 AND regexp_matches(lower(told), '(^|[/_.-])' || letters || '([/_.-]|logo|wordmark|lockup)') AS agrees FROM b""")
 def acronym_agreement(spark, sf):
-    rows = t(spark, sf, "lineitem").selectExpr(f"{K} AS k", f"{dealt(1, COMPANIES)} AS company", f"{dealt(3, TEXTS)} AS told")
+    rows = of_lines(spark, sf, {"k": K, "company": dealt(1, COMPANIES), "told": dealt(3, TEXTS)})
     return rows.select("k", scoring.acronym_agreement(F.col("told"), F.col("company")).alias("agrees"))

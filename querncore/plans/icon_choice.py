@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from querncore.functions import scoring
 from querncore.operators import frozen, icons
-from querncore.plans.candidates import EDGE, EFFECTIVE, SCORED, dealt, scored
+from querncore.plans.candidates import EDGE, EFFECTIVE, SCORED, dealt, in_spark, scored
 from querncore.plans.catalogue import query
 
 #: A candidate's number serves as its entity's place too: lines of one number are told apart by supplier and part.
@@ -45,7 +45,7 @@ CASE WHEN alone THEN x WHEN x IS NULL THEN NULL WHEN turned THEN v WHEN act = 'd
 def icon_pick(spark, sf):
     rows = scored(spark, sf).dropDuplicates(["k"]).withColumn("id", F.col("k")).withColumn("entity", F.expr("k div 10"))
     s, roles = F.col("role_scores"), F.col("predicted_roles")
-    rows = rows.withColumns({n: F.expr(v.replace("(l_orderkey * 10 + l_linenumber)", "k")) for n, v in MORE.items()})
+    rows = rows.withColumns({n: F.expr(in_spark(v).replace("(l_orderkey * 10 + l_linenumber)", "k")) for n, v in MORE.items()})
     rows = rows.withColumns(
         {
             "url": F.concat(F.lit("https://x.example/i/"), "file"), "resolved_url": F.lit(None).cast("string"), "score": F.greatest(s["icon"], s["wide"], s["favicon"]),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from querncore.functions.canonical import canonical
 from querncore.functions.columns import settled
 from querncore.operators import label_forms, merging
-from querncore.plans.candidates import K, dealt
+from querncore.plans.candidates import K, dealt, of_lines
 from querncore.plans.catalogue import query, t
 
 RECORDS = """SELECT * FROM (SELECT CASE o_orderkey % 3 WHEN 0 THEN 'candidate' WHEN 1 THEN 'label' ELSE 'mapping' END AS record_type, o_orderkey AS key, CASE WHEN o_orderkey % 53 = 0 THEN NULL ELSE o_custkey END AS entity, CASE WHEN o_orderkey % 37 = 0 THEN (o_custkey + 2) % 5 ELSE o_custkey % 5 END AS run, o_totalprice AS price FROM orders)
@@ -78,7 +78,7 @@ n AS (SELECT *, CASE WHEN kind = 'sheet' THEN 'invalid_label_kind' WHEN entity_i
 
 
 def labels(spark, sf):
-    c = settled(t(spark, sf, "lineitem").selectExpr(*(f"{v} AS {n}" for n, v in LABEL.items())))
+    c = settled(of_lines(spark, sf, LABEL))
     pairs = F.filter(F.array(*(F.struct(F.col("k" + x).alias("key"), F.col("v" + x).alias("value")) for x in PAIRS)), lambda e: e["key"].isNotNull())
     none = F.lit(None).cast("string")
     return c.withColumn("told", F.map_from_entries(pairs)).withColumns({n: none for n in ("reviewer_id", "review_pass", "run_key", "capture_key")})

@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from querncore.functions import capture, scoring
+from querncore.functions.columns import settled
 from querncore.operators import ranking, sampling, selection
-from querncore.plans.candidates import EFFECTIVE, SCORED, C, K, candidates, dealt, scored
+from querncore.plans.candidates import EFFECTIVE, SCORED, C, K, candidates, dealt, of_lines, scored
 from querncore.plans.catalogue import query, t
 
 
 def lines(spark, sf, **features):
     """Lines with features, as ``told`` has them in SQL."""
-    return t(spark, sf, "lineitem").selectExpr(f"{K} AS k", "l_suppkey AS entity", *(f"{v} AS {n}" for n, v in features.items()))
+    return of_lines(spark, sf, {"k": K, "entity": "l_suppkey", **features})
 
 
 def told(**features) -> str:
@@ -122,7 +123,7 @@ d AS (SELECT *, CASE WHEN rank = 'deprecated' OR file IS NULL THEN 'invalid' WHE
 def claim_dispositions(spark, sf):
     c = F.col
     p = c("p").cast("int")
-    rows = lines(spark, sf, **CLAIM).withColumn("start", capture.precision_interval(c("start_time"), p)).withColumn("end", capture.precision_interval(c("end_time"), p))
+    rows = settled(lines(spark, sf, **CLAIM).withColumn("start", capture.precision_interval(c("start_time"), p)).withColumn("end", capture.precision_interval(c("end_time"), p)))
     out = capture.claim_disposition(c("rank"), c("file"), c("cause"), c("start"), c("end"), c("start_time").isNotNull(), c("end_time").isNotNull(), c("point"), F.to_date(F.lit("2020-02-15")))
     return rows.select("k", c("start")["first"].cast("string").alias("s_first"), c("start")["last"].cast("string").alias("s_last"), out.alias("disposition"))
 

@@ -5,8 +5,18 @@ from __future__ import annotations
 import random
 
 from pyspark.sql import functions as F
+from tests.conftest import DATA
 
+from querncore.functions.columns import settled
 from querncore.operators import joins
+from querncore.plans import candidates, icon_choice, reviews, selections  # noqa: F401  each deals features
+
+SF = str(DATA / "sf0.001")
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
 
 def test_near_pairs_are_those_of_brute_force_over_many_tasks(spark):
     rng = random.Random(7)
@@ -19,3 +29,24 @@ def test_near_pairs_are_those_of_brute_force_over_many_tasks(spark):
     got = [(r.a, r.b) for r in pairs.collect()]
     assert len(got) == len(set(got)) and set(got) == want
     assert pairs.rdd.getNumPartitions() >= 8 * spark.sparkContext.defaultParallelism  # a small table's pairs are no single task's
+
+
+def test_features_are_dealt_alike_and_without_decimals(spark):
+    assert candidates.IN_SPARK
+    numbers = spark.range(-400, 3000).selectExpr("CAST(floor(id / 10) AS BIGINT) AS l_orderkey", "CAST(pmod(id, 10) AS INT) AS l_linenumber")
+    pairs = list(candidates.IN_SPARK.items())
+    differ = numbers.selectExpr(*(f"count_if(NOT (({a}) <=> ({b}))) AS c{n}" for n, (a, b) in enumerate(pairs))).first()
+    assert not any(differ)
+    assert "decimal" not in plan_of(candidates.candidates(spark, SF)) and "decimal" not in plan_of(reviews.labels(spark, SF))
+
+
+def test_settled_works_nothing_out_inside_the_generator(spark):
+    df = settled(spark.range(3).selectExpr("id", "id * 2 AS b"))
+    assert [tuple(r) for r in df.orderBy("id").collect()] == [(0, 0), (1, 2), (2, 4)]
+    generated = [line for line in plan_of(df).splitlines() if "Generate" in line]
+    assert generated and not any("struct" in line or "* 2" in line for line in generated)
+
+
+def test_precision_intervals_are_worked_out_once_for_the_disposition(spark):
+    plan = plan_of(selections.claim_dispositions(spark, SF))
+    assert "Generate" in plan and "regexp_extract" not in plan and "gettimestamp" not in plan
