@@ -132,19 +132,19 @@ def claim_dispositions(spark, sf):
 SELECT entity, 'icon' AS role, k FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY padded, points DESC, {EFFECTIVE} DESC, bytes DESC, k) AS place FROM x WHERE is_icon) WHERE place = 1
 UNION ALL SELECT entity, 'wide', k FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY points DESC, wide_score DESC, bytes DESC, k) AS place FROM x WHERE is_wide) WHERE place = 1""")
 def role_comparator(spark, sf):
-    rows = scored(spark, sf).withColumn("padded_wordmark", F.col("k") % 3 == 0).withColumn("bytes", F.col("k") % 97)
-    points, out = scoring.preference_score({"theme": "dark", "color": "white", "background": "any"}), []
-    for role in ("icon", "wide"):
-        own = rows.filter(F.array_contains("predicted_roles", role))
-        out.append(ranking.top(own, ["entity"], selection.role_order(role, points, scoring.icon_effective() if role == "icon" else F.col("role_scores")[role], "k")).select("entity", F.lit(role).alias("role"), "k"))
-    return out[0].unionByName(out[1])
+    rows = scored(spark, sf).withColumn("role", F.explode(F.array_intersect("predicted_roles", F.array(F.lit("icon"), F.lit("wide")))))
+    icon = F.col("role") == "icon"  # both roles in one pass: padded wordmarks are last among icons alone
+    rows = rows.withColumn("padded_wordmark", icon & (F.col("k") % 3 == 0)).withColumn("bytes", F.col("k") % 97)
+    points = scoring.preference_score({"theme": "dark", "color": "white", "background": "any"})
+    score = F.when(icon, scoring.icon_effective()).otherwise(F.col("role_scores")["wide"])
+    return ranking.top(rows, ["entity", "role"], selection.role_order("icon", points, score, "k")).select("entity", "role", "k")
 
 
 @query(f"""{SCORED} SELECT a.k, min(b.k) AS sibling FROM p a JOIN p b ON a.entity = b.entity AND a.theme = b.theme AND a.color = b.color AND a.k % 4 = b.k % 4 AND a.k <> b.k AND abs(b.width / b.height / (a.width / a.height) - 1) <= 0.01
 WHERE a.k % 10 = 3 AND a.theme <> 'unknown' AND a.color <> 'unknown' AND a.width >= 1 AND a.height >= 1 AND b.background = 'transparent' AND b.width > 0 AND b.height > 0 AND CASE WHEN a.k % 3 = 0 THEN b.is_wide ELSE b.is_icon END GROUP BY a.k""")
 def transparent_sibling(spark, sf):
     rows = scored(spark, sf).withColumn("family", F.col("k") % 4)
-    chosen = rows.filter("k % 10 = 3").withColumn("role", F.when(F.col("k") % 3 == 0, "wide").otherwise("icon"))
+    chosen = candidates(spark, sf).withColumn("family", F.col("k") % 4).filter("k % 10 = 3").withColumn("role", F.when(F.col("k") % 3 == 0, "wide").otherwise("icon"))
     return selection.transparent_siblings(chosen, rows, ["entity", "family"], "k")
 
 

@@ -15,6 +15,7 @@ SF = str(DATA / "sf0.001")
 
 
 def plan_of(df) -> str:
+    df.sparkSession.conf.set("spark.sql.debug.maxToStringFields", "10000")
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
@@ -50,3 +51,9 @@ def test_settled_works_nothing_out_inside_the_generator(spark):
 def test_precision_intervals_are_worked_out_once_for_the_disposition(spark):
     plan = plan_of(selections.claim_dispositions(spark, SF))
     assert "Generate" in plan and "regexp_extract" not in plan and "gettimestamp" not in plan
+
+
+def test_candidates_are_scored_once(spark):
+    scores = lambda df: plan_of(df).count("logo|brand|wordmark")
+    once = scores(candidates.scored(spark, SF))
+    assert once and scores(selections.role_comparator(spark, SF)) == once and scores(selections.transparent_sibling(spark, SF)) == once
