@@ -37,9 +37,14 @@ def in_spark(text: str) -> str:
     return text
 
 
-def of_lines(spark, sf, features: dict[str, str]):
-    """The table's lines with these features alone."""
-    return t(spark, sf, "lineitem").selectExpr(*(f"{in_spark(v)} AS {n}" for n, v in features.items()))
+def numbered(spark, sf):
+    """A line for each candidate's number: all features but the supplier follow from it alone, so repeats go before anything is worked out."""
+    return t(spark, sf, "lineitem").selectExpr(f"{K} AS k").distinct().selectExpr("k div 10 AS l_orderkey", "k % 10 AS l_linenumber", "CAST(NULL AS BIGINT) AS l_suppkey")
+
+
+def of_lines(spark, sf, features: dict[str, str], once: bool = False):
+    """The table's lines with these features alone; once: a line for each number."""
+    return (numbered(spark, sf) if once else t(spark, sf, "lineitem")).selectExpr(*(f"{in_spark(v)} AS {n}" for n, v in features.items()))
 
 
 SOURCES = list(scoring.SOURCE_WEIGHTS) + ["unknown-source"]
@@ -89,8 +94,8 @@ FEATURES = {
 C = "c AS (SELECT " + ", ".join(f"{v} AS {k}" for k, v in FEATURES.items()) + " FROM lineitem)"
 
 
-def candidates(spark, sf):
-    rows = settled(of_lines(spark, sf, FEATURES))
+def candidates(spark, sf, once: bool = False):
+    rows = settled(of_lines(spark, sf, FEATURES, once))
     return rows.withColumn("eligible_roles", F.when(F.col("k") % 6 == 1, F.array(F.lit("icon"))).when(F.col("k") % 6 == 2, F.array(F.lit("wide"))))
 
 
@@ -119,8 +124,8 @@ p AS (SELECT *, may_icon AND icon_score >= 35 AND NOT negative_context AND gener
   favicon_score >= 35 AND fav AND NOT likely_clipped AS is_favicon FROM r)"""
 
 
-def scored(spark, sf):
-    return settled(settled(candidates(spark, sf).withColumn("role_scores", scoring.role_scores())).withColumn("predicted_roles", scoring.predicted_roles()))
+def scored(spark, sf, once: bool = False):
+    return settled(settled(candidates(spark, sf, once).withColumn("role_scores", scoring.role_scores())).withColumn("predicted_roles", scoring.predicted_roles()))
 
 
 @query(f"{SCORED} SELECT k, icon_score AS icon, wide_score AS wide, favicon_score AS favicon, CASE WHEN greatest(icon_score, wide_score, favicon_score) >= 70 THEN 'high' WHEN greatest(icon_score, wide_score, favicon_score) >= 45 THEN 'medium' ELSE 'low' END AS band FROM r")

@@ -43,7 +43,7 @@ SELECT q1.entity, CASE WHEN alone THEN NULL WHEN x IS NULL THEN f.id ELSE x END
 CASE WHEN alone THEN 'uncorroborated-generic-application-icon' WHEN x IS NULL AND f.id IS NOT NULL THEN 'no-qualified-icon' WHEN turned THEN 'rendered-inline-svg-corroboration' WHEN act = 'ranked' THEN 'highest-effective-score' WHEN act = 'declared-icon-abstained' THEN 'declared-icon-lacks-corroboration' WHEN act LIKE 'declared%' THEN CASE WHEN wmark THEN 'declared-icon-corroborated' ELSE 'page-mark-not-corroborated' END END AS reason,
 CASE WHEN alone THEN x WHEN x IS NULL THEN NULL WHEN turned THEN v WHEN act = 'declared-icon-displaced-page-mark' THEN w WHEN act = 'declared-icon-abstained' THEN d END AS other FROM q1 LEFT JOIN f USING (entity)""")
 def icon_pick(spark, sf):
-    rows = scored(spark, sf).dropDuplicates(["k"]).withColumn("id", F.col("k")).withColumn("entity", F.expr("k div 10"))
+    rows = scored(spark, sf, once=True).withColumn("id", F.col("k")).withColumn("entity", F.expr("k div 10"))
     s, roles = F.col("role_scores"), F.col("predicted_roles")
     rows = rows.withColumns({n: F.expr(in_spark(v).replace("(l_orderkey * 10 + l_linenumber)", "k")) for n, v in MORE.items()})
     rows = rows.withColumns(
@@ -67,7 +67,7 @@ z AS (SELECT *, CASE WHEN role = 'wide' AND effective >= max(effective) OVER (PA
 
 @query(f"{REPLAY} SELECT DISTINCT ON (entity, role) entity, role, candidate, effective FROM z ORDER BY entity, role, tier, effective DESC, place")
 def profile_winners(spark, sf):
-    rows = scored(spark, sf).dropDuplicates(["k"]).withColumn("favicon_rank", scoring.favicon_rank())
+    rows = scored(spark, sf, once=True).withColumn("favicon_rank", scoring.favicon_rank())
     s, roles = F.col("role_scores"), F.col("predicted_roles")
     each = F.explode(F.array(*(F.struct(F.lit(r).alias("role"), s[r].alias("score"), F.array_contains(roles, r).alias("predicted")) for r in ("icon", "wide", "favicon"))))
     own = F.concat(F.lit("https://www.a"), F.col("k").cast("string"), F.lit(".example/x.png"))

@@ -57,3 +57,11 @@ def test_candidates_are_scored_once(spark):
     scores = lambda df: plan_of(df).count("logo|brand|wordmark")
     once = scores(candidates.scored(spark, SF))
     assert once and scores(selections.role_comparator(spark, SF)) == once and scores(selections.transparent_sibling(spark, SF)) == once
+
+
+def test_repeats_of_a_number_go_before_scoring(spark):
+    assert "first(source" not in plan_of(icon_choice.icon_pick(spark, SF))  # whole scored rows are not shuffled to find repeats
+    k = F.expr(candidates.K).alias("k")
+    want = spark.read.parquet(f"{SF}/lineitem.parquet").select(k).distinct()
+    got = candidates.numbered(spark, SF).select(k)
+    assert got.count() == want.count() and not got.exceptAll(want).count()
