@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column
@@ -14,11 +13,21 @@ MARKS = r"[\x{0300}-\x{036F}]"
 SUFFIXES = ["ag", "co", "company", "corp", "corporation", "gmbh", "inc", "incorporated", "ltd", "limited", "llc", "plc"]
 
 
-@F.pandas_udf(StringType())
-def folded(text: pd.Series) -> pd.Series:
-    """Unicode's compatibility decomposition (NFKD) without combining marks; null for null. A whole Arrow column at once: Spark has no such expression."""
-    made = pc.replace_substring_regex(pc.utf8_normalize(pa.array(text, pa.string()), form="NFKD"), MARKS, "")
-    return made.to_pandas()
+#: Texts that are folded at once.
+SLICE = 64
+
+
+@F.arrow_udf(StringType())
+def _decomposed(text: pa.Array) -> pa.Array:
+    """Unicode's compatibility decomposition (NFKD) without combining marks; null for null. Spark has no such expression. A batch is gone through by slices, so
+    that what is made besides it stays small."""
+    made = (pc.replace_substring_regex(pc.utf8_normalize(text.slice(k, SLICE), form="NFKD"), MARKS, "") for k in range(0, len(text), SLICE))
+    return pa.concat_arrays([pa.array([], pa.string()), *(x.cast(pa.string()) for x in made)])
+
+
+def folded(text: Column) -> Column:
+    """The text in Unicode's compatibility decomposition (NFKD) without combining marks; null for null. ASCII texts are in it already and do not go to Python."""
+    return F.coalesce(_decomposed(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
 
 
 def normalized_name(text: Column, suffixes: list[str] | None = None) -> Column:

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import random
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
 from tests.conftest import DATA
 
 from querncore.functions.columns import settled
+from querncore.functions.names import folded
 from querncore.operators import dedupe, joins
 from querncore.plans import candidates, icon_choice, qualification, reviews, selections  # noqa: F401  each deals features
 
@@ -85,3 +87,13 @@ def test_evidence_of_assets_that_are_not_long_is_shuffled_once_and_with_short_ke
     plan = qualification.rendered_evidence(spark, SF)._jdf.queryExecution().executedPlan().toString()
     once, _, rest = plan.partition("LeftAnti")  # the plan down to where assets of full bins go
     assert rest and once.count("Exchange hashpartitioning(_asset") == 1 and "unhex" in rest
+
+
+def test_texts_go_to_python_only_where_they_are_not_ascii(spark):
+    texts = [None, "", "plain ASCII", "Société", "ﬁne № ２", "é" * 3000] * 60  # several slices of a batch
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", folded(F.col("t")).alias("f"))
+    want = {k: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not 0x300 <= ord(c) <= 0x36F) for k, t in enumerate(texts)}
+    assert {r.k: r.f for r in df.coalesce(1).collect()} == want
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    evaluated = next(line for line in plan.splitlines() if "EvalPython" in line)
+    assert "Pandas" not in evaluated and "RLIKE" in plan and "x00" in plan
