@@ -50,16 +50,20 @@ EVIDENCE_LIMIT = "(?i)no[_ -]?verified[_ -]?raster[_ -]?preview|preview unavaila
 ALIASES = OTHER_WORDS | OTHER_CAUSES | {c.replace("_", "-"): v for c, v in OTHER_CAUSES.items()} | {h: h.replace("-", "_") for h in HYPHENATED}
 
 
+def spelled(c: Column) -> Column:
+    """The canonical spelling of one of ALIASES, else null. Most texts are no alias: a set tells so at once, where a map would be gone through."""
+    table = F.create_map(*[F.lit(x) for kv in ALIASES.items() for x in kv])
+    return F.when(c.isin(list(ALIASES)), F.try_element_at(table, c))
+
+
 def renamed(c: Column) -> Column:
     """The canonical spelling; what has none stays as it is."""
-    table = F.create_map(*[F.lit(x) for kv in ALIASES.items() for x in kv])
-    return F.coalesce(F.try_element_at(table, c), c)
+    return F.coalesce(spelled(c), c)
 
 
 def chosen(c: Column) -> Column:
     """The canonical choice, other spellings in any case; what is no choice stays, to be found by ``off``."""
-    table = F.create_map(*[F.lit(x) for kv in ALIASES.items() for x in kv])
-    return F.coalesce(F.try_element_at(table, c), F.try_element_at(table, F.lower(c)), c)
+    return F.coalesce(spelled(c), spelled(F.lower(c)), c)
 
 
 def off(c: Column, choices: list[str]) -> Column:
@@ -72,9 +76,9 @@ def texts(c: Column) -> Column:
 
 
 def in_order(roles: Column) -> Column:
-    """Each role once, in the order of ROLES, with what is none behind."""
-    known = F.filter(F.array(*map(F.lit, ROLES)), lambda r: F.array_contains(roles, r))
-    return F.concat(known, F.array_sort(F.array_distinct(F.filter(roles, lambda r: ~r.isin(ROLES)))))
+    """Each role once, in the order of ROLES, with what is none behind. roles is a column, not worked out here: it is read twice."""
+    known = F.array(*map(F.lit, ROLES))
+    return F.concat(F.array_intersect(known, roles), F.sort_array(F.array_compact(F.array_except(roles, known))))
 
 
 def target_key(kind: Column, entity: Column, visual: Column, candidate: Column, role: Column) -> Column:
@@ -99,8 +103,8 @@ def judged(labels: DataFrame, ranker_safe: Column | None = None) -> DataFrame:
     told = F.coalesce(f("told"), F.create_map().cast("map<string,string>"))
     pairs = F.transform(F.map_entries(told), lambda e: F.struct(renamed(e["key"]).alias("key"), e["value"].alias("value")))
     pairs = F.filter(pairs, lambda e: ~e["key"].isin(NO_PART) & e["value"].isNotNull())
-    df = labels.withColumn("_pairs", pairs).withColumn("_missing", F.try_element_at(told, F.lit("missing")) == "false")
-    keys = F.transform("_pairs", lambda e: e["key"])
+    df = settled(labels.withColumns({"_pairs": pairs, "_missing": F.try_element_at(told, F.lit("missing")) == "false"}))
+    keys = f("_pairs.key")
     df = df.withColumn("_twice", F.size(keys) != F.size(F.array_distinct(keys)))
     df = settled(df.withColumn("_said", F.when(~f("_twice"), F.map_from_entries("_pairs"))).drop("_pairs"))
     said = lambda k: F.try_element_at("_said", F.lit(k))
@@ -108,26 +112,39 @@ def judged(labels: DataFrame, ranker_safe: Column | None = None) -> DataFrame:
     kind = f("label_kind")
     best_text = F.coalesce(said("best_for_role"), said("best_role"))
     listed = F.ltrim(best_text).startswith("{")
-    flags = F.map_entries(F.from_json(F.when(listed, best_text), "map<string,string>"))
-    best = F.when(listed, F.transform(F.filter(flags, lambda e: e["value"] == "true"), lambda e: e["key"])).when(best_text == "", F.lit(None)).otherwise(texts(best_text))
-    best = F.transform(best, lambda r: chosen(r))
-    df = df.withColumns(
-        {
-            "_decision": F.when(decision.isNotNull(), F.element_at(F.create_map(*map(F.lit, ["yes", "correct", "no", "wrong", "unclear", "ambiguous"])), F.lower(decision))),
-            "_decided": decision.isNotNull(),
-            "_best": F.when(best.isNotNull(), in_order(best)).when(kind == "candidate", F.array().cast("array<string>")),
-            "_best_off": F.coalesce(listed & F.exists(flags, lambda e: off(chosen(e["key"]), ROLES) | ~F.coalesce(e["value"].isin("true", "false"), F.lit(False))), F.lit(False)) | F.coalesce(F.exists(best, lambda r: off(r, ROLES)), F.lit(False)),
-            "_roles": in_order(F.filter(F.transform(texts(said("roles")), lambda r: chosen(r)), lambda r: r.isNotNull())),
-            "_defects": F.when(said("quality_defects").isin("", "none"), F.array().cast("array<string>")).otherwise(texts(said("quality_defects"))),
-            "_visual": chosen(said("visual_role")),
-            "_plain": F.struct(
-                *(chosen(F.coalesce(said(k), F.when((kind == "missing_role") & f("_missing"), "not_missing")) if k == "missing_cause" else said(k)).alias(k) for k in CHOICES if k not in ("identity", "visual_role")),
-                *(said(k).alias(k) for k in STRICT),
-                said("visual_instance_count").alias("visual_instance_count"), said("confidence").alias("confidence"), said("note").alias("note"), said("reject_reason").alias("reject_reason"), said("role").alias("role"), said("identity").alias("identity"),
-            ),
-        }
+    # each text is read once, and what was read is a column before a lambda or several rules use it
+    df = settled(
+        df.withColumns(
+            {
+                "_decision": F.when(decision.isNotNull(), F.element_at(F.create_map(*map(F.lit, ["yes", "correct", "no", "wrong", "unclear", "ambiguous"])), F.lower(decision))),
+                "_decided": decision.isNotNull(),
+                "_listed": listed,
+                "_flags": F.map_entries(F.from_json(F.when(listed, best_text), "map<string,string>")),
+                "_best": texts(F.when(~listed & (best_text != ""), best_text)),
+                "_roles": texts(said("roles")),
+                "_defects": F.when(said("quality_defects").isin("", "none"), F.array().cast("array<string>")).otherwise(texts(said("quality_defects"))),
+                "_visual": chosen(said("visual_role")),
+                "_plain": F.struct(
+                    *(chosen(F.coalesce(said(k), F.when((kind == "missing_role") & f("_missing"), "not_missing")) if k == "missing_cause" else said(k)).alias(k) for k in CHOICES if k not in ("identity", "visual_role")),
+                    *(said(k).alias(k) for k in STRICT),
+                    said("visual_instance_count").alias("visual_instance_count"), said("confidence").alias("confidence"), said("note").alias("note"), said("reject_reason").alias("reject_reason"), said("role").alias("role"), said("identity").alias("identity"),
+                ),
+            }
+        )
     )
-    df = settled(df).withColumns({"_roles": F.coalesce("_roles", f("_best")), "_identity": F.coalesce("_decision", chosen(f("_plain.identity")))})
+    flagged = F.transform(F.filter("_flags", lambda e: e["value"] == "true"), lambda e: e["key"])
+    df = settled(df.withColumns({"_best": F.transform(F.when(f("_listed"), flagged).otherwise(f("_best")), chosen), "_roles": F.transform("_roles", chosen)}))
+    odd_flags = f("_listed") & F.exists("_flags", lambda e: off(chosen(e["key"]), ROLES) | ~F.coalesce(e["value"].isin("true", "false"), F.lit(False)))
+    df = settled(
+        df.withColumns(
+            {
+                "_best": F.when(f("_best").isNotNull(), in_order(f("_best"))).when(kind == "candidate", F.array().cast("array<string>")),
+                "_best_off": F.coalesce(odd_flags, F.lit(False)) | F.coalesce(F.exists("_best", lambda r: off(r, ROLES)), F.lit(False)),
+                "_roles": in_order(f("_roles")),
+            }
+        )
+    )
+    df = df.withColumns({"_roles": F.coalesce("_roles", f("_best")), "_identity": F.coalesce("_decision", chosen(f("_plain.identity")))})
     safe = F.coalesce(ranker_safe, F.lit(False)) & (kind == "candidate") if ranker_safe is not None else F.lit(False)
     wrong = safe & F.coalesce(f("_identity") == "wrong", F.lit(False))
     light, dark = (F.when(wrong, "unusable").otherwise(f(f"_plain.usability_{s}")) for s in ("light", "dark"))

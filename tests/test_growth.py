@@ -97,3 +97,8 @@ def test_texts_go_to_python_only_where_they_are_not_ascii(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     evaluated = next(line for line in plan.splitlines() if "EvalPython" in line)
     assert "Pandas" not in evaluated and "RLIKE" in plan and "x00" in plan
+
+
+def test_texts_of_labels_are_read_once_each_and_not_inside_lambdas(spark):
+    plan = plan_of(reviews.quarantined_labels(spark, SF))
+    assert 0 < plan.count("from_json") <= 4  # flags, best roles, roles, defects
