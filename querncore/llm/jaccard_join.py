@@ -6,14 +6,11 @@ of prefix shingles:
 1. Equal sets become one. A set's order puts shingles that many sets share last and follows hashes otherwise; any two
    linked sets share a shingle within the first n - ceil(t n) + 1 of either.
 2. Index lists hold, for each prefix shingle, its sets with the shingle's position in them. Neighbours in a list are compared
-   first, which links highly similar sets at a cost in proportion to the lists. Linked sets have a leader, and each keeps how much it gains and
-   loses against it.
-3. The lists then hold leaders alone, an entry for each, with the sizes, the positions and the distances from the leader that its sets span there.
-   Entries lie in blocks by size and position, and blocks (and smaller blocks inside them) that no position lets reach the similarity
-   are skipped; single entries go by size, position and parity bitmap. Leaders that are left are compared: these are a leader's answers, with
-   their intersections.
-4. A set's answers are derived from its leader's: its intersection with another leader's set is the leaders' own, give or take what both sets
-   gain and lose. Mostly that decides; the sets of the few pairs that it leaves open are read.
+   first, which links highly similar sets at a cost in proportion to the lists.
+3. The sets of a list that are not in one component by then are held against each other. They lie in blocks by size and position, and blocks (and
+   smaller blocks inside them) that no position lets reach the similarity are skipped; single sets go by size, position and parity bitmap, each by its
+   own, so that of sets that are near but not linked few pairs are left. A first round compares a set with the nearest of a block alone, and what it links
+   has no pairs any more; the last round compares all that is left.
 
 A list with a large share of all sets is dealt over several tasks. No list, component or group of copies has to fit in one task, and no pair
 within a component is ever emitted.
@@ -340,32 +337,37 @@ def components(links: DataFrame) -> DataFrame:
 
 
 #: Columns of a packed block and the types of what they hold.
-PACKED = {"id": np.int64, "comp": np.int64, "low": np.int32, "high": np.int32, "reach": np.int32, "far": np.int32, "bits": np.uint64}
+PACKED = {"id": np.int64, "comp": np.int64, "n": np.int32, "reach": np.int32, "bits": np.uint64}
 BLOCKS = "token long, least int, most int, best int, " + ", ".join(f"{c} binary" for c in PACKED)
 
 
 def _pack(batches):
     """From entries in order of token, size class, position: blocks of a list, packed, with the least and largest size and the best reach (what a set
-    can still have in common from the position on) that they span."""
+    can still have in common from the position on) that they span. Lists of one block within one component are left out."""
+
     def rows(token, cols, done):
         """Whole blocks of one list, and what is left of it unless it is done."""
+        nonlocal begun
+        salts, *cols = cols
         n = len(cols[0])
         to = n if done else n - n % BLOCK
         out = []
-        for at in range(0, to, BLOCK):
-            part = [c[at : at + BLOCK] for c in cols]
-            out.append((token, int(part[2].min()), int(part[3].max()), int(part[4].max()), *(c.tobytes() for c in part)))
-        return out, [c[to:] for c in cols]
-
-    token, left = None, None
+        if n and not (done and n <= BLOCK and begun != token and salts[0] == 1 and (cols[1] == cols[1][0]).all()):
+            for at in range(0, to, BLOCK):
+                part = [c[at : at + BLOCK] for c in cols]
+                out.append((token, int(part[2].min()), int(part[2].max()), int(part[3].max()), *(c.tobytes() for c in part)))
+        begun = token if out else begun
+        return out, [c[to:] for c in (salts, *cols)]
+
+    token, left, begun = None, None, None
     kinds = (pa.int64(), *(pa.int32(),) * 3, *(pa.binary(),) * len(PACKED))
     names = "token least most best " + " ".join(PACKED)
     for b in batches:
         if not b.num_rows:
             continue
         t = b.column(0).to_numpy()
-        cols = [b.column(k + 1).to_numpy().astype(kind) for k, kind in enumerate(list(PACKED.values())[:-1])]
-        cols.append(np.frombuffer(b"".join(b.column(len(PACKED)).to_pylist()), np.uint64).reshape(len(t), -1))
+        cols = [b.column(k + 1).to_numpy().astype(kind) for k, kind in enumerate([np.int32, *PACKED.values()][:-1])]
+        cols.append(np.frombuffer(b"".join(b.column(len(PACKED) + 1).to_pylist()), np.uint64).reshape(len(t), -1))
         edges = np.r_[0, np.flatnonzero(t[1:] != t[:-1]) + 1, len(t)]
         out = []
         for lo, hi in zip(edges[:-1], edges[1:]):
@@ -401,10 +403,10 @@ def _open_pairs(percent: int, best: bool):
         got = {c: np.frombuffer(row[p + c], kind) for c, kind in PACKED.items()}
         n = len(got["id"])
         got["bits"] = got["bits"].reshape(n, -1)
-        for c in ("low", "high", "reach", "far"):
+        for c in ("n", "reach"):
             got[c] = got[c].astype(np.int64)
         at = np.arange(0, n, INSIDE)
-        got["at"], got["least"], got["most"], got["best"] = np.r_[at, n], np.minimum.reduceat(got["low"], at), np.maximum.reduceat(got["high"], at), np.maximum.reduceat(got["reach"], at)
+        got["at"], got["least"], got["most"], got["best"] = np.r_[at, n], np.minimum.reduceat(got["n"], at), np.maximum.reduceat(got["n"], at), np.maximum.reduceat(got["reach"], at)
         return got
 
     def fits(x_low, x_high, x_reach, y_low, y_high, y_reach):
@@ -414,15 +416,15 @@ def _open_pairs(percent: int, best: bool):
     def found(x, k, y, m):
         """Of entries k of x and m of y, those that sizes, positions and components leave: the ones whose bitmaps are near enough, and how far they are."""
         differ = np.bitwise_count(x["bits"][k] ^ y["bits"][m]).sum(axis=1, dtype=np.int64)
-        size = x["high"][k] + y["high"][m]
-        near = differ <= size - 2 * needed(size, 0, percent) + 1 + x["far"][k] + y["far"][m]
+        size = x["n"][k] + y["n"][m]
+        near = differ <= size - 2 * needed(size, 0, percent)
         return x["id"][k[near]], y["id"][m[near]], differ[near]
 
     def short(cols, n):
         """Pairs within many short lists at once."""
         x = {c: np.frombuffer(b"".join(v), kind) for (c, kind), v in zip(PACKED.items(), cols)}
         x["bits"] = x["bits"].reshape(len(x["id"]), -1)
-        for c in ("low", "high", "reach", "far"):
+        for c in ("n", "reach"):
             x[c] = x[c].astype(np.int64)
         after = np.repeat(np.cumsum(n), n) - np.arange(int(n.sum())) - 1  # entries behind an entry in its list
         ends = np.cumsum(after)
@@ -432,7 +434,7 @@ def _open_pairs(percent: int, best: bool):
             some = after[at:to]
             k = np.repeat(np.arange(at, to), some)
             m = k + 1 + np.arange(len(k)) - np.repeat(np.cumsum(some) - some, some)
-            ok = (x["comp"][k] != x["comp"][m]) & fits(*(x[c][k] for c in ("low", "high", "reach")), *(x[c][m] for c in ("low", "high", "reach")))
+            ok = (x["comp"][k] != x["comp"][m]) & fits(*(x[c][k] for c in ("n", "n", "reach")), *(x[c][m] for c in ("n", "n", "reach")))
             yield found(x, k[ok], x, m[ok])
             at = to
 
@@ -443,7 +445,7 @@ def _open_pairs(percent: int, best: bool):
             inside = np.triu(inside)
         for i, j in zip(*np.nonzero(inside)):
             u, v = slice(x["at"][i], x["at"][i + 1]), slice(y["at"][j], y["at"][j + 1])
-            ok = fits(*(x[c][u][:, None] for c in ("low", "high", "reach")), *(y[c][v][None, :] for c in ("low", "high", "reach")))
+            ok = fits(*(x[c][u][:, None] for c in ("n", "n", "reach")), *(y[c][v][None, :] for c in ("n", "n", "reach")))
             ok &= x["comp"][u][:, None] != y["comp"][v][None, :]
             if same and i == j:
                 ok = np.triu(ok, 1)
@@ -476,13 +478,13 @@ def _open_pairs(percent: int, best: bool):
 
 
 def _met(entries: DataFrame, percent: int, best: bool) -> DataFrame:
-    """entries: deal, token, salts, id, comp, low, high, reach, far, bits -> pairs (a, b) of ids of different components that share a list and may
+    """entries: deal, token, salts, id, comp, n, reach, bits -> pairs (a, b) of ids of different components that share a list and may
     hold linked sets (best: the nearest of them alone). Written."""
     spark = entries.sparkSession
     parts = partitions(spark)
-    size = F.floor(F.log("low") / F.lit(float(np.log(100 / percent) if percent < 100 else 1.0)))
-    some = entries.withColumn("size", size).repartition(parts, "deal").sortWithinPartitions("token", "size", F.col("reach") / F.col("low"), "id")
-    blocks = some.select("token", *PACKED).mapInArrow(_pack, BLOCKS)
+    size = F.floor(F.log("n") / F.lit(float(np.log(100 / percent) if percent < 100 else 1.0)))
+    some = entries.withColumn("size", size).repartition(parts, "deal").sortWithinPartitions("token", "size", F.col("reach") / F.col("n"), "id")
+    blocks = some.select("token", "salts", *PACKED).mapInArrow(_pack, BLOCKS)
     blocks = written(blocks.withColumn("block", F.monotonically_increasing_id()), "blocks")
     side = lambda p: [F.col(c).alias(p + c) for c in PACKED]
     own = blocks.filter(F.length("id") > 8).select(*side("x_"), *(F.lit(None).cast("binary").alias("y_" + c) for c in PACKED), F.lit(True).alias("same"))
@@ -554,29 +556,14 @@ def _classes(docs: DataFrame, percent: int, width: int, text: str, doc_id: str,
     near = written(near.mapInArrow(_alike, "a long, b long"), "near")
     first = compared(near, known_texts, width)
     removed(near)
-    label = components(first.filter(_linked(percent)).select("a", "b"))
-
-    # every set against its leader: what it gains and what it loses
-    members = label.filter("node != root").select(*pair("node", "root"), "node", "root")
-    known = members.join(first, ["a", "b"])
-    late = compared(members.join(first, ["a", "b"], "left_anti").select("a", "b"), known_texts, width)
-    against = known.unionByName(members.join(late, ["a", "b"]))
-    own_n = lambda x: F.when(F.col(x) == F.col("a"), F.col("na")).otherwise(F.col("nb"))
-    against = against.select(F.col("node").alias("sid"), F.col("root").alias("comp"), (own_n("node") - F.col("common")).alias("gain"), (own_n("root") - F.col("common")).alias("loss"))
-    against = written(against, "against")
-    removed(late)
-
-    # 3. leaders' answers
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    marked = _by_set(lists.select("token", "sid", "n", "pos", "salts"), against, "left").select("token", "sid", "n", "salts", (F.col("n") - F.col("pos")).alias("reach"), F.coalesce("comp", "sid").alias("comp"), (zero("gain") + zero("loss")).cast("int").alias("far"))
-    marked = written(marked, "marked")
+    every = components(first.filter(_linked(percent)).select("a", "b"))
+
+    # 3. sets of different components
+    postings = _by_set(lists.select("token", "sid", "n", "salts", (F.col("n") - F.col("pos")).alias("reach")), distinct.select("sid", "bits"))
+    entries = written(postings.select(deal("sid"), "token", "salts", F.col("sid").alias("id"), "n", "reach", "bits"), "entries")
     removed(lists)
-    spread = marked.withColumn("deal", deal("comp")).repartition(parts, "deal").groupBy("deal", "token", "comp").agg(F.first("salts").alias("salts"), F.min("n").alias("low"), F.max("n").alias("high"), F.max("reach").alias("reach"), F.max("far").alias("far"))
-    spread = spread.withColumn("many", F.count("*").over(Window.partitionBy("deal", "token"))).filter("many > 1 or salts > 1").drop("many")
-    entries = _by_set(spread.withColumnRenamed("comp", "sid"), distinct.select("sid", "bits")).withColumnRenamed("sid", "id")
-    entries = written(entries, "entries")
-    answers, every = first, label
     stars = lambda: every.filter("node != root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+    answers = first
     for best in (True, False):  # nearest partners first: what they link has no pairs any more
         met = _met(_rooted(entries, every), percent, best)
         fresh = compared(met.join(answers, ["a", "b"], "left_anti"), known_texts, width)
@@ -586,27 +573,6 @@ def _classes(docs: DataFrame, percent: int, width: int, text: str, doc_id: str,
             every = components(stars().unionByName(links))
         answers = answers.unionByName(fresh)
     removed(entries)
-    answers = written(answers.filter(~_linked(percent)), "answers")
-
-    # 4. answers derived from the leaders': open where gains could still lift an intersection
-    spans = against.groupBy("comp").agg(F.max("gain").alias("gain")).withColumnRenamed("comp", "sid").join(_sizes_of(against, distinct), "sid")
-    one = lambda c: spans.select(F.col("sid").alias(c), F.col("gain").alias(c + "_gain"), F.col("low").alias(c + "_low"))
-    could = F.col("common") + zero("a_gain") + zero("b_gain") >= _need(percent, F.coalesce("a_low", "na"), F.coalesce("b_low", "nb"))
-    left = answers.join(one("a"), "a", "left").join(one("b"), "b", "left").filter("a_gain is not null or b_gain is not null")
-    left = written(left.filter(could).select("a", "b", "common"), "left")
-    removed(answers)
-    root = lambda c: every.select(F.col("node").alias(c), F.col("root").alias(c + "_root"))
-    for best in (True, False):
-        apart = left.join(root("a"), "a", "left").join(root("b"), "b", "left").filter(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b", "common")
-        if apart.isEmpty():
-            break
-        if best:  # of each leader the nearest one alone: what joins them leaves few pairs of a large group to the exact round
-            nearest = lambda own, other: apart.groupBy(own).agg(F.max_by(F.struct(other, "common"), F.struct("common", other)).alias("o")).select(own, "o.*")
-            apart = nearest("a", "b").unionByName(nearest("b", "a").select("a", "b", "common")).distinct()
-        links = _derived(apart, marked, every, against, distinct, known_texts, percent, width, deal, best)
-        if not links.isEmpty():
-            every = components(stars().unionByName(links))
-    removed(left, marked, against)
 
     of = distinct.select("sid", "least").join(every.withColumnRenamed("node", "sid"), "sid")
     least = of.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -615,37 +581,10 @@ def _classes(docs: DataFrame, percent: int, width: int, text: str, doc_id: str,
     return sets, classes
 
 
-def _sizes_of(against: DataFrame, distinct: DataFrame) -> DataFrame:
-    """(sid, low) of leaders: the least size of a leader's sets, its own among them."""
-    sizes = distinct.select("sid", "n")
-    held = against.select("sid", "comp").join(sizes, "sid").groupBy("comp").agg(F.min("n").alias("m")).withColumnRenamed("comp", "sid")
-    return held.join(sizes, "sid").select("sid", F.least("m", "n").alias("low"))
-
-
 def _rooted(entries: DataFrame, every: DataFrame) -> DataFrame:
     """Entries of lists with the component that their sets are in by now."""
     roots = every.filter("node != root").withColumnRenamed("node", "sid")
-    return _by_set(entries.drop("comp").withColumnRenamed("id", "sid"), roots, "left").withColumn("comp", F.coalesce("root", "sid")).drop("root").withColumnRenamed("sid", "id")
-
-
-def _derived(left: DataFrame, marked: DataFrame, every: DataFrame, against: DataFrame, distinct: DataFrame, texts: tuple[DataFrame, DataFrame], percent: int, width: int, deal, best: bool) -> DataFrame:
-    """Links (a, b) between sets whose leaders are the pairs of left, which has the leaders' intersections. Pairs of sets that meet in a list are
-    decided by the leaders' intersection and their own gains and losses; only where these leave it open are the sets read."""
-    busy = left.select(F.explode(F.array("a", "b")).alias("comp")).distinct()
-    some = marked.join(busy, "comp", "left_semi")
-    entries = _by_set(some, distinct.select("sid", "bits")).withColumn("deal", deal("sid"))
-    entries = entries.select("deal", "token", "salts", F.col("sid").alias("id"), F.col("n").alias("low"), F.col("n").alias("high"), "reach", F.lit(0).alias("far"), "bits")
-    met = _met(_rooted(entries, every), percent, best)
-    who = distinct.select("sid", F.col("n").cast("long").alias("n")).join(against, "sid", "left").select("sid", "n", F.coalesce("comp", "sid").alias("comp"), F.coalesce("gain", F.lit(0)).alias("gain"), F.coalesce("loss", F.lit(0)).alias("loss"))
-    side = lambda c: who.select(F.col("sid").alias(c), F.col("n").alias("n" + c), *(F.col(x).alias(f"{c}_{x}") for x in ("comp", "gain", "loss")))
-    pairs = met.join(side("a"), "a").join(side("b"), "b")
-    leaders = left.select(F.col("a").alias("x"), F.col("b").alias("y"), "common")
-    pairs = pairs.withColumn("x", F.least("a_comp", "b_comp")).withColumn("y", F.greatest("a_comp", "b_comp")).join(leaders, ["x", "y"])
-    need = _need(percent, F.col("na"), F.col("nb"))
-    pairs = written(pairs.filter(F.col("common") + F.col("a_gain") + F.col("b_gain") >= need).select("a", "b", (F.col("common") - F.col("a_loss") - F.col("b_loss") >= need).alias("sure")), "pairs")
-    removed(met)
-    read = compared(pairs.filter("not sure").select("a", "b"), texts, width)
-    return pairs.filter("sure").select("a", "b").unionByName(read.filter(_linked(percent)).select("a", "b"))
+    return _by_set(entries.withColumnRenamed("id", "sid"), roots, "left").withColumn("comp", F.coalesce("root", "sid")).drop("root").withColumnRenamed("sid", "id")
 
 
 def keep_one(docs: DataFrame, percent: int = 90, width: int = 3, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

@@ -234,6 +234,29 @@ def test_answers_derived_from_leaders(spark, percent, width):
     assert joined(spark, rows, percent=percent, width=width) == brute_components(rows, percent, width)
 
 
+def test_pairs_of_a_large_group_grow_with_its_sets(spark, monkeypatch):
+    """Copies of one text, each with a few words of its own, some with so many that they are linked with no other: few pairs are compared."""
+    asked, compared = [], jaccard_join.compared
+
+    def counted(pairs, *rest):
+        out = compared(pairs, *rest)
+        asked.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "compared", counted)
+    for copies in (60, 180):
+        rng, rows = random.Random(3), []
+        for k in range(copies):
+            w = [f"w{j}" for j in range(300)]
+            for j in rng.sample(range(300), rng.choice([2, 3, 4, 5, 12, 13])):
+                w[j] = f"own{k}-{j}"
+            rows.append((k, " ".join(w)))
+        asked.clear()
+        got = joined(spark, rows)
+        assert got == brute_components(rows) and len({r[2] for r in got}) > copies // 10
+        assert sum(asked) <= 10 * copies, asked
+
+
 def test_components_of_nothing(empty, spark):
     assert jaccard_join.jaccard_components(empty).count() == 0
 
