@@ -191,167 +191,187 @@ class Net:
     """The model with some weights. What depends on a class or a place alone is multiplied out beforehand."""
 
     def __init__(self, p: dict[str, np.ndarray]):
-        self.p = p
-        self.of_class = p["emb"] @ np.concatenate([p["qkv"], p["skip"]], axis=1)
+        self.p, dtype = p, p["g"].dtype
+        self.w = np.concatenate([p["qkv"], p["skip"]], axis=1)
+        self.w[:, :DIM] *= DIM**-0.5
+        self.of_class = p["emb"] @ self.w
         self.of_class[:, 3 * DIM :] += p["b"]
-        self.of_place = p["pos"] @ p["qkv"]
-        for t in (self.of_class, self.of_place):
-            t[:, :DIM] *= DIM**-0.5
+        self.of_place = np.zeros((PLACES, self.w.shape[1]), dtype)
+        np.matmul(p["pos"], self.w[:, : 3 * DIM], out=self.of_place[:, : 3 * DIM])
         # exponents stay in range by themselves unless weights are very large
-        top = np.abs(self.of_class[:, : 3 * DIM]).max(axis=0) + np.abs(self.of_place).max(axis=0)
-        self.clip = float(top[:DIM] @ top[DIM : 2 * DIM]) > 60
-        self.shift = max(float(np.abs(p["g"]).sum(axis=0).max()), float(np.abs(p["c"]).sum(axis=1).max())) > 60
-        self.mask = np.tril(np.ones((PLACES, PLACES), p["g"].dtype))
-        self.ones = np.ones(max(GROUPS, MEMBERS), p["g"].dtype)
-
-    def attention(self, x: np.ndarray):
-        """What stands at each place (queries, keys, values, and the place's own share of the hidden units), masked weights, their sums."""
+        q, k = (max_norm(self.of_class[:, i : i + DIM]) + max_norm(self.of_place[:, i : i + DIM]) for i in (0, DIM))
+        self.clip = q * k > 60
+        self.shift = (HIDDEN * max(float(np.einsum("hj,hj->j", p["g"], p["g"]).max()), float(np.einsum("jhm,jhm->jm", p["c"], p["c"]).max()))) ** 0.5 > 60
+        self.mask = np.tril(np.ones((PLACES, PLACES), dtype))
+        self.ones = np.ones(max(PLACES, GROUPS, MEMBERS), dtype)
+
+    def attention(self, x: np.ndarray, skip: int = 0):
+        """What stands at each place (queries, keys, values, and the place's own share of the hidden units), masked weights, their sums; the last two
+        for the places from skip on."""
         places = x.shape[1]
-        z = self.of_class[np.where(x == PAD, CLASSES, x)]
-        z[:, :, : 3 * DIM] += self.of_place[:places]
-        a = z[:, :, :DIM] @ z[:, :, DIM : 2 * DIM].transpose(0, 2, 1)
+        z = self.of_class.take(np.where(x == PAD, CLASSES, x), axis=0)
+        by_window = z.reshape(len(x), -1)
+        by_window += self.of_place[:places].ravel()
+        a = z[:, skip:, :DIM] @ z[:, :, DIM : 2 * DIM].transpose(0, 2, 1)
         if self.clip:
             np.clip(a, -60, 60, out=a)
         np.exp(a, out=a)
-        a *= self.mask[:places, :places]
-        return z, a, a.sum(axis=2, keepdims=True)
+        a *= self.mask[skip:places, :places]
+        return z, a, (a.reshape(-1, places) @ self.ones[:places]).reshape(len(x), -1, 1)
 
     def hidden(self, z: np.ndarray, m: np.ndarray, rows: np.ndarray) -> np.ndarray:
         h = m.reshape(-1, DIM) @ self.p["o"]
-        h += z.reshape(-1, z.shape[2])[:, 3 * DIM :]
-        h = h[rows]
-        np.tanh(h, out=h)
+        by_window = h.reshape(*m.shape[:2], HIDDEN)
+        by_window += z[:, z.shape[1] - m.shape[1] :, 3 * DIM :]
+        h = h.take(rows, axis=0)
+        # tanh, at half of what np.tanh takes
+        h *= -2
+        with np.errstate(over="ignore"):
+            np.exp(h, out=h)
+        h += 1
+        np.divide(2, h, out=h)
+        h -= 1
         h[:, 0] = 1
         return h
 
-    def _soft(self, h: np.ndarray, w: np.ndarray, t: np.ndarray):
-        """Log probability of column t of each row, exponents, their sums."""
-        logit = h @ w
+    def _soft(self, logit: np.ndarray, t: np.ndarray):
+        """Log probability of column t of each row, and sums of the exponents, which take the place of the logits."""
         if self.shift:
             logit -= logit.max(axis=1, keepdims=True)
-        found = logit[np.arange(len(t)), t]
+        found = logit.ravel().take(t)
         np.exp(logit, out=logit)
         total = logit @ self.ones[: logit.shape[1]]
-        return found - np.log(total), logit, total
+        found -= np.log(total)
+        return found, total
 
     def outputs(self, h: np.ndarray, t: np.ndarray, back: bool = False):
         """Log probabilities of targets in order of group; with back, also the gradients of minus their mean by g, c and h."""
         p, n = self.p, len(t)
-        group, member = t // MEMBERS, t % MEMBERS
-        found, logit, total = self._soft(h, p["g"], group)
-        bounds = np.searchsorted(group, np.arange(GROUPS + 1))
-        if back:
-
-            def slope(logit, total, t):
-                logit /= total[:, None]
-                logit[np.arange(len(t)), t] -= 1
-                logit *= logit.dtype.type(1 / n)
-                return logit
-
-            logit = slope(logit, total, group)
-            d = {"g": h.T @ logit, "c": np.zeros_like(p["c"])}
-            dh = logit @ p["g"].T
-        for j in range(GROUPS):
-            lo, hi = bounds[j], bounds[j + 1]
-            if lo == hi:
-                continue
-            more, logit, total = self._soft(h[lo:hi], p["c"][j], member[lo:hi])
-            found[lo:hi] += more
-            if back:
-                logit = slope(logit, total, member[lo:hi])
-                d["c"][j] = h[lo:hi].T @ logit
-                dh[lo:hi] += logit @ p["c"][j].T
-        return (found, d, dh) if back else found
+        group, first = t // MEMBERS, np.arange(n)
+        in_group, in_member = first * GROUPS + group, first * MEMBERS + t % MEMBERS
+        bounds = np.searchsorted(group, np.arange(GROUPS + 1)).tolist()
+        parts = [(j, slice(lo, hi)) for j, (lo, hi) in enumerate(zip(bounds, bounds[1:])) if lo < hi]
+        of_group, of_member = h @ p["g"], np.empty((n, MEMBERS), h.dtype)
+        for j, part in parts:
+            np.matmul(h[part], p["c"][j], out=of_member[part])
+        found, group_total = self._soft(of_group, in_group)
+        more, member_total = self._soft(of_member, in_member)
+        found += more
+        if not back:
+            return found
+        for logit, total, at in ((of_group, group_total, in_group), (of_member, member_total, in_member)):
+            total *= n
+            logit *= np.reciprocal(total, out=total)[:, None]
+            logit.ravel()[at] -= logit.dtype.type(1 / n)
+        d = {"g": h.T @ of_group, "c": np.zeros_like(p["c"])}
+        dh = np.empty_like(h)
+        for j, part in parts:
+            np.matmul(h[part].T, of_member[part], out=d["c"][j])
+            np.matmul(of_member[part], p["c"][j].T, out=dh[part])
+        dh += of_group @ p["g"].T
+        return found, d, dh
 
     def log_probs(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Natural log probabilities of the target classes, 0 at PAD."""
         out = np.zeros(y.shape)
-        for at in range(0, len(x), STEP):
-            part = y[at : at + STEP]
-            z, a, total = self.attention(x[at : at + STEP])
-            m = a @ z[:, :, 2 * DIM : 3 * DIM]
-            m /= total
-            rows, t = in_order(part)
-            some = np.zeros(part.size)
-            some[rows] = self.outputs(self.hidden(z, m, rows), t)
-            out[at : at + STEP] = some.reshape(part.shape)
+        # windows whose first places only give context need no answers there
+        later = (y[:, :CONTEXT] == PAD).all(axis=1) & (y.shape[1] > CONTEXT)
+        for skip, which in ((0, np.flatnonzero(~later)), (CONTEXT, np.flatnonzero(later))):
+            for at in range(0, len(which), STEP):
+                some = which[at : at + STEP]
+                part = y[some, skip:]
+                z, a, total = self.attention(x[some], skip)
+                m = a @ z[:, :, 2 * DIM : 3 * DIM]
+                m /= total
+                rows, t = in_order(part)
+                found = np.zeros(part.size)
+                found[rows] = self.outputs(self.hidden(z, m, rows), t)
+                out[some, skip:] = found.reshape(part.shape)
         return out
 
 
+def max_norm(rows: np.ndarray) -> float:
+    return float(np.einsum("ij,ij->i", rows, rows).max()) ** 0.5
+
+
 def gradients(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
     """Mean negative log probability of the targets and its gradients."""
     net = Net(p)
     z, a, total = net.attention(x)
-    a /= total
     q, k, v = z[:, :, :DIM], z[:, :, DIM : 2 * DIM], z[:, :, 2 * DIM : 3 * DIM]
     m = a @ v
+    m /= total
     rows, t = in_order(y)
     h = net.hidden(z, m, rows)
     found, d, dh = net.outputs(h, t, back=True)
     h *= h
     np.subtract(1, h, out=h)
     dh *= h
-    flat = z.reshape(-1, z.shape[2])
-    pre = np.zeros((len(flat), HIDDEN), h.dtype)
+    pre = np.zeros((x.size, HIDDEN), h.dtype)
     pre[rows] = dh
     d["o"] = m.reshape(-1, DIM).T @ pre
+    d["b"] = np.ones(len(pre), pre.dtype) @ pre
     dm = (pre @ p["o"].T).reshape(m.shape)
-    dz = np.empty_like(flat)
-    dz[:, 3 * DIM :] = pre
-    at_place = dz.reshape(z.shape)
-    at_place[:, :, 2 * DIM : 3 * DIM] = a.transpose(0, 2, 1) @ dm
+    # weights stay undivided by their sums; the slopes of the means are divided instead
+    dm /= total
     da = dm @ v.transpose(0, 2, 1)
-    da -= np.einsum("blm,blm->bl", da, a)[:, :, None]
+    da -= np.einsum("bld,bld->bl", dm, m)[:, :, None]
     da *= a
-    at_place[:, :, :DIM] = da @ k
-    at_place[:, :, DIM : 2 * DIM] = da.transpose(0, 2, 1) @ q
-    # places of one class together
-    own = np.where(x == PAD, CLASSES, x).ravel()
-    order = np.argsort(own, kind="stable")
-    own = own[order]
-    first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-    by_class = np.zeros((CLASSES + 1, z.shape[2]), h.dtype)
-    by_class[own[first]] = np.add.reduceat(dz[order], first, axis=0)
-    by_place = at_place[:, :, : 3 * DIM].sum(axis=0)
-    d["b"] = by_class[:, 3 * DIM :].sum(axis=0)
-    by_class[:, :DIM] *= DIM**-0.5
-    by_place[:, :DIM] *= DIM**-0.5
-    d["emb"] = by_class @ np.concatenate([p["qkv"], p["skip"]], axis=1).T
-    w = p["emb"].T @ by_class
-    pos = p["pos"][: x.shape[1]]
-    d["qkv"], d["skip"] = w[:, : 3 * DIM] + pos.T @ by_place, w[:, 3 * DIM :]
+    dz = np.empty_like(z)
+    dz[:, :, :DIM] = da @ k
+    dz[:, :, DIM : 2 * DIM] = da.transpose(0, 2, 1) @ q
+    dz[:, :, 2 * DIM : 3 * DIM] = a.transpose(0, 2, 1) @ dm
+    dz[:, :, 3 * DIM :] = pre.reshape(*x.shape, HIDDEN)
+    rest = dz.reshape(-1, dz.shape[2])
+    own = np.where(x == PAD, CLASSES, x).ravel().astype(np.int64)
+    # places of one class together, once a place has few columns
+    spot = (own * DIM)[:, None] + np.arange(DIM)
+    d["emb"] = np.bincount(spot.ravel(), (rest @ net.w.T).ravel(), minlength=(CLASSES + 1) * DIM).reshape(-1, DIM).astype(h.dtype)
+    w = p["emb"].take(own, axis=0).T @ rest
+    by_place = (np.ones(len(x), h.dtype) @ dz.reshape(len(x), -1)).reshape(x.shape[1], -1)
+    w[:, : 3 * DIM] += p["pos"][: x.shape[1]].T @ by_place[:, : 3 * DIM]
+    w[:, :DIM] *= DIM**-0.5
+    d["qkv"], d["skip"] = w[:, : 3 * DIM], w[:, 3 * DIM :]
     d["pos"] = np.zeros_like(p["pos"])
-    d["pos"][: x.shape[1]] = by_place @ p["qkv"].T
+    d["pos"][: x.shape[1]] = by_place[:, : 3 * DIM] @ net.w[:, : 3 * DIM].T
     return float(-found.mean()), d
 
 
 def trained(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, rate: float, seed) -> dict[str, np.ndarray]:
     """The weights after a step of Adam on every STEP windows, in an order that the seed tells."""
-    p = {k: v.copy() for k, v in p.items()}
-    m, s = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
+    # all weights one behind the other, and views of them
+    all_p = flat(p)
+    p = views(all_p, p)
+    m, s, room = (np.zeros_like(all_p) for _ in range(3))
     order = np.random.default_rng(seed).permutation(len(x))
     for n, at in enumerate(range(0, len(order), STEP), 1):
         some = order[at : at + STEP]
-        _, d = gradients(p, x[some], y[some])
+        g = flat(gradients(p, x[some], y[some])[1])
         # the rate grows with a step's windows, so that a last, small step does not weigh like a full one
         fix = np.float32(rate * len(some) / STEP * (1 - 0.99**n) ** 0.5 / (1 - 0.9**n))
-        for k, g in d.items():
-            m[k] += np.float32(0.1) * (g - m[k])
-            s[k] += np.float32(0.01) * (g * g - s[k])
-            p[k] -= fix * m[k] / (np.sqrt(s[k]) + np.float32(1e-8))
+        m += np.multiply(np.subtract(g, m, out=room), np.float32(0.1), out=room)
+        g *= g
+        s += np.multiply(np.subtract(g, s, out=g), np.float32(0.01), out=g)
+        np.sqrt(s, out=g)
+        g += np.float32(1e-8)
+        all_p -= np.divide(np.multiply(m, fix, out=room), g, out=room)
     return p
 
 
+def views(v: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    out, at = {}, 0
+    for k in sorted(like):
+        out[k] = v[at : at + like[k].size].reshape(like[k].shape)
+        at += like[k].size
+    return out
+
+
 def flat(p: dict[str, np.ndarray]) -> np.ndarray:
     return np.concatenate([p[k].ravel() for k in sorted(p)])
 
 
 def unflat(v: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    out, at = {}, 0
-    for k in sorted(like):
-        out[k] = v[at : at + like[k].size].reshape(like[k].shape).astype(np.float32)
-        at += like[k].size
-    return out
+    return {k: x.astype(np.float32) for k, x in views(v, like).items()}
 
 
 def learnt(given: DataFrame, ids: int, cls: np.ndarray, mass: np.ndarray, dtype: str, seed: int) -> dict[str, np.ndarray]:
