@@ -82,6 +82,18 @@ def subwords(path: str) -> Subwords:
     return Subwords(path)
 
 
+class Numbers(dict):
+    """Numbers from 1 on, a new one for each word that is asked for the first time; fresh: those words, in order."""
+
+    def __init__(self):
+        self.fresh: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self.fresh.append(word)
+        n = self[word] = len(self) + 1
+        return n
+
+
 class Words:
     """Words met so far by number, 0 being the text's end: hash, and ids one behind the other. Started anew beyond MEMO words."""
 
@@ -90,7 +102,7 @@ class Words:
         self.clear()
 
     def clear(self) -> None:
-        self.at: dict[bytes, int] = {}
+        self.at = Numbers()
         self.n, self.used = 1, 1
         self.hash, self.start, self.size = (np.zeros(1 << 12, np.int64) for _ in range(3))
         self.ids = np.zeros(1 << 13, np.int32)
@@ -101,7 +113,8 @@ class Words:
 
     def add(self, words: list[bytes]) -> np.ndarray:
         """Numbers of words; those not met before are entered."""
-        fresh = list(set(words).difference(self.at))
+        numbers = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
+        fresh, self.at.fresh = self.at.fresh, []
         for i in range(0, len(fresh), 1 << 14):
             part = fresh[i : i + (1 << 14)]
             found = self.sub.ids(part)
@@ -111,13 +124,12 @@ class Words:
                 self.hash, self.start, self.size = (np.resize(x, max(hi, 2 * len(x))) for x in (self.hash, self.start, self.size))
             if self.used + size.sum() > len(self.ids):
                 self.ids = np.resize(self.ids, max(self.used + int(size.sum()), 2 * len(self.ids)))
-            self.at.update(zip(part, range(lo, hi)))
             self.hash[lo:hi] = [word_hash(w) for w in part]
             self.size[lo:hi] = size
             self.start[lo:hi] = self.used + np.cumsum(size) - size
             self.ids[self.used : self.used + int(size.sum())] = [i for x in found for i in x]
             self.n, self.used = hi, self.used + int(size.sum())
-        return np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
+        return numbers
 
     def sequences(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of words one behind the other, and how many each has."""
@@ -199,11 +211,10 @@ class Net:
         self.of_place = np.zeros((PLACES, self.w.shape[1]), dtype)
         np.matmul(p["pos"], self.w[:, : 3 * DIM], out=self.of_place[:, : 3 * DIM])
         # exponents stay in range by themselves unless weights are very large
-        q, k = (max_norm(self.of_class[:, i : i + DIM]) + max_norm(self.of_place[:, i : i + DIM]) for i in (0, DIM))
+        q, k = max_norms(self.of_class) + max_norms(self.of_place)
         self.clip = q * k > 60
         self.shift = (HIDDEN * max(float(np.einsum("hj,hj->j", p["g"], p["g"]).max()), float(np.einsum("jhm,jhm->jm", p["c"], p["c"]).max()))) ** 0.5 > 60
-        self.mask = np.tril(np.ones((PLACES, PLACES), dtype))
-        self.ones = np.ones(max(PLACES, GROUPS, MEMBERS), dtype)
+        self.mask, self.ones = mask_of(dtype), np.ones(max(PLACES, GROUPS, MEMBERS), dtype)
 
     def attention(self, x: np.ndarray, skip: int = 0):
         """What stands at each place (queries, keys, values, and the place's own share of the hidden units), masked weights, their sums; the last two
@@ -266,7 +277,7 @@ class Net:
         d = {"g": h.T @ of_group, "c": np.zeros_like(p["c"])}
         dh = np.empty_like(h)
         for j, part in parts:
-            np.matmul(h[part].T, of_member[part], out=d["c"][j])
+            d["c"][j] = (of_member[part].T @ h[part]).T
             np.matmul(of_member[part], p["c"][j].T, out=dh[part])
         dh += of_group @ p["g"].T
         return found, d, dh
@@ -290,8 +301,17 @@ class Net:
         return out
 
 
-def max_norm(rows: np.ndarray) -> float:
-    return float(np.einsum("ij,ij->i", rows, rows).max()) ** 0.5
+@lru_cache(2)
+def mask_of(dtype: np.dtype) -> np.ndarray:
+    """1 for the places that a place may look at: itself and those before it."""
+    return np.tril(np.ones((PLACES, PLACES), dtype))
+
+
+def max_norms(z: np.ndarray) -> np.ndarray:
+    """Lengths of the longest query and of the longest key."""
+    both = np.zeros((z.shape[1], 2), z.dtype)
+    both[:DIM, 0] = both[DIM : 2 * DIM, 1] = 1
+    return np.sqrt((np.square(z) @ both).max(axis=0))
 
 
 def gradients(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
@@ -318,16 +338,16 @@ def gradients(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> tuple[f
     da -= np.einsum("bld,bld->bl", dm, m)[:, :, None]
     da *= a
     dz = np.empty_like(z)
-    dz[:, :, :DIM] = da @ k
-    dz[:, :, DIM : 2 * DIM] = da.transpose(0, 2, 1) @ q
-    dz[:, :, 2 * DIM : 3 * DIM] = a.transpose(0, 2, 1) @ dm
+    np.matmul(da, k, out=dz[:, :, :DIM])
+    np.matmul(da.transpose(0, 2, 1), q, out=dz[:, :, DIM : 2 * DIM])
+    np.matmul(a.transpose(0, 2, 1), dm, out=dz[:, :, 2 * DIM : 3 * DIM])
     dz[:, :, 3 * DIM :] = pre.reshape(*x.shape, HIDDEN)
     rest = dz.reshape(-1, dz.shape[2])
-    own = np.where(x == PAD, CLASSES, x).ravel().astype(np.int64)
+    own = np.where(x == PAD, CLASSES, x).ravel()
     # places of one class together, once a place has few columns
-    spot = (own * DIM)[:, None] + np.arange(DIM)
-    d["emb"] = np.bincount(spot.ravel(), (rest @ net.w.T).ravel(), minlength=(CLASSES + 1) * DIM).reshape(-1, DIM).astype(h.dtype)
-    w = p["emb"].take(own, axis=0).T @ rest
+    spots = np.arange((CLASSES + 1) * DIM).reshape(-1, DIM).take(own, axis=0)
+    d["emb"] = np.bincount(spots.ravel(), (rest @ net.w.T).ravel(), minlength=(CLASSES + 1) * DIM).reshape(-1, DIM).astype(h.dtype)
+    w = (rest.T @ p["emb"].take(own, axis=0)).T
     by_place = (np.ones(len(x), h.dtype) @ dz.reshape(len(x), -1)).reshape(x.shape[1], -1)
     w[:, : 3 * DIM] += p["pos"][: x.shape[1]].T @ by_place[:, : 3 * DIM]
     w[:, :DIM] *= DIM**-0.5

@@ -192,6 +192,42 @@ def test_probabilities_of_ids_sum_to_one():
     assert np.allclose(np.exp(start.log_probs(x, y)[:, 3]), mass / mass.sum(), rtol=0.6)
 
 
+def test_places_of_context_give_no_answers(monkeypatch):
+    """Windows behind a text's first: their context is looked at, but nothing is worked out for it."""
+    n = np.array([lm.PLACES + 90, 3])
+    given = np.random.default_rng(4).integers(0, lm.CLASSES, n.sum())
+    who, x, y = lm.windows(given, n, lm.PLACES, lm.CONTEXT)
+    net, attention, answered = lm.Net(random_weights(4)), lm.Net.attention, []
+
+    def told(self, x, *skip):
+        z, a, total = attention(self, x, *skip)
+        answered.append(a.shape[0] * a.shape[1])
+        return z, a, total
+
+    monkeypatch.setattr(lm.Net, "attention", told)
+    got = net.log_probs(x, y)
+    first = np.r_[True, who[1:] != who[:-1]]
+    assert sum(answered) == first.sum() * lm.PLACES + (~first).sum() * (lm.PLACES - lm.CONTEXT) < x.size
+    assert ((got != 0) == (y != lm.PAD)).all()
+
+
+def test_known_words_are_looked_up_once(piece_model):
+    looks = []
+
+    class Word(bytes):
+        def __hash__(self):
+            looks.append(self)
+            return bytes.__hash__(self)
+
+    words = lm.Words(lm.subwords(piece_model))
+    first = words.add([b"one", b"two", b"one"])
+    assert first.tolist() == [1, 2, 1] and words.n == 3
+    again = words.add([Word(w) for w in (b"two", b"one", b"two")])
+    assert again.tolist() == [2, 1, 2] and len(looks) == 3
+    assert words.hash[1:3].tolist() == [lm.word_hash(w) for w in (b"one", b"two")]
+    assert words.sequences(np.array([2, 0, 1]))[0].tolist() == [*words.sub.ids([b"two"])[0], words.sub.end, *words.sub.ids([b"one"])[0]]
+
+
 def test_training_lowers_the_loss():
     rng = np.random.default_rng(2)
     y = np.cumsum(rng.integers(1, 3, (60 * lm.STEP, 8)), axis=1) % 20
