@@ -37,10 +37,10 @@ def new_path(spark: SparkSession, name: str) -> str:
 _scopes: list[list[str]] = []
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     """Writes the rows as a table in the shared folder and reads them back: cuts the lineage in a way that outlives executors."""
     path, schema, spark = new_path(df.sparkSession, name), df.schema, df.sparkSession
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     if _scopes:
         _scopes[-1].append(path)
     return spark.read.schema(schema).parquet(path)

@@ -20,6 +20,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -450,15 +451,36 @@ def learnt(given: DataFrame, ids: int, cls: np.ndarray, mass: np.ndarray, dtype:
     return p
 
 
+def packed_slice(words: Words, numbers: np.ndarray, met: np.ndarray, n: np.ndarray, crc: np.ndarray) -> bytes:
+    """The words of some texts: the hashes of those met (the end first), each text's crc and number of words, and the words as places among those met.
+    met: how often each word of the table occurs."""
+    which = np.flatnonzero(met)
+    place = np.empty(len(met), np.uint16 if len(which) <= 1 << 16 else np.uint32)
+    place[which] = np.arange(len(which))
+    head = np.array([len(n), len(which), place.itemsize], np.int64)
+    return b"".join(x.tobytes() for x in (head, words.hash[which], crc.astype(np.int64), n.astype(np.int64), place[numbers]))
+
+
+def unpacked_slice(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, crcs, numbers of words, words)"""
+    docs, met, width = np.frombuffer(raw, np.int64, 3).tolist()
+    at = np.cumsum([24, 8 * met, 8 * docs, 8 * docs]).tolist()
+    hashes, crc, n = (np.frombuffer(raw, np.int64, k, o) for k, o in zip((met, docs, docs), at))
+    return hashes, crc, n, np.frombuffer(raw, np.uint16 if width == 2 else np.uint32, -1, at[3]).astype(np.int64)
+
+
 def _gather(path: str, folds: int):
-    """Rows of kind 0: a word's hash, its count in training texts and in all; kind 1, of each training text: a hash of id and text, and its ids;
-    kind 2: an id and its count in training texts; kind 3: number of training texts. Counts are summed up in the task."""
+    """Rows of kind 0: a word's hash, its count in training texts and in all; kind 1, of each training text: a hash of id and text, its row number, its
+    id, and its subword ids; kind 2: an id and its count in training texts; kind 3: number of training texts; kind 4, of each text held out: as kind 1,
+    without the hash; kind 5, of each slice of texts: its first row number, and its words, packed. Counts are summed up in the task."""
 
     def run(batches):
         sub = subwords(path)
         words = Words(sub)
         counts, every = np.zeros(0, np.int64), np.zeros(0, np.int64)
         of_id, docs = np.zeros(sub.size, np.int64), 0
+        task = TaskContext.get()
+        row = (task.partitionId() if task else 0) << 36
 
         def out(kind, key, c, n=None, ids=None):
             ids = pa.nulls(len(key), pa.binary()) if ids is None else pa.array(ids, pa.binary())
@@ -473,19 +495,25 @@ def _gather(path: str, folds: int):
             for i in range(0, b.num_rows, 256):
                 part = b.slice(i, 256)
                 numbers, n = texts_of(words, part.column(0).to_pylist())
-                learn = (part.column(1).to_numpy() % folds) != 0
+                crc, doc_ids = part.column(1).to_numpy(), part.column(2).to_pylist()
+                learn = (crc % folds) != 0
                 mine = np.repeat(learn, n)
                 counts, every = (np.r_[x, np.zeros(words.n - len(x), np.int64)] for x in (counts, every))
-                every += np.bincount(numbers, minlength=words.n)
+                met = np.bincount(numbers, minlength=words.n)
+                every += met
                 if learn.any():
                     counts += np.bincount(numbers[mine], minlength=words.n)
-                    ids, size = words.sequences(numbers[mine])
-                    of_id += np.bincount(ids, minlength=sub.size)
-                    docs += int(learn.sum())
-                    bounds = np.cumsum(np.add.reduceat(size, np.r_[0, np.cumsum(n[learn])[:-1]]))
-                    raw = [x.tobytes() for x in np.split(ids.astype(sub.dtype), bounds[:-1])]
-                    key = [word_hash(x + str(k).encode()) for x, k in zip(raw, np.asarray(part.column(2).to_pylist(), object)[learn])]
-                    yield out(1, key, np.zeros(len(raw), np.int64), None, raw)
+                ids, size = words.sequences(numbers)
+                size = np.add.reduceat(size, np.cumsum(n) - n)
+                of_id += np.bincount(ids[np.repeat(learn, size)], minlength=sub.size)
+                docs += int(learn.sum())
+                raw = [x.tobytes() for x in np.split(ids.astype(sub.dtype), np.cumsum(size)[:-1])]
+                for kind, some in ((1, np.flatnonzero(learn).tolist()), (4, np.flatnonzero(~learn).tolist())):
+                    if some:
+                        key = [0 if kind == 4 else word_hash(raw[k] + str(doc_ids[k]).encode()) for k in some]
+                        yield out(kind, key, [row + k for k in some], [doc_ids[k] for k in some], [raw[k] for k in some])
+                yield out(5, [row], [0], None, [packed_slice(words, numbers, met, n, crc)])
+                row += len(n)
                 if words.full():
                     yield from counted()
                     words.clear()
@@ -499,37 +527,47 @@ def _gather(path: str, folds: int):
     return run
 
 
-def _score(path: str, folds: int, sent, denom: float, ends: int):
+def _score(dtype: str, sent):
+    """From rows of kind 1 and 4: row number, id and score of each text."""
+
     def run(batches):
         keep_freed()
-        weights, cls, within, keys, counts = sent.value
-        net, words = Net(weights), Words(subwords(path))
-        share = np.log10((counts + 0.1) / denom)
-        #: per word: told or not, known, base score
-        told, known, base = np.ones(1, bool), np.array([ends > 0]), np.array([np.log10((ends + 0.1) / denom)])
+        weights, cls, within = sent.value[:3]
+        net = Net(weights)
         for whole in batches:
             for lo in range(0, whole.num_rows, 256):
                 b = whole.slice(lo, 256)
-                if words.full():
-                    words.clear()
-                    told, known, base = told[:1], known[:1], base[:1]
-                numbers, n = texts_of(words, b.column(1).to_pylist())
-                if words.n > len(told):
-                    h = words.hash[len(told) : words.n]
-                    at = np.minimum(np.searchsorted(keys, h), max(0, len(keys) - 1))
-                    have = keys[at] == h if len(keys) else np.zeros(len(h), bool)
-                    told = np.r_[told, have]
-                    known = np.r_[known, have & (counts[at] > 0) if len(keys) else have]
-                    base = np.r_[base, np.where(have, share[at], 0.0) if len(keys) else np.zeros(len(h))]
+                raw = b.column(2).to_pylist()
+                size = np.array([len(x) for x in raw]) // np.dtype(dtype).itemsize
+                ids = np.frombuffer(b"".join(raw), dtype)
+                of = np.repeat(np.arange(len(size)), size)
+                who, x, y = windows(cls[ids], size, PLACES, CONTEXT)
+                score = np.bincount(who, net.log_probs(x, y).sum(axis=1), minlength=len(size)) + np.bincount(of, within[ids], minlength=len(size))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(score / np.log(10))], names=["rid", "doc_id", "score"])
+
+    return run
+
+
+def _base(sent, denom: float, ends: int):
+    """From rows of kind 5: row number, crc, counts and base score of each text by the words told, and the hashes of its other words."""
+
+    def run(batches):
+        keys, counts = sent.value[3:]
+        share = np.log10((counts + 0.1) / denom)
+        for b in batches:
+            for row, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                h, crc, n, numbers = unpacked_slice(raw)
+                at = np.minimum(np.searchsorted(keys, h), max(0, len(keys) - 1))
+                #: per word: told or not, known, base score
+                told = keys[at] == h if len(keys) else np.zeros(len(h), bool)
+                known = told & (counts[at] > 0) if len(keys) else told.copy()
+                base = np.where(told, share[at], 0.0) if len(keys) else np.zeros(len(h))
+                told[0], known[0], base[0] = True, ends > 0, np.log10((ends + 0.1) / denom)
                 doc = np.repeat(np.arange(len(n)), n)
                 add = lambda v: np.bincount(doc, v[numbers], minlength=len(n))
-                ids, size = words.sequences(numbers)
-                of = np.repeat(doc, size)
-                who, x, y = windows(cls[ids], np.bincount(of, minlength=len(n)), PLACES, CONTEXT)
-                score = np.bincount(who, net.log_probs(x, y).sum(axis=1), minlength=len(n)) + np.bincount(of, within[ids], minlength=len(n))
                 away = ~told[numbers]
-                rare = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.bincount(doc, away, minlength=len(n)))].astype(np.int32)), pa.array(words.hash[numbers[away]]))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n), pa.array(add(known).astype(np.int64)), pa.array(add(base)), pa.array(score / np.log(10)), rare], names=["doc_id", "crc", "n_tokens", "n_known", "base", "score", "rare"])
+                rare = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.bincount(doc, away, minlength=len(n)))].astype(np.int32)), pa.array(h[numbers[away]]))
+                yield pa.RecordBatch.from_arrays([pa.array(row + np.arange(len(n))), pa.array(crc), pa.array(n), pa.array(add(known).astype(np.int64)), pa.array(add(base)), rare], names=["rid", "crc", "n_tokens", "n_known", "base", "rare"])
 
     return run
 
@@ -544,11 +582,12 @@ def lm_scores(docs: DataFrame, tokenizer_path: str, folds: int = 10, text: str =
     an empty table gives none. A very long text is scored in windows as any other; in training it belongs to one group. Without training documents the
     model stays as it started and N and V are 0. Words are looked up by 64-bit hashes. Other columns are not read.
 
-    Texts are read twice: to gather, and to score. The ids of training texts are written, and dealt to their groups once.
+    Texts are read once, to gather: the subword ids of all and their words are written, and what follows reads those. The ids of training texts are dealt
+    to their groups once.
     """
     spark = docs.sparkSession
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("t"), id_crc(doc_id).alias("crc"))
-    gathered = written(own.select("t", "crc", "doc_id").mapInArrow(_gather(tokenizer_path, folds), "kind byte, key long, c long, n long, ids binary"), "gathered")
+    gathered = written(own.select("t", "crc", "doc_id").mapInArrow(_gather(tokenizer_path, folds), "kind byte, key long, c long, n long, ids binary"), "gathered", "zstd")
     vocabulary = written(gathered.filter("kind = 0").groupBy("key").agg(F.sum("c").alias("c"), F.sum("n").alias("n")), "vocabulary")
     n_words, v_words = vocabulary.agg(F.sum("c"), F.count_if(F.col("c") > 0)).first()
     ends = int(gathered.filter("kind = 3").agg(F.sum("c")).first()[0] or 0)
@@ -561,15 +600,17 @@ def lm_scores(docs: DataFrame, tokenizer_path: str, folds: int = 10, text: str =
         of_id[r.key] = r.c
     cls, within, mass = classes_of(of_id)
     weights = learnt(gathered.filter("kind = 1").select(F.col("key").alias("h"), "ids"), int(of_id.sum()), cls, mass, sub.dtype, seed)
-    removed(gathered)
     # the most frequent of all documents, so that no word that is joined is frequent in those held out
     top, frequent = most_frequent(vocabulary, "n", told)
     top = top.sort_by("key")
     sent = spark.sparkContext.broadcast((weights, cls, within, top.column("key").to_numpy(), top.column("c").to_numpy()))  # some 5 MB, of fixed size
-    scored = written(own.select("doc_id", "t", "crc").mapInArrow(_score(tokenizer_path, folds, sent, denom, ends), "doc_id long, crc long, n_tokens long, n_known long, base double, score double, rare array<long>").withColumn("rid", F.monotonically_increasing_id()), "scored")
-    looked = scored.select("rid", F.explode("rare").alias("key"))
+    rid = F.col("c").alias("rid")
+    scored = written(gathered.filter("kind in (1, 4)").select(rid, F.col("n").alias("doc_id"), "ids").mapInArrow(_score(sub.dtype, sent), "rid long, doc_id long, score double"), "scored")
+    based = written(gathered.filter("kind = 5").select("key", "ids").mapInArrow(_base(sent, denom, ends), "rid long, crc long, n_tokens long, n_known long, base double, rare array<long>"), "based")
+    removed(gathered)
+    looked = based.select("rid", F.explode("rare").alias("key"))
     c = F.col("c")
     late = looked.join(vocabulary.filter(~frequent), "key").groupBy("rid").agg(F.sum(F.log10((c + 0.1) / F.lit(denom))).alias("more"), F.count_if(c > 0).alias("more_known"))
-    out = scored.drop("rare").join(late, "rid", "left")
+    out = based.drop("rare").join(scored, "rid").join(late, "rid", "left")
     more = lambda name, to: F.col(name) + F.coalesce(to, F.lit(0))
     return out.select("doc_id", (F.col("crc") % folds == 0).alias("held_out"), "n_tokens", more("n_known", "more_known").alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), more("base", "more").alias("base_score"), "score")

@@ -253,6 +253,33 @@ def test_all_training_texts_are_learnt_from(spark, piece_model, monkeypatch):
     assert y[y != lm.PAD].tolist() == want
 
 
+def test_texts_are_read_once(spark, edge, piece_model):
+    from pyspark.sql import functions as F
+
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def told(text):
+        read.add(1)
+        return text
+
+    rows = edge.withColumn("text", told("text"))
+    got = lm.lm_scores(rows, piece_model, told=5).collect()
+    assert read.value == len(EDGE)
+    assert sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in got), key=str) == base_scores(EDGE)
+
+
+def test_packed_words(piece_model):
+    words = lm.Words(lm.subwords(piece_model))
+    lm.texts_of(words, ["some words before"])
+    for texts in (["a b a", None, "c"], [" ".join(f"w{k}" for k in range(70_000)), "w5 w69999"], [None]):
+        numbers, n = lm.texts_of(words, texts)
+        met = np.bincount(numbers, minlength=words.n)
+        h, crc, size, places = lm.unpacked_slice(lm.packed_slice(words, numbers, met, n, np.arange(len(n)) + 2**32 - 5))
+        assert size.tolist() == n.tolist() and crc.tolist() == [2**32 - 5 + k for k in range(len(n))]
+        assert h[0] == 0 and (places == 0).tolist() == (numbers == 0).tolist() and h[places].tolist() == words.hash[numbers].tolist()
+
+
 def test_scores_do_not_depend_on_partitions_and_repeat_those_of_whole_texts(spark, piece_model, monkeypatch):
     monkeypatch.setattr(lm, "GROUP_IDS", 20_000)
     d = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet")
